@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelworks.operators import rollups
+from funnelworks.operators import overview, rollups, sales
 from funnelworks.plans import oracles as O
 from funnelworks.session import shared_path
 from funnelworks.sources import fixtures, sinks
@@ -164,3 +164,140 @@ def q_partitioned_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("cart").alias("cart"),
         F.sum("purchase").alias("purchase"),
     )
+
+
+# ------------------------------------------------------------------------- overview
+
+# Request of the overview queries: a range with two empty days before the data, and an
+# IN-list that leaves one category of the data out.
+OVERVIEW_FROM, OVERVIEW_TO, OVERVIEW_TO_EXCL = "2023-12-30", "2024-01-20", "2024-01-21"
+OVERVIEW_CATEGORIES = ["economy", "large", "medium", "promo", "small"]
+_OV = O.overview_ctes(OVERVIEW_FROM, OVERVIEW_TO_EXCL, OVERVIEW_CATEGORIES)
+
+
+def _ov_args(spark: SparkSession, sf_dir: str):
+    return fixtures.product_events(spark, sf_dir), OVERVIEW_FROM, OVERVIEW_TO, OVERVIEW_CATEGORIES
+
+
+@register(
+    "overview_counts",
+    O.with_ctes(
+        O.PRODUCT_EVENTS_CTE,
+        _OV[0],
+        body="SELECT category, event_day, CAST(count(*) AS BIGINT) AS count "
+        "FROM overview_rows GROUP BY category, event_day",
+    ),
+)
+def q_overview_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overview.overview_counts(*_ov_args(spark, sf_dir))
+
+
+@register(
+    "overview_pivot",
+    O.with_ctes(O.PRODUCT_EVENTS_CTE, *_OV, body="SELECT * FROM overview_pivot"),
+)
+def q_overview_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overview.overview_pivot(*_ov_args(spark, sf_dir))
+
+
+_DENSE_COLS = ", ".join(f"coalesce(p.{c}, 0) AS {c}" for c in OVERVIEW_CATEGORIES)
+
+
+@register(
+    "overview_dense",
+    O.with_ctes(
+        O.PRODUCT_EVENTS_CTE,
+        *_OV,
+        body=f"""SELECT c.event_day, strftime(c.event_day, '%d-%m-%Y') AS label, {_DENSE_COLS}
+FROM (SELECT CAST(range AS DATE) AS event_day
+      FROM range(DATE '{OVERVIEW_FROM}', DATE '{OVERVIEW_TO_EXCL}', INTERVAL 1 DAY)) c
+LEFT JOIN overview_pivot p ON p.event_day = c.event_day""",
+    ),
+)
+def q_overview_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, f, t, cats = _ov_args(spark, sf_dir)
+    return overview.overview_dense(spark, events, f, t, cats)
+
+
+_UNPIVOT = " UNION ALL ".join(
+    f"SELECT event_day, '{c}' AS category, {c} AS count FROM overview_pivot"
+    for c in OVERVIEW_CATEGORIES
+)
+
+
+@register(
+    "overview_series",
+    O.with_ctes(
+        O.PRODUCT_EVENTS_CTE,
+        *_OV,
+        body=f"""SELECT category, string_agg(CAST(count AS VARCHAR), ',' ORDER BY event_day) AS counts
+FROM ({_UNPIVOT}) GROUP BY category""",
+    ),
+)
+def q_overview_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = overview.overview_series(*_ov_args(spark, sf_dir))
+    return series.select("category", F.array_join("counts", ",").alias("counts"))
+
+
+# ---------------------------------------------------------------------------- sales
+
+SALES_FROM, SALES_TO, SALES_TO_EXCL = "1997-05-01", "1997-07-12", "1997-07-13"
+SALES_POINT_DAY = "1997-07-12"
+
+_SALES_RANGE = (
+    f"l_shipdate >= TIMESTAMP '{SALES_FROM} 00:00:00' "
+    f"AND l_shipdate < TIMESTAMP '{SALES_TO_EXCL} 00:00:00'"
+)
+_DAILY_SQL = (
+    "SELECT CAST(l_shipdate AS DATE) AS day, round(coalesce(sum(l_extendedprice), 0), 2) AS sales "
+    "FROM lineitem {where} GROUP BY CAST(l_shipdate AS DATE)"
+)
+
+
+def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.sales_listings(spark, sf_dir)
+
+
+@register("daily_sales", _DAILY_SQL.format(where="WHERE " + _SALES_RANGE))
+def q_daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sales.daily_sales(_listings(spark, sf_dir), SALES_FROM, SALES_TO)
+
+
+@register(
+    "sales_total",
+    "SELECT round(coalesce(sum(l_extendedprice), 0), 2) AS sales, CAST(count(*) AS BIGINT) AS n_rows "
+    f"FROM lineitem WHERE {_SALES_RANGE} HAVING count(*) > 0",
+)
+def q_sales_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sales.sales_total(_listings(spark, sf_dir), SALES_FROM, SALES_TO)
+
+
+@register(
+    "sales_points",
+    f"SELECT * FROM ({_DAILY_SQL.format(where='WHERE ' + _SALES_RANGE)}) "
+    f"WHERE day IN (DATE '{SALES_POINT_DAY}', DATE '{SALES_POINT_DAY}' - INTERVAL 1 DAY)",
+)
+def q_sales_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    daily = sales.daily_sales(_listings(spark, sf_dir), SALES_FROM, SALES_TO)
+    return sales.sales_points(daily, SALES_POINT_DAY)
+
+
+@register(
+    "sales_change",
+    f"""WITH d AS ({_DAILY_SQL.format(where='')})
+SELECT c.day, c.sales, p.sales AS prev_sales, round(c.sales - p.sales, 2) AS delta,
+       CASE WHEN p.sales <> 0 THEN round(round(c.sales - p.sales, 2) / p.sales * 100, 4) END AS pct
+FROM d c JOIN d p ON c.day = CAST(p.day + INTERVAL 1 DAY AS DATE)""",
+)
+def q_sales_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sales.sales_change(sales.daily_sales(_listings(spark, sf_dir)))
+
+
+@register("daily_sales_idempotent", _DAILY_SQL.format(where="WHERE " + _SALES_RANGE))
+def q_daily_sales_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "daily_sales")
+    for _ in range(2):  # the second run must leave the table unchanged
+        sales.store_daily_sales(
+            sales.daily_sales(_listings(spark, sf_dir), SALES_FROM, SALES_TO), path
+        )
+    return sinks.read_back(spark, path).select("day", "sales")

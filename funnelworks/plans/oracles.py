@@ -51,3 +51,28 @@ funnel AS (
 
 def with_ctes(*ctes: str, body: str) -> str:
     return "WITH " + ",".join(ctes) + "\n" + body
+
+
+def overview_ctes(from_day: str, to_day_exclusive: str, categories: list[str]) -> list[str]:
+    cats = ", ".join(f"'{c}'" for c in categories)
+    pivot_cols = ",\n         ".join(
+        f"CAST(count_if(category = '{c}') AS BIGINT) AS {c}" for c in categories
+    )
+    return [
+        f"""
+overview_rows AS (
+  SELECT list_extract(string_split(category_code, '.'), 1) AS category,
+         CAST(event_time AS DATE) AS event_day
+  FROM product_events
+  WHERE category_code IS NOT NULL
+    AND event_time >= TIMESTAMP '{from_day} 00:00:00'
+    AND event_time < TIMESTAMP '{to_day_exclusive} 00:00:00'
+    AND list_extract(string_split(category_code, '.'), 1) IN ({cats})
+)""",
+        f"""
+overview_pivot AS (
+  SELECT event_day,
+         {pivot_cols}
+  FROM overview_rows GROUP BY event_day
+)""",
+    ]
