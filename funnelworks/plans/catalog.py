@@ -9,12 +9,13 @@ folder and return the read-back table.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelworks.operators import overview, rollups, sales
+from funnelworks.operators import listings, overview, rollups, sales
 from funnelworks.plans import oracles as O
 from funnelworks.session import shared_path
 from funnelworks.sources import fixtures, sinks
@@ -301,3 +302,74 @@ def q_daily_sales_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
             sales.daily_sales(_listings(spark, sf_dir), SALES_FROM, SALES_TO), path
         )
     return sinks.read_back(spark, path).select("day", "sales")
+
+
+# ------------------------------------------------------------------------- listings
+
+_FLAT_SQL = """SELECT l_orderkey AS response_id, CAST(l_partkey AS VARCHAR) AS asin,
+       l_extendedprice AS price, l_linenumber AS line,
+       CASE WHEN l_discount < 0.05 THEN 'organic' ELSE 'amazons_choices' END AS kind
+FROM lineitem
+WHERE l_orderkey % 11 NOT IN (0, 1) AND NOT (l_orderkey % 11 = 2 AND l_discount >= 0.05)"""
+
+# Deterministic stamping of the listings (FIXTURES §3.3).
+STAMP_START = dt.datetime(2024, 5, 1)
+STAMP_SPAN_SECONDS = 6_220_800
+STAMP_WEIGHTS = {"response_id": 7919, "line": 104729}
+# Random stamping window of the reference: 2024-05-01 up to the run time; fixed here.
+RANDOM_END = dt.datetime(2024, 7, 12, 23, 59, 59)
+AMPLIFY_COPIES = 3
+
+
+def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.flatten_listings(fixtures.search_responses(spark, sf_dir))
+
+
+@register("flatten_listings", _FLAT_SQL)
+def q_flatten_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(spark, sf_dir)
+
+
+@register(
+    "stamped_listings",
+    f"""SELECT *, TIMESTAMP '2024-05-01 00:00:00'
+         + to_seconds((response_id * 7919 + line * 104729) % {STAMP_SPAN_SECONDS}) AS timestamp
+FROM ({_FLAT_SQL})""",
+)
+def q_stamped_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.modular_stamp(_flat(spark, sf_dir), STAMP_WEIGHTS, STAMP_START, STAMP_SPAN_SECONDS)
+
+
+@register(
+    "random_stamped_listings",
+    f"SELECT response_id, asin, line, kind, true AS in_window FROM ({_FLAT_SQL})",
+)
+def q_random_stamped_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stamped = listings.random_stamp(_flat(spark, sf_dir), STAMP_START, RANDOM_END, seed=7)
+    lo = F.lit(STAMP_START.isoformat(sep=" ")).cast("timestamp_ntz")
+    hi = F.lit(RANDOM_END.isoformat(sep=" ")).cast("timestamp_ntz")
+    return stamped.select(
+        "response_id", "asin", "line", "kind",
+        F.col("timestamp").between(lo, hi).alias("in_window"),
+    )
+
+
+@register(
+    "amplified_listings",
+    f"SELECT f.*, CAST(c.range AS INTEGER) AS copy FROM ({_FLAT_SQL}) f CROSS JOIN range({AMPLIFY_COPIES}) c",
+)
+def q_amplified_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "amplified_listings")
+    sinks.append_rows(listings.amplify(_flat(spark, sf_dir), AMPLIFY_COPIES), path)
+    return sinks.read_back(spark, path)
+
+
+@register(
+    "table_footprint",
+    "SELECT CAST(count(*) AS BIGINT) AS n_rows, "
+    "CAST(sum(coalesce(strlen(url), 0) + coalesce(strlen(html), 0)) AS BIGINT) AS n_bytes FROM pages",
+)
+def q_table_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from funnelworks.sources.tables import read_table
+
+    return listings.table_footprint(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))

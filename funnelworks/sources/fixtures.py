@@ -53,3 +53,43 @@ def sales_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_shipdate").alias("timestamp"),
         F.col("l_extendedprice").alias("price"),
     )
+
+
+# Listing element shape of the search responses.
+LISTING_FIELDS = "asin string, price double, line int"
+
+
+def search_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON search response per order (E5, FIXTURES §3.3): ``response_id, body``.
+
+    Lines with ``l_discount < 0.05`` are organic results, the rest "amazons_choices".
+    ``l_orderkey % 11`` selects the shape: 0 list-shaped ``results``, 1 no ``content``,
+    2 no ``amazons_choices`` key, otherwise both arrays. A response holds the lines of
+    one order (at most 7 in this schema), so the per-order lists are bounded.
+    """
+    li = read_table(
+        spark, sf_dir, "lineitem",
+        ["l_orderkey", "l_partkey", "l_extendedprice", "l_linenumber", "l_discount"],
+    )
+    elem = F.struct(
+        F.col("l_partkey").cast("string").alias("asin"),
+        F.col("l_extendedprice").alias("price"),
+        F.col("l_linenumber").alias("line"),
+    )
+    organic = F.col("l_discount") < 0.05
+    per_order = li.groupBy(F.col("l_orderkey").alias("response_id")).agg(
+        F.collect_list(F.when(organic, elem)).alias("organic"),
+        F.collect_list(F.when(~organic, elem)).alias("amazons_choices"),
+    )
+    shape = F.col("response_id") % 11
+    both = F.to_json(
+        F.struct(F.struct(F.struct("organic", "amazons_choices").alias("results")).alias("content"))
+    )
+    organic_only = F.to_json(F.struct(F.struct(F.struct("organic").alias("results")).alias("content")))
+    body = (
+        F.when(shape == 0, F.lit('{"content":{"results":[1]}}'))
+        .when(shape == 1, F.lit('{"status":"empty"}'))
+        .when(shape == 2, organic_only)
+        .otherwise(both)
+    )
+    return per_order.select("response_id", body.alias("body"))
