@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelworks.operators import listings, overview, rollups, sales
+from funnelworks.operators import extract, listings, overview, rollups, sales
 from funnelworks.plans import oracles as O
 from funnelworks.session import shared_path
 from funnelworks.sources import fixtures, sinks
@@ -373,3 +373,77 @@ def q_table_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from funnelworks.sources.tables import read_table
 
     return listings.table_footprint(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+
+
+# ----------------------------------------------------------------------- extraction
+
+_PAGE_KEYS = "p_partkey AS page_id"
+
+
+@register(
+    "extract_products",
+    f"""SELECT {_PAGE_KEYS}, p_name AS title, p_brand AS brand,
+       CASE WHEN p_partkey % 7 = 0 OR p_retailprice + p_size * 10 >= 1000 THEN NULL
+            ELSE round(p_retailprice + p_size * 10, 2) END AS price,
+       CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS DOUBLE) ELSE 0.0 END AS discount,
+       (p_size % 5) + 0.5 AS rating,
+       CAST(p_partkey * 37 AS INTEGER) AS reviews,
+       CASE WHEN p_partkey % 4 = 0 THEN 'Not Available' ELSE 'In Stock' END AS availability,
+       'Type=' || p_type || ';Size=' || CAST(p_size AS VARCHAR) AS detail
+FROM part WHERE p_partkey % 9 <> 0""",
+)
+def q_extract_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    products = extract.extract_products(fixtures.product_pages(spark, sf_dir))
+    return products.withColumn("detail", extract.detail_string("detail"))
+
+
+@register(
+    "rejected_pages",
+    f"SELECT {_PAGE_KEYS}, p_name AS title, 'missing_brand' AS reason FROM part WHERE p_partkey % 9 = 0",
+)
+def q_rejected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.rejected_pages(fixtures.product_pages(spark, sf_dir))
+
+
+_ORIGIN = r"regexp_extract(page_url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+
+
+@register(
+    "extract_links",
+    rf"""WITH l AS (
+  SELECT page_id, url AS page_url,
+         regexp_extract_all(html, '<a\b[^>]*\bhref="([^"]*)"', 1) AS links
+  FROM pages),
+x AS (
+  SELECT page_id, page_url, unnest(generate_series(0, len(links) - 1)) AS position,
+         unnest(links) AS link
+  FROM l)
+SELECT page_id, CAST(position AS INTEGER) AS position, link,
+       CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN link
+            WHEN starts_with(link, '//') THEN regexp_extract(page_url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || link
+            WHEN starts_with(link, '/') THEN {_ORIGIN} || link
+            ELSE {_ORIGIN} || '/' || link END AS url
+FROM x""",
+)
+def q_extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from funnelworks.sources.tables import read_table
+
+    return extract.extract_links(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+
+
+_SEGMENT = r"/([^/?#]*)(?:[?#].*)?$"
+
+
+@register(
+    "numeric_probe",
+    f"""SELECT page_id, regexp_extract(url, '{_SEGMENT}', 1) AS segment,
+       TRY_CAST(regexp_extract(url, '{_SEGMENT}', 1) AS DOUBLE) IS NOT NULL AS is_number
+FROM pages""",
+)
+def q_numeric_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from funnelworks.functions.html import is_number
+    from funnelworks.sources.tables import read_table
+
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "url"])
+    seg = F.regexp_extract("url", _SEGMENT, 1)
+    return pages.select("page_id", seg.alias("segment"), is_number(seg).alias("is_number"))

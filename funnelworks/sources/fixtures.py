@@ -93,3 +93,75 @@ def search_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(both)
     )
     return per_order.select("response_id", body.alias("body"))
+
+
+def _escape(c):
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A product detail page per part (FIXTURES §3.4): ``page_id, url, html``.
+
+    Gaps by ``p_partkey``: %5=0 title in ``h1#title`` instead of ``#productTitle``;
+    %7=0 no price; %3=0 a discount; %9=0 no brand row (rejected); %4=0 no availability.
+    Prices of 1,000 or more carry a thousands separator (the reference's float() fails).
+    """
+    from funnelworks.operators.extract import DISCOUNT_CLASS
+
+    p = read_table(
+        spark, sf_dir, "part",
+        ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    )
+    k = F.col("p_partkey")
+    name, brand, ptype = _escape(F.col("p_name")), _escape(F.col("p_brand")), _escape(F.col("p_type"))
+    empty = F.lit("")
+    title = F.when(
+        k % 5 == 0, F.concat(F.lit('<h1 id="title" class="a-size-large">\n      '), name, F.lit("\n    </h1>"))
+    ).otherwise(F.concat(F.lit('<span id="productTitle" class="a-size-large product-title-word-break">\n      '), name, F.lit("\n    </span>")))
+    price = F.when(k % 7 == 0, empty).otherwise(
+        F.concat(F.lit('<span class="a-price"><span class="a-offscreen">$'),
+                 F.format_number(F.col("p_retailprice") + F.col("p_size") * 10, 2),
+                 F.lit("</span></span>"))
+    )
+    discount = F.when(
+        k % 3 == 0,
+        F.concat(F.lit(f'<span class="{DISCOUNT_CLASS}">-'), F.col("p_size").cast("string"), F.lit("%</span>")),
+    ).otherwise(empty)
+    rating = F.concat(
+        F.lit('<span class="a-icon-alt">'), ((F.col("p_size") % 5) + 0.5).cast("string"),
+        F.lit(" out of 5 stars</span>"),
+    )
+    reviews = F.concat(
+        F.lit('<span id="acrCustomerReviewText" class="a-size-base">'),
+        F.format_number(k * 37, 0), F.lit(" ratings</span>"),
+    )
+    availability = F.when(k % 4 == 0, empty).otherwise(
+        F.lit('<div id="availability" class="a-section a-spacing-base">'
+              '<span class="a-size-medium a-color-success">\n        In Stock\n      </span></div>')
+    )
+    brand_row = F.when(k % 9 == 0, empty).otherwise(
+        F.concat(F.lit('<table class="a-normal"><tr class="a-spacing-small po-brand">'
+                       '<td class="a-span3"><span class="a-text-bold">Brand</span></td>'
+                       '<td class="a-span9"><span class="po-break-word">'),
+                 brand, F.lit("</span></td></tr></table>"))
+    )
+    detail = F.concat(
+        F.lit('<table id="productDetails_detailBullets_sections1" class="a-keyvalue prodDetTable">'
+              '<tr><th class="a-color-secondary prodDetSectionEntry"> Type </th>'
+              '<td class="a-size-base prodDetAttrValue"> '),
+        ptype,
+        F.lit(' </td></tr><tr><th class="a-color-secondary prodDetSectionEntry"> Size </th>'
+              '<td class="a-size-base prodDetAttrValue"> '),
+        F.col("p_size").cast("string"),
+        F.lit(" </td></tr></table>"),
+    )
+    html = F.concat(
+        F.lit("<!DOCTYPE html><html><head><title>"), name, F.lit("</title></head><body><div id=\"dp\">\n"),
+        title, price, discount, rating, reviews, availability, brand_row, detail,
+        F.lit("\n</div></body></html>"),
+    )
+    return p.select(
+        k.alias("page_id"),
+        F.concat(F.lit("https://shop.example.com/dp/"), k.cast("string")).alias("url"),
+        html.alias("html"),
+    )
