@@ -15,10 +15,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelworks.operators import extract, listings, overview, rollups, sales
+from funnelworks.operators import envelopes, extract, listings, overview, rollups, sales
 from funnelworks.plans import oracles as O
 from funnelworks.session import shared_path
 from funnelworks.sources import fixtures, sinks
+from funnelworks.streaming import ingest
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -447,3 +448,76 @@ def q_numeric_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages", ["page_id", "url"])
     seg = F.regexp_extract("url", _SEGMENT, 1)
     return pages.select("page_id", seg.alias("segment"), is_number(seg).alias("is_number"))
+
+
+# ------------------------------------------------------------ envelopes and ingest
+
+_ITEMS_SQL = """SELECT p_name AS key, p_partkey AS id, p_brand AS brand,
+       CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_retailprice END AS price
+FROM part"""
+ENVELOPE_ITEM_SCHEMA = "id bigint, brand string, price double"
+
+
+def _envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return envelopes.batch_envelopes(
+        fixtures.envelope_items(spark, sf_dir), "key", "id", ["id", "brand", "price"]
+    )
+
+
+@register(
+    "batch_envelopes",
+    f"""WITH items AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS rn FROM ({_ITEMS_SQL}))
+SELECT key, CAST(floor((rn - 1) / 20) AS BIGINT) AS batch_no, CAST(count(*) AS BIGINT) AS n_items,
+       min(id) AS first_id, max(id) AS last_id,
+       to_json(list({{'id': id, 'brand': brand, 'price': price}} ORDER BY id)) AS value
+FROM items GROUP BY key, floor((rn - 1) / 20)""",
+)
+def q_batch_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _envelopes(spark, sf_dir)
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Write the message files (good batches + bad messages), stream them in, return sinks."""
+    root = shared_path(spark, "ingest")
+    messages = _envelopes(spark, sf_dir).select("key", "value").unionByName(
+        fixtures.bad_messages(spark, sf_dir)
+    )
+    # Several files so the stream runs several micro-batches (one file per trigger).
+    messages.repartition(4).write.mode("overwrite").json(f"{root}/topic")
+    out, dead = f"{root}/items", f"{root}/dead_letters"
+    ingest.run_ingest(
+        ingest.envelope_file_source(spark, f"{root}/topic", max_files=1),
+        out, dead, f"{root}/checkpoints", ENVELOPE_ITEM_SCHEMA,
+    )
+    return out, dead
+
+
+@register(
+    "stream_ingest",
+    f"SELECT replace(lower(key), ' ', '_') AS collection, id, brand, price FROM ({_ITEMS_SQL})",
+)
+def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = _ingested(spark, sf_dir)
+    return sinks.read_back(spark, out).select("collection", "id", "brand", "price")
+
+
+_KIND = f"floor(p_partkey / {fixtures.BAD_MESSAGE_STRIDE}) % 6"
+
+
+@register(
+    "dead_letters",
+    f"""SELECT CASE WHEN {_KIND} = 0 THEN NULL WHEN {_KIND} = 1 THEN '' ELSE p_name END AS key,
+       CASE WHEN {_KIND} <= 1 THEN '[{{"id": ' || p_partkey || '}}]'
+            WHEN {_KIND} = 2 THEN '{{"id": ' || p_partkey || ', "brand": "' || p_brand || '"}}'
+            WHEN {_KIND} = 3 THEN '[{{"id": ' || p_partkey || ','
+            WHEN {_KIND} = 4 THEN NULL
+            ELSE '[' || p_partkey || ']' END AS value,
+       CASE WHEN {_KIND} <= 1 THEN 'missing_key' WHEN {_KIND} = 2 THEN 'not_a_list'
+            WHEN {_KIND} = 3 THEN 'malformed_json' WHEN {_KIND} = 4 THEN 'null_value'
+            ELSE 'bad_items' END AS reason
+FROM part WHERE p_partkey % {fixtures.BAD_MESSAGE_STRIDE} = 0""",
+)
+def q_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, dead = _ingested(spark, sf_dir)
+    return sinks.read_back(spark, dead).select("key", "value", "reason")

@@ -165,3 +165,40 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://shop.example.com/dp/"), k.cast("string")).alias("url"),
         html.alias("html"),
     )
+
+
+# Bad messages are derived from every part whose key is a multiple of this stride; the
+# kind cycles with ``(p_partkey / stride) % 6``.
+BAD_MESSAGE_STRIDE = 331
+
+
+def envelope_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scraped items keyed by product term (FIXTURES §3.5): ``key, id, brand, price``."""
+    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_retailprice"])
+    return p.select(
+        F.col("p_name").alias("key"),
+        F.col("p_partkey").alias("id"),
+        F.col("p_brand").alias("brand"),
+        F.when(F.col("p_partkey") % 7 == 0, F.lit(None).cast("double"))
+        .otherwise(F.col("p_retailprice"))
+        .alias("price"),
+    )
+
+
+def bad_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invalid messages derived from ``part``: NULL key, empty key, single object,
+    truncated JSON, NULL value, list of non-objects (``key, value``)."""
+    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand"])
+    k = F.col("p_partkey")
+    ks = k.cast("string")
+    kind = F.floor(k / BAD_MESSAGE_STRIDE) % 6
+    one = F.concat(F.lit('[{"id": '), ks, F.lit("}]"))
+    key = F.when(kind == 0, F.lit(None).cast("string")).when(kind == 1, F.lit("")).otherwise(F.col("p_name"))
+    value = (
+        F.when(kind <= 1, one)
+        .when(kind == 2, F.concat(F.lit('{"id": '), ks, F.lit(', "brand": "'), F.col("p_brand"), F.lit('"}')))
+        .when(kind == 3, F.concat(F.lit('[{"id": '), ks, F.lit(",")))
+        .when(kind == 4, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("["), ks, F.lit("]")))
+    )
+    return p.where(k % BAD_MESSAGE_STRIDE == 0).select(key.alias("key"), value.alias("value"))
