@@ -75,6 +75,14 @@ def q_first_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_row(fixtures.product_events(spark, sf_dir), "event_id")
 
 
+@register(
+    "event_categories",
+    O.with_ctes(O.PRODUCT_EVENTS_CTE, body="SELECT DISTINCT category_code FROM product_events"),
+)
+def q_event_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.event_categories(fixtures.product_events(spark, sf_dir))
+
+
 @register(
     "top_categories",
     O.with_ctes(
@@ -521,3 +529,26 @@ FROM part WHERE p_partkey % {fixtures.BAD_MESSAGE_STRIDE} = 0""",
 def q_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, dead = _ingested(spark, sf_dir)
     return sinks.read_back(spark, dead).select("key", "value", "reason")
+
+
+# ----------------------------------------------------------------------- connectors
+
+# The person table of the connector demo is ``customer``; balance stands in for age.
+ROUND_TRIP_MIN_BALANCE = 2000
+
+
+@register(
+    "connector_round_trip",
+    "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer "
+    f"WHERE c_acctbal > {ROUND_TRIP_MIN_BALANCE}",
+)
+def q_connector_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from funnelworks.sources import connectors
+    from funnelworks.sources.tables import read_table
+
+    path = shared_path(spark, "connector_round_trip")
+    connectors.save(read_table(spark, sf_dir, "customer"), path, "parquet", "append")
+    people = connectors.load(spark, path, "parquet")
+    return people.where(F.col("c_acctbal") > ROUND_TRIP_MIN_BALANCE).select(
+        "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"
+    )
