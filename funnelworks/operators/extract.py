@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelworks.functions import html as H
+from funnelworks.operators.partitioning import ensure_parallelism
 
 # The selectors the reference reads (tag, id or class).
 TITLE_ID = "productTitle"
@@ -78,33 +79,41 @@ def availability_field(html: Column) -> Column:
     return F.coalesce(H.element_text(F.nullif(span, F.lit(""))), F.lit(NOT_AVAILABLE))
 
 
-def detail_field(html: Column) -> Column:
-    """Rows of the details table as a map header → value; later headers win.
-
-    A row without a header or a value empties the whole map, as the reference's bare
-    ``except`` does. Duplicate headers keep the last value without relying on the
-    session's map-key policy.
-    """
+def detail_entries(html: Column) -> Column:
+    """Rows of the details table as ``array<struct<k, v>>``; NULL when there is no table."""
     table = H.element_inner(html, "table", "id", DETAIL_TABLE_ID)
     rows = H.all_matches(table, H.element_pattern("tr"))
-    entries = F.transform(
+    return F.transform(
         rows,
         lambda r: F.struct(
             H.element_text(H.first_match(r, H.element_pattern("th"))).alias("k"),
             H.element_text(H.first_match(r, H.element_pattern("td"))).alias("v"),
         ),
     )
+
+
+def detail_map(entries: Column) -> Column:
+    """Header → value map from the table rows; later headers win.
+
+    A row without a header or a value empties the whole map, as the reference's bare
+    ``except`` does. Duplicate headers keep the last value without relying on the
+    session's map-key policy.
+    """
     complete = F.forall(entries, lambda e: e["k"].isNotNull() & e["v"].isNotNull())
     keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
     last_values = F.transform(
         keys, lambda key: F.element_at(F.filter(entries, lambda e: e["k"] == key), -1)["v"]
     )
-    as_map = F.map_from_arrays(keys, last_values)
     empty = F.create_map().cast("map<string,string>")
-    return F.when(table.isNotNull() & complete, as_map).otherwise(empty)
+    return F.when(entries.isNotNull() & complete, F.map_from_arrays(keys, last_values)).otherwise(empty)
+
+
+def detail_field(html: Column) -> Column:
+    return detail_map(detail_entries(html))
 
 
 def product_fields(html: str | Column) -> dict[str, Column]:
+    """The eight field expressions (``detail`` built in one step; see ``extract_pages``)."""
     h = F.col(html) if isinstance(html, str) else html
     return {
         "title": title_field(h),
@@ -119,10 +128,17 @@ def product_fields(html: str | Column) -> dict[str, Column]:
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Every page with its eight fields and ``accepted`` (brand present, P12)."""
+    """Every page with its eight fields and ``accepted`` (brand present, P12).
+
+    The detail rows are extracted in one projection and folded into the map in the
+    next, so the row regexes run once per page (the map expression reads them thrice).
+    """
     fields = product_fields(html_col)
-    out = pages.select(id_col, *[c.alias(n) for n, c in fields.items()])
-    return out.withColumn("accepted", F.col("brand") != F.lit(""))
+    fields["detail"] = detail_entries(F.col(html_col))
+    out = ensure_parallelism(pages).select(id_col, *[c.alias(n) for n, c in fields.items()])
+    return out.withColumn("detail", detail_map(F.col("detail"))).withColumn(
+        "accepted", F.col("brand") != F.lit("")
+    )
 
 
 def extract_products(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -147,7 +163,7 @@ def extract_links(
     pattern: str = LINK_PATTERN,
 ) -> DataFrame:
     """All anchor targets of each page with their position and absolute URL."""
-    links = pages.select(
+    links = ensure_parallelism(pages).select(
         id_col, url_col, F.posexplode(H.all_matches(html_col, pattern)).alias("position", "link")
     )
     return links.select(

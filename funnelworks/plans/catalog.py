@@ -491,8 +491,8 @@ def _ingested(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     messages = _envelopes(spark, sf_dir).select("key", "value").unionByName(
         fixtures.bad_messages(spark, sf_dir)
     )
-    # Several files so the stream runs several micro-batches (one file per trigger).
-    messages.repartition(4).write.mode("overwrite").json(f"{root}/topic")
+    # Two files and one file per trigger: the stream commits two micro-batches.
+    messages.repartition(2).write.mode("overwrite").json(f"{root}/topic")
     out, dead = f"{root}/items", f"{root}/dead_letters"
     ingest.run_ingest(
         ingest.envelope_file_source(spark, f"{root}/topic", max_files=1),
