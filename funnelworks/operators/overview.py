@@ -69,18 +69,14 @@ def overview_pivot(
 ) -> DataFrame:
     """One row per day with data, one integer column per category, 0 where absent.
 
-    The pivot values are passed explicitly, so Spark plans a single conditional
-    aggregation (partial + final) without a job to discover the values.
+    Written as one conditional count per category (what ``pivot(values)`` means), so
+    the plan is a single partial + final aggregation with one exchange keyed by day;
+    ``groupBy().pivot()`` would aggregate twice.
     """
     cats = list(categories)
-    pivoted = (
-        overview_rows(events, from_day, to_day_, cats)
-        .groupBy("event_day")
-        .pivot("category", cats)
-        .count()
-    )
-    return pivoted.select(
-        "event_day", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in cats]
+    rows = overview_rows(events, from_day, to_day_, cats)
+    return rows.groupBy("event_day").agg(
+        *[F.count_if(F.col("category") == F.lit(c)).alias(c) for c in cats]
     )
 
 

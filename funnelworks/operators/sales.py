@@ -74,18 +74,29 @@ def sales_points(daily: DataFrame, day: str | dt.date) -> DataFrame:
 
 
 def sales_change(daily: DataFrame) -> DataFrame:
-    """Each day with the previous calendar day's sales: ``day, sales, prev_sales, delta, pct``.
+    """Each day with the previous calendar day's sales: ``day, sales, prev_sales, delta, pct``.
 
-    An equi-join on ``day = prev_day + 1`` pairs calendar days (a day whose previous day
-    has no sales gets no row), unlike ``lag`` which would pair with the previous row.
-    Both sides have one row per day; AQE broadcasts from the measured size.
+    Pairs calendar days (a day whose previous day has no sales gets no row), unlike
+    ``lag`` which would pair with the previous row. Each daily row is emitted twice —
+    as itself and as the "previous" of the next day — and one aggregation by day puts
+    the pair together: the daily table is computed once and no self-join is planned.
     """
-    prev = daily.select(
-        F.date_add("day", 1).alias("day"), F.col("sales").alias("prev_sales")
+    no_value = F.lit(None).cast("double")
+    both = F.explode(
+        F.array(
+            F.struct(F.col("day").alias("day"), F.col("sales").alias("cur"), no_value.alias("prev")),
+            F.struct(F.date_add("day", 1).alias("day"), no_value.alias("cur"), F.col("sales").alias("prev")),
+        )
+    )
+    paired = (
+        daily.select(both.alias("p"))
+        .select("p.*")
+        .groupBy("day")
+        .agg(F.max("cur").alias("sales"), F.max("prev").alias("prev_sales"))
+        .where(F.col("sales").isNotNull() & F.col("prev_sales").isNotNull())
     )
-    joined = daily.join(prev, "day", "inner")
     delta = F.round(F.col("sales") - F.col("prev_sales"), 2)
-    return joined.select(
+    return paired.select(
         "day",
         "sales",
         "prev_sales",
