@@ -62,6 +62,11 @@ def parse_day(value: str | dt.date) -> dt.date:
     return dt.datetime.strptime(value, "%Y-%m-%d").date()
 
 
+def parse_day_col(s: str | Column) -> Column:
+    """Column form of the request-date parse (F5): NULL instead of an error on bad input."""
+    return F.try_to_date(_col(s), F.lit("yyyy-MM-dd"))
+
+
 def ts_literal(day: dt.date, like: T.DataType) -> Column:
     """Midnight of ``day`` as a literal of the same timestamp flavour as the column.
 

@@ -50,3 +50,21 @@ def write_kafka(messages: DataFrame, bootstrap_servers: str, topic: str) -> None
         .option("topic", topic)
         .save()
     )
+
+
+def read_responses(spark: SparkSession, path: str, fmt: str = "text") -> DataFrame:
+    """Stored search responses as ``response_id, body``.
+
+    ``text``: one JSON document per line, kept as raw text so each document's shape is
+    checked on its own (a schema inferred across documents would coerce list-shaped
+    ``results`` and objects into one type). The id hashes the file name with the row
+    position, which is stable while the files and the split size stay the same.
+    """
+    if fmt == "text":
+        raw = spark.read.text(path)
+    else:
+        raw = spark.read.format(fmt).load(path).select(F.to_json(F.struct("*")).alias("value"))
+    return raw.select(
+        F.xxhash64(F.input_file_name(), F.monotonically_increasing_id()).alias("response_id"),
+        F.col("value").alias("body"),
+    )

@@ -100,3 +100,18 @@ def test_links_absolute(spark):
     )
     got = [(r.position, r.url) for r in extract.extract_links(pages).orderBy("position").collect()]
     assert got == [(0, "https://h.example.com/p"), (1, "https://o.example/q"), (2, "https://h.example.com/rel"), (3, "https://cdn.example/i")]
+
+
+def test_read_responses_from_text_files(spark, tmp_dir):
+    from funnelworks.sources.connectors import read_responses
+
+    item = {"asin": "a", "price": 1.0, "line": 1}
+    docs = [
+        json.dumps({"content": {"results": {"organic": [item], "amazons_choices": [item, item]}}}),
+        json.dumps({"content": {"results": [1]}}),
+    ]
+    path = f"{tmp_dir}/responses"
+    spark.createDataFrame([(d,) for d in docs], "value string").write.text(path)
+    resp = read_responses(spark, path)
+    assert resp.select("response_id").distinct().count() == 2
+    assert listings.flatten_listings(resp).count() == 3

@@ -84,3 +84,9 @@ def test_store_daily_sales_is_idempotent(spark, tmp_dir):
     sales.store_daily_sales(daily, path)
     sales.store_daily_sales(daily, path)
     assert spark.read.parquet(path).count() == daily.count() == 4
+
+
+def test_category_overview_is_day_ordered(spark):
+    out = overview.category_overview(spark, _ev(spark), "2023-12-31", "2024-01-04", ["a", "b"], dense=True).collect()
+    days = [r.event_day for r in out]
+    assert days == sorted(days) and len(days) == 5
