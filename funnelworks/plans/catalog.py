@@ -365,7 +365,7 @@ def q_random_stamped_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "amplified_listings",
-    f"SELECT f.*, CAST(c.range AS INTEGER) AS copy FROM ({_FLAT_SQL}) f CROSS JOIN range({AMPLIFY_COPIES}) c",
+    f"SELECT *, CAST(unnest(range({AMPLIFY_COPIES})) AS INTEGER) AS copy FROM ({_FLAT_SQL})",
 )
 def q_amplified_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "amplified_listings")
@@ -510,7 +510,7 @@ def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.read_back(spark, out).select("collection", "id", "brand", "price")
 
 
-_KIND = f"floor(p_partkey / {fixtures.BAD_MESSAGE_STRIDE}) % 6"
+_KIND = f"p_partkey % {fixtures.BAD_MESSAGE_KINDS}"
 
 
 @register(
@@ -524,7 +524,7 @@ _KIND = f"floor(p_partkey / {fixtures.BAD_MESSAGE_STRIDE}) % 6"
        CASE WHEN {_KIND} <= 1 THEN 'missing_key' WHEN {_KIND} = 2 THEN 'not_a_list'
             WHEN {_KIND} = 3 THEN 'malformed_json' WHEN {_KIND} = 4 THEN 'null_value'
             ELSE 'bad_items' END AS reason
-FROM part WHERE p_partkey % {fixtures.BAD_MESSAGE_STRIDE} = 0""",
+FROM part""",
 )
 def q_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, dead = _ingested(spark, sf_dir)

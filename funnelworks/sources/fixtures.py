@@ -55,17 +55,20 @@ def sales_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Listing element shape of the search responses.
+# Listing element shape of the search responses, and listings per response page.
 LISTING_FIELDS = "asin string, price double, line int"
+RESULTS_PER_PAGE = 20
 
 
 def search_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON search response per order (E5, FIXTURES §3.3): ``response_id, body``.
+    """JSON search responses per order and result page (E5, FIXTURES §3.3):
+    ``response_id, page, body``.
 
     Lines with ``l_discount < 0.05`` are organic results, the rest "amazons_choices".
     ``l_orderkey % 11`` selects the shape: 0 list-shaped ``results``, 1 no ``content``,
-    2 no ``amazons_choices`` key, otherwise both arrays. A response holds the lines of
-    one order (at most 7 in this schema), so the per-order lists are bounded.
+    2 no ``amazons_choices`` key, otherwise both arrays. A page holds the lines numbered
+    ``20·page+1 .. 20·page+20`` of one order (line numbers are unique per order), so no
+    response grows with the size of an order.
     """
     li = read_table(
         spark, sf_dir, "lineitem",
@@ -77,7 +80,8 @@ def search_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("line"),
     )
     organic = F.col("l_discount") < 0.05
-    per_order = li.groupBy(F.col("l_orderkey").alias("response_id")).agg(
+    page = F.floor((F.col("l_linenumber") - 1) / RESULTS_PER_PAGE).cast("int")
+    per_order = li.groupBy(F.col("l_orderkey").alias("response_id"), page.alias("page")).agg(
         F.collect_list(F.when(organic, elem)).alias("organic"),
         F.collect_list(F.when(~organic, elem)).alias("amazons_choices"),
     )
@@ -92,7 +96,7 @@ def search_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(shape == 2, organic_only)
         .otherwise(both)
     )
-    return per_order.select("response_id", body.alias("body"))
+    return per_order.select("response_id", "page", body.alias("body"))
 
 
 def _escape(c):
@@ -167,9 +171,8 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Bad messages are derived from every part whose key is a multiple of this stride; the
-# kind cycles with ``(p_partkey / stride) % 6``.
-BAD_MESSAGE_STRIDE = 331
+# Kinds of invalid message derived from each part, by ``p_partkey % 6``.
+BAD_MESSAGE_KINDS = 6
 
 
 def envelope_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,12 +189,12 @@ def envelope_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bad_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Invalid messages derived from ``part``: NULL key, empty key, single object,
-    truncated JSON, NULL value, list of non-objects (``key, value``)."""
+    """One invalid message per part (``key, value``), kind by ``p_partkey % 6``: NULL key,
+    empty key, single object, truncated JSON, NULL value, list of non-objects."""
     p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand"])
     k = F.col("p_partkey")
     ks = k.cast("string")
-    kind = F.floor(k / BAD_MESSAGE_STRIDE) % 6
+    kind = k % BAD_MESSAGE_KINDS
     one = F.concat(F.lit('[{"id": '), ks, F.lit("}]"))
     key = F.when(kind == 0, F.lit(None).cast("string")).when(kind == 1, F.lit("")).otherwise(F.col("p_name"))
     value = (
@@ -201,4 +204,4 @@ def bad_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 4, F.lit(None).cast("string"))
         .otherwise(F.concat(F.lit("["), ks, F.lit("]")))
     )
-    return p.where(k % BAD_MESSAGE_STRIDE == 0).select(key.alias("key"), value.alias("value"))
+    return p.select(key.alias("key"), value.alias("value"))
