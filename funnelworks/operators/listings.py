@@ -57,6 +57,12 @@ def flatten_listings(
     return responses.select(id_col, F.inline(items))
 
 
+def _ntz_plus_seconds(start: dt.datetime, seconds: Column) -> Column:
+    """Wall-clock ``start + seconds`` as TIMESTAMP_NTZ, independent of the session zone."""
+    base = F.lit(start.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.timestamp_add("SECOND", seconds, base)
+
+
 def modular_stamp(
     df: DataFrame,
     weights: dict[str, int],
@@ -72,9 +78,7 @@ def modular_stamp(
     for c, w in weights.items():
         term = F.col(c).cast("bigint") * F.lit(w)
         offset = term if offset is None else offset + term
-    base = int(start.replace(tzinfo=dt.timezone.utc).timestamp())
-    ts = F.timestamp_seconds(F.lit(base) + F.pmod(offset, F.lit(span_seconds)))
-    return df.withColumn(out_col, ts.cast("timestamp_ntz"))
+    return df.withColumn(out_col, _ntz_plus_seconds(start, F.pmod(offset, F.lit(span_seconds))))
 
 
 def random_stamp(
@@ -86,10 +90,9 @@ def random_stamp(
 ) -> DataFrame:
     """Uniform whole-second timestamp in ``[start, end]`` (F12 + F30), as the reference's
     ``random_date``. Seeded per partition, so keep it before any shuffle that may rerun."""
-    base = int(start.replace(tzinfo=dt.timezone.utc).timestamp())
     span = int((end - start).total_seconds())
     offset = F.floor(F.rand(seed) * F.lit(span + 1)).cast("bigint")
-    return df.withColumn(out_col, F.timestamp_seconds(F.lit(base) + offset).cast("timestamp_ntz"))
+    return df.withColumn(out_col, _ntz_plus_seconds(start, offset))
 
 
 def table_footprint(df: DataFrame) -> DataFrame:

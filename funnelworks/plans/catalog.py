@@ -127,12 +127,11 @@ def q_price_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.price_list_summary(chunks)
 
 
-def _stored_funnel(spark: SparkSession, sf_dir: str) -> str:
+def _stored_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "daily_product_funnel")
-    sinks.write_partitioned(
-        _funnel(spark, sf_dir), path, "category", ["event_day", "classification", "brand"]
-    )
-    return path
+    funnel = _funnel(spark, sf_dir)
+    sinks.write_partitioned(funnel, path, "category", ["event_day", "classification", "brand"])
+    return sinks.read_back(spark, path, schema=funnel.schema)
 
 
 @register(
@@ -148,7 +147,7 @@ FROM funnel WHERE category = '{STATISTIC_CATEGORY}'""",
 def q_category_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     from funnelworks.operators.lookups import category_statistics
 
-    stored = sinks.read_back(spark, _stored_funnel(spark, sf_dir))
+    stored = _stored_funnel(spark, sf_dir)
     return category_statistics(stored, STATISTIC_CATEGORY).select(
         "event_day", "classification", "brand", "view", "cart", "purchase", "n_prices"
     )
@@ -167,7 +166,7 @@ FROM funnel GROUP BY category""",
     ),
 )
 def q_partitioned_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = sinks.read_back(spark, _stored_funnel(spark, sf_dir))
+    stored = _stored_funnel(spark, sf_dir)
     return stored.groupBy("category").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum("view").alias("view"),
@@ -310,7 +309,7 @@ def q_daily_sales_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
         sales.store_daily_sales(
             sales.daily_sales(_listings(spark, sf_dir), SALES_FROM, SALES_TO), path
         )
-    return sinks.read_back(spark, path).select("day", "sales")
+    return sinks.read_back(spark, path, schema="sales double, day date").select("day", "sales")
 
 
 # ------------------------------------------------------------------------- listings
@@ -507,7 +506,8 @@ def _ingested(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
 )
 def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = _ingested(spark, sf_dir)
-    return sinks.read_back(spark, out).select("collection", "id", "brand", "price")
+    schema = f"{ENVELOPE_ITEM_SCHEMA}, collection string"
+    return sinks.read_back(spark, out, schema=schema).select("collection", "id", "brand", "price")
 
 
 _KIND = f"p_partkey % {fixtures.BAD_MESSAGE_KINDS}"

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Fixed value: documents per bulk write in the reference; used as rows per output file.
 BULK_ROWS = 100_000
@@ -66,5 +67,12 @@ def overwrite_days(df: DataFrame, path: str, day_col: str = "day", fmt: str = "p
     return path
 
 
-def read_back(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return spark.read.format(fmt).load(path)
+def read_back(
+    spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | str | None = None
+) -> DataFrame:
+    """Read a written table. Pass the written schema so partition values keep their type
+    (a collection named ``"2024"`` stays a string instead of being inferred as a number)."""
+    reader = spark.read.format(fmt)
+    if schema is not None:
+        reader = reader.schema(schema)
+    return reader.load(path)
