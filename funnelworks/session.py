@@ -7,6 +7,7 @@ private folder is only created when that setting is absent (local runs and tests
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -66,3 +67,27 @@ def checkpoint_root(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint root for one written table."""
     return f"{checkpoint_root(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def scale_settings(
+    input_bytes: int,
+    total_cores: int,
+    partition_bytes: int = 256 << 20,
+    max_shuffle_partitions: int = 100_000,
+) -> dict[str, str]:
+    """Settings sized to the input for a cluster run (pass them to ``get_session(extra=...)``).
+
+    * scan splits of ``partition_bytes`` so a task's input fits executor memory;
+    * initial shuffle partitions so the largest shuffle (at most the input) lands near
+      ``partition_bytes`` per reducer, never fewer than two waves of the cores; AQE then
+      coalesces small ones toward the advisory size and splits skewed join partitions.
+    """
+    wanted = math.ceil(max(input_bytes, 1) / partition_bytes)
+    shuffle = min(max(2 * total_cores, wanted), max_shuffle_partitions)
+    size = f"{partition_bytes // (1 << 20)}m"
+    return {
+        "spark.sql.files.maxPartitionBytes": size,
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{2 * partition_bytes // (1 << 20)}m",
+    }

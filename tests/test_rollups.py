@@ -68,3 +68,14 @@ def test_funnel_invariants(spark):
     with_cat = ev.where(F.split("category_code", "[.]")[0].isNotNull()).count()
     assert tot.n == with_cat
     assert tot.s <= tot.n
+
+
+def test_scale_settings_bounds():
+    from funnelworks.session import scale_settings
+
+    small = scale_settings(10 << 20, 8)
+    assert small["spark.sql.shuffle.partitions"] == "16"
+    big = scale_settings(100 * 10**12, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 100_000
+    mid = scale_settings(1 << 40, 800)
+    assert int(mid["spark.sql.shuffle.partitions"]) == 4096
