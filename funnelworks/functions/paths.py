@@ -64,7 +64,7 @@ def parse_day(value: str | dt.date) -> dt.date:
 
 def parse_day_col(s: str | Column) -> Column:
     """Column form of the request-date parse (F5): NULL instead of an error on bad input."""
-    return F.try_to_date(_col(s), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(_col(s), "yyyy-MM-dd")
 
 
 def ts_literal(day: dt.date, like: T.DataType) -> Column:

@@ -393,8 +393,8 @@ _PAGE_KEYS = "p_partkey AS page_id"
     f"""SELECT {_PAGE_KEYS}, p_name AS title, p_brand AS brand,
        CASE WHEN p_partkey % 7 = 0 OR p_retailprice + p_size * 10 >= 1000 THEN NULL
             ELSE round(p_retailprice + p_size * 10, 2) END AS price,
-       CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS DOUBLE) ELSE 0.0 END AS discount,
-       (p_size % 5) + 0.5 AS rating,
+       CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS discount,
+       CAST((p_size % 5) + 0.5 AS DOUBLE) AS rating,
        CAST(p_partkey * 37 AS INTEGER) AS reviews,
        CASE WHEN p_partkey % 4 = 0 THEN 'Not Available' ELSE 'In Stock' END AS availability,
        'Type=' || p_type || ';Size=' || CAST(p_size AS VARCHAR) AS detail
@@ -477,7 +477,7 @@ def _envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS rn FROM ({_ITEMS_SQL}))
 SELECT key, CAST(floor((rn - 1) / 20) AS BIGINT) AS batch_no, CAST(count(*) AS BIGINT) AS n_items,
        min(id) AS first_id, max(id) AS last_id,
-       to_json(list({{'id': id, 'brand': brand, 'price': price}} ORDER BY id)) AS value
+       CAST(to_json(list({{'id': id, 'brand': brand, 'price': price}} ORDER BY id)) AS VARCHAR) AS value
 FROM items GROUP BY key, floor((rn - 1) / 20)""",
 )
 def q_batch_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,3 +90,24 @@ def test_category_overview_is_day_ordered(spark):
     out = overview.category_overview(spark, _ev(spark), "2023-12-31", "2024-01-04", ["a", "b"], dense=True).collect()
     days = [r.event_day for r in out]
     assert days == sorted(days) and len(days) == 5
+
+
+def test_request_day_parsing(spark):
+    import pytest
+
+    from funnelworks.functions.paths import parse_day, parse_day_col
+
+    assert parse_day("2024-07-12") == dt.date(2024, 7, 12)
+    with pytest.raises(ValueError):
+        parse_day("12-07-2024")
+    got = spark.createDataFrame([("2024-07-12",), ("bad",), (None,)], "s string").select(parse_day_col("s").alias("d")).collect()
+    assert [r.d for r in got] == [dt.date(2024, 7, 12), None, None]
+
+
+def test_lookups_and_literal_rows(spark):
+    from funnelworks.operators.lookups import first_row, is_empty
+    from funnelworks.sources.connectors import frame_from_records
+
+    people = frame_from_records(spark, [{"name": "a", "age": 25, "city": "x"}, {"name": "b", "age": 19, "city": "y"}], "name string, age bigint, city string")
+    assert first_row(people, "age").first().name == "b"
+    assert not is_empty(people) and is_empty(people.where(F.col("age") > 99))
