@@ -78,21 +78,25 @@ def dead_letters(parsed: DataFrame) -> DataFrame:
 
 
 def kafka_source(
-    spark: SparkSession, bootstrap_servers: str, topic: str, max_offsets: int = POLL_RECORDS
+    spark: SparkSession, bootstrap_servers: str, topic: str, max_offsets: int | None = None
 ) -> DataFrame:
     """The topic as a stream of ``key, value`` strings.
 
-    Needs the Spark Kafka connector on the classpath. Offsets are tracked by the
-    query checkpoint (T3) instead of a consumer group.
+    ``max_offsets`` caps records per micro-batch: ``POLL_RECORDS`` reproduces the
+    reference's poll size; the default (no cap) lets a trigger take everything available,
+    which is what a cluster wants. Results do not depend on it: the ingest is stateless.
+    Needs the Spark Kafka connector on the classpath. Offsets are tracked by the query
+    checkpoint (T3) instead of a consumer group.
     """
-    raw = (
+    reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", bootstrap_servers)
         .option("subscribe", topic)
         .option("startingOffsets", "earliest")
-        .option("maxOffsetsPerTrigger", max_offsets)
-        .load()
     )
+    if max_offsets:
+        reader = reader.option("maxOffsetsPerTrigger", max_offsets)
+    raw = reader.load()
     return raw.select(F.col("key").cast("string"), F.col("value").cast("string"))
 
 
