@@ -46,7 +46,11 @@ def get_session(
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set a private one only when none is configured."""
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+
+    Only a local-mode session without that setting (tests, single-machine runs) gets a
+    private temporary folder; on a cluster the setting is required.
+    """
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - remote sessions have no SparkContext
@@ -57,6 +61,12 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not configured and sc is not None:
         configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.conf.get("spark.master", None) or (sc.master if sc is not None else "")
+        if not str(master).startswith("local"):
+            raise ValueError(
+                "spark.checkpoint.dir is not set: point it at a folder shared by all "
+                "executors (e.g. on the cluster's distributed file system)"
+            )
         configured = tempfile.mkdtemp(prefix="funnelworks-ckpt-")
     if sc is None:
         return configured

@@ -58,3 +58,22 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_dir):
     batch = ingest.routed_items(ingest.parse_envelopes(msgs, schema))
     assert got.count() == batch.count() == 2
     assert spark.read.parquet(dead).count() == len(MESSAGES) - 1
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    rows=st.lists(st.tuples(st.sampled_from(["a", "b", "c", None]), st.integers(0, 10_000)), min_size=1, max_size=300, unique_by=lambda r: r),
+    parts=st.integers(1, 12),
+)
+def test_rank_within_key_property(spark, rows, parts):
+    df = spark.createDataFrame(rows, "key string, ord bigint")
+    got = sorted((r.key or "", r.ord, r.rank) for r in envelopes.rank_within_key(df, "key", "ord", partitions=parts).collect())
+    expected = []
+    for k in {r[0] for r in rows}:
+        for i, o in enumerate(sorted(o for kk, o in rows if kk == k), start=1):
+            expected.append((k or "", o, i))
+    assert got == sorted(expected)
