@@ -8,13 +8,20 @@ already have at least one split per slot, the guard adds nothing — no shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def task_slots(spark: SparkSession) -> int:
+    """Task slots of the cluster (default parallelism), or the shuffle partition count."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - sessions without a SparkContext
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    spark = df.sparkSession
     try:
-        target = min_partitions or spark.sparkContext.defaultParallelism
+        target = min_partitions or task_slots(df.sparkSession)
         current = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - sessions without an RDD view: leave the plan alone
         return df

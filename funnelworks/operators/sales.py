@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from funnelworks.functions.paths import half_open_day_range, parse_day, to_day
+from funnelworks.operators.partitioning import task_slots
 from funnelworks.sources import sinks
 
 
@@ -106,5 +107,12 @@ def sales_change(daily: DataFrame) -> DataFrame:
 
 
 def store_daily_sales(daily: DataFrame, path: str) -> str:
-    """Write the daily rows partitioned by day; re-runs replace the same days."""
-    return sinks.overwrite_days(daily, path, "day")
+    """Write the daily rows partitioned by day; re-runs replace the same days.
+
+    Every day is one small file. The table has one row per day, so it is cheap to
+    re-spread by day over the task slots with an explicit count (which AQE keeps), and the
+    day files are written in parallel instead of by the single task AQE would coalesce
+    the small aggregate into.
+    """
+    slots = task_slots(daily.sparkSession)
+    return sinks.overwrite_days(daily.repartition(slots, "day"), path, "day")
