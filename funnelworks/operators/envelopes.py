@@ -71,7 +71,9 @@ def batch_envelopes(
     ranked = rank_within_key(items.select(key_col, order_col, *[c for c in item_cols if c != order_col]), key_col, order_col)
     batched = ranked.withColumn("batch_no", F.floor((F.col("rank") - 1) / batch_size).cast("bigint"))
     item = F.struct(*[F.col(c) for c in item_cols])
-    grouped = batched.groupBy(key_col, "batch_no").agg(
+    # Lists gain nothing from a map-side combine: partition on the batch keys first
+    # (the aggregation reuses this exchange).
+    grouped = batched.repartition(key_col, "batch_no").groupBy(key_col, "batch_no").agg(
         F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("_o"), item.alias("_i")))).alias("_items"),
         F.count(F.lit(1)).alias("n_items"),
         F.min(order_col).alias("first_id"),
