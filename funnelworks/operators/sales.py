@@ -74,14 +74,18 @@ def sales_points(daily: DataFrame, day: str | dt.date) -> DataFrame:
     return daily.where(F.col("day").isin(d, d - dt.timedelta(days=1)))
 
 
-def sales_change(daily: DataFrame) -> DataFrame:
+def sales_change(daily: DataFrame, day: str | dt.date | None = None) -> DataFrame:
     """Each day with the previous calendar day's sales: ``day, sales, prev_sales, delta, pct``.
 
     Pairs calendar days (a day whose previous day has no sales gets no row), unlike
     ``lag`` which would pair with the previous row. Each daily row is emitted twice —
     as itself and as the "previous" of the next day — and one aggregation by day puts
     the pair together: the daily table is computed once and no self-join is planned.
+    With ``day``, only that day's row (the sale-change endpoint); the day filter is
+    applied to the daily table before pairing, so only two days are paired.
     """
+    if day is not None:
+        daily = sales_points(daily, day)
     no_value = F.lit(None).cast("double")
     both = F.explode(
         F.array(

@@ -111,3 +111,13 @@ def test_lookups_and_literal_rows(spark):
     people = frame_from_records(spark, [{"name": "a", "age": 25, "city": "x"}, {"name": "b", "age": 19, "city": "y"}], "name string, age bigint, city string")
     assert first_row(people, "age").first().name == "b"
     assert not is_empty(people) and is_empty(people.where(F.col("age") > 99))
+
+
+def test_api_sale_change_for_one_day(spark):
+    from funnelworks import api
+
+    daily = sales.daily_sales(_listings(spark))
+    rows = api.sales_change(daily, "1997-05-02").collect()
+    assert [(r.day.day, r.sales, r.prev_sales, r.delta) for r in rows] == [(2, 5.5, 10.0, -4.5)]
+    assert api.sales_change(daily, "1997-05-04").count() == 0   # no sales the day before
+    assert api.first_event(_ev(spark)).first().event_id == 1
