@@ -105,6 +105,9 @@ def price_lists(
     concatenation of a group's chunks is the reference's list (order is undefined there
     too).
 
+    ``id_col`` must identify rows (unique, non-NULL): it spreads a group over its chunks
+    and, unlike a random draw, gives the same chunk when a task is recomputed.
+
     Output: funnel keys, ``chunk``, ``prices`` ARRAY<DOUBLE>.
     """
     keys = keys or FUNNEL_KEYS
