@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from funnelworks.constants import ROLLUP_FIRST_DAY, ROLLUP_LAST_DAY
 from funnelworks.operators import envelopes, extract, listings, lookups, overview, rollups, sales
 from funnelworks.streaming import ingest
 
@@ -52,7 +53,19 @@ def category_overview(
 top_categories = rollups.top_categories
 daily_product_funnel = rollups.daily_product_funnel
 price_lists = rollups.price_lists
-daily_sales = sales.daily_sales
+
+
+def daily_sales(
+    listings_df: DataFrame,
+    from_day: str | dt.date = ROLLUP_FIRST_DAY,
+    to_day: str | dt.date = ROLLUP_LAST_DAY,
+    ts_col: str = "timestamp",
+    price_col: str = "price",
+) -> DataFrame:
+    """The daily sales rollup over the original window (the stamped listings' range)."""
+    return sales.daily_sales(listings_df, from_day, to_day, ts_col, price_col)
+
+
 flatten_listings = listings.flatten_listings
 amplify = listings.amplify
 extract_products = extract.extract_products

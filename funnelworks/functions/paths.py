@@ -11,11 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The path delimiter of category codes and the day-label format of the
-# overview response.
-CATEGORY_DELIMITER = "."
-LABEL_FORMAT = "dd-MM-yyyy"
-DAY_FORMAT = "yyyy-MM-dd"
+from funnelworks.constants import CATEGORY_DELIMITER, DAY_FORMAT, LABEL_FORMAT
 
 
 def _col(c: str | Column) -> Column:

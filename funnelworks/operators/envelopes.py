@@ -16,11 +16,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from funnelworks.constants import BATCH_SIZE
 from funnelworks.session import checkpoint_root
 
-# Fixed value: products per message in the reference producer.
-BATCH_SIZE = 20
-
 
 def rank_within_key(
     df: DataFrame, key_col: str, order_col: str, rank_col: str = "rank", partitions: int | None = None

@@ -14,21 +14,20 @@ from pyspark.sql import functions as F
 from funnelworks.functions import html as H
 from funnelworks.operators.partitioning import ensure_parallelism
 
-# The selectors the reference reads (tag, id or class).
-TITLE_ID = "productTitle"
-TITLE_FALLBACK = ("h1", "title")
-PRICE_CLASS = "a-offscreen"
-DISCOUNT_CLASS = (
-    "a-size-large a-color-price savingPriceOverride aok-align-center "
-    "reinventPriceSavingsPercentageMargin savingsPercentage"
+from funnelworks.constants import (  # noqa: E402
+    AVAILABILITY_ID,
+    BRAND_ROW_CLASS,
+    DETAIL_TABLE_ID,
+    DISCOUNT_CLASS,
+    NOT_AVAILABLE,
+    PRICE_CLASS,
+    RATING_ALT_CLASS,
+    RATING_ICON_CLASS,
+    REVIEWS_ID,
+    TITLE_FALLBACK,
+    TITLE_ID,
 )
-BRAND_ROW_CLASS = "po-brand"
-RATING_ICON_CLASS = "a-icon a-icon-star a-star-4-5"
-RATING_ALT_CLASS = "a-icon-alt"
-REVIEWS_ID = "acrCustomerReviewText"
-AVAILABILITY_ID = "availability"
-DETAIL_TABLE_ID = "productDetails_detailBullets_sections1"
-NOT_AVAILABLE = "Not Available"
+
 LINK_PATTERN = r'<a\b[^>]*\bhref="([^"]*)"'
 
 

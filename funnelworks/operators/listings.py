@@ -16,11 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from funnelworks.constants import AMPLIFY_TARGET_BYTES, RESULT_ARRAYS
 from funnelworks.sources.fixtures import LISTING_FIELDS
 
-# The two result arrays of a search response and the kind they get.
-RESULT_ARRAYS = ("organic", "amazons_choices")
-
 
 def results_is_object(body: str | Column) -> Column:
     """``"content" in r and "results" in r["content"] and isinstance(results, dict)``.
@@ -105,7 +103,7 @@ def table_footprint(df: DataFrame) -> DataFrame:
     )
 
 
-def copies_for_target(footprint_bytes: int, target_bytes: int) -> int:
+def copies_for_target(footprint_bytes: int, target_bytes: int = AMPLIFY_TARGET_BYTES) -> int:
     """Copies needed so the amplified table reaches ``target_bytes`` (the 2 GB loop)."""
     if footprint_bytes <= 0:
         return 0

@@ -24,11 +24,9 @@ from funnelworks.functions.paths import (
     to_day,
     top_category,
 )
+from funnelworks.constants import DEFAULT_CATEGORIES
 from funnelworks.operators.joins import bounded_broadcast
 
-# The reference's default overview categories.
-DEFAULT_CATEGORIES = ("accessories", "furniture", "sport", "appliances", "electronics")
-
 
 def overview_rows(
     events: DataFrame,

@@ -19,13 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from funnelworks.constants import FUNNEL_STAGES
 from funnelworks.functions.paths import classification, to_day, top_category
 
 FUNNEL_KEYS = ["category", "event_day", "classification", "brand"]
 
-# The three funnel stages counted per group.
-FUNNEL_STAGES = ("view", "cart", "purchase")
-
 
 def event_categories(events: DataFrame) -> DataFrame:
     """Distinct full category codes (A1)."""

@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from funnelworks import constants as C
 from funnelworks.operators import envelopes, extract, listings, overview, rollups, sales
 from funnelworks.plans import oracles as O
 from funnelworks.session import shared_path
@@ -321,11 +322,11 @@ FROM lineitem
 WHERE l_orderkey % 11 NOT IN (0, 1) AND NOT (l_orderkey % 11 = 2 AND l_discount >= 0.05)"""
 
 # Deterministic stamping of the listings (FIXTURES §3.3).
-STAMP_START = dt.datetime(2024, 5, 1)
+STAMP_START = C.STAMP_START
 STAMP_SPAN_SECONDS = 6_220_800
 STAMP_WEIGHTS = {"response_id": 7919, "line": 104729}
 # Random stamping window of the reference: 2024-05-01 up to the run time; fixed here.
-RANDOM_END = dt.datetime(2024, 7, 12, 23, 59, 59)
+RANDOM_END = dt.datetime.combine(C.ROLLUP_LAST_DAY, dt.time(23, 59, 59))
 AMPLIFY_COPIES = 3
 
 

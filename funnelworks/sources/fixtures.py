@@ -114,7 +114,7 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     %7=0 no price; %3=0 a discount; %9=0 no brand row (rejected); %4=0 no availability.
     Prices of 1,000 or more carry a thousands separator (the reference's float() fails).
     """
-    from funnelworks.operators.extract import DISCOUNT_CLASS
+    from funnelworks.constants import DISCOUNT_CLASS
 
     p = read_table(
         spark, sf_dir, "part",

@@ -13,8 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-# Fixed value: documents per bulk write in the reference; used as rows per output file.
-BULK_ROWS = 100_000
+from funnelworks.constants import BULK_ROWS
 
 
 def write_partitioned(

@@ -17,14 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from funnelworks.constants import POLL_RECORDS  # noqa: F401 - the reference's poll size
+
 # Scraped product fields carried in a message.
 PRODUCT_ITEM_SCHEMA = (
     "title string, brand string, price double, discount double, rating double, "
     "reviews int, availability string, detail map<string,string>"
 )
 ENVELOPE_SCHEMA = "key string, value string"
-# Fixed value: records per poll in the reference consumer.
-POLL_RECORDS = 100
 
 # Dead-letter reasons, checked in this order.
 REASONS = ("missing_key", "null_value", "malformed_json", "not_a_list", "bad_items")

@@ -115,3 +115,13 @@ def test_read_responses_from_text_files(spark, tmp_dir):
     resp = read_responses(spark, path)
     assert resp.select("response_id").distinct().count() == 2
     assert listings.flatten_listings(resp).count() == 3
+
+
+def test_stamped_listings_fall_in_rollup_window(spark):
+    from funnelworks import api, constants
+
+    bodies = [json.dumps({"content": {"results": {"organic": [{"asin": str(i), "price": 1.0, "line": i} for i in range(1, 30)]}}})]
+    flat = listings.flatten_listings(_responses(spark, bodies))
+    stamped = listings.modular_stamp(flat, {"response_id": 7919, "line": 104729}, constants.STAMP_START, 6_220_800)
+    daily = api.daily_sales(stamped)
+    assert daily.agg(F.sum("sales")).first()[0] == 29.0
