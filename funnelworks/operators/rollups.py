@@ -93,6 +93,7 @@ def price_lists(
     chunk_rows: int = 10_000,
     id_col: str = "event_id",
     keys: list[str] | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """The pushed price lists of the funnel groups, NULLs kept, in bounded chunks.
 
@@ -105,6 +106,8 @@ def price_lists(
 
     ``id_col`` must identify rows (unique, non-NULL): it spreads a group over its chunks
     and, unlike a random draw, gives the same chunk when a task is recomputed.
+    ``sizes``: an already computed funnel (keys + ``n_prices``), e.g. the stored rollup;
+    it replaces the counting pass over the events.
 
     Output: funnel keys, ``chunk``, ``prices`` ARRAY<DOUBLE>.
     """
@@ -117,7 +120,10 @@ def price_lists(
         "brand",
         "price",
     ).where(F.col("category").isNotNull())
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if sizes is None:
+        sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        sizes = sizes.select(*keys, F.col("n_prices").alias("_n"))
     sizes = sizes.select(*[F.col(k).alias("_s_" + k) for k in keys], "_n")
     on = None
     for k in keys:

@@ -108,3 +108,12 @@ def test_partitioned_write_and_append(spark, tmp_dir):
     sinks.append_rows(ev, out)
     sinks.append_rows(ev, out)
     assert spark.read.parquet(out).count() == 80   # append semantics, as the reference's inserts
+
+
+def test_price_lists_with_given_sizes(spark):
+    rows = [(i, _t(1), "view", "c.k", "b", float(i % 3)) for i in range(50)]
+    ev = _events(spark, rows)
+    funnel = rollups.daily_product_funnel(ev)
+    a = rollups.price_list_summary(rollups.price_lists(ev, chunk_rows=4, sizes=funnel)).first()
+    b = rollups.price_list_summary(rollups.price_lists(ev, chunk_rows=4)).first()
+    assert (a.n_prices, a.min_price, a.max_price) == (b.n_prices, b.min_price, b.max_price) == (50, 0.0, 2.0)
