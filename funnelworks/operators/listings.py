@@ -25,7 +25,10 @@ def results_is_object(body: str | Column) -> Column:
 
     False for list-shaped ``results``; NULL (treated as false) when absent or malformed.
     """
-    v = F.try_parse_json(F.col(body) if isinstance(body, str) else body)
+    return _results_object(F.try_parse_json(F.col(body) if isinstance(body, str) else body))
+
+
+def _results_object(v: Column) -> Column:
     shape = F.schema_of_variant(F.try_variant_get(v, "$.content.results", "variant"))
     return F.coalesce(shape.startswith("OBJECT"), F.lit(False))
 
@@ -51,7 +54,7 @@ def flatten_listings(
     for name in RESULT_ARRAYS:
         arr = F.try_variant_get(v, f"$.content.results.{name}", f"array<struct<{fields}>>")
         arrays.append(F.transform(F.coalesce(arr, F.array()), _tag_kind(name)))
-    items = F.when(results_is_object(body_col), F.concat(*arrays))
+    items = F.when(_results_object(v), F.concat(*arrays))
     return responses.select(id_col, F.inline(items))
 
 
