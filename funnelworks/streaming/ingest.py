@@ -43,6 +43,9 @@ def parse_envelopes(messages: DataFrame, item_schema: str = PRODUCT_ITEM_SCHEMA)
     * value: must be a JSON array whose elements are all objects (P10, D6); a single
       object is NOT accepted, unlike ``from_json`` which would wrap it
     * malformed JSON gives a reason instead of an exception (D10)
+    * items must convert to ``item_schema`` (missing fields become NULL); a message with an
+      item whose field cannot convert is dead-lettered as ``bad_items`` whole, where a
+      schemaless store would have taken it as is
     """
     raw_key = F.col("key").cast("string")
     key = F.nullif(raw_key, F.lit(""))
