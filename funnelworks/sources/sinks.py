@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from funnelworks.constants import BULK_ROWS
@@ -75,3 +76,17 @@ def read_back(
     if schema is not None:
         reader = reader.schema(schema)
     return reader.load(path)
+
+
+def stored_footprint(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """On-disk size of a written table: ``n_files, n_bytes`` (S14, the storage-size probe).
+
+    Read from the file-metadata column, so only file footers are touched and the count
+    runs as a Spark job, not as a listing on the driver.
+    """
+    files = spark.read.format(fmt).load(path).select(
+        F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")
+    ).distinct()
+    return files.agg(
+        F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("s"), F.lit(0)).cast("bigint").alias("n_bytes")
+    )

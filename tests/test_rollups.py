@@ -117,3 +117,16 @@ def test_price_lists_with_given_sizes(spark):
     a = rollups.price_list_summary(rollups.price_lists(ev, chunk_rows=4, sizes=funnel)).first()
     b = rollups.price_list_summary(rollups.price_lists(ev, chunk_rows=4)).first()
     assert (a.n_prices, a.min_price, a.max_price) == (b.n_prices, b.min_price, b.max_price) == (50, 0.0, 2.0)
+
+
+def test_stored_footprint_counts_files_and_bytes(spark, tmp_dir):
+    import os
+
+    from funnelworks.sources import sinks
+
+    out = f"{tmp_dir}/t"
+    spark.range(1000).repartition(3).write.parquet(out)
+    got = sinks.stored_footprint(spark, out).first()
+    files = [f for f in os.listdir(out) if f.endswith(".parquet")]
+    assert got.n_files == len(files) == 3
+    assert got.n_bytes == sum(os.path.getsize(os.path.join(out, f)) for f in files)
