@@ -19,7 +19,7 @@ __all__ = [
     "first_event", "category_statistics", "sales_change", "category_overview",
     "top_categories", "daily_product_funnel", "price_lists", "daily_sales",
     "flatten_listings", "stamp_timestamps", "amplify", "extract_products",
-    "rejected_pages", "extract_links", "batch_envelopes", "ingest_stream",
+    "rejected_pages", "extract_links", "search_result_links", "batch_envelopes", "ingest_stream",
 ]
 
 
@@ -71,6 +71,7 @@ amplify = listings.amplify
 extract_products = extract.extract_products
 rejected_pages = extract.rejected_pages
 extract_links = extract.extract_links
+search_result_links = extract.search_result_links
 batch_envelopes = envelopes.batch_envelopes
 ingest_stream = ingest.ingest_stream
 

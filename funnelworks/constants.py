@@ -29,6 +29,7 @@ BULK_ROWS = 100_000
 RESULT_ARRAYS = ("organic", "amazons_choices")
 
 # Product pages
+SEARCH_LINK_CLASS = "a-link-normal s-underline-text s-underline-link-text s-link-style a-text-normal"
 TITLE_ID = "productTitle"
 TITLE_FALLBACK = ("h1", "title")
 BRAND_ROW_CLASS = "po-brand"

@@ -48,6 +48,15 @@ def element_pattern(tag: str | None, attr: str | None = None, value: str | None
     return rf"(?s)<{tag}\b{cond}[^>]*>(.*?)</{tag}\s*>"
 
 
+def anchor_pattern(css_class: str | None = None, token: bool = False) -> str:
+    """Regex whose group 1 is the ``href`` of ``<a>`` tags, optionally only those with a
+    given class (whole attribute value, or one token with ``token=True``). The class test
+    is a look-ahead, so attribute order does not matter."""
+    if css_class is None:
+        return r'<a\b[^>]*\bhref="([^"]*)"'
+    return r"<a\b(?=[^>]*" + _attr("class", css_class, token) + r')[^>]*\bhref="([^"]*)"'
+
+
 def first_match(text: str | Column, pattern: str, group: int = 1) -> Column:
     """Group ``group`` of the first match, NULL when nothing matches."""
     return F.get(F.regexp_extract_all(_col(text), F.lit(pattern), F.lit(group)), 0)

@@ -24,11 +24,12 @@ from funnelworks.constants import (  # noqa: E402
     RATING_ALT_CLASS,
     RATING_ICON_CLASS,
     REVIEWS_ID,
+    SEARCH_LINK_CLASS,
     TITLE_FALLBACK,
     TITLE_ID,
 )
 
-LINK_PATTERN = r'<a\b[^>]*\bhref="([^"]*)"'
+LINK_PATTERN = H.anchor_pattern()
 
 
 def title_field(html: Column) -> Column:
@@ -174,3 +175,10 @@ def detail_string(detail: str | Column) -> Column:
     """``k=v;k=v`` rendering of a detail map in entry order."""
     d = F.col(detail) if isinstance(detail, str) else detail
     return F.array_join(F.transform(F.map_entries(d), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+
+
+def search_result_links(
+    pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url"
+) -> DataFrame:
+    """Product links of search-result pages: anchors with the result-link class."""
+    return extract_links(pages, id_col, html_col, url_col, H.anchor_pattern(SEARCH_LINK_CLASS))

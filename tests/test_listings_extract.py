@@ -125,3 +125,16 @@ def test_stamped_listings_fall_in_rollup_window(spark):
     stamped = listings.modular_stamp(flat, {"response_id": 7919, "line": 104729}, constants.STAMP_START, 6_220_800)
     daily = api.daily_sales(stamped)
     assert daily.agg(F.sum("sales")).first()[0] == 29.0
+
+
+def test_search_result_links_only_result_class(spark):
+    from funnelworks.constants import SEARCH_LINK_CLASS
+
+    html = (
+        f'<a href="/nav">n</a><a class="{SEARCH_LINK_CLASS}" href="/dp/1">1</a>'
+        f'<a href="/dp/2" class="{SEARCH_LINK_CLASS}">2</a><a class="a-link-normal" href="/x">x</a>'
+    )
+    pages = spark.createDataFrame([(1, "https://s.example.com/s?k=a", html)], "page_id bigint, url string, html string")
+    got = [r.url for r in extract.search_result_links(pages).orderBy("position").collect()]
+    assert got == ["https://s.example.com/dp/1", "https://s.example.com/dp/2"]
+    assert extract.extract_links(pages).count() == 4
