@@ -16,7 +16,7 @@ from funnelworks.operators import envelopes, extract, listings, lookups, overvie
 from funnelworks.streaming import ingest
 
 __all__ = [
-    "first_event", "category_statistics", "sales_change", "category_overview",
+    "as_json", "first_event", "category_statistics", "sales_change", "category_overview",
     "top_categories", "daily_product_funnel", "price_lists", "daily_sales",
     "flatten_listings", "stamp_timestamps", "amplify", "extract_products",
     "rejected_pages", "extract_links", "search_result_links", "batch_envelopes", "ingest_stream",
@@ -50,6 +50,7 @@ def category_overview(
     return overview.category_overview(spark, events, from_day, to_day, categories, dense)
 
 
+as_json = lookups.as_json
 top_categories = rollups.top_categories
 daily_product_funnel = rollups.daily_product_funnel
 price_lists = rollups.price_lists

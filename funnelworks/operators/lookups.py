@@ -32,3 +32,9 @@ def category_statistics(stored_rollup: DataFrame, category: str) -> DataFrame:
     and read (``PartitionFilters`` in the scan).
     """
     return stored_rollup.where(F.col("category") == F.lit(category))
+
+
+def as_json(df: DataFrame, column: str = "json") -> DataFrame:
+    """Each row as one JSON object, NULL fields written as ``null`` (F13: the endpoints'
+    JSON responses). Dates and timestamps are ISO strings."""
+    return df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias(column))

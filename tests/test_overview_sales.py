@@ -121,3 +121,15 @@ def test_api_sale_change_for_one_day(spark):
     assert [(r.day.day, r.sales, r.prev_sales, r.delta) for r in rows] == [(2, 5.5, 10.0, -4.5)]
     assert api.sales_change(daily, "1997-05-04").count() == 0   # no sales the day before
     assert api.first_event(_ev(spark)).first().event_id == 1
+
+
+def test_as_json_keeps_nulls(spark):
+    import json
+
+    from funnelworks import api
+
+    row = api.as_json(api.first_event(_ev(spark))).first().json
+    doc = json.loads(row)
+    assert doc["event_id"] == 1 and doc["category_code"] == "a.x" and "price" in doc
+    nulls = spark.createDataFrame([(1, None)], "a int, b string")
+    assert json.loads(api.as_json(nulls).first().json) == {"a": 1, "b": None}
