@@ -13,11 +13,9 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 def spark():
     from funnelworks.session import get_session
 
-    spark = get_session(
-        "local[4]",
-        shuffle_partitions=8,
-        extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="funnelworks-test-ckpt-")},
-    )
+    # spark.checkpoint.dir comes from the environment when configured; otherwise
+    # checkpoint_root() gives this local session a private folder.
+    spark = get_session("local[4]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
     yield spark
     spark.stop()
