@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from funnelworks.operators.partitioning import ensure_parallelism
 from funnelworks.sources.tables import read_table
 
 
@@ -19,7 +20,12 @@ def product_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     The join is an equi-join; Spark/AQE picks broadcast only when the measured size of
     ``part`` is under the threshold, else sort-merge with skew splitting.
     """
-    events = read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value", "props"])
+    # JSON parsing, the join and the derived columns are per-row CPU work: spread a
+    # few-split input over the task slots (no-op when the scan already has enough splits;
+    # filters written later still push through to the scan).
+    events = ensure_parallelism(
+        read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value", "props"])
+    )
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type"])
     keyed = events.withColumn(
         "k", F.get_json_object("props", "$.k").try_cast("bigint")
