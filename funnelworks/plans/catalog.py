@@ -97,8 +97,11 @@ def q_top_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The funnel in oracle column order, the float sum rounded to cents (one projection)."""
     out = rollups.daily_product_funnel(fixtures.product_events(spark, sf_dir))
-    return out.withColumn("sum_price", F.round("sum_price", 2))
+    return out.select(
+        *[F.round(c, 2).alias(c) if c == "sum_price" else F.col(c) for c in FUNNEL_COLUMNS]
+    )
 
 
 @register(
@@ -108,7 +111,7 @@ def _funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def q_daily_product_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _funnel(spark, sf_dir).select(*FUNNEL_COLUMNS)
+    return _funnel(spark, sf_dir)
 
 
 @register(
