@@ -80,6 +80,8 @@ def half_open_day_range(
     start = parse_day(from_day)
     stop = parse_day(to_day_) + dt.timedelta(days=1)
     col_type = df.schema[ts_col].dataType
+    if isinstance(col_type, T.DateType):  # a day column: compare days, no cast on the column
+        return (F.col(ts_col) >= F.lit(start)) & (F.col(ts_col) < F.lit(stop))
     return (F.col(ts_col) >= ts_literal(start, col_type)) & (
         F.col(ts_col) < ts_literal(stop, col_type)
     )

@@ -133,3 +133,18 @@ def test_as_json_keeps_nulls(spark):
     assert doc["event_id"] == 1 and doc["category_code"] == "a.x" and "price" in doc
     nulls = spark.createDataFrame([(1, None)], "a int, b string")
     assert json.loads(api.as_json(nulls).first().json) == {"a": 1, "b": None}
+
+
+def test_range_on_date_and_ltz_columns_pushes_down(spark, tmp_dir):
+    from funnelworks.functions.paths import half_open_day_range
+
+    path = f"{tmp_dir}/days"
+    spark.createDataFrame(
+        [(dt.date(2024, 1, d), dt.datetime(2024, 1, d, 12)) for d in range(1, 11)], "d date, t timestamp"
+    ).write.parquet(path)
+    df = spark.read.parquet(path)
+    for col in ("d", "t"):
+        q = df.where(half_open_day_range(df, col, "2024-01-03", "2024-01-05"))
+        assert q.count() == 3
+        plan = q._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(" + col in plan and "LessThan(" + col in plan
