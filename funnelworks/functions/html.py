@@ -68,8 +68,16 @@ def all_matches(text: str | Column, pattern: str, group: int = 1) -> Column:
 
 def element_inner(html: str | Column, tag: str | None, attr: str | None = None,
                   value: str | None = None, token: bool = False) -> Column:
+    """Inner HTML of the first matching element, NULL when absent.
+
+    The attribute value is a literal the pattern needs, so a plain substring test skips
+    the regex scan of pages that cannot match (most pages, for most selectors).
+    """
     group = 2 if tag is None else 1
-    return first_match(html, element_pattern(tag, attr, value, token), group)
+    inner = first_match(html, element_pattern(tag, attr, value, token), group)
+    if not value:
+        return inner
+    return F.when(F.instr(_col(html), value) > 0, inner)
 
 
 def strip_ws(s: str | Column) -> Column:
