@@ -80,6 +80,23 @@ def dead_letters(parsed: DataFrame) -> DataFrame:
     )
 
 
+# Writers per collection in one micro-batch: bounds the files a collection gets per batch
+# and spreads a hot collection over that many tasks.
+WRITERS_PER_COLLECTION = 8
+
+
+def spread_by_collection(items: DataFrame, writers: int = WRITERS_PER_COLLECTION) -> DataFrame:
+    """Hash-partition items on (collection, content-hash salt) before the partitioned write.
+
+    Without it every input task writes one file per collection it sees (input partitions ×
+    collections small files per trigger). With it a collection is written by at most
+    ``writers`` tasks, and a collection holding most of a batch still spreads over them.
+    The salt is a hash of the item, so a retried task routes rows the same way.
+    """
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in items.columns]), F.lit(writers))
+    return items.repartition("collection", salt)
+
+
 def kafka_source(
     spark: SparkSession, bootstrap_servers: str, topic: str, max_offsets: int | None = None
 ) -> DataFrame:
@@ -128,7 +145,7 @@ def ingest_stream(
     parsed = parse_envelopes(source, item_schema)
     queries = []
     for name, df, path, parts in (
-        ("items", routed_items(parsed), out_path, ["collection"]),
+        ("items", spread_by_collection(routed_items(parsed)), out_path, ["collection"]),
         ("dead_letters", dead_letters(parsed), dead_letter_path, []),
     ):
         writer = (
