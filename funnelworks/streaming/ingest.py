@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from funnelworks.constants import POLL_RECORDS  # noqa: F401 - the reference's poll size
@@ -93,7 +94,12 @@ def spread_by_collection(items: DataFrame, writers: int = WRITERS_PER_COLLECTION
     ``writers`` tasks, and a collection holding most of a batch still spreads over them.
     The salt is a hash of the item, so a retried task routes rows the same way.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in items.columns]), F.lit(writers))
+    # maps cannot be hashed directly: hash their JSON text
+    hashable = [
+        F.to_json(F.col(f.name)) if isinstance(f.dataType, T.MapType) else F.col(f.name)
+        for f in items.schema.fields
+    ]
+    salt = F.pmod(F.xxhash64(*hashable), F.lit(writers))
     return items.repartition("collection", salt)
 
 
