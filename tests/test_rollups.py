@@ -130,3 +130,20 @@ def test_stored_footprint_counts_files_and_bytes(spark, tmp_dir):
     files = [f for f in os.listdir(out) if f.endswith(".parquet")]
     assert got.n_files == len(files) == 3
     assert got.n_bytes == sum(os.path.getsize(os.path.join(out, f)) for f in files)
+
+
+def test_parallelism_guard_and_bounded_broadcast(spark):
+    from funnelworks.operators.joins import MAX_BROADCAST_ROWS, bounded_broadcast
+    from funnelworks.operators.partitioning import ensure_parallelism, task_slots
+
+    slots = task_slots(spark)
+    wide = spark.range(1000).repartition(slots * 2)
+    assert ensure_parallelism(wide) is wide                      # enough splits: plan untouched
+    narrow = spark.range(1000).coalesce(1)
+    assert ensure_parallelism(narrow).rdd.getNumPartitions() == slots
+
+    small = spark.range(10)
+    assert bounded_broadcast(small, MAX_BROADCAST_ROWS + 1) is small   # over the bound: no hint
+    hinted = bounded_broadcast(small, 10)
+    joined = spark.range(100).join(hinted, "id")
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
