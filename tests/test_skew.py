@@ -63,3 +63,25 @@ def test_funnel_hot_group_counts(skew_session):
     f = rollups.daily_product_funnel(_hot_events(skew_session))
     hot = f.where("category = 'hot'").first()
     assert (hot.view, hot.n_prices) == (6667, 6667)
+
+
+def test_partitioned_write_spreads_hot_category(skew_session, tmp_dir):
+    import os
+
+    from funnelworks.sources import sinks
+
+    spark = skew_session
+    rows = spark.range(6000).select(
+        F.col("id").alias("event_id"),
+        (F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz") + F.make_interval(days=(F.col("id") % 30).cast("int"))).alias("event_time"),
+        F.lit("view").alias("event_type"),
+        F.when(F.col("id") % 10 == 0, F.lit("cold.x")).otherwise(F.concat(F.lit("hot."), (F.col("id") % 40).cast("string"))).alias("category_code"),
+        (F.col("id") % 7).cast("string").alias("brand"),
+        F.lit(1.0).alias("price"),
+    )
+    funnel = rollups.daily_product_funnel(rows)
+    path = sinks.write_partitioned(funnel, f"{tmp_dir}/rollup", "category", ["event_day", "classification", "brand"])
+    hot_files = [f for f in os.listdir(f"{path}/category=hot") if f.endswith(".parquet")]
+    assert len(hot_files) > 1                               # several writers for the hot category
+    back = sinks.read_back(spark, path, schema=funnel.schema)
+    assert back.count() == funnel.count()
