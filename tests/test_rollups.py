@@ -147,3 +147,12 @@ def test_parallelism_guard_and_bounded_broadcast(spark):
     hinted = bounded_broadcast(small, 10)
     joined = spark.range(100).join(hinted, "id")
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_declared_schemas_match_files(spark):
+    from funnelworks.sources.tables import SCHEMAS, read_table, table_path
+    from tests.conftest import SMOKE_DIR
+
+    for name in SCHEMAS:
+        assert read_table(spark, SMOKE_DIR, name).schema.simpleString() == \
+            spark.read.parquet(table_path(SMOKE_DIR, name)).schema.simpleString()
