@@ -39,10 +39,17 @@ def title_field(html: Column) -> Column:
     return F.coalesce(H.element_text(first), H.element_text(second), F.lit(""))
 
 
-def price_field(html: Column) -> Column:
-    """Text of ``span.a-offscreen`` without its currency sign, as a float; NULL otherwise."""
+def price_field(html: Column, strip_commas: bool = False) -> Column:
+    """Text of ``span.a-offscreen`` without its currency sign, as a float; NULL otherwise.
+
+    A thousands separator makes the float conversion fail, as in the original (D7);
+    ``strip_commas=True`` removes separators first so ``$1,299.00`` reads as 1299.0.
+    """
     text = H.strip_ws(H.element_inner(html, "span", "class", PRICE_CLASS, token=True))
-    return F.substring(text, 2, 1 << 30).try_cast("double")
+    number = F.substring(text, 2, 1 << 30)
+    if strip_commas:
+        number = F.replace(number, F.lit(","), F.lit(""))
+    return number.try_cast("double")
 
 
 def discount_field(html: Column) -> Column:
@@ -112,13 +119,13 @@ def detail_field(html: Column) -> Column:
     return detail_map(detail_entries(html))
 
 
-def product_fields(html: str | Column) -> dict[str, Column]:
+def product_fields(html: str | Column, strip_commas: bool = False) -> dict[str, Column]:
     """The eight field expressions (``detail`` built in one step; see ``extract_pages``)."""
     h = F.col(html) if isinstance(html, str) else html
     return {
         "title": title_field(h),
         "brand": brand_field(h),
-        "price": price_field(h),
+        "price": price_field(h, strip_commas),
         "discount": discount_field(h),
         "rating": rating_field(h),
         "reviews": reviews_field(h),
@@ -127,13 +134,15 @@ def product_fields(html: str | Column) -> dict[str, Column]:
     }
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def extract_pages(
+    pages: DataFrame, id_col: str = "page_id", html_col: str = "html", strip_commas: bool = False
+) -> DataFrame:
     """Every page with its eight fields and ``accepted`` (brand present, P12).
 
     The detail rows are extracted in one projection and folded into the map in the
     next, so the row regexes run once per page (the map expression reads them thrice).
     """
-    fields = product_fields(html_col)
+    fields = product_fields(html_col, strip_commas)
     fields["detail"] = detail_entries(F.col(html_col))
     out = ensure_parallelism(pages).select(id_col, *[c.alias(n) for n, c in fields.items()])
     return out.withColumn("detail", detail_map(F.col("detail"))).withColumn(
@@ -141,9 +150,11 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     )
 
 
-def extract_products(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def extract_products(
+    pages: DataFrame, id_col: str = "page_id", html_col: str = "html", strip_commas: bool = False
+) -> DataFrame:
     """Accepted products."""
-    return extract_pages(pages, id_col, html_col).where("accepted").drop("accepted")
+    return extract_pages(pages, id_col, html_col, strip_commas).where("accepted").drop("accepted")
 
 
 def rejected_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -138,3 +138,9 @@ def test_search_result_links_only_result_class(spark):
     got = [r.url for r in extract.search_result_links(pages).orderBy("position").collect()]
     assert got == ["https://s.example.com/dp/1", "https://s.example.com/dp/2"]
     assert extract.extract_links(pages).count() == 4
+
+
+def test_strip_commas_option(spark):
+    pages = spark.createDataFrame([(1, PAGE)], "page_id bigint, html string")
+    assert extract.extract_pages(pages).first().price is None
+    assert extract.extract_pages(pages, strip_commas=True).first().price == 1299.0
