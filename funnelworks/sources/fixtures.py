@@ -122,10 +122,12 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     from funnelworks.constants import DISCOUNT_CLASS
 
-    p = read_table(
+    # Spread the small part rows (not the generated pages) when the scan has few splits:
+    # page text is then built in parallel and never shuffled.
+    p = ensure_parallelism(read_table(
         spark, sf_dir, "part",
         ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
-    )
+    ))
     k = F.col("p_partkey")
     name, brand, ptype = _escape(F.col("p_name")), _escape(F.col("p_brand")), _escape(F.col("p_type"))
     empty = F.lit("")
