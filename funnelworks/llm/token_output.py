@@ -19,6 +19,7 @@ empty table gives an empty file; extra columns of the input are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from unicodedata import is_normalized
@@ -33,8 +34,9 @@ from funnelworks.session import shared_path
 
 END_ID = 1
 BLOCK_IDS = 1 << 19
-# Bound on the words each Python worker remembers; beyond it the memory starts afresh.
-CACHE_WORDS = 400_000
+# Bound on the words each Python worker remembers (twice as many pieces of words); beyond it
+# the memory starts afresh.
+CACHE_WORDS = 300_000
 
 # How the tokenizer's own first step cuts lower-cased text into pieces.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -44,6 +46,10 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 UNSAFE = ("İ", "Σ", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "<|")
 
 
+# Libraries differ in the Unicode version by which they tell letters; up to here they agree.
+LAST_LATIN = "\u024f"
+
+
 class WordCoder:
     """Encodes texts with a ``tokenizers`` file, remembering the ids of words.
 
@@ -54,8 +60,11 @@ class WordCoder:
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.spell = ByteLevel(add_prefix_space=False, use_regex=False)
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -68,22 +77,33 @@ class WordCoder:
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece by the tokenizer's model alone; its first steps cost more."""
+        spelt = piece if piece.isascii() and piece.isprintable() else self.spell.pre_tokenize_str(piece)[0][0]
+        ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        return ids
+
     def _word(self, word: str) -> bytes:
-        out = []
-        for piece in PIECES.findall(word):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self.pieces[piece] = self._ids(piece)
-            out.append(ids)
-        ids = self.words[word] = b"".join(out)
+        known = self.pieces.get
+        if not word.isascii() and max(word) > LAST_LATIN:
+            ids = self._ids(word)
+        elif word.isalpha():
+            ids = known(word) or self._piece(word)
+        elif word[-1] in ".,;:" and word[:-1].isalpha():
+            ids = (known(word[:-1]) or self._piece(word[:-1])) + (known(word[-1]) or self._piece(word[-1]))
+        else:
+            ids = b"".join([known(p) or self._piece(p) for p in PIECES.findall(word)])
+        self.words[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if any(x in text for x in UNSAFE) or not is_normalized("NFC", text):
             return self._ids(text)
-        if len(self.words) > CACHE_WORDS or len(self.pieces) > CACHE_WORDS:
-            self.words, self.pieces = {}, {}
+        if len(self.words) > CACHE_WORDS:
+            self.words = {}
+            if len(self.pieces) > 2 * CACHE_WORDS:
+                self.pieces = {}
         known, word = self.words.get, self._word
         return b"".join([known(w) or word(w) for w in text.lower().split()])
 
