@@ -11,22 +11,26 @@ from funnelworks.llm.common import cut
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` for every node of an edge; a component is named by its least node.
 
-    Each round a node takes the least label among itself and its neighbours and then that
-    label's own label, so labels travel along doubling distances. A round ends in a reliable
-    checkpoint; the rounds end when no label changes. Callers keep degrees bounded (trees
-    instead of cliques or stars), so no join key of the first step is hot; the second joins
-    two checkpoints, whose skewed partitions Spark splits.
+    Each round every node takes its least neighbour (or itself) as parent, and that one's
+    parent; the edges move to the parents, and those inside one node go. The graph shrinks
+    at least by its leaves every round, so the joins read less and less. A round ends in
+    reliable checkpoints; joins of two checkpoints let Spark split a node of high degree. Node
+    names should be hashes: names that rise along a path would shrink it by two a round only.
     """
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = cut(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")))
+    left = cut(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct())
+    component = None
     while True:
-        near = both.join(labels, both["v"] == labels["node"]).select(F.col("u").alias("node"), "component")
-        least = cut(near.unionByName(labels).groupBy("node").agg(F.min("component").alias("component")))
-        jump = least.select(F.col("node").alias("_at"), F.col("component").alias("_to"))
-        new = cut(least.join(jump, least["component"] == jump["_at"]).select("node", F.col("_to").alias("component")))
-        old = labels.select("node", F.col("component").alias("_old"))
-        changed = new.join(old, "node").where("component <> _old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
+        both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("to")))
+        up = least.select(F.col("node").alias("_at"), F.col("to").alias("_up"))
+        parent = cut(least.join(up, least["to"] == up["_at"]).select("node", F.col("_up").alias("to")))
+        if component is None:
+            component = parent.select("node", F.col("to").alias("component"))
+        else:
+            moved = component.join(parent.select(F.col("node").alias("_at"), "to"), F.col("component") == F.col("_at"), "left")
+            component = cut(moved.select("node", F.coalesce("to", "component").alias("component")))
+        first = left.join(parent.select(F.col("node").alias("u"), F.col("to").alias("pu")), "u").select("pu", "v")
+        second = cut(first).join(parent.select(F.col("node").alias("v"), F.col("to").alias("pv")), "v")
+        left = cut(second.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).where("u <> v").distinct())
+        if not left.limit(1).count():
+            return component

@@ -38,7 +38,7 @@ from funnelworks.llm.shingles import SHINGLE, SIMILARITY, mix, shingles, with_wo
 
 POSITIONS = 128
 LIMIT = 256
-LEVELS = 4
+LEVELS = 3
 TARGET_RECALL = 0.999
 # Exact comparison: classes and shingles of a block.
 BLOCK_CLASSES = 128
@@ -67,15 +67,20 @@ def runs_for(recall: float = TARGET_RECALL, similarity: float = SIMILARITY) -> i
     return max(1, round(0.5 + log(1 - recall) / log(1 - chance_of_finding(similarity))))
 
 
-def signature(shingle: np.ndarray) -> np.ndarray:
-    """MinHash signature of a shingle set: 128 values of 16 bits."""
+def minima(shingle: np.ndarray) -> np.ndarray:
+    """The 128 MinHash values of a shingle set, in 64 bits."""
     out = np.full(POSITIONS, np.iinfo(np.uint64).max, np.uint64)
     for part in np.split(shingle, range(2048, len(shingle), 2048)):
         h = (part[:, None] ^ _KEYS[None, :]) * np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0x94D049BB133111EB)
         np.minimum(out, h.min(axis=0), out=out)
-    return (mix(out) >> np.uint64(48)).astype("<u2")
+    return mix(out)
+
+
+def signature(values: np.ndarray) -> np.ndarray:
+    """What is kept of the MinHash values to compare them: 8 bits each."""
+    return (values >> np.uint64(56)).astype(np.uint8)
 
 
 def class_key(shingle: np.ndarray) -> tuple[int, int]:
@@ -95,8 +100,17 @@ def chosen(paths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def next_paths(paths: np.ndarray, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Children of (path, signature) rows: (row, child path)."""
     at, position = chosen(paths)
-    step = position.astype(np.uint64) << np.uint64(16) | signatures[at, position].astype(np.uint64)
-    return at, mix(mix(paths[at]) + step + np.uint64(1)).view(np.int64)
+    step = mix(position.astype(np.uint64) + np.uint64(1)) ^ signatures[at, position].astype(np.uint64)
+    return at, mix(mix(paths[at]) + step).view(np.int64)
+
+
+def first_paths(values: np.ndarray, runs: int) -> np.ndarray:
+    """The paths of a set after the first split of every run, by its whole MinHash values.
+
+    Their 64 bits keep sets apart that share nothing, however many there are.
+    """
+    start = mix(np.arange(runs, dtype=np.uint64) + np.uint64(0xC0FFEE))
+    return next_paths(start, np.broadcast_to(values, (runs, POSITIONS)))[1]
 
 
 def _tree(roots: np.ndarray, names: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -122,15 +136,31 @@ def _groups(alike: np.ndarray) -> np.ndarray:
 LEAST_AGREEING = int(POSITIONS * (SIMILARITY - 4 * sqrt(SIMILARITY * (1 - SIMILARITY) / POSITIONS)))
 
 
-def possible_links(names: np.ndarray, signatures: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Trees over the groups of signatures that may reach the similarity."""
-    if len(names) < 2:
-        return
-    alike = np.empty((len(names), len(names)), bool)
-    for at in range(0, len(names), 64):
+def may_link(signatures: np.ndarray) -> np.ndarray:
+    """Which pairs of signatures may belong to sets that reach the similarity."""
+    alike = np.empty((len(signatures), len(signatures)), bool)
+    for at in range(0, len(signatures), 64):
         alike[at : at + 64] = (signatures[at : at + 64, None, :] == signatures[None, :, :]).sum(axis=2) >= LEAST_AGREEING
     np.fill_diagonal(alike, True)
-    yield from _tree(_groups(alike), names)
+    return alike
+
+
+def possible_links(names: np.ndarray, signatures: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Trees over the groups of signatures that may reach the similarity."""
+    if len(names) > 1:
+        yield from _tree(_groups(may_link(signatures)), names)
+
+
+def _between(alike: np.ndarray, names: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, int]]:
+    """One edge for each two linked groups of different blocks.
+
+    The groups inside a block are held together by the trees of the block with itself.
+    """
+    inside = _groups(alike & (block[:, None] == block[None, :]))
+    a, b = np.nonzero(alike & (block[:, None] < block[None, :]))
+    pairs = inside[a] * len(names) + inside[b]
+    for k in np.unique(pairs, return_index=True)[1].tolist():
+        yield int(names[a[k]]), int(names[b[k]])
 
 
 def _runs_of(rows: Iterable[tuple], width: int) -> Iterator[list[tuple]]:
@@ -148,13 +178,17 @@ def _runs_of(rows: Iterable[tuple], width: int) -> Iterator[list[tuple]]:
 def _compare_buckets(rows: Iterable[tuple]) -> Iterator[tuple]:
     for own in _runs_of(rows, 1):
         names = np.array([r[1] for r in own], np.int64)
-        yield from possible_links(names, np.frombuffer(b"".join(r[2] for r in own), "<u2").reshape(-1, POSITIONS))
+        yield from possible_links(names, np.frombuffer(b"".join(r[2] for r in own), np.uint8).reshape(-1, POSITIONS))
 
 
 def _compare_blocks(rows: Iterable[tuple]) -> Iterator[tuple]:
     for own in _runs_of(rows, 3):
-        names = np.array([r[3] for r in own], np.int64)
-        yield from possible_links(names, np.frombuffer(b"".join(r[4] for r in own), "<u2").reshape(-1, POSITIONS))
+        names, block = np.array([r[3] for r in own], np.int64), np.array([r[5] for r in own])
+        signatures = np.frombuffer(b"".join(r[4] for r in own), np.uint8).reshape(-1, POSITIONS)
+        if own[0][1] == own[0][2]:
+            yield from possible_links(names, signatures)
+        else:
+            yield from _between(may_link(signatures), names, block)
 
 
 def _block_pairs(df: DataFrame, key: str, name: str, blocks: str) -> DataFrame:
@@ -169,23 +203,17 @@ def _block_pairs(df: DataFrame, key: str, name: str, blocks: str) -> DataFrame:
     )
 
 
-def _candidate_edges(classes: DataFrame, runs: int) -> DataFrame:
-    """Trees over groups of classes that may be similar, from all runs."""
-
-    def roots(rows: Iterable[tuple]) -> Iterator[tuple]:
-        start = mix(np.arange(runs, dtype=np.uint64) + np.uint64(0xC0FFEE))
-        for node, sig in rows:
-            own = np.broadcast_to(np.frombuffer(sig, "<u2"), (runs, POSITIONS))
-            for path in next_paths(start, own)[1].tolist():
-                yield path, node
+def _candidate_edges(classes: DataFrame) -> DataFrame:
+    """Trees over groups of classes (``node, sig, roots``) that may be similar, from all runs."""
 
     def split(rows: Iterable[tuple]) -> Iterator[tuple]:
         for path, node, sig in rows:
-            own = np.frombuffer(sig, "<u2").reshape(1, -1)
+            own = np.frombuffer(sig, np.uint8).reshape(1, -1)
             for child in next_paths(np.array([path], np.int64).view(np.uint64), own)[1].tolist():
                 yield child, node
 
-    members = map_rows(classes.select("node", "sig"), roots, "path long, node long")
+    members = classes.select(F.explode("roots").alias("path"), "node")
+    classes = classes.select("node", "sig")
     found = None
     for level in range(1, LEVELS + 1):
         members = cut(members.distinct() if level > 1 else members)
@@ -201,7 +229,7 @@ def _candidate_edges(classes: DataFrame, runs: int) -> DataFrame:
         wide = big.join(classes, "node")
         members = map_rows(wide.select("path", "node", "sig"), split, "path long, node long")
     blocks = wide.select("path", "node", "sig", F.ceil(F.col("n") / (LIMIT // 2)).alias("_blocks"))
-    paired = _block_pairs(blocks, "path", "node", "_blocks").select("path", "_i", "_j", "node", "sig")
+    paired = _block_pairs(blocks, "path", "node", "_blocks").select("path", "_i", "_j", "node", "sig", "_own")
     paired = paired.repartition("path", "_i", "_j").sortWithinPartitions("path", "_i", "_j", "node")
     return found.unionByName(cut(map_rows(paired, _compare_blocks, "a long, b long").distinct()))
 
@@ -248,8 +276,12 @@ def _verify(rows: Iterable[tuple]) -> Iterator[tuple]:
         linked = np.flatnonzero(texts)
         for k in linked.tolist():
             yield int(names[k]), int(texts[k]), int(documents[k]), None
-        np.fill_diagonal(alike, True)
-        for a, b in _tree(_groups(alike)[linked], names[linked]) if len(linked) else ():
+        if i == j:
+            edges = _tree(_groups(alike | np.eye(len(own), dtype=bool))[linked], names[linked]) if len(linked) else ()
+        else:
+            inside = exact_links([np.frombuffer(r[5], "<u8") for r in own], ~done)
+            edges = _between(alike | inside, names, block)
+        for a, b in edges:
             yield a, 0, 0, b
 
 
@@ -263,25 +295,27 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     slim = docs.select(F.coalesce(F.col(id_col), F.lit(LAST_ID)).cast("long").alias("id"), F.col(text_col).alias("text"))
 
+    runs = runs_for(target_recall)
+
     def sketch(rows: Iterable[tuple]) -> Iterator[tuple]:
         for (doc, _), words in with_words(rows):
             s = np.unique(shingles(words))
             if len(s):
-                yield doc, *class_key(s), len(s), signature(s).tobytes()
+                values = minima(s)
+                yield doc, *class_key(s), signature(values).tobytes(), first_paths(values, runs).tolist()
             else:
-                yield doc, None, None, 0, None
+                yield doc, None, None, None, None
 
-    seen = store(map_rows(slim, sketch, "id long, node long, check long, n int, sig binary", 5000), "sketches")
+    seen = store(map_rows(slim, sketch, "id long, node long, check long, sig binary, roots array<long>", 5000), "sketches")
     wordless = seen.where("node is null").select("id").distinct()
     light = seen.where("node is not null").select("id", "node", "check")
     # One row per document of a class; a class is told by both sums.
     kinds = cut(light.distinct().groupBy("node", "check").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    signatures = seen.where("node is not null").select(F.col("id").alias("rep"), "node", "check", "sig")
-    classes = store(kinds.join(signatures, ["rep", "node", "check"]).dropDuplicates(["node"]).select("node", "rep", "copies", "sig"), "classes")
+    signatures = seen.where("node is not null").select(F.col("id").alias("rep"), "node", "check", "sig", "roots")
+    classes = store(kinds.join(signatures, ["rep", "node", "check"]).dropDuplicates(["node"]).select("node", "rep", "copies", "sig", "roots"), "classes")
 
-    trees = _candidate_edges(classes.select("node", "sig"), runs_for(target_recall))
-    groups = connected_components(trees)
-    linked = _exact_links(slim, classes.drop("sig"), groups)
+    groups = connected_components(_candidate_edges(classes.select("node", "sig", "roots")))
+    linked = _exact_links(slim, classes.drop("sig", "roots"), groups)
     counted = linked.where("tree is null").groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
     whole = connected_components(linked.where("tree is not null").select(F.col("node").alias("a"), F.col("tree").alias("b")))
 
