@@ -104,8 +104,8 @@ def price_lists(
     concatenation of a group's chunks is the reference's list (order is undefined there
     too).
 
-    ``id_col`` must identify rows (unique, non-NULL): it spreads a group over its chunks
-    and, unlike a random draw, gives the same chunk when a task is recomputed.
+    ``id_col`` (with the price) spreads a group over its chunks and, unlike a random draw,
+    gives the same chunk when a task is recomputed.
     ``sizes``: an already computed funnel (keys + ``n_prices``), e.g. the stored rollup;
     it replaces the counting pass over the events.
 
@@ -130,8 +130,9 @@ def price_lists(
         term = F.col(k).eqNullSafe(F.col("_s_" + k))
         on = term if on is None else on & term
     n_chunks = F.greatest(F.ceil(F.col("_n") / F.lit(chunk_rows)), F.lit(1))
-    chunked = rows.join(sizes, on, "inner").select(
-        *keys, "price", F.pmod(F.xxhash64(id_col), n_chunks).alias("chunk")
+    # A group that the given sizes lack keeps its rows, in one chunk.
+    chunked = rows.join(sizes, on, "left").select(
+        *keys, "price", F.pmod(F.xxhash64(id_col, "price"), n_chunks).alias("chunk")
     )
     return chunked.groupBy(*keys, "chunk").agg(
         # collect_list drops NULLs; wrapping in a struct keeps them.
