@@ -132,7 +132,8 @@ def tells(n: np.ndarray, ones: np.ndarray, base: float) -> np.ndarray:
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, factors: int = FACTORS, steps: int = STEPS, seed: int = 7) -> Machine:
-    """Fit by AdaGrad on the logistic loss, both labels weighing the same in total.
+    """Fit by AdaGrad on the logistic loss. Rows of the rarer label weigh more, by the square
+    root of the ratio: between finding all of them and flagging few of the others.
 
     ``rows`` holds the positions of each document's terms in ``terms``.
     """
@@ -140,7 +141,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, factors:
     rng = np.random.default_rng(seed)
     weights, vectors, bias = np.zeros(len(terms)), rng.normal(0, 0.02, (len(terms), factors)), 0.0
     g_weights, g_vectors, g_bias = np.ones(len(terms)), np.ones((len(terms), factors)), 1.0
-    cost = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    cost = np.where(y == 1, np.sqrt((1 - y.mean()) / y.mean()), 1.0)
     order, at = rng.permutation(len(rows)), 0
     for _ in range(steps):
         if at >= len(order):
