@@ -19,6 +19,9 @@ BROADCAST_ROWS = 200_000
 # Rows per Arrow batch that row-expanding tasks hand back to the JVM at a time.
 OUT_ROWS = 50_000
 
+# Rows of an incoming Arrow batch that are Python objects at a time.
+IN_ROWS = 256
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An input table by Spark's own reader (the folder may be in any Hadoop store)."""
@@ -78,9 +81,10 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], rank: str, total:
 
 
 def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-    """The rows of Arrow batches as tuples, one batch in memory at a time."""
+    """The rows of Arrow batches as tuples, a few of one batch in memory at a time."""
     for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+        for at in range(0, batch.num_rows, IN_ROWS):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, IN_ROWS).columns), strict=True)
 
 
 def in_batches(rows: Iterable[tuple], schema: pa.Schema, size: int = OUT_ROWS) -> Iterator[pa.RecordBatch]:

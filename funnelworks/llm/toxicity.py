@@ -41,7 +41,7 @@ RATE = 0.2
 DECAY = 1e-4
 PREDICT_AT = 0.7
 # Characters that are hashed at a time; a longer text is cut into overlapping slices.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 BETWEEN = re.compile(r"\W+")
 
