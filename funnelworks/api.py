@@ -16,9 +16,9 @@ from funnelworks.operators import envelopes, extract, listings, lookups, overvie
 from funnelworks.streaming import ingest
 
 __all__ = [
-    "as_json", "first_event", "category_statistics", "sales_change", "category_overview",
+    "as_json", "first_event", "category_statistics", "sales_change", "category_overview", "overview_response",
     "top_categories", "daily_product_funnel", "price_lists", "daily_sales",
-    "flatten_listings", "stamp_timestamps", "amplify", "extract_products",
+    "flatten_listings", "flatten_rejects", "stamp_timestamps", "amplify", "extract_products",
     "rejected_pages", "extract_links", "search_result_links", "batch_envelopes", "ingest_stream",
 ]
 
@@ -51,6 +51,7 @@ def category_overview(
 
 
 as_json = lookups.as_json
+overview_response = overview.overview_response
 top_categories = rollups.top_categories
 daily_product_funnel = rollups.daily_product_funnel
 price_lists = rollups.price_lists
@@ -68,6 +69,7 @@ def daily_sales(
 
 
 flatten_listings = listings.flatten_listings
+flatten_rejects = listings.flatten_rejects
 amplify = listings.amplify
 extract_products = extract.extract_products
 rejected_pages = extract.rejected_pages

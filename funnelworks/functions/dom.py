@@ -1,0 +1,224 @@
+"""Element selection on one HTML page, as a tolerant document parser sees it.
+
+A page is a flat list of nodes in document order; an element covers the nodes up to its
+``end``, so no step recurses and deep nesting costs nothing. Comments are kept as nodes
+(an element holding one beside its text has no single string) but are never text; the
+content of scripts, styles and templates is no text of the elements around them. Attribute
+quotes, tag case, nesting and character references follow ``html.parser``; of a repeated
+attribute the last counts; elements left open end with the page.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+from funnelworks import constants as C
+
+VOID_TAGS = frozenset(
+    "area base br col embed hr img input link meta param source track wbr".split()
+)
+HIDDEN_TEXT = frozenset(("script", "style", "template"))
+LONG_MAX = (1 << 63) - 1
+
+
+class Node:
+    """An element (``tag`` set), a text, or a comment."""
+
+    __slots__ = ("tag", "attrs", "end", "text", "is_text")
+
+    def __init__(self, end: int, tag: str | None = None, attrs: dict | None = None,
+                 text: str = "", is_text: bool = False):
+        self.tag, self.attrs, self.end, self.text, self.is_text = tag, attrs, end, text, is_text
+
+
+class Page(HTMLParser):
+    def __init__(self, html: str | None):
+        super().__init__(convert_charrefs=True)
+        self.nodes: list[Node] = []
+        self._open: list[int] = []
+        self._open_tags: Counter = Counter()
+        self._last_text: Node | None = None
+        try:
+            self.feed(html or "")
+            self.close()
+        except AssertionError:  # markup the parser gives up on: keep what came before
+            pass
+        for i in self._open:
+            self.nodes[i].end = len(self.nodes)
+
+    # --- parser events
+
+    def handle_starttag(self, tag, attrs):
+        self._last_text = None
+        i = len(self.nodes)
+        self.nodes.append(Node(i + 1, tag, {k: v or "" for k, v in attrs}))
+        if tag not in VOID_TAGS:
+            self._open.append(i)
+            self._open_tags[tag] += 1
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        self._last_text = None
+        if not self._open_tags[tag]:
+            return
+        while True:
+            node = self.nodes[self._open.pop()]
+            node.end = len(self.nodes)
+            self._open_tags[node.tag] -= 1
+            if node.tag == tag:
+                return
+
+    def handle_data(self, data):
+        if self._last_text is not None:
+            self._last_text.text += data
+            return
+        hidden = bool(self._open) and self.nodes[self._open[-1]].tag in HIDDEN_TEXT
+        self._last_text = Node(len(self.nodes) + 1, text=data, is_text=not hidden)
+        self.nodes.append(self._last_text)
+
+    def handle_comment(self, data):
+        self._last_text = None
+        self.nodes.append(Node(len(self.nodes) + 1, text=data))
+
+    # --- selection; an element is named by its place in ``nodes``
+
+    def select(self, tag: str | None, attr: str | None = None, value: str | None = None,
+               within: int | None = None) -> Iterator[int]:
+        """Elements in document order. A class matches as a whole attribute or as one token."""
+        first, last = (0, len(self.nodes)) if within is None else (within + 1, self.nodes[within].end)
+        for i in range(first, last):
+            node = self.nodes[i]
+            if node.tag is None or (tag is not None and node.tag != tag):
+                continue
+            if attr is None:
+                yield i
+                continue
+            found = node.attrs.get(attr)
+            if found is None:
+                continue
+            if found == value or (attr == "class" and (value in found.split() or value == " ".join(found.split()))):
+                yield i
+
+    def first(self, tag, attr=None, value=None, within=None) -> int | None:
+        return next(self.select(tag, attr, value, within), None)
+
+    def strings(self, i: int) -> list[str]:
+        return [n.text for n in self.nodes[i + 1:self.nodes[i].end] if n.is_text]
+
+    def text(self, i: int) -> str:
+        return "".join(self.strings(i)).strip()
+
+    def only_string(self, i: int | None) -> str | None:
+        """The stripped string of an element that holds one string alone, however deep."""
+        while i is not None:
+            node = self.nodes[i]
+            if node.tag is None:
+                return node.text.strip()
+            if i + 1 >= node.end or self.nodes[i + 1].end != node.end:
+                return None
+            i += 1
+        return None
+
+
+def to_float(s: str | None) -> float | None:
+    try:
+        return None if s is None else float(s)
+    except ValueError:
+        return None
+
+
+def first_token(s: str | None) -> str | None:
+    return next(iter((s or "").split()), None)
+
+
+def _title(page: Page) -> str:
+    i = page.first(None, "id", C.TITLE_ID)
+    if i is None:
+        i = page.first(C.TITLE_FALLBACK[0], "id", C.TITLE_FALLBACK[1])
+    return "" if i is None else page.text(i)
+
+
+def _brand(page: Page) -> str:
+    row = page.first("tr", "class", C.BRAND_ROW_CLASS)
+    cells = [] if row is None else list(page.select("td", within=row))
+    return page.text(cells[1]) if len(cells) > 1 else ""
+
+
+def _price(page: Page, strip_commas: bool) -> float | None:
+    s = page.only_string(page.first("span", "class", C.PRICE_CLASS))
+    if s is None:
+        return None
+    return to_float(s[1:].replace(",", "") if strip_commas else s[1:])
+
+
+def _discount(page: Page) -> float:
+    s = page.only_string(page.first("span", "class", C.DISCOUNT_CLASS))
+    number = None if s is None else to_float(s[1:-1])
+    return 0.0 if number is None else number
+
+
+def _rating(page: Page) -> float | None:
+    for tag, css in (("i", C.RATING_ICON_CLASS), ("span", C.RATING_ALT_CLASS)):
+        number = to_float(first_token(page.only_string(page.first(tag, "class", css))))
+        if number is not None:
+            return number
+    return None
+
+
+def _reviews(page: Page) -> int:
+    token = first_token(page.only_string(page.first("span", "id", C.REVIEWS_ID)))
+    try:
+        n = int((token or "0").replace(",", ""))
+    except ValueError:
+        return 0
+    return n if abs(n) <= LONG_MAX else 0
+
+
+def _availability(page: Page) -> str:
+    block = page.first("div", "id", C.AVAILABILITY_ID)
+    span = None if block is None else page.first("span", within=block)
+    s = page.only_string(span)
+    return C.NOT_AVAILABLE if s is None else s
+
+
+def _detail(page: Page) -> dict[str, str]:
+    table = page.first("table", "id", C.DETAIL_TABLE_ID)
+    detail: dict[str, str] = {}
+    for row in () if table is None else page.select("tr", within=table):
+        cells = page.first("th", within=row), page.first("td", within=row)
+        if None in cells:
+            return {}
+        key, value = ("".join(s.strip() for s in page.strings(i)) for i in cells)
+        detail[key] = value
+    return detail
+
+
+def product_fields(html: str | None, strip_commas: bool = False) -> dict:
+    """The eight fields of a product page, with the defaults of an absent element.
+
+    Numbers follow Python's ``float``/``int`` syntax; a review count that is no number or
+    does not fit a long is 0; a rating that is no number is None.
+    """
+    page = Page(html)
+    return {
+        "title": _title(page),
+        "brand": _brand(page),
+        "price": _price(page, strip_commas),
+        "discount": _discount(page),
+        "rating": _rating(page),
+        "reviews": _reviews(page),
+        "availability": _availability(page),
+        "detail": list(_detail(page).items()),
+    }
+
+
+def anchor_links(html: str | None, css_class: str | None = None) -> list[str]:
+    """``href`` of the anchors that have one, in page order; optionally of one class only."""
+    page = Page(html)
+    found = page.select("a") if css_class is None else page.select("a", "class", css_class)
+    return [page.nodes[i].attrs["href"] for i in found if "href" in page.nodes[i].attrs]

@@ -1,28 +1,15 @@
-"""Column expressions that read product fields out of raw HTML.
-
-The reference parses each page into a DOM and reads a handful of elements by tag, id
-and class. The same selections are written here as anchored, non-greedy Java regular
-expressions evaluated by Spark on the whole page text, so extraction runs in
-whole-stage code on executors with no per-row Python. Each helper returns NULL when
-the element is absent, which the field rules turn into the reference's defaults.
-"""
+"""Column expressions beside page parsing: numbers in text and absolute URLs."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Entity spellings decoded in element text (``&amp;`` last so an
-# escaped entity is decoded once).
-HTML_ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", " "),
-    ("&amp;", "&"),
+_DIGITS = r"\d+(?:_\d+)*"
+# What Python's float() takes, which is less (1d, 0x1p3) and more (1_000) than a SQL cast.
+FLOAT_PATTERN = (
+    r"(?iU)^\s*[+-]?(?:inf|infinity|nan"
+    rf"|(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?)\s*$"
 )
 
 
@@ -30,81 +17,9 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _attr(name: str, value: str, token: bool) -> str:
-    v = re.escape(value)
-    if token:  # class lists: match one whitespace-separated token
-        return rf'\b{name}="(?:[^"]*\s)?{v}(?:\s[^"]*)?"'
-    return rf'\b{name}="{v}"'
-
-
-def element_pattern(tag: str | None, attr: str | None = None, value: str | None = None, token: bool = False) -> str:
-    """Regex whose group 1 is the inner HTML of the first matching element.
-
-    ``tag=None`` matches any tag (closing tag found by back-reference).
-    """
-    cond = "" if attr is None else r"[^>]*" + _attr(attr, value or "", token)
-    if tag is None:
-        return rf"(?s)<([a-zA-Z][a-zA-Z0-9]*)\b{cond}[^>]*>(.*?)</\1\s*>"
-    return rf"(?s)<{tag}\b{cond}[^>]*>(.*?)</{tag}\s*>"
-
-
-def anchor_pattern(css_class: str | None = None, token: bool = False) -> str:
-    """Regex whose group 1 is the ``href`` of ``<a>`` tags, optionally only those with a
-    given class (whole attribute value, or one token with ``token=True``). The class test
-    is a look-ahead, so attribute order does not matter."""
-    if css_class is None:
-        return r'<a\b[^>]*\bhref="([^"]*)"'
-    return r"<a\b(?=[^>]*" + _attr("class", css_class, token) + r')[^>]*\bhref="([^"]*)"'
-
-
-def first_match(text: str | Column, pattern: str, group: int = 1) -> Column:
-    """Group ``group`` of the first match, NULL when nothing matches."""
-    return F.get(F.regexp_extract_all(_col(text), F.lit(pattern), F.lit(group)), 0)
-
-
-def all_matches(text: str | Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(_col(text), F.lit(pattern), F.lit(group))
-
-
-def element_inner(html: str | Column, tag: str | None, attr: str | None = None,
-                  value: str | None = None, token: bool = False) -> Column:
-    """Inner HTML of the first matching element, NULL when absent.
-
-    The attribute value is a literal the pattern needs, so a plain substring test skips
-    the regex scan of pages that cannot match (most pages, for most selectors).
-    """
-    group = 2 if tag is None else 1
-    inner = first_match(html, element_pattern(tag, attr, value, token), group)
-    if not value:
-        return inner
-    return F.when(F.instr(_col(html), value) > 0, inner)
-
-
-def strip_ws(s: str | Column) -> Column:
-    """Python ``str.strip()``: leading/trailing whitespace incl. newlines and tabs."""
-    return F.regexp_replace(_col(s), r"(?U)^\s+|\s+$", "")
-
-
-def decode_entities(s: str | Column) -> Column:
-    out = _col(s)
-    for entity, char in HTML_ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return out
-
-
-def element_text(inner: str | Column) -> Column:
-    """Text of an element from its inner HTML: tags removed, entities decoded, stripped."""
-    return strip_ws(decode_entities(F.regexp_replace(_col(inner), r"<[^>]*>", "")))
-
-
-def first_token(s: str | Column) -> Column:
-    """``s.strip().split()[0]``; NULL when there is no token."""
-    return F.get(F.split(strip_ws(s), r"(?U)\s+"), 0)
-
-
 def is_number(s: str | Column) -> Column:
-    """Does the text convert to a float (F17)? Never raises."""
-    return F.coalesce(_col(s).try_cast("double").isNotNull(), F.lit(False))
+    """Does the text convert to a float (F17)? Never raises; NULL does not."""
+    return F.coalesce(_col(s).rlike(FLOAT_PATTERN), F.lit(False))
 
 
 def absolute_url(link: str | Column, page_url: str | Column) -> Column:

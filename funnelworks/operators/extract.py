@@ -1,137 +1,37 @@
 """Page table → product table and link table.
 
 The reference downloads one page at a time, parses it and calls eight field getters.
-Here a table of pages goes through one ``select`` of regular-expression column
-expressions; products without a brand are kept aside as rejects instead of being
-logged and lost.
+Here every task parses the pages of its partition in Arrow batches (``functions.dom``);
+pages never meet other pages, so nothing is shuffled. Products without a brand are kept
+aside as rejects instead of being logged and lost. A table stored in fewer splits than
+the cluster has tasks is spread by the caller (``pages.repartition(n)``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from funnelworks.functions import html as H
-from funnelworks.operators.partitioning import ensure_parallelism
-
-from funnelworks.constants import (  # noqa: E402
-    AVAILABILITY_ID,
-    BRAND_ROW_CLASS,
-    DETAIL_TABLE_ID,
-    DISCOUNT_CLASS,
-    NOT_AVAILABLE,
-    PRICE_CLASS,
-    RATING_ALT_CLASS,
-    RATING_ICON_CLASS,
-    REVIEWS_ID,
-    SEARCH_LINK_CLASS,
-    TITLE_FALLBACK,
-    TITLE_ID,
-)
-
-LINK_PATTERN = H.anchor_pattern()
-
-
-def title_field(html: Column) -> Column:
-    """``#productTitle`` text, else ``h1#title`` text, else ``""``."""
-    first = H.element_inner(html, None, "id", TITLE_ID)
-    second = H.element_inner(html, TITLE_FALLBACK[0], "id", TITLE_FALLBACK[1])
-    return F.coalesce(H.element_text(first), H.element_text(second), F.lit(""))
-
-
-def price_field(html: Column, strip_commas: bool = False) -> Column:
-    """Text of ``span.a-offscreen`` without its currency sign, as a float; NULL otherwise.
-
-    A thousands separator makes the float conversion fail, as in the original (D7);
-    ``strip_commas=True`` removes separators first so ``$1,299.00`` reads as 1299.0.
-    """
-    text = H.strip_ws(H.element_inner(html, "span", "class", PRICE_CLASS, token=True))
-    number = F.substring(text, 2, 1 << 30)
-    if strip_commas:
-        number = F.replace(number, F.lit(","), F.lit(""))
-    return number.try_cast("double")
-
-
-def discount_field(html: Column) -> Column:
-    """``-20%`` → 20.0; 0 when absent or not a number."""
-    text = H.strip_ws(H.element_inner(html, "span", "class", DISCOUNT_CLASS))
-    inner = F.substring(text, 2, F.length(text) - 2)
-    return F.coalesce(inner.try_cast("double"), F.lit(0.0))
-
-
-def brand_field(html: Column) -> Column:
-    """Second cell of the ``tr.po-brand`` row, else ``""``."""
-    row = H.element_inner(html, "tr", "class", BRAND_ROW_CLASS, token=True)
-    cell = F.get(H.all_matches(row, H.element_pattern("td")), 1)
-    return F.coalesce(H.element_text(cell), F.lit(""))
-
-
-def rating_field(html: Column) -> Column:
-    """First token of the star icon, else of ``span.a-icon-alt``, as a float; NULL otherwise."""
-    icon = H.element_text(H.element_inner(html, "i", "class", RATING_ICON_CLASS))
-    alt = H.element_text(H.element_inner(html, "span", "class", RATING_ALT_CLASS, token=True))
-    return F.coalesce(H.first_token(icon).try_cast("double"), H.first_token(alt).try_cast("double"))
-
-
-def reviews_field(html: Column) -> Column:
-    """``"1,299 ratings"`` → 1299; 0 when absent."""
-    text = H.element_text(H.element_inner(html, "span", "id", REVIEWS_ID))
-    return F.coalesce(F.replace(H.first_token(text), F.lit(","), F.lit("")).try_cast("int"), F.lit(0))
-
-
-def availability_field(html: Column) -> Column:
-    """Text of the first span in ``div#availability``, else ``"Not Available"``."""
-    block = H.element_inner(html, "div", "id", AVAILABILITY_ID)
-    span = H.first_match(block, H.element_pattern("span"))
-    return F.coalesce(H.element_text(F.nullif(span, F.lit(""))), F.lit(NOT_AVAILABLE))
-
-
-def detail_entries(html: Column) -> Column:
-    """Rows of the details table as ``array<struct<k, v>>``; NULL when there is no table."""
-    table = H.element_inner(html, "table", "id", DETAIL_TABLE_ID)
-    rows = H.all_matches(table, H.element_pattern("tr"))
-    return F.transform(
-        rows,
-        lambda r: F.struct(
-            H.element_text(H.first_match(r, H.element_pattern("th"))).alias("k"),
-            H.element_text(H.first_match(r, H.element_pattern("td"))).alias("v"),
-        ),
-    )
-
+from funnelworks.constants import SEARCH_LINK_CLASS
+from funnelworks.functions import dom
+from funnelworks.functions.html import absolute_url
 
-def detail_map(entries: Column) -> Column:
-    """Header → value map from the table rows; later headers win.
-
-    A row without a header or a value empties the whole map, as the reference's bare
-    ``except`` does. Duplicate headers keep the last value without relying on the
-    session's map-key policy.
-    """
-    complete = F.forall(entries, lambda e: e["k"].isNotNull() & e["v"].isNotNull())
-    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
-    last_values = F.transform(
-        keys, lambda key: F.element_at(F.filter(entries, lambda e: e["k"] == key), -1)["v"]
-    )
-    empty = F.create_map().cast("map<string,string>")
-    return F.when(entries.isNotNull() & complete, F.map_from_arrays(keys, last_values)).otherwise(empty)
-
-
-def detail_field(html: Column) -> Column:
-    return detail_map(detail_entries(html))
+PRODUCT_COLUMNS = (
+    "title string, brand string, price double, discount double, rating double, "
+    "reviews bigint, availability string, detail map<string,string>"
+)
+PRODUCT_TYPES = {
+    "title": pa.string(), "brand": pa.string(), "price": pa.float64(), "discount": pa.float64(),
+    "rating": pa.float64(), "reviews": pa.int64(), "availability": pa.string(),
+    "detail": pa.map_(pa.string(), pa.string()),
+}
 
 
-def product_fields(html: str | Column, strip_commas: bool = False) -> dict[str, Column]:
-    """The eight field expressions (``detail`` built in one step; see ``extract_pages``)."""
-    h = F.col(html) if isinstance(html, str) else html
-    return {
-        "title": title_field(h),
-        "brand": brand_field(h),
-        "price": price_field(h, strip_commas),
-        "discount": discount_field(h),
-        "rating": rating_field(h),
-        "reviews": reviews_field(h),
-        "availability": availability_field(h),
-        "detail": detail_field(h),
-    }
+def _with_id(pages: DataFrame, id_col: str, columns: str) -> str:
+    return f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, {columns}"
 
 
 def extract_pages(
@@ -139,15 +39,18 @@ def extract_pages(
 ) -> DataFrame:
     """Every page with its eight fields and ``accepted`` (brand present, P12).
 
-    The detail rows are extracted in one projection and folded into the map in the
-    next, so the row regexes run once per page (the map expression reads them thrice).
+    A price with a thousands separator is no float, as in the original (D7);
+    ``strip_commas=True`` removes separators first so ``$1,299.00`` reads as 1299.0.
     """
-    fields = product_fields(html_col, strip_commas)
-    fields["detail"] = detail_entries(F.col(html_col))
-    out = ensure_parallelism(pages).select(id_col, *[c.alias(n) for n, c in fields.items()])
-    return out.withColumn("detail", detail_map(F.col("detail"))).withColumn(
-        "accepted", F.col("brand") != F.lit("")
-    )
+
+    def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [dom.product_fields(html.as_py(), strip_commas) for html in batch.column(1)]
+            columns = [pa.array([f[name] for f in found], kind) for name, kind in PRODUCT_TYPES.items()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], [id_col, *PRODUCT_TYPES])
+
+    out = pages.select(id_col, html_col).mapInArrow(parse, _with_id(pages, id_col, PRODUCT_COLUMNS))
+    return out.withColumn("accepted", F.col("brand") != F.lit(""))
 
 
 def extract_products(
@@ -171,25 +74,33 @@ def extract_links(
     id_col: str = "page_id",
     html_col: str = "html",
     url_col: str = "url",
-    pattern: str = LINK_PATTERN,
+    css_class: str | None = None,
 ) -> DataFrame:
-    """All anchor targets of each page with their position and absolute URL."""
-    links = ensure_parallelism(pages).select(
-        id_col, url_col, F.posexplode(H.all_matches(html_col, pattern)).alias("position", "link")
-    )
-    return links.select(
-        id_col, "position", "link", H.absolute_url("link", url_col).alias("url")
+    """Anchor targets of each page with their position and absolute URL."""
+
+    def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [dom.anchor_links(html.as_py(), css_class) for html in batch.column(2)]
+            links = pa.array(found, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), links], [id_col, url_col, "links"])
+
+    schema = _with_id(pages, id_col, f"`{url_col}` string, links array<string>")
+    links = (
+        pages.select(id_col, F.col(url_col).cast("string").alias(url_col), html_col)
+        .mapInArrow(parse, schema)
+        .select(id_col, url_col, F.posexplode("links").alias("position", "link"))
     )
-
-
-def detail_string(detail: str | Column) -> Column:
-    """``k=v;k=v`` rendering of a detail map in entry order."""
-    d = F.col(detail) if isinstance(detail, str) else detail
-    return F.array_join(F.transform(F.map_entries(d), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return links.select(id_col, "position", "link", absolute_url("link", url_col).alias("url"))
 
 
 def search_result_links(
     pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url"
 ) -> DataFrame:
     """Product links of search-result pages: anchors with the result-link class."""
-    return extract_links(pages, id_col, html_col, url_col, H.anchor_pattern(SEARCH_LINK_CLASS))
+    return extract_links(pages, id_col, html_col, url_col, SEARCH_LINK_CLASS)
+
+
+def detail_string(detail: str | Column) -> Column:
+    """``k=v;k=v`` rendering of a detail map in entry order."""
+    d = F.col(detail) if isinstance(detail, str) else detail
+    return F.array_join(F.transform(F.map_entries(d), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")

@@ -3,8 +3,8 @@
 
 Per response the reference checks the shape (``content.results`` must be an object),
 reads the two result arrays and inserts every element with a random timestamp. Here
-the body is parsed once into a VARIANT, the shape test and both array reads are column
-expressions, and the two arrays are concatenated and exploded in one pass.
+the body is parsed once into a VARIANT, the shape test and both array reads use the
+parsed value, and every element keeps its whole document beside its typed columns.
 """
 
 from __future__ import annotations
@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from funnelworks.constants import AMPLIFY_TARGET_BYTES, RESULT_ARRAYS
-from funnelworks.sources.fixtures import LISTING_FIELDS
+from funnelworks.constants import AMPLIFY_TARGET_BYTES, LISTING_FIELDS, RESULT_ARRAYS
+
+# Why a response or an element gave no listing.
+REJECT_REASONS = ("malformed_json", "results_not_an_object", "element_not_an_object")
 
 
 def results_is_object(body: str | Column) -> Column:
@@ -28,14 +30,43 @@ def results_is_object(body: str | Column) -> Column:
     return _results_object(F.try_parse_json(F.col(body) if isinstance(body, str) else body))
 
 
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
 def _results_object(v: Column) -> Column:
-    shape = F.schema_of_variant(F.try_variant_get(v, "$.content.results", "variant"))
-    return F.coalesce(shape.startswith("OBJECT"), F.lit(False))
+    return _is_object(F.try_variant_get(v, "$.content.results", "variant"))
 
 
 def _tag_kind(kind: str):
     # One-argument lambda: transform() reads a second parameter as the element index.
-    return lambda x: x.withField("kind", F.lit(kind))
+    return lambda x: F.struct(x.alias("_element"), F.lit(kind).alias("kind"))
+
+
+def _elements(responses: DataFrame, body_col: str, id_col: str) -> DataFrame:
+    """One row per result element, and one without element for a response that has no result
+    object: ``id_col, _body, _reason, _element, kind``.
+
+    The parsed value is a column of its own that later steps read several times, so the
+    optimiser keeps it apart and a body is parsed once. The outer explode keeps it from
+    adding a size filter, which would parse the body again below.
+    """
+    parsed = responses.select(
+        F.col(id_col), F.col(body_col).alias("_body"), F.try_parse_json(F.col(body_col)).alias("_doc")
+    )
+    v = F.col("_doc")
+    arrays = [
+        F.transform(
+            F.coalesce(F.try_variant_get(v, f"$.content.results.{name}", "array<variant>"), F.array().cast("array<variant>")),
+            _tag_kind(name),
+        )
+        for name in RESULT_ARRAYS
+    ]
+    reason = F.when(v.isNull(), F.lit(REJECT_REASONS[0])).when(~_results_object(v), F.lit(REJECT_REASONS[1]))
+    shaped = parsed.select(
+        id_col, "_body", reason.alias("_reason"), F.when(_results_object(v), F.concat(*arrays)).alias("_items")
+    )
+    return shaped.select(id_col, "_body", "_reason", F.inline_outer("_items"))
 
 
 def flatten_listings(
@@ -43,19 +74,41 @@ def flatten_listings(
     body_col: str = "body",
     id_col: str = "response_id",
     fields: str = LISTING_FIELDS,
+    document_col: str | None = None,
 ) -> DataFrame:
-    """One row per listing: ``id_col``, the listing fields, and ``kind``.
+    """One row per listing: ``id_col``, the typed ``fields``, and ``kind``.
 
     A missing result array counts as empty (D11); responses whose ``results`` is not an
-    object yield no rows.
+    object and elements that are no objects yield no rows (see ``flatten_rejects``).
+    ``fields`` is DDL; a field that is absent or does not convert is NULL. With
+    ``document_col``, that column holds the whole listing as JSON, every field as received.
+    """
+    element = F.col("_element")
+    typed = [
+        F.try_variant_get(element, f"$.{f.name}", f.dataType.simpleString()).alias(f.name)
+        for f in T.StructType.fromDDL(fields).fields
+    ]
+    whole = [F.to_json(element).alias(document_col)] if document_col else []
+    return _elements(responses, body_col, id_col).where(_is_object(element)).select(id_col, *typed, "kind", *whole)
+
+
+def flatten_rejects(
+    responses: DataFrame, body_col: str = "body", id_col: str = "response_id"
+) -> DataFrame:
+    """What flattening leaves out: ``id_col, reason, document`` (the body, or the element).
+
+    Bodies that are no JSON (repeated keys included), bodies without a result object, and
+    result elements that are no objects.
     """
-    v = F.try_parse_json(F.col(body_col))
-    arrays = []
-    for name in RESULT_ARRAYS:
-        arr = F.try_variant_get(v, f"$.content.results.{name}", f"array<struct<{fields}>>")
-        arrays.append(F.transform(F.coalesce(arr, F.array()), _tag_kind(name)))
-    items = F.when(_results_object(v), F.concat(*arrays))
-    return responses.select(id_col, F.inline(items))
+    element = F.col("_element")
+    rows = _elements(responses, body_col, id_col).select(
+        id_col, "_body", "_reason", "_element", "kind", _is_object(element).alias("_good")
+    )
+    return rows.where(F.col("_reason").isNotNull() | (F.col("kind").isNotNull() & ~F.col("_good"))).select(
+        id_col,
+        F.coalesce("_reason", F.lit(REJECT_REASONS[2])).alias("reason"),
+        F.when(F.col("_reason").isNotNull(), F.col("_body")).otherwise(F.to_json(element)).alias("document"),
+    )
 
 
 def _ntz_plus_seconds(start: dt.datetime, seconds: Column) -> Column:
@@ -96,10 +149,28 @@ def random_stamp(
     return df.withColumn(out_col, _ntz_plus_seconds(start, offset))
 
 
+# Bytes of a value of the fixed-width types; the widths of the numbers as stored.
+FIXED_WIDTHS = {
+    T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8, T.FloatType: 4, T.DoubleType: 8,
+    T.BooleanType: 1, T.DateType: 4, T.TimestampType: 8, T.TimestampNTZType: 8,
+}
+
+
+def _value_bytes(field: T.StructField) -> Column:
+    c = F.col(f"`{field.name}`")
+    width = FIXED_WIDTHS.get(type(field.dataType))
+    if width is not None:
+        size = F.when(c.isNotNull(), F.lit(width))
+    elif isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        size = F.octet_length(c)
+    else:  # decimals, nested values: their JSON text
+        size = F.when(c.isNotNull(), F.octet_length(F.to_json(F.struct(c.alias("v")))))
+    return F.coalesce(size, F.lit(0)).cast("bigint")
+
+
 def table_footprint(df: DataFrame) -> DataFrame:
-    """Row count and UTF-8 bytes of the string columns (S14; the collection size probe)."""
-    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    size = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in strings), F.lit(0).cast("bigint"))
+    """Row count and bytes of the values of all columns (S14; the collection size probe)."""
+    size = sum((_value_bytes(f) for f in df.schema.fields), F.lit(0).cast("bigint"))
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.coalesce(F.sum(size), F.lit(0)).cast("bigint").alias("n_bytes"),
@@ -107,18 +178,39 @@ def table_footprint(df: DataFrame) -> DataFrame:
 
 
 def copies_for_target(footprint_bytes: int, target_bytes: int = AMPLIFY_TARGET_BYTES) -> int:
-    """Copies needed so the amplified table reaches ``target_bytes`` (the 2 GB loop)."""
+    """Copies needed so the amplified table reaches ``target_bytes`` (the 2 GB loop); 0 for
+    an empty table, which no copying makes larger."""
     if footprint_bytes <= 0:
         return 0
     return max(1, math.ceil(target_bytes / footprint_bytes))
 
 
+# Copies of one row that one task makes at a stretch.
+COPY_BLOCK = 1000
+
+
 def amplify(df: DataFrame, copies: int, copy_col: str = "copy") -> DataFrame:
     """Repeat every row ``copies`` times (U2), tagged 0..copies-1.
 
-    Each input row expands in place through ``explode(sequence)``: no join, no shuffle,
-    and the output stays partitioned like the input.
+    Up to ``COPY_BLOCK`` copies expand in place: no join, no shuffle. Beyond that a row
+    becomes one row per block of copies first, and the blocks are dealt out over the tasks,
+    so a few rows with many copies are not written by a few tasks.
     """
     if copies <= 0:
         return df.withColumn(copy_col, F.lit(None).cast("int")).where(F.lit(False))
-    return df.withColumn(copy_col, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    if copies <= COPY_BLOCK:
+        return df.withColumn(copy_col, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    starts = F.explode(F.sequence(F.lit(0), F.lit(copies - 1), F.lit(COPY_BLOCK)))
+    # A fixed number of tasks: the blocks are small, what they expand to is not.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = df.withColumn("_from", starts).repartition(tasks, "_from", *_hashable(df))
+    last = F.least(F.col("_from") + F.lit(COPY_BLOCK - 1), F.lit(copies - 1))
+    return blocks.withColumn(copy_col, F.explode(F.sequence(F.col("_from"), last))).drop("_from")
+
+
+def _hashable(df: DataFrame) -> list[Column]:
+    """Columns that a hash takes (maps and variants do not)."""
+    return [
+        F.col(f"`{f.name}`") for f in df.schema.fields
+        if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))
+    ]

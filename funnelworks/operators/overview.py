@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from funnelworks.functions.paths import (
     calendar,
     day_count,
+    day_label,
     half_open_day_range,
+    parse_day,
     to_day,
     top_category,
 )
@@ -144,3 +146,28 @@ def category_overview(
     else:
         out = overview_pivot(events, from_day, to_day_, categories)
     return out.orderBy("event_day")
+
+
+def overview_response(
+    events: DataFrame,
+    from_day: str | dt.date,
+    to_day_: str | dt.date,
+    categories: Sequence[str] = DEFAULT_CATEGORIES,
+) -> DataFrame:
+    """The endpoint's answer as one row (A10, A12): ``data``, the counts of every category by
+    day with data, and ``labels``, every day of the range.
+
+    Both are bounded by the request: one value per day, and per category and day. A reversed
+    range has no labels.
+    """
+    cats = list(categories)
+    first, last = parse_day(from_day), parse_day(to_day_)
+    days = F.array_sort(F.collect_list(F.struct("event_day", *cats)))
+    rows = overview_pivot(events, from_day, to_day_, cats).agg(days.alias("_days"))
+    # A field of an array of structs is the array of that field.
+    pairs = [x for c in cats for x in (F.lit(c), F.col("_days").getField(c))]
+    if first <= last:
+        labels = F.transform(F.sequence(F.lit(first), F.lit(last)), lambda d: day_label(d))
+    else:
+        labels = F.array().cast("array<string>")
+    return rows.select(F.create_map(*pairs).alias("data"), labels.alias("labels"))

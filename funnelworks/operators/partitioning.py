@@ -1,14 +1,8 @@
-"""Partition-count guard for CPU-heavy row operators.
-
-Regex extraction over whole HTML pages costs far more per row than reading the row.
-When the input arrives in fewer partitions than there are task slots (a small table
-stored as one row group), the work is spread round-robin first. On large inputs, which
-already have at least one split per slot, the guard adds nothing — no shuffle.
-"""
+"""Task counts. Nothing here runs a job or looks at the data."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def task_slots(spark: SparkSession) -> int:
@@ -16,13 +10,8 @@ def task_slots(spark: SparkSession) -> int:
     try:
         return spark.sparkContext.defaultParallelism
     except Exception:  # noqa: BLE001 - sessions without a SparkContext
-        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        return shuffle_partitions(spark)
 
 
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    try:
-        target = min_partitions or task_slots(df.sparkSession)
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without an RDD view: leave the plan alone
-        return df
-    return df.repartition(target) if current < target else df
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -19,11 +19,11 @@ from funnelworks.operators.partitioning import task_slots
 from funnelworks.sources import sinks
 
 
-def _numeric_price(df: DataFrame, price_col: str) -> Column:
-    """``$sum`` ignores non-numbers (D3): non-numeric values count as absent."""
+def _numeric_price(df: DataFrame, price_col: str, parse_text: bool) -> Column:
+    """``$sum`` ignores non-numbers (D3), text that reads as a number included, unless asked."""
     if isinstance(df.schema[price_col].dataType, T.NumericType):
         return F.col(price_col).cast("double")
-    return F.col(price_col).try_cast("double")
+    return F.col(price_col).try_cast("double") if parse_text else F.lit(None).cast("double")
 
 
 def daily_sales(
@@ -32,17 +32,18 @@ def daily_sales(
     to_day_: str | dt.date | None = None,
     ts_col: str = "timestamp",
     price_col: str = "price",
+    parse_text: bool = False,
 ) -> DataFrame:
     """``day, sales``: sum of prices per UTC day; days without rows emit nothing.
 
     With a range, only ``[from, to + 1 day)`` is read (predicate on the raw timestamp,
-    pushed to the scan). Sales are rounded to cents.
+    pushed to the scan). Sales are not rounded. ``parse_text`` also sums prices that are text.
     """
     df = listings
     if from_day is not None and to_day_ is not None:
         df = df.where(half_open_day_range(df, ts_col, from_day, to_day_))
     return df.groupBy(to_day(ts_col).alias("day")).agg(
-        F.round(F.coalesce(F.sum(_numeric_price(df, price_col)), F.lit(0.0)), 2).alias("sales")
+        F.coalesce(F.sum(_numeric_price(df, price_col, parse_text)), F.lit(0.0)).alias("sales")
     )
 
 
@@ -52,6 +53,7 @@ def sales_total(
     to_day_: str | dt.date,
     ts_col: str = "timestamp",
     price_col: str = "price",
+    parse_text: bool = False,
 ) -> DataFrame:
     """One row with the range total, or no row when the range is empty.
 
@@ -61,7 +63,7 @@ def sales_total(
     df = listings.where(half_open_day_range(listings, ts_col, from_day, to_day_))
     return (
         df.agg(
-            F.round(F.coalesce(F.sum(_numeric_price(df, price_col)), F.lit(0.0)), 2).alias("sales"),
+            F.coalesce(F.sum(_numeric_price(df, price_col, parse_text)), F.lit(0.0)).alias("sales"),
             F.count(F.lit(1)).alias("n_rows"),
         )
         .where(F.col("n_rows") > 0)
@@ -82,7 +84,8 @@ def sales_change(daily: DataFrame, day: str | dt.date | None = None) -> DataFram
     as itself and as the "previous" of the next day — and one aggregation by day puts
     the pair together: the daily table is computed once and no self-join is planned.
     With ``day``, only that day's row (the sale-change endpoint); the day filter is
-    applied to the daily table before pairing, so only two days are paired.
+    applied to the daily table before pairing, so only two days are paired. That row is
+    there if either day has sales, with NULL for the day that has none. Nothing is rounded.
     """
     if day is not None:
         daily = sales_points(daily, day)
@@ -98,15 +101,18 @@ def sales_change(daily: DataFrame, day: str | dt.date | None = None) -> DataFram
         .select("p.*")
         .groupBy("day")
         .agg(F.max("cur").alias("sales"), F.max("prev").alias("prev_sales"))
-        .where(F.col("sales").isNotNull() & F.col("prev_sales").isNotNull())
     )
-    delta = F.round(F.col("sales") - F.col("prev_sales"), 2)
+    if day is None:
+        paired = paired.where(F.col("sales").isNotNull() & F.col("prev_sales").isNotNull())
+    else:
+        paired = paired.where(F.col("day") == F.lit(parse_day(day)))
+    delta = F.col("sales") - F.col("prev_sales")
     return paired.select(
         "day",
         "sales",
         "prev_sales",
         delta.alias("delta"),
-        F.when(F.col("prev_sales") != 0, F.round(delta / F.col("prev_sales") * 100, 4)).alias("pct"),
+        F.when(F.col("prev_sales") != 0, delta / F.col("prev_sales") * 100).alias("pct"),
     )
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from funnelworks import constants as C
 from funnelworks.operators import envelopes, extract, listings, overview, rollups, sales
+from funnelworks.functions.paths import day_string, parse_day_col
 from funnelworks.plans import oracles as O
 from funnelworks.session import shared_path
 from funnelworks.sources import fixtures, sinks
@@ -131,11 +132,72 @@ def q_price_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.price_list_summary(chunks)
 
 
+@register(
+    "price_list_values",
+    O.with_ctes(
+        O.PRODUCT_EVENTS_CTE,
+        O.FUNNEL_ROWS_CTE,
+        body="""SELECT category, event_day, classification, brand, price, CAST(count(*) AS BIGINT) AS n
+FROM funnel_rows GROUP BY category, event_day, classification, brand, price""",
+    ),
+)
+def q_price_list_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the lists hold: every price of every group, NULL included, and how often."""
+    chunks = rollups.price_lists(fixtures.product_events(spark, sf_dir))
+    values = chunks.select(*rollups.FUNNEL_KEYS, F.explode("prices").alias("price"))
+    return values.groupBy(*rollups.FUNNEL_KEYS, "price").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(
+    "sorted_funnel",
+    O.with_ctes(O.PRODUCT_EVENTS_CTE, O.FUNNEL_ROWS_CTE, O.FUNNEL_CTE, body="SELECT * EXCLUDE (sum_price) FROM funnel"),
+)
+def q_sorted_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.daily_product_funnel(fixtures.product_events(spark, sf_dir), sort=True).drop("sum_price")
+
+
+@register(
+    "event_days",
+    O.with_ctes(
+        O.PRODUCT_EVENTS_CTE,
+        body="SELECT DISTINCT strftime(event_time, '%Y-%m-%d') AS text, CAST(event_time AS DATE) AS day FROM product_events",
+    ),
+)
+def q_event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = day_string("event_time").alias("text")
+    days = fixtures.product_events(spark, sf_dir).select(text).distinct()
+    return days.select("text", parse_day_col("text").alias("day"))
+
+
+@register(
+    "blank_category_rollup",
+    O.with_ctes(
+        O.PRODUCT_EVENTS_CTE.replace("product_events AS", "given_events AS", 1),
+        """
+product_events AS (
+  SELECT * REPLACE (CASE WHEN event_id % 13 = 0 THEN '' WHEN event_id % 13 = 1 THEN '~x' ELSE category_code END AS category_code)
+  FROM given_events)""",
+        O.FUNNEL_ROWS_CTE,
+        O.FUNNEL_CTE,
+        body="SELECT category, CAST(sum(n_prices) AS BIGINT) AS n_events FROM funnel GROUP BY category",
+    ),
+)
+def q_blank_category_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored rollup of events some of whose codes are empty, or start like the escape."""
+    code = F.when(F.col("event_id") % 13 == 0, F.lit("")).when(F.col("event_id") % 13 == 1, F.lit("~x"))
+    events = fixtures.product_events(spark, sf_dir).withColumn("category_code", code.otherwise(F.col("category_code")))
+    stored = _store(spark, rollups.daily_product_funnel(events))
+    return stored.groupBy("category").agg(F.sum("n_prices").alias("n_events"))
+
+
 def _stored_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _store(spark, _funnel(spark, sf_dir))
+
+
+def _store(spark: SparkSession, funnel: DataFrame) -> DataFrame:
     path = shared_path(spark, "daily_product_funnel")
-    funnel = _funnel(spark, sf_dir)
     sinks.write_partitioned(funnel, path, "category", ["event_day", "classification", "brand"])
-    return sinks.read_back(spark, path, schema=funnel.schema)
+    return sinks.read_back(spark, path, schema=funnel.schema, partition_col="category")
 
 
 @register(
@@ -252,6 +314,33 @@ def q_overview_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.select("category", F.array_join("counts", ",").alias("counts"))
 
 
+@register(
+    "category_overview",
+    O.with_ctes(O.PRODUCT_EVENTS_CTE, *_OV, body="SELECT * FROM overview_pivot"),
+)
+def q_category_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overview.category_overview(spark, *_ov_args(spark, sf_dir))
+
+
+@register(
+    "overview_response",
+    O.with_ctes(
+        O.PRODUCT_EVENTS_CTE,
+        *_OV,
+        body=f"""SELECT category, string_agg(CAST(count AS VARCHAR), ',' ORDER BY event_day) AS counts,
+       (SELECT string_agg(strftime(range, '%d-%m-%Y'), ',' ORDER BY range)
+        FROM range(DATE '{OVERVIEW_FROM}', DATE '{OVERVIEW_TO_EXCL}', INTERVAL 1 DAY)) AS labels
+FROM ({_UNPIVOT}) GROUP BY category""",
+    ),
+)
+def q_overview_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answer = overview.overview_response(*_ov_args(spark, sf_dir))
+    labels = F.array_join("labels", ",").alias("labels")
+    return answer.select(F.explode("data").alias("category", "c"), labels).select(
+        "category", F.array_join(F.col("c").cast("array<string>"), ",").alias("counts"), "labels"
+    )
+
+
 # ---------------------------------------------------------------------------- sales
 
 SALES_FROM, SALES_TO, SALES_TO_EXCL = "1997-05-01", "1997-07-12", "1997-07-13"
@@ -271,9 +360,14 @@ def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.sales_listings(spark, sf_dir)
 
 
+def _cents(df: DataFrame, *more: str) -> DataFrame:
+    """Amounts rounded to cents, for comparison only: the operators do not round."""
+    return df.withColumns({c: F.round(c, 2) for c in ("sales", *more)})
+
+
 @register("daily_sales", _DAILY_SQL.format(where="WHERE " + _SALES_RANGE))
 def q_daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sales.daily_sales(_listings(spark, sf_dir), SALES_FROM, SALES_TO)
+    return _cents(sales.daily_sales(_listings(spark, sf_dir), SALES_FROM, SALES_TO))
 
 
 @register(
@@ -282,7 +376,7 @@ def q_daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"FROM lineitem WHERE {_SALES_RANGE} HAVING count(*) > 0",
 )
 def q_sales_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sales.sales_total(_listings(spark, sf_dir), SALES_FROM, SALES_TO)
+    return _cents(sales.sales_total(_listings(spark, sf_dir), SALES_FROM, SALES_TO))
 
 
 @register(
@@ -292,18 +386,20 @@ def q_sales_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_sales_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = sales.daily_sales(_listings(spark, sf_dir), SALES_FROM, SALES_TO)
-    return sales.sales_points(daily, SALES_POINT_DAY)
+    return _cents(sales.sales_points(daily, SALES_POINT_DAY))
 
 
 @register(
     "sales_change",
-    f"""WITH d AS ({_DAILY_SQL.format(where='')})
-SELECT c.day, c.sales, p.sales AS prev_sales, round(c.sales - p.sales, 2) AS delta,
-       CASE WHEN p.sales <> 0 THEN round(round(c.sales - p.sales, 2) / p.sales * 100, 4) END AS pct
+    """WITH d AS (SELECT CAST(l_shipdate AS DATE) AS day, coalesce(sum(l_extendedprice), 0) AS sales
+           FROM lineitem GROUP BY CAST(l_shipdate AS DATE))
+SELECT c.day, round(c.sales, 2) AS sales, round(p.sales, 2) AS prev_sales, round(c.sales - p.sales, 2) AS delta,
+       CASE WHEN p.sales <> 0 THEN round((c.sales - p.sales) / p.sales * 100, 4) END AS pct
 FROM d c JOIN d p ON c.day = CAST(p.day + INTERVAL 1 DAY AS DATE)""",
 )
 def q_sales_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sales.sales_change(sales.daily_sales(_listings(spark, sf_dir)))
+    change = sales.sales_change(sales.daily_sales(_listings(spark, sf_dir)))
+    return _cents(change, "prev_sales", "delta").withColumn("pct", F.round("pct", 4))
 
 
 @register("daily_sales_idempotent", _DAILY_SQL.format(where="WHERE " + _SALES_RANGE))
@@ -313,7 +409,7 @@ def q_daily_sales_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
         sales.store_daily_sales(
             sales.daily_sales(_listings(spark, sf_dir), SALES_FROM, SALES_TO), path
         )
-    return sinks.read_back(spark, path, schema="sales double, day date").select("day", "sales")
+    return _cents(sinks.read_back(spark, path, schema="sales double, day date").select("day", "sales"))
 
 
 # ------------------------------------------------------------------------- listings
@@ -324,6 +420,42 @@ _FLAT_SQL = """SELECT l_orderkey AS response_id, CAST(l_partkey AS VARCHAR) AS a
 FROM lineitem
 WHERE l_orderkey % 11 NOT IN (0, 1) AND NOT (l_orderkey % 11 = 2 AND l_discount >= 0.05)"""
 
+@register("stored_responses", f"SELECT asin, price, line, kind FROM ({_FLAT_SQL})")
+def q_stored_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses stored as text files, read back and flattened."""
+    from funnelworks.sources import connectors
+
+    path = shared_path(spark, "responses")
+    fixtures.search_responses(spark, sf_dir).select("body").write.text(path)
+    return listings.flatten_listings(connectors.read_responses(spark, path)).drop("response_id")
+
+
+@register(
+    "flatten_full",
+    """SELECT l_orderkey AS response_id, CAST(l_partkey AS VARCHAR) AS asin,
+       CASE WHEN l_partkey % 3 <> 0 THEN l_extendedprice END AS price, l_linenumber AS line, 'organic' AS kind,
+       CAST(l_orderkey AS VARCHAR) AS seller, l_partkey % 3 = 0 AS unpriced
+FROM lineitem WHERE l_partkey % 13 <> 0""",
+)
+def q_flatten_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = listings.flatten_listings(fixtures.mixed_responses(spark, sf_dir), document_col="listing")
+    return flat.select(
+        "response_id", "asin", "price", "line", "kind",
+        F.get_json_object("listing", "$.seller.id").alias("seller"),
+        (F.get_json_object("listing", "$.price") == "n/a").alias("unpriced"),
+    )
+
+
+@register(
+    "flatten_rejects",
+    """SELECT l_orderkey AS response_id, 'malformed_json' AS reason, '{"content":' AS document
+FROM lineitem WHERE l_partkey % 13 = 0
+UNION ALL SELECT l_orderkey, 'element_not_an_object', '7' FROM lineitem WHERE l_partkey % 13 <> 0 AND l_partkey % 5 = 0""",
+)
+def q_flatten_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.flatten_rejects(fixtures.mixed_responses(spark, sf_dir))
+
+
 # Deterministic stamping of the listings (FIXTURES §3.3).
 STAMP_START = C.STAMP_START
 STAMP_SPAN_SECONDS = 6_220_800
@@ -379,7 +511,7 @@ def q_amplified_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "table_footprint",
     "SELECT CAST(count(*) AS BIGINT) AS n_rows, "
-    "CAST(sum(coalesce(strlen(url), 0) + coalesce(strlen(html), 0)) AS BIGINT) AS n_bytes FROM pages",
+    "CAST(sum(coalesce(strlen(url), 0) + coalesce(strlen(html), 0)) + 8 * count(page_id) AS BIGINT) AS n_bytes FROM pages",
 )
 def q_table_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from funnelworks.sources.tables import read_table
@@ -394,14 +526,14 @@ _PAGE_KEYS = "p_partkey AS page_id"
 
 @register(
     "extract_products",
-    f"""SELECT {_PAGE_KEYS}, p_name AS title, p_brand AS brand,
-       CASE WHEN p_partkey % 7 = 0 OR p_retailprice + p_size * 10 >= 1000 THEN NULL
+    f"""SELECT {_PAGE_KEYS}, 'é ' || p_name AS title, p_brand AS brand,
+       CASE WHEN p_partkey % 7 = 0 OR p_partkey % 11 = 0 OR p_retailprice + p_size * 10 >= 1000 THEN NULL
             ELSE round(p_retailprice + p_size * 10, 2) END AS price,
        CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS discount,
        CAST((p_size % 5) + 0.5 AS DOUBLE) AS rating,
-       CAST(p_partkey * 37 AS INTEGER) AS reviews,
+       CAST(p_partkey AS BIGINT) * 37 AS reviews,
        CASE WHEN p_partkey % 4 = 0 THEN 'Not Available' ELSE 'In Stock' END AS availability,
-       'Type=' || p_type || ';Size=' || CAST(p_size AS VARCHAR) AS detail
+       'Type=' || p_type || ';Size=' || CAST(p_size AS VARCHAR) || ';Pack=ABC' AS detail
 FROM part WHERE p_partkey % 9 <> 0""",
 )
 def q_extract_products(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -411,7 +543,7 @@ def q_extract_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "rejected_pages",
-    f"SELECT {_PAGE_KEYS}, p_name AS title, 'missing_brand' AS reason FROM part WHERE p_partkey % 9 = 0",
+    f"SELECT {_PAGE_KEYS}, 'é ' || p_name AS title, 'missing_brand' AS reason FROM part WHERE p_partkey % 9 = 0",
 )
 def q_rejected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.rejected_pages(fixtures.product_pages(spark, sf_dir))
@@ -424,7 +556,8 @@ _ORIGIN = r"regexp_extract(page_url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
     "extract_links",
     rf"""WITH l AS (
   SELECT page_id, url AS page_url,
-         regexp_extract_all(html, '<a\b[^>]*\bhref="([^"]*)"', 1) AS links
+         list_transform(regexp_extract_all(regexp_replace(html, '<!--.*?-->|<script.*?</script>', '', 'gs'),
+                                           '<a\s[^>]*href="([^"]*)"', 1), lambda h: replace(h, '&amp;', '&')) AS links
   FROM pages),
 x AS (
   SELECT page_id, page_url, unnest(generate_series(0, len(links) - 1)) AS position,
@@ -448,9 +581,9 @@ _SEGMENT = r"/([^/?#]*)(?:[?#].*)?$"
 
 @register(
     "numeric_probe",
-    f"""SELECT page_id, regexp_extract(url, '{_SEGMENT}', 1) AS segment,
-       TRY_CAST(regexp_extract(url, '{_SEGMENT}', 1) AS DOUBLE) IS NOT NULL AS is_number
-FROM pages""",
+    f"""WITH s AS (SELECT page_id, regexp_extract(url, '{_SEGMENT}', 1) AS segment FROM pages)
+SELECT page_id, segment, TRY_CAST(segment AS DOUBLE) IS NOT NULL AS is_number FROM s
+UNION ALL SELECT page_id, page_id || t, t = '_000' FROM s, (VALUES ('d'), ('f'), ('_000'), (',000'), ('x1p3')) v(t)""",
 )
 def q_numeric_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from funnelworks.functions.html import is_number
@@ -458,7 +591,21 @@ def q_numeric_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     pages = read_table(spark, sf_dir, "pages", ["page_id", "url"])
     seg = F.regexp_extract("url", _SEGMENT, 1)
-    return pages.select("page_id", seg.alias("segment"), is_number(seg).alias("is_number"))
+    # Spellings that a SQL cast and Python's float() take differently.
+    tails = F.array(*[F.concat(F.col("page_id").cast("string"), F.lit(t)) for t in ("d", "f", "_000", ",000", "x1p3")])
+    probes = pages.select("page_id", F.explode(F.concat(F.array(seg), tails)).alias("segment"))
+    return probes.select("page_id", "segment", is_number("segment").alias("is_number"))
+
+
+@register(
+    "search_result_links",
+    """WITH l AS (
+  SELECT p_partkey AS page_id, 0 AS position, '/dp/' || p_partkey || '?a=1&b=2' AS link FROM part
+  UNION ALL SELECT p_partkey, 1, '/alt/' || p_partkey FROM part)
+SELECT page_id, CAST(position AS INTEGER) AS position, link, 'https://shop.example.com' || link AS url FROM l""",
+)
+def q_search_result_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.search_result_links(fixtures.result_pages(spark, sf_dir))
 
 
 # ------------------------------------------------------------ envelopes and ingest
@@ -535,8 +682,35 @@ def q_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.read_back(spark, dead).select("key", "value", "reason")
 
 
+@register(
+    "ingest_rejects",
+    """SELECT p_name AS key, CASE WHEN p_partkey % 4 = 0 THEN '[{"id":' || p_partkey || ',"price":"x"}]'
+       ELSE '[null,{"id":' || p_partkey || '}]' END AS value, 'bad_items' AS reason
+FROM part WHERE p_partkey % 4 IN (0, 1)""",
+)
+def q_ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.dead_letters(ingest.parse_envelopes(fixtures.typed_messages(spark, sf_dir), ENVELOPE_ITEM_SCHEMA))
+
+
 # ----------------------------------------------------------------------- connectors
 
+SEGMENTS = [{"segment": "BUILDING", "weight": 2}, {"segment": "MACHINERY", "weight": 3}]
+
+
+@register(
+    "literal_rows",
+    """SELECT segment, CAST(sum(weight) AS BIGINT) AS weight
+FROM customer JOIN (VALUES ('BUILDING', 2), ('MACHINERY', 3)) v(segment, weight) ON c_mktsegment = segment GROUP BY segment""",
+)
+def q_literal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from funnelworks.sources import connectors
+    from funnelworks.sources.tables import read_table
+
+    given = connectors.frame_from_records(spark, SEGMENTS, "segment string, weight bigint")
+    people = read_table(spark, sf_dir, "customer", ["c_mktsegment"])
+    matched = people.join(given, F.col("c_mktsegment") == F.col("segment"))
+    return matched.groupBy("segment").agg(F.sum("weight").alias("weight"))
+
 # The person table of the connector demo is ``customer``; balance stands in for age.
 ROUND_TRIP_MIN_BALANCE = 2000
 

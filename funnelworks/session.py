@@ -83,7 +83,6 @@ def scale_settings(
     input_bytes: int,
     total_cores: int,
     partition_bytes: int = 256 << 20,
-    max_shuffle_partitions: int = 100_000,
 ) -> dict[str, str]:
     """Settings sized to the input for a cluster run (pass them to ``get_session(extra=...)``).
 
@@ -93,7 +92,7 @@ def scale_settings(
       coalesces small ones toward the advisory size and splits skewed join partitions.
     """
     wanted = math.ceil(max(input_bytes, 1) / partition_bytes)
-    shuffle = min(max(2 * total_cores, wanted), max_shuffle_partitions)
+    shuffle = max(2 * total_cores, wanted)
     size = f"{partition_bytes // (1 << 20)}m"
     return {
         "spark.sql.files.maxPartitionBytes": size,
@@ -101,3 +100,24 @@ def scale_settings(
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{2 * partition_bytes // (1 << 20)}m",
     }
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes under a path in whatever store it names (a listing, no job)."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return int(files.getContentSummary(place).getLength())
+
+
+def fit_to_input(spark: SparkSession, path: str) -> dict[str, str]:
+    """Apply ``scale_settings`` for the input at ``path``; what the user has set stays.
+
+    All of them are runtime settings. Returns those that were applied.
+    """
+    sc = spark.sparkContext
+    wanted = scale_settings(stored_bytes(spark, path), sc.defaultParallelism)
+    given = sc.getConf()
+    applied = {k: v for k, v in wanted.items() if not given.contains(k)}
+    for k, v in applied.items():
+        spark.conf.set(k, v)
+    return applied

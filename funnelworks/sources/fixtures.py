@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from funnelworks.operators.partitioning import ensure_parallelism
+from funnelworks.constants import DISCOUNT_CLASS, SEARCH_LINK_CLASS
+from funnelworks.operators.partitioning import shuffle_partitions
 from funnelworks.sources.tables import read_table
 
 
@@ -20,12 +21,7 @@ def product_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     The join is an equi-join; Spark/AQE picks broadcast only when the measured size of
     ``part`` is under the threshold, else sort-merge with skew splitting.
     """
-    # JSON parsing, the join and the derived columns are per-row CPU work: spread a
-    # few-split input over the task slots (no-op when the scan already has enough splits;
-    # filters written later still push through to the scan).
-    events = ensure_parallelism(
-        read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value", "props"])
-    )
+    events = read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value", "props"])
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type"])
     keyed = events.withColumn(
         "k", F.get_json_object("props", "$.k").try_cast("bigint")
@@ -61,8 +57,7 @@ def sales_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Listing element shape of the search responses, and listings per response page.
-LISTING_FIELDS = "asin string, price double, line int"
+# Listings per response page.
 RESULTS_PER_PAGE = 20
 
 
@@ -119,25 +114,32 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     Gaps by ``p_partkey``: %5=0 title in ``h1#title`` instead of ``#productTitle``;
     %7=0 no price; %3=0 a discount; %9=0 no brand row (rejected); %4=0 no availability.
     Prices of 1,000 or more carry a thousands separator (the reference's float() fails).
+    Ordinary markup that a parser must read as a document: an attribute whose name ends like
+    a sought one, a commented-out title, a character reference in every title, upper-case
+    tags with single quotes, prices one element deeper (%2=0) or with a suffix (%11=0),
+    blocks and cells with elements inside.
     """
-    from funnelworks.constants import DISCOUNT_CLASS
-
-    # Spread the small part rows (not the generated pages) when the scan has few splits:
-    # page text is then built in parallel and never shuffled.
-    p = ensure_parallelism(read_table(
+    # The small part rows are spread, not the generated pages: page text is built and parsed
+    # in as many tasks as the session's shuffles have, and never shuffled.
+    p = read_table(
         spark, sf_dir, "part",
         ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
-    ))
+    ).repartition(shuffle_partitions(spark), "p_partkey")
     k = F.col("p_partkey")
     name, brand, ptype = _escape(F.col("p_name")), _escape(F.col("p_brand")), _escape(F.col("p_type"))
     empty = F.lit("")
+    decoys = F.lit('<span data-id="productTitle">Other</span><!-- <span id="productTitle">Old</span> -->')
+    name = F.concat(F.lit("&eacute; "), name)
     title = F.when(
         k % 5 == 0, F.concat(F.lit('<h1 id="title" class="a-size-large">\n      '), name, F.lit("\n    </h1>"))
     ).otherwise(F.concat(F.lit('<span id="productTitle" class="a-size-large product-title-word-break">\n      '), name, F.lit("\n    </span>")))
+    amount = F.concat(
+        F.lit("$"), F.format_number(F.col("p_retailprice") + F.col("p_size") * 10, 2),
+        F.when(k % 11 == 0, F.lit("f")).otherwise(empty),
+    )
+    amount = F.when(k % 2 == 0, F.concat(F.lit("<b>"), amount, F.lit("</b>"))).otherwise(amount)
     price = F.when(k % 7 == 0, empty).otherwise(
-        F.concat(F.lit('<span class="a-price"><span class="a-offscreen">$'),
-                 F.format_number(F.col("p_retailprice") + F.col("p_size") * 10, 2),
-                 F.lit("</span></span>"))
+        F.concat(F.lit('<span class="a-price"><span class="x a-offscreen">'), amount, F.lit("</span></span>"))
     )
     discount = F.when(
         k % 3 == 0,
@@ -148,12 +150,12 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" out of 5 stars</span>"),
     )
     reviews = F.concat(
-        F.lit('<span id="acrCustomerReviewText" class="a-size-base">'),
-        F.format_number(k * 37, 0), F.lit(" ratings</span>"),
+        F.lit("<SPAN class='a-size-base' ID='acrCustomerReviewText'>"),
+        F.format_number(k * 37, 0), F.lit(" ratings</SPAN>"),
     )
     availability = F.when(k % 4 == 0, empty).otherwise(
         F.lit('<div id="availability" class="a-section a-spacing-base">'
-              '<span class="a-size-medium a-color-success">\n        In Stock\n      </span></div>')
+              '<div class="pre"><div></div></div><span class="a-size-medium a-color-success">\n        In Stock\n      </span></div>')
     )
     brand_row = F.when(k % 9 == 0, empty).otherwise(
         F.concat(F.lit('<table class="a-normal"><tr class="a-spacing-small po-brand">'
@@ -169,11 +171,11 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(' </td></tr><tr><th class="a-color-secondary prodDetSectionEntry"> Size </th>'
               '<td class="a-size-base prodDetAttrValue"> '),
         F.col("p_size").cast("string"),
-        F.lit(" </td></tr></table>"),
+        F.lit(" </td></tr><tr><th>Pack</th><td> A <b>B</b> C </td></tr></table>"),
     )
     html = F.concat(
         F.lit("<!DOCTYPE html><html><head><title>"), name, F.lit("</title></head><body><div id=\"dp\">\n"),
-        title, price, discount, rating, reviews, availability, brand_row, detail,
+        decoys, title, price, discount, rating, reviews, availability, brand_row, detail,
         F.lit("\n</div></body></html>"),
     )
     return p.select(
@@ -183,6 +185,56 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search-result page per part: ``page_id, url, html`` with two result links (one with
+    a character reference, one in single quotes beside a ``data-href``), and links that are
+    none: another class, and one commented out."""
+    k = read_table(spark, sf_dir, "part", ["p_partkey"]).select(F.col("p_partkey").cast("string").alias("k"))
+    k = k.repartition(shuffle_partitions(spark), "k")
+    html = F.concat(
+        F.lit(f'<html><body><a class="a-link-normal" href="/nav">n</a><!-- <a class="{SEARCH_LINK_CLASS}" href="/old">o</a> -->'
+              f'<a class="{SEARCH_LINK_CLASS}" href="/dp/'),
+        F.col("k"), F.lit("""?a=1&amp;b=2">1</a><A data-href='/wrong' HREF='/alt/"""),
+        F.col("k"), F.lit(f"' class='{SEARCH_LINK_CLASS}'>2</A></body></html>"),
+    )
+    return k.select(
+        F.col("k").cast("bigint").alias("page_id"), F.lit("https://shop.example.com/s?k=a").alias("url"), html.alias("html")
+    )
+
+
+def mixed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search response per order line, ``response_id, body``: listings with fields
+    beyond the declared ones, a price that is no number (%3=0), a non-object beside the
+    listing (%5=0), and bodies that are no JSON (%13=0); modulo on the line's part."""
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])
+    k = F.col("l_partkey")
+    listing = F.concat(
+        F.lit('{"asin":"'), k.cast("string"), F.lit('","price":'),
+        F.when(k % 3 == 0, F.lit('"n/a"')).otherwise(F.col("l_extendedprice").cast("string")),
+        F.lit(',"line":'), F.col("l_linenumber").cast("string"),
+        F.lit(',"seller":{"id":'), F.col("l_orderkey").cast("string"), F.lit("}}"),
+    )
+    more = F.when(k % 5 == 0, F.lit(",7")).otherwise(F.lit(""))
+    body = F.when(k % 13 == 0, F.lit('{"content":')).otherwise(
+        F.concat(F.lit('{"content":{"results":{"organic":['), listing, more, F.lit("]}}}"))
+    )
+    return li.select(F.col("l_orderkey").alias("response_id"), body.alias("body"))
+
+
+def typed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message per part (``key, value``) by ``p_partkey % 4``: a field that does not convert,
+    a null among the items, a number as text, a null field."""
+    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name"])
+    k, kind = F.col("p_partkey").cast("string"), F.col("p_partkey") % 4
+    value = (
+        F.when(kind == 0, F.concat(F.lit('[{"id":'), k, F.lit(',"price":"x"}]')))
+        .when(kind == 1, F.concat(F.lit('[null,{"id":'), k, F.lit("}]")))
+        .when(kind == 2, F.concat(F.lit('[{"id":'), k, F.lit(',"price":"12.5"}]')))
+        .otherwise(F.concat(F.lit('[{"id":'), k, F.lit(',"price":null}]')))
+    )
+    return p.select(F.col("p_name").alias("key"), value.alias("value"))
+
+
 # Kinds of invalid message derived from each part, by ``p_partkey % 6``.
 BAD_MESSAGE_KINDS = 6
 

@@ -10,11 +10,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from funnelworks.constants import BULK_ROWS
+# A partition folder cannot hold the empty text (it reads back as NULL), so that value and
+# those that would collide with it are stored behind this sign.
+ESCAPE = "~"
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+
+
+def escape_partition(c: Column) -> Column:
+    """A partition value as it is stored; NULL stays NULL."""
+    special = c.isin("", NULL_FOLDER) | c.startswith(ESCAPE)
+    return F.when(special, F.concat(F.lit(ESCAPE), c)).otherwise(c)
+
+
+def restore_partition(c: Column) -> Column:
+    return F.when(c.startswith(ESCAPE), F.substring(c, 2, 1 << 30)).otherwise(c)
 
 
 def write_partitioned(
@@ -30,15 +43,17 @@ def write_partitioned(
     Rows are range-partitioned on ``(partition_col, *sort_cols)`` rather than hashed on
     ``partition_col`` alone: a category holding a third of all rows is spread over many
     writer tasks (sampled range bounds), each writing a few sorted files, while small
-    categories still land in one file.
+    categories still land in one file. Files are as large as the writers' share of the data.
+    Text values go through ``escape_partition``; ``read_back`` restores them.
     """
+    if df.schema[partition_col].dataType.simpleString() == "string":
+        df = df.withColumn(partition_col, escape_partition(F.col(partition_col)))
     ordered = df.repartitionByRange(partition_col, *sort_cols).sortWithinPartitions(
         partition_col, *sort_cols
     )
     (
         ordered.write.mode(mode)
         .format(fmt)
-        .option("maxRecordsPerFile", BULK_ROWS)
         .partitionBy(partition_col)
         .save(path)
     )
@@ -46,8 +61,8 @@ def write_partitioned(
 
 
 def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> str:
-    """Append in bounded files (S11/S15: bulk insert in chunks of 100,000)."""
-    df.write.mode("append").format(fmt).option("maxRecordsPerFile", BULK_ROWS).save(path)
+    """Append (S11/S15: the bulk insert); every task writes its share as one file."""
+    df.write.mode("append").format(fmt).save(path)
     return path
 
 
@@ -68,14 +83,23 @@ def overwrite_days(df: DataFrame, path: str, day_col: str = "day", fmt: str = "p
 
 
 def read_back(
-    spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | str | None = None
+    spark: SparkSession,
+    path: str,
+    fmt: str = "parquet",
+    schema: StructType | str | None = None,
+    partition_col: str | None = None,
 ) -> DataFrame:
     """Read a written table. Pass the written schema so partition values keep their type
-    (a collection named ``"2024"`` stays a string instead of being inferred as a number)."""
+    (a collection named ``"2024"`` stays a string instead of being inferred as a number),
+    and ``partition_col`` to restore the values of a text column that ``write_partitioned``
+    stored; a filter on it still prunes folders."""
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.load(path)
+    out = reader.load(path)
+    if partition_col:
+        out = out.withColumn(partition_col, restore_partition(F.col(partition_col)))
+    return out
 
 
 def stored_footprint(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

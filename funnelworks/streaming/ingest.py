@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from funnelworks.constants import POLL_RECORDS  # noqa: F401 - the reference's poll size
-
 # Scraped product fields carried in a message.
 PRODUCT_ITEM_SCHEMA = (
     "title string, brand string, price double, discount double, rating double, "
@@ -37,6 +35,17 @@ def collection_name(key: str | Column) -> Column:
     return F.lower(F.replace(k, F.lit(" "), F.lit("_")))
 
 
+def _unfit(item: Column, item_schema: str) -> Column:
+    """An item that is no object, or has a field, not null, that does not convert."""
+    bad = ~F.coalesce(F.schema_of_variant(item).startswith("OBJECT"), F.lit(False))
+    for f in T.StructType.fromDDL(item_schema).fields:
+        path = f"$.{f.name}"
+        raw = F.try_variant_get(item, path, "variant")
+        typed = F.try_variant_get(item, path, f.dataType.simpleString())
+        bad = bad | (raw.isNotNull() & ~F.is_variant_null(raw) & typed.isNull())
+    return bad
+
+
 def parse_envelopes(messages: DataFrame, item_schema: str = PRODUCT_ITEM_SCHEMA) -> DataFrame:
     """Decode key/value and classify each message: ``key, raw_key, value, items, reason``.
 
@@ -54,12 +63,14 @@ def parse_envelopes(messages: DataFrame, item_schema: str = PRODUCT_ITEM_SCHEMA)
     parsed = F.try_parse_json(value)
     shape = F.schema_of_variant(parsed)
     items = F.try_variant_get(parsed, "$", f"array<struct<{item_schema}>>")
+    elements = F.try_variant_get(parsed, "$", "array<variant>")
+    unfit = F.exists(elements, lambda x: _unfit(x, item_schema))
     reason = (
         F.when(key.isNull(), F.lit(REASONS[0]))
         .when(value.isNull(), F.lit(REASONS[1]))
         .when(parsed.isNull(), F.lit(REASONS[2]))
         .when(~shape.startswith("ARRAY"), F.lit(REASONS[3]))
-        .when(~shape.startswith("ARRAY<OBJECT") | items.isNull(), F.lit(REASONS[4]))
+        .when(~shape.startswith("ARRAY<OBJECT") | items.isNull() | unfit, F.lit(REASONS[4]))
     )
     return messages.select(
         key.alias("key"), raw_key.alias("raw_key"), value.alias("value"),
@@ -108,8 +119,7 @@ def kafka_source(
 ) -> DataFrame:
     """The topic as a stream of ``key, value`` strings.
 
-    ``max_offsets`` caps records per micro-batch: ``POLL_RECORDS`` reproduces the
-    reference's poll size; the default (no cap) lets a trigger take everything available,
+    ``max_offsets`` caps records per micro-batch (the reference polls 100); the default (no cap) lets a trigger take everything available,
     which is what a cluster wants. Results do not depend on it: the ingest is stateless.
     Needs the Spark Kafka connector on the classpath. Offsets are tracked by the query
     checkpoint (T3) instead of a consumer group.

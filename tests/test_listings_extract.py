@@ -144,3 +144,53 @@ def test_strip_commas_option(spark):
     pages = spark.createDataFrame([(1, PAGE)], "page_id bigint, html string")
     assert extract.extract_pages(pages).first().price is None
     assert extract.extract_pages(pages, strip_commas=True).first().price == 1299.0
+
+
+def test_flatten_keeps_documents_and_names_rejects(spark):
+    odd = {"asin": "b", "price": "n/a", "line": 2, "seller": {"id": 9}}
+    bodies = [
+        json.dumps({"content": {"results": {"organic": [odd, None, 7, {}], "amazons_choices": []}}}),
+        json.dumps({"content": {"results": [1]}}),
+        '{"content":',
+        '{"content":{"results":{"organic":[{"asin":"a","asin":"b"}]}}}',   # a repeated key
+        None,
+    ]
+    responses = _responses(spark, bodies)
+    flat = listings.flatten_listings(responses, document_col="listing").collect()
+    assert [(r.asin, r.price, r.line) for r in flat] == [("b", None, 2), (None, None, None)]
+    assert json.loads(flat[0].listing) == odd
+    got = sorted((r.response_id, r.reason) for r in listings.flatten_rejects(responses).collect())
+    assert got == [(0, "element_not_an_object"), (0, "element_not_an_object"), (1, "results_not_an_object"),
+                   (2, "malformed_json"), (3, "malformed_json"), (4, "malformed_json")]
+    assert listings.flatten_listings(responses)._jdf.queryExecution().executedPlan().toString().count("parseJson(") == 1
+
+
+def test_pages_are_read_as_documents():
+    from funnelworks.functions import dom
+
+    assert dom.product_fields(None)["title"] == "" and dom.product_fields("")["reviews"] == 0
+    f = dom.product_fields("<SPAN ID='productTitle'>A <script>x</script>&#8217;B&nbsp;</SPAN>"
+                           "<span class='a-offscreen'>&pound;12.00</span>"
+                           "<span id=acrCustomerReviewText>3,000,000,000 ratings</span>"
+                           "<div id='availability'><div><div></div></div><span><b> In Stock </b></span></div>"
+                           "<tr class='z po-brand'><td>B</td><td><table><td>x</td></table> y</td></tr>")
+    assert f["title"] == "A \u2019B" and f["price"] == 12.0 and f["reviews"] == 3_000_000_000
+    assert f["availability"] == "In Stock" and f["brand"] == "x y"
+    two = dom.product_fields("<span class='a-offscreen'><b>$1</b>2</span><div id='availability'><span></span></div>")
+    assert two["price"] is None and two["availability"] == "Not Available"
+    assert dom.product_fields("<div>" * 20_000 + "<span id='productTitle'>deep")["title"] == "deep"
+    assert dom.anchor_links("<a href='/x?a=1&amp;b=2' data-href='/no'>1</a><!-- <a href='/c'> --><a>none</a>") == ["/x?a=1&b=2"]
+
+
+def test_many_copies_are_made_by_several_tasks(spark):
+    out = listings.amplify(spark.range(3).coalesce(1), 20_500)
+    assert out.count() == 61_500 and out.select("id", "copy").distinct().count() == 61_500
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_number_syntax(spark):
+    from funnelworks.functions.html import is_number
+
+    texts = ["1", " 1.5e3 ", "1_000", "-.5", "nan", "Infinity", "1d", "2f", "0x1p3", "1__0", "", "1,0", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(is_number("t")).collect()
+    assert [r[0] for r in got] == [True] * 6 + [False] * 7

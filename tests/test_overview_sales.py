@@ -119,7 +119,23 @@ def test_api_sale_change_for_one_day(spark):
     daily = sales.daily_sales(_listings(spark))
     rows = api.sales_change(daily, "1997-05-02").collect()
     assert [(r.day.day, r.sales, r.prev_sales, r.delta) for r in rows] == [(2, 5.5, 10.0, -4.5)]
-    assert api.sales_change(daily, "1997-05-04").count() == 0   # no sales the day before
+    alone = api.sales_change(daily, "1997-05-04").first()        # no sales the day before
+    assert (alone.sales, alone.prev_sales, alone.delta, alone.pct) == (1.0, None, None, None)
+    assert api.sales_change(daily, "1997-06-04").count() == 0
+
+
+def test_sales_are_exact_and_ignore_text(spark):
+    t = dt.datetime(1997, 5, 1)
+    li = spark.createDataFrame([(t, 0.001), (t, 0.001)], "timestamp timestamp_ntz, price double")
+    assert sales.daily_sales(li).first().sales == 0.002
+    text = spark.createDataFrame([(t, "12.5")], "timestamp timestamp_ntz, price string")
+    assert sales.daily_sales(text).first().sales == 0.0
+    assert sales.daily_sales(text, parse_text=True).first().sales == 12.5
+
+
+def test_api_first_event(spark):
+    from funnelworks import api
+
     assert api.first_event(_ev(spark)).first().event_id == 1
 
 

@@ -76,7 +76,7 @@ def test_scale_settings_bounds():
     small = scale_settings(10 << 20, 8)
     assert small["spark.sql.shuffle.partitions"] == "16"
     big = scale_settings(100 * 10**12, 8000)
-    assert int(big["spark.sql.shuffle.partitions"]) == 100_000
+    assert int(big["spark.sql.shuffle.partitions"]) == 372_530   # 100 TB in pieces of 256 MB
     mid = scale_settings(1 << 40, 800)
     assert int(mid["spark.sql.shuffle.partitions"]) == 4096
 
@@ -132,15 +132,8 @@ def test_stored_footprint_counts_files_and_bytes(spark, tmp_dir):
     assert got.n_bytes == sum(os.path.getsize(os.path.join(out, f)) for f in files)
 
 
-def test_parallelism_guard_and_bounded_broadcast(spark):
+def test_bounded_broadcast(spark):
     from funnelworks.operators.joins import MAX_BROADCAST_ROWS, bounded_broadcast
-    from funnelworks.operators.partitioning import ensure_parallelism, task_slots
-
-    slots = task_slots(spark)
-    wide = spark.range(1000).repartition(slots * 2)
-    assert ensure_parallelism(wide) is wide                      # enough splits: plan untouched
-    narrow = spark.range(1000).coalesce(1)
-    assert ensure_parallelism(narrow).rdd.getNumPartitions() == slots
 
     small = spark.range(10)
     assert bounded_broadcast(small, MAX_BROADCAST_ROWS + 1) is small   # over the bound: no hint
@@ -156,3 +149,28 @@ def test_declared_schemas_match_files(spark):
     for name in SCHEMAS:
         assert read_table(spark, SMOKE_DIR, name).schema.simpleString() == \
             spark.read.parquet(table_path(SMOKE_DIR, name)).schema.simpleString()
+
+
+def test_stored_category_values_come_back(spark, tmp_dir):
+    from funnelworks.sources import sinks
+
+    values = ["", "~", "~x", "__HIVE_DEFAULT_PARTITION__", "a b", None]
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "category string, n int")
+    path = sinks.write_partitioned(df, f"{tmp_dir}/t", "category", ["n"])
+    back = sinks.read_back(spark, path, schema=df.schema, partition_col="category")
+    assert {r.n: r.category for r in back.collect()} == dict(enumerate(values))
+    assert back.where("category = ''").first().n == 0
+
+
+def test_sizing_follows_the_input(spark, tmp_dir):
+    from funnelworks.session import fit_to_input, stored_bytes
+
+    spark.range(1000).write.parquet(f"{tmp_dir}/t")
+    assert stored_bytes(spark, f"{tmp_dir}/t") > 0
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    applied = fit_to_input(spark, f"{tmp_dir}/t")
+    assert applied["spark.sql.files.maxPartitionBytes"] == "256m" == spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert "spark.sql.shuffle.partitions" not in applied         # given by the session's user
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    for key in applied:
+        spark.conf.unset(key)
