@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import os
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -109,6 +110,27 @@ def _workers_find_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), root])
 
 
+# Rows of the Arrow batches that tasks get. Spark's 10,000 rows of text are tens of MB on
+# both sides of the pipe for every task.
+ARROW_ROWS = 1000
+ARROW_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+SPARK_ARROW_ROWS = "10000"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size, unless its user has set one."""
+    if spark.conf.get(ARROW_SETTING) == SPARK_ARROW_ROWS:
+        spark.conf.set(ARROW_SETTING, str(ARROW_ROWS))
+
+
+def _give_back_memory() -> None:
+    """Hand a worker's free memory back, as it stays alive idle after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str, size: int = OUT_ROWS) -> DataFrame:
     """Run a generator over the rows of each partition, in Arrow batches both ways."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -116,8 +138,10 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], sc
 
     arrow = to_arrow_schema(StructType.fromDDL(schema))
     _workers_find_package(df.sparkSession)
+    _small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from in_batches(fn(rows_of(batches)), arrow, size)
+        _give_back_memory()
 
     return df.mapInArrow(run, schema)
