@@ -87,7 +87,7 @@ class Items:
     def __init__(self, rows: list[tuple]) -> None:
         words, ends = word_hashes([t for _, t in rows])
         by_size: dict[int, tuple[list, list]] = {}
-        for (item, _), own in zip(rows, np.split(words, ends[:-1]), strict=True):
+        for (item, _), own in zip(rows, np.split(words, ends)[:-1], strict=True):
             if len(own):
                 ids, held = by_size.setdefault(len(own), ([], []))
                 ids.append(item)
