@@ -10,14 +10,16 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from funnelworks.functions.paths import half_open_day_range, parse_day, to_day
-from funnelworks.operators.partitioning import task_slots
+from funnelworks.session import path_exists
 from funnelworks.sources import sinks
 
+DAILY_SCHEMA = "day date, sales double, month string"
+
 
 def _numeric_price(df: DataFrame, price_col: str, parse_text: bool) -> Column:
     """``$sum`` ignores non-numbers (D3), text that reads as a number included, unless asked."""
@@ -117,12 +119,16 @@ def sales_change(daily: DataFrame, day: str | dt.date | None = None) -> DataFram
 
 
 def store_daily_sales(daily: DataFrame, path: str) -> str:
-    """Write the daily rows partitioned by day; re-runs replace the same days.
+    """Merge the daily rows into the stored table; re-runs replace the same days.
 
-    Every day is one small file. The table has one row per day, so it is cheap to
-    re-spread by day over the task slots with an explicit count (which AQE keeps), and the
-    day files are written in parallel instead of by the single task AQE would coalesce
-    the small aggregate into.
+    The table is partitioned by month, one file of at most 31 rows each. Only months with a
+    new day are written again; the days they hold already stay unless ``daily`` has them.
     """
-    slots = task_slots(daily.sparkSession)
-    return sinks.overwrite_days(daily.repartition(slots, "day"), path, "day")
+    month = F.date_format("day", "yyyy-MM").alias("month")
+    merged = daily.select("day", "sales", month, F.lit(1).alias("_new"))
+    if path_exists(daily.sparkSession, path):
+        stored = daily.sparkSession.read.schema(DAILY_SCHEMA).parquet(path)
+        merged = merged.unionByName(stored.select("day", "sales", month, F.lit(0).alias("_new")))
+    days = merged.groupBy("month", "day").agg(F.max_by("sales", "_new").alias("sales"), F.max("_new").alias("_new"))
+    touched = days.withColumn("_new", F.max("_new").over(Window.partitionBy("month"))).where("_new = 1").drop("_new")
+    return sinks.overwrite_partitions(touched, path, "month")

@@ -409,7 +409,7 @@ def q_daily_sales_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
         sales.store_daily_sales(
             sales.daily_sales(_listings(spark, sf_dir), SALES_FROM, SALES_TO), path
         )
-    return _cents(sinks.read_back(spark, path, schema="sales double, day date").select("day", "sales"))
+    return _cents(sinks.read_back(spark, path, schema=sales.DAILY_SCHEMA).select("day", "sales"))
 
 
 # ------------------------------------------------------------------------- listings
@@ -635,20 +635,19 @@ def q_batch_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _envelopes(spark, sf_dir)
 
 
-def _ingested(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """Write the message files (good batches + bad messages), stream them in, return sinks."""
+def _ingested(spark: SparkSession, sf_dir: str) -> str:
+    """Write the message files (good batches + bad messages), stream them in, return the table."""
     root = shared_path(spark, "ingest")
     messages = _envelopes(spark, sf_dir).select("key", "value").unionByName(
         fixtures.bad_messages(spark, sf_dir)
     )
     # Two files and one file per trigger: the stream commits two micro-batches.
     messages.repartition(2).write.mode("overwrite").json(f"{root}/topic")
-    out, dead = f"{root}/items", f"{root}/dead_letters"
     ingest.run_ingest(
         ingest.envelope_file_source(spark, f"{root}/topic", max_files=1),
-        out, dead, f"{root}/checkpoints", ENVELOPE_ITEM_SCHEMA,
+        f"{root}/ingested", f"{root}/checkpoint", ENVELOPE_ITEM_SCHEMA,
     )
-    return out, dead
+    return f"{root}/ingested"
 
 
 @register(
@@ -656,9 +655,7 @@ def _ingested(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     f"SELECT replace(lower(key), ' ', '_') AS collection, id, brand, price FROM ({_ITEMS_SQL})",
 )
 def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, _ = _ingested(spark, sf_dir)
-    schema = f"{ENVELOPE_ITEM_SCHEMA}, collection string"
-    return sinks.read_back(spark, out, schema=schema).select("collection", "id", "brand", "price")
+    return ingest.read_items(spark, _ingested(spark, sf_dir), ENVELOPE_ITEM_SCHEMA)
 
 
 _KIND = f"p_partkey % {fixtures.BAD_MESSAGE_KINDS}"
@@ -678,8 +675,7 @@ _KIND = f"p_partkey % {fixtures.BAD_MESSAGE_KINDS}"
 FROM part""",
 )
 def q_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, dead = _ingested(spark, sf_dir)
-    return sinks.read_back(spark, dead).select("key", "value", "reason")
+    return ingest.read_dead_letters(spark, _ingested(spark, sf_dir), ENVELOPE_ITEM_SCHEMA)
 
 
 @register(

@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -22,6 +24,8 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A checkpoint's files go when no plan refers to it any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -74,9 +78,43 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+# Folders that ``dropping_tables`` is to delete, innermost last; none are noted outside of it.
+_noted: list[list[str]] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint root for one written table."""
-    return f"{checkpoint_root(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    if _noted:
+        _noted[-1].append(path)
+    return path
+
+
+@contextmanager
+def dropping_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that the enclosed work wrote to ``shared_path`` folders, at its end.
+
+    For jobs that have stored their result elsewhere by then; a DataFrame that still reads
+    one of those tables fails afterwards.
+    """
+    _noted.append([])
+    try:
+        yield
+    finally:
+        for path in _noted.pop():
+            place, files = _hadoop(spark, path)
+            files.delete(place, True)
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store it names."""
+    place, files = _hadoop(spark, path)
+    return bool(files.exists(place))
 
 
 def scale_settings(
@@ -104,8 +142,7 @@ def scale_settings(
 
 def stored_bytes(spark: SparkSession, path: str) -> int:
     """Bytes under a path in whatever store it names (a listing, no job)."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    place, files = _hadoop(spark, path)
     return int(files.getContentSummary(place).getLength())
 
 

@@ -66,17 +66,17 @@ def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     return path
 
 
-def overwrite_days(df: DataFrame, path: str, day_col: str = "day", fmt: str = "parquet") -> str:
-    """Replace only the day partitions present in ``df``.
+def overwrite_partitions(df: DataFrame, path: str, partition_col: str, fmt: str = "parquet") -> str:
+    """Replace only the partitions present in ``df`` (S12); the others stay as they are.
 
-    Dynamic partition overwrite makes a re-run rewrite the same days instead of
+    Dynamic partition overwrite makes a re-run rewrite the same partitions instead of
     appending duplicates.
     """
     (
         df.write.mode("overwrite")
         .format(fmt)
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(day_col)
+        .partitionBy(partition_col)
         .save(path)
     )
     return path

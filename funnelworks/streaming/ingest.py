@@ -4,11 +4,12 @@ The reference consumer polls the topic, keeps messages with a key and a JSON lis
 value, and inserts the list into a collection named after the key; anything else is
 printed and dropped, and malformed JSON stops the consumer. Here:
 
-* validation and decoding are column expressions over each micro-batch;
-* good items are exploded and appended to one table partitioned by ``collection``;
-* every rejected message goes to a dead-letter table with its reason;
-* both sinks are file sinks with their own checkpoint, so each micro-batch is committed
-  exactly once and a restart resumes from the last committed offsets.
+* validation and decoding are column expressions over each micro-batch, read and parsed once;
+* good items are exploded and appended to one table partitioned by ``status`` and
+  ``collection``; every rejected message goes to the same table with its reason, under its
+  own status, so one query feeds both and neither read touches the other's files;
+* the sink is a file sink with a checkpoint, so each micro-batch is committed exactly once
+  and a restart resumes from the last committed offsets.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from funnelworks.sources import sinks
+
 # Scraped product fields carried in a message.
 PRODUCT_ITEM_SCHEMA = (
     "title string, brand string, price double, discount double, rating double, "
@@ -57,25 +60,22 @@ def parse_envelopes(messages: DataFrame, item_schema: str = PRODUCT_ITEM_SCHEMA)
       item whose field cannot convert is dead-lettered as ``bad_items`` whole, where a
       schemaless store would have taken it as is
     """
-    raw_key = F.col("key").cast("string")
-    key = F.nullif(raw_key, F.lit(""))
-    value = F.col("value").cast("string")
-    parsed = F.try_parse_json(value)
+    raw_key, text = F.col("key").cast("string"), F.col("value").cast("string")
+    # A step of its own: the optimiser does not copy the parse into the many uses below.
+    decoded = messages.select(raw_key.alias("raw_key"), text.alias("value"), F.try_parse_json(text).alias("parsed"))
+    key, parsed = F.nullif(F.col("raw_key"), F.lit("")), F.col("parsed")
     shape = F.schema_of_variant(parsed)
     items = F.try_variant_get(parsed, "$", f"array<struct<{item_schema}>>")
     elements = F.try_variant_get(parsed, "$", "array<variant>")
     unfit = F.exists(elements, lambda x: _unfit(x, item_schema))
     reason = (
         F.when(key.isNull(), F.lit(REASONS[0]))
-        .when(value.isNull(), F.lit(REASONS[1]))
+        .when(F.col("value").isNull(), F.lit(REASONS[1]))
         .when(parsed.isNull(), F.lit(REASONS[2]))
         .when(~shape.startswith("ARRAY"), F.lit(REASONS[3]))
         .when(~shape.startswith("ARRAY<OBJECT") | items.isNull() | unfit, F.lit(REASONS[4]))
     )
-    return messages.select(
-        key.alias("key"), raw_key.alias("raw_key"), value.alias("value"),
-        items.alias("items"), reason.alias("reason"),
-    )
+    return decoded.select(key.alias("key"), "raw_key", "value", items.alias("items"), reason.alias("reason"))
 
 
 def routed_items(parsed: DataFrame) -> DataFrame:
@@ -92,26 +92,38 @@ def dead_letters(parsed: DataFrame) -> DataFrame:
     )
 
 
-# Writers per collection in one micro-batch: bounds the files a collection gets per batch
-# and spreads a hot collection over that many tasks.
-WRITERS_PER_COLLECTION = 8
+ACCEPTED, REJECTED = "items", "dead_letters"
+MESSAGE_SCHEMA = "key string, value string, reason string"
+
+
+def routed_rows(parsed: DataFrame) -> DataFrame:
+    """Rows of the ingest table: one an item of an accepted message, one a rejected message.
+
+    ``status, collection, item, message``; ``item`` or ``message`` is NULL by the status. A
+    choice per message, not a filter per output, so that a message is parsed once.
+    """
+    accepted = F.col("reason").isNull()
+    no_item = F.lit(None).cast(parsed.schema["items"].dataType.elementType)
+    no_message = F.lit(None).cast(f"struct<{MESSAGE_SCHEMA}>")
+    message = F.struct(F.col("raw_key").alias("key"), "value", "reason")
+    rows = F.when(
+        accepted, F.transform("items", lambda item: F.struct(item.alias("item"), no_message.alias("message")))
+    ).otherwise(F.array(F.struct(no_item.alias("item"), message.alias("message"))))
+    return parsed.select(
+        F.when(accepted, F.lit(ACCEPTED)).otherwise(F.lit(REJECTED)).alias("status"),
+        F.when(accepted, collection_name("key")).alias("collection"),
+        F.inline(rows),
+    )
 
 
-def spread_by_collection(items: DataFrame, writers: int = WRITERS_PER_COLLECTION) -> DataFrame:
-    """Hash-partition items on (collection, content-hash salt) before the partitioned write.
+def spread_by_collection(rows: DataFrame) -> DataFrame:
+    """Bring the rows of a collection together before the partitioned write.
 
-    Without it every input task writes one file per collection it sees (input partitions ×
-    collections small files per trigger). With it a collection is written by at most
-    ``writers`` tasks, and a collection holding most of a batch still spreads over them.
-    The salt is a hash of the item, so a retried task routes rows the same way.
+    Without it every input task writes one file per collection it sees. The rebalance is
+    sized from the batch at run time: small collections share a task, and one that holds
+    most of a batch is split over as many tasks of the advisory size as it needs.
     """
-    # maps cannot be hashed directly: hash their JSON text
-    hashable = [
-        F.to_json(F.col(f.name)) if isinstance(f.dataType, T.MapType) else F.col(f.name)
-        for f in items.schema.fields
-    ]
-    salt = F.pmod(F.xxhash64(*hashable), F.lit(writers))
-    return items.repartition("collection", salt)
+    return rows.hint("rebalance", "status", "collection")
 
 
 def kafka_source(
@@ -148,43 +160,41 @@ def envelope_file_source(spark: SparkSession, path: str, max_files: int = 1) ->
 def ingest_stream(
     source: DataFrame,
     out_path: str,
-    dead_letter_path: str,
     checkpoint_path: str,
     item_schema: str = PRODUCT_ITEM_SCHEMA,
     available_now: bool = True,
-) -> list[StreamingQuery]:
-    """Start the routed-items and dead-letter sinks over one message stream (T4, T5).
+) -> StreamingQuery:
+    """Start the one query that writes items and dead letters of a message stream (T4, T5).
 
     ``available_now`` processes what is there and stops (batch-like runs, tests);
-    otherwise the queries run with the default micro-batch trigger.
+    otherwise the query runs with the default micro-batch trigger. ``read_items`` and
+    ``read_dead_letters`` give the two tables.
     """
-    parsed = parse_envelopes(source, item_schema)
-    queries = []
-    for name, df, path, parts in (
-        ("items", spread_by_collection(routed_items(parsed)), out_path, ["collection"]),
-        ("dead_letters", dead_letters(parsed), dead_letter_path, []),
-    ):
-        writer = (
-            df.writeStream.format("parquet")
-            .option("checkpointLocation", f"{checkpoint_path.rstrip('/')}/{name}")
-            .outputMode("append")
-        )
-        if parts:
-            writer = writer.partitionBy(*parts)
-        writer = writer.trigger(availableNow=True) if available_now else writer
-        queries.append(writer.start(path))
-    return queries
-
-
-def run_ingest(
-    source: DataFrame,
-    out_path: str,
-    dead_letter_path: str,
-    checkpoint_path: str,
-    item_schema: str = PRODUCT_ITEM_SCHEMA,
-) -> None:
-    """Ingest everything available now and wait for both sinks to finish."""
-    for q in ingest_stream(source, out_path, dead_letter_path, checkpoint_path, item_schema, True):
-        q.awaitTermination()
-        if q.exception() is not None:
-            raise RuntimeError(f"stream {q.name or q.id} failed: {q.exception()}")
+    writer = (
+        spread_by_collection(routed_rows(parse_envelopes(source, item_schema)))
+        .writeStream.format("parquet")
+        .option("checkpointLocation", checkpoint_path)
+        .outputMode("append")
+        .partitionBy("status", "collection")
+    )
+    return (writer.trigger(availableNow=True) if available_now else writer).start(out_path)
+
+
+def run_ingest(source: DataFrame, out_path: str, checkpoint_path: str, item_schema: str = PRODUCT_ITEM_SCHEMA) -> None:
+    """Ingest everything available now and wait for the end (a failure raises)."""
+    ingest_stream(source, out_path, checkpoint_path, item_schema).awaitTermination()
+
+
+def _ingest_table(spark: SparkSession, out_path: str, item_schema: str) -> DataFrame:
+    schema = f"item struct<{item_schema}>, message struct<{MESSAGE_SCHEMA}>, status string, collection string"
+    return sinks.read_back(spark, out_path, schema=schema)
+
+
+def read_items(spark: SparkSession, out_path: str, item_schema: str = PRODUCT_ITEM_SCHEMA) -> DataFrame:
+    """Ingested items with their ``collection``; a filter on it reads only that folder."""
+    return _ingest_table(spark, out_path, item_schema).where(F.col("status") == ACCEPTED).select("collection", "item.*")
+
+
+def read_dead_letters(spark: SparkSession, out_path: str, item_schema: str = PRODUCT_ITEM_SCHEMA) -> DataFrame:
+    """Rejected messages as received, with their reason."""
+    return _ingest_table(spark, out_path, item_schema).where(F.col("status") == REJECTED).select("message.*")

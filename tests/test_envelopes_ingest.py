@@ -1,3 +1,4 @@
+import glob
 import json
 
 from pyspark.sql import Window
@@ -51,13 +52,53 @@ def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_dir):
     msgs = spark.createDataFrame(MESSAGES, "key string, value string")
     msgs.repartition(3).write.json(src)
     schema = "id bigint, brand string, price double"
-    out, dead, ck = f"{tmp_dir}/items", f"{tmp_dir}/dead", f"{tmp_dir}/ck"
+    out, ck = f"{tmp_dir}/ingested", f"{tmp_dir}/ck"
     for _ in range(2):  # the second run resumes from the checkpoint: nothing new
-        ingest.run_ingest(ingest.envelope_file_source(spark, src, 1), out, dead, ck, schema)
-    got = spark.read.parquet(out)
-    batch = ingest.routed_items(ingest.parse_envelopes(msgs, schema))
-    assert got.count() == batch.count() == 2
-    assert spark.read.parquet(dead).count() == len(MESSAGES) - 1
+        ingest.run_ingest(ingest.envelope_file_source(spark, src, 1), out, ck, schema)
+    parsed = ingest.parse_envelopes(msgs, schema)
+    for got, expected in (
+        (ingest.read_items(spark, out, schema), ingest.routed_items(parsed)),
+        (ingest.read_dead_letters(spark, out, schema), ingest.dead_letters(parsed)),
+    ):
+        assert got.columns == expected.columns
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, expected.collect()))
+
+
+def test_nothing_but_rejects_or_no_message_at_all(spark, tmp_dir):
+    for name, rows, dead in (("bad", [("k", "{")], 1), ("none", [], 0)):
+        src, out = f"{tmp_dir}/{name}/topic", f"{tmp_dir}/{name}/ingested"
+        spark.createDataFrame(rows, "key string, value string").write.json(src)
+        ingest.run_ingest(ingest.envelope_file_source(spark, src, 1), out, f"{tmp_dir}/{name}/ck")
+        assert ingest.read_items(spark, out).count() == 0
+        assert ingest.read_dead_letters(spark, out).count() == dead
+
+
+def test_messages_are_parsed_once(spark):
+    parsed = ingest.parse_envelopes(spark.createDataFrame(MESSAGES, "key string, value string"))
+    plan = ingest.routed_rows(parsed)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") == 1, plan
+
+
+def test_hot_collection_is_written_by_many_tasks(spark, tmp_dir):
+    rows = spark.range(0, 4000, 1, 16).select(
+        F.when(F.col("id") % 4 > 0, F.lit("hot")).otherwise((F.col("id") % 3).cast("string")).alias("key"),
+        F.format_string('[{"brand": "%s", "price": %d}]', F.sha2(F.col("id").cast("string"), 512), F.col("id")).alias("value"),
+    )
+    rows.write.json(f"{tmp_dir}/topic")
+    # many splits and small writers, as a large batch has
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.files.maxPartitionBytes": "32k",
+             "spark.sql.files.openCostInBytes": "32k"}
+    old = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        ingest.run_ingest(ingest.envelope_file_source(spark, f"{tmp_dir}/topic", 100), f"{tmp_dir}/out", f"{tmp_dir}/ck")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    items = ingest.read_items(spark, f"{tmp_dir}/out")
+    files = glob.glob(f"{tmp_dir}/out/status=items/collection=hot/*.parquet")
+    assert len(files) > 8 and items.count() == 4000 and items.where("collection = 'hot'").count() == 3000
 
 
 from hypothesis import HealthCheck, given, settings  # noqa: E402

@@ -1,4 +1,5 @@
 import datetime as dt
+import glob
 
 from pyspark.sql import functions as F
 
@@ -86,6 +87,18 @@ def test_store_daily_sales_is_idempotent(spark, tmp_dir):
     assert spark.read.parquet(path).count() == daily.count() == 4
 
 
+def test_store_daily_sales_keeps_the_other_days_of_a_month(spark, tmp_dir):
+    def store(rows):
+        sales.store_daily_sales(spark.createDataFrame(rows, "day date, sales double"), path)
+        return {(r.day.month, r.day.day): r.sales for r in spark.read.parquet(path).collect()}
+
+    path = f"{tmp_dir}/daily"
+    first = store([(dt.date(2024, 1, 1), 1.0), (dt.date(2024, 1, 2), 2.0), (dt.date(2024, 2, 1), 3.0)])
+    kept = set(glob.glob(f"{path}/month=2024-02/*.parquet"))
+    assert store([(dt.date(2024, 1, 2), 5.0), (dt.date(2024, 1, 3), None)]) == {**first, (1, 2): 5.0, (1, 3): None}
+    assert set(glob.glob(f"{path}/month=2024-02/*.parquet")) == kept and len(kept) == 1
+
+
 def test_category_overview_is_day_ordered(spark):
     out = overview.category_overview(spark, _ev(spark), "2023-12-31", "2024-01-04", ["a", "b"], dense=True).collect()
     days = [r.event_day for r in out]
