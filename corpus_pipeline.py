@@ -20,40 +20,57 @@ from funnelworks.llm.toxicity import score_toxicity
 from funnelworks.session import shared_path
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names behind underscores, as many as it takes to meet no column of ``docs``."""
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold.
 
     The decision is by id: of rows with one id, all go if one is toxic. Rows with a NULL id
     are judged together in the same way.
     """
+    (bad,) = unused(docs, "bad")
     scores = score_toxicity(docs, table(spark, sf_dir, "labels"))
-    bad = scores.where("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    toxic = scores.where("predicted = 1").select(F.col("doc_id").alias(bad)).distinct()
+    return docs.join(toxic, F.col("doc_id").eqNullSafe(F.col(bad)), "left_anti")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the smallest id.
 
-    Rows with the same id are kept or dropped together, by their first class.
+    Rows with the same id are kept or dropped together, by their first class. Rows with a
+    NULL id are kept, as nothing tells them apart.
     """
-    classes = similarity_classes(docs)
-    gone = classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id")).where("class_id <> doc_id")
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")), F.col("doc_id") == F.col("_gone"), "left_anti")
+    (gone,) = unused(docs, "gone")
+    classes = similarity_classes(docs).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    copies = classes.where("class_id <> doc_id").select(F.col("doc_id").alias(gone))
+    return docs.join(copies, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark items (told by id and text)."""
+    leak, leak_text = unused(docs, "id", "text")
     found = contaminated(docs, table(spark, sf_dir, "benchmark"))
-    leaks = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_text"))
+    leaks = found.select(F.col("doc_id").alias(leak), F.col("text_hash").alias(leak_text)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(leak)) & (F.xxhash64("text") == F.col(leak_text))
     return docs.join(leaks, same, "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents the mix takes, each as many times as it takes them."""
-    taken = mix_sources(docs).select(F.col("doc_id").alias("_id"), "copies").groupBy("_id").agg(F.max("copies").alias("copies"))
-    kept = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_id"))).where("copies > 0")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    """The documents the mix takes, each as many times as it takes them.
+
+    Rows with the same id, or with none, are taken as often as the one taken most.
+    """
+    own, times = unused(docs, "id", "copies")
+    taken = mix_sources(docs).where("copies > 0").groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").alias(times))
+    kept = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(own)))
+    repeated = kept.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), times)).alias(times))
+    return repeated.drop(times)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -149,3 +149,16 @@ def test_pipeline_edge_rows(spark, make_docs, words):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, "/root/testdata/sf0.001")
         assert empty.count() == 0
+
+
+def test_pipeline_extra_columns_with_clashing_names(spark, make_docs, words):
+    docs = make_docs([(i, words(i % 4, 30), "en", "ab"[i % 2]) for i in range(8)] + [(8, None, None, None)])
+    clashes = ("copies", "_id", "_bad", "_gone", "_text", "_copy", "__copies", "size", "taken", "class_id", "node", "text_hash", "item_id", "part", "start")
+    wide = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in clashes])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, wide = stage(spark, docs, SF).cache(), stage(spark, wide, SF).cache()
+        assert docs.count() and wide.columns[-len(clashes) :] == list(clashes), name
+        assert sorted(map(repr, docs.collect())) == sorted(map(repr, wide.select(docs.columns).collect())), name
+        assert wide.where(F.col("copies") != F.concat(F.lit("copies"), F.col("doc_id").cast("string"))).count() == 0
+    last = corpus_pipeline.STAGES[-1][1]
+    assert sorted(map(tuple, last(spark, docs, SF).collect())) == sorted(map(tuple, last(spark, wide, SF).collect()))
