@@ -145,7 +145,9 @@ def text_blocks(html: str) -> list[_Block]:
             at = at.parent
         block = None
 
-    while m := MARKUP.search(html, pos):
+    # Beyond the last '>' only an unclosed comment is markup; text may hold any number of '<'.
+    last = end if html.rfind("<!--") > html.rfind("-->") else html.rfind(">") + 1
+    while m := MARKUP.search(html, pos, last):
         if m.start() > pos and at.kept:
             add(html[pos : m.start()])
         pos = m.end()

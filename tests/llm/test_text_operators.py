@@ -47,6 +47,12 @@ def test_any_markup_is_tolerated(parts):
     assert text == " ".join(text.split())
 
 
+def test_text_with_many_signs_that_open_no_tag():
+    text = "a <b and c<d " * 200_000
+    assert main_text(f"<article><p>One. Two.</p>{text}") == "One. Two. " + " ".join(text.split())
+    assert main_text("<p>One. Two.</p> three <!-- open <p>hidden") == "One. Two. three"
+
+
 def test_extract_pages(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, 9), (2, None, None, 9), (2, None, None, 9), (None, "v", "<p>é" + "x" * 200_000, 9)], "page_id long, url string, html string, text int")
     rows = extract_text(pages).collect()
