@@ -9,13 +9,14 @@ of a group).
 The machine is fitted on a bounded sample of labelled rows (``max_per_class`` rows of each
 label, those with the smallest hash of the id; whole texts). Only terms whose share of toxic
 documents is beyond chance, by the Chernoff bound over the terms tried, get parameters; the
-counts behind that are a Spark aggregation over the sample. The driver holds those terms of
-the sample's documents only. Every document of the table is scored on its whole text.
+counts behind that are a Spark aggregation over the sample. The driver holds only those terms
+and which of them each of the sample's documents has. Every document of the table is scored on its whole text.
 
 Defined cases: NULL and empty texts have no terms and get the score of the bias; without
 labelled rows of both kinds all scores are 0.0; rows with the same id are scored each by its
-own text; several labels of an id count as the largest, NULL labels as none; an empty table
-gives no rows; extra columns of the inputs are ignored.
+own text, but learnt from by the first of their texts alone; several labels of an id count as
+the largest, NULL labels as none; an empty table gives no rows; extra columns of the inputs
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from funnelworks.llm.common import cut, map_rows, store
@@ -119,16 +120,16 @@ def _logits(m: Machine, doc: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return m.bias + np.bincount(doc, m.weights[at], n) + 0.5 * ((s**2).sum(axis=1) - np.bincount(doc, (v**2).sum(axis=1), n))
 
 
-def tells(n: np.ndarray, ones: np.ndarray, base: float) -> np.ndarray:
-    """Which terms' share of label 1 differs from the base share beyond chance.
+def tells(base: float, tried: int) -> Column:
+    """Whether a term's share of label 1 (``ones`` of ``n``) differs from the base beyond chance.
 
     Chance gives n documents a share s with probability at most exp(-n * KL(s, base)); that
     must be under 1/e**2 for all terms tried together.
     """
-    share = ones / np.maximum(n, 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        kl = np.nan_to_num(share * np.log(share / base)) + np.nan_to_num((1 - share) * np.log((1 - share) / (1 - base)))
-    return n * kl > np.log(max(len(n), 1)) + 2
+    share = F.col("ones") / F.col("n")
+    ones = F.when(share > 0, share * F.log(share / base)).otherwise(0.0)
+    zeros = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    return F.col("n") * (ones + zeros) > float(np.log(max(tried, 1))) + 2
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, factors: int = FACTORS, steps: int = STEPS, seed: int = 7) -> Machine:
@@ -177,7 +178,9 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     chosen = [known.where(F.col("toxic") == F.lit(x)).orderBy("_at", "doc_id").limit(max_per_class) for x in (False, True)]
     # Bounded by the parameter, so the ids may be broadcast to the one scan of the texts.
     ids = F.broadcast(cut(chosen[0].unionByName(chosen[1]).drop("_at")))
-    sample = store(docs.select("doc_id", "text").join(ids, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "labelled")
+    # One text an id, the first of several, so that the sample is bounded by the ids.
+    texts = docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = store(texts.select("text", F.col("toxic").cast("int").alias("toxic")), "labelled")
 
     def count(rows: Iterable[tuple]) -> Iterator[tuple]:
         for texts, toxic in _chunks(rows):
@@ -194,8 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     base = total["ones"] / total["n"]
     least = int(2 / max(-np.log(base), -np.log1p(-base)))
     counts = cut(counts.where(F.col("n") > least))
-    found = counts.toPandas()
-    terms = np.sort(found["term"].to_numpy(np.int64)[tells(found["n"].to_numpy(), found["ones"].to_numpy(), base)])
+    told_apart = counts.where(tells(base, counts.count())).select("term").toPandas()
+    terms = np.sort(told_apart["term"].to_numpy(np.int64))
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def told(rows: Iterable[tuple]) -> Iterator[tuple]:
