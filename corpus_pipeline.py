@@ -15,7 +15,7 @@ from funnelworks.llm.decontamination import contaminated
 from funnelworks.llm.jaccard_join import similarity_classes
 from funnelworks.llm.mixing import mix_sources
 from funnelworks.llm.queries import tokenizer_file
-from funnelworks.llm.token_output import encode_corpus, ids_crc32, read_corpus
+from funnelworks.llm.token_output import encode_corpus, read_checksums
 from funnelworks.llm.toxicity import score_toxicity
 from funnelworks.session import shared_path
 
@@ -77,7 +77,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token files of the mix; returns what the files hold of each document."""
     path = shared_path(spark, "tokens")
     encode_corpus(docs, tokenizer_file(), path)
-    return ids_crc32(read_corpus(spark, path))
+    return read_checksums(spark, path)
 
 
 STAGES = [

@@ -18,7 +18,7 @@ from funnelworks.llm.jaccard_join import similarity_classes
 from funnelworks.llm.line_dedup import dedup_lines
 from funnelworks.llm.lm_scoring import score_documents
 from funnelworks.llm.mixing import mix_sources
-from funnelworks.llm.token_output import encode_corpus, ids_crc32, read_corpus
+from funnelworks.llm.token_output import encode_corpus, read_checksums
 from funnelworks.llm.topk_search import top_k
 from funnelworks.llm.toxicity import score_toxicity
 from funnelworks.session import shared_path
@@ -59,7 +59,7 @@ def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     encode_corpus(table(spark, sf_dir, "documents"), tokenizer_file(), path)
-    return ids_crc32(read_corpus(spark, path))
+    return read_checksums(spark, path)
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

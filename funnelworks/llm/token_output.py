@@ -21,7 +21,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from unicodedata import is_normalized
 
 import numpy as np
@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from funnelworks.llm.common import map_rows
+from funnelworks.llm.common import OUT_ROWS, map_rows
 from funnelworks.session import shared_path
 
 END_ID = 1
@@ -228,6 +228,20 @@ def read_ranks(spark: SparkSession, path: str) -> np.ndarray:
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Documents of the files: ``doc_id, start, n_tokens, ids`` (ids as 32-bit little-endian)."""
+    return _decoded(spark, path, bytes, "ids binary", 1000)
+
+
+def read_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of the documents of the files.
+
+    The checksums are taken where the ids are decoded: the ids do not leave the task, which
+    needs one Python worker.
+    """
+    return _decoded(spark, path, zlib.crc32, "ids_crc32 long")
+
+
+def _decoded(spark: SparkSession, path: str, of_ids: Callable[[bytes], object], column: str, size: int = OUT_ROWS) -> DataFrame:
+    """Each document of the files with its place and what ``of_ids`` makes of its ids."""
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
     # One row per range partition of the writer, whatever the number of documents.
     sizes = map_rows(blocks.select("part", "before", "lengths"), _block_ends, "part int, end long").groupBy("part").agg(F.max("end").alias("_n"))
@@ -240,23 +254,13 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
             ids = id_of.value[unpack(control, data, int(n.sum()))].astype("<u4")
             at = 0
             for doc, size in zip(np.frombuffer(doc_ids, "<i8").tolist(), n.tolist(), strict=True):
-                yield None if doc == NULL_ID else doc, base + before + at, size, ids[at : at + size].tobytes()
+                yield None if doc == NULL_ID else doc, base + before + at, size, of_ids(ids[at : at + size].tobytes())
                 at += size
 
     placed = blocks.join(F.broadcast(base), "part").select("_base", "before", "doc_ids", "lengths", "control", "data")
-    return map_rows(placed, decode, "doc_id long, start long, n_tokens long, ids binary", 1000)
+    return map_rows(placed, decode, f"doc_id long, start long, n_tokens long, {column}", size)
 
 
 def _block_ends(rows: Iterable[tuple]) -> Iterator[tuple]:
     for part, before, lengths in rows:
         yield part, before + int(np.frombuffer(lengths, "<i8").sum())
-
-
-def ids_crc32(docs: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of decoded documents."""
-
-    def crc(rows: Iterable[tuple]) -> Iterator[tuple]:
-        for doc, start, n, ids in rows:
-            yield doc, start, n, zlib.crc32(ids)
-
-    return map_rows(docs, crc, "doc_id long, start long, n_tokens long, ids_crc32 long")

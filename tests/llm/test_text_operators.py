@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from funnelworks.llm.html_extraction import extract_text, main_text
 from funnelworks.llm.line_dedup import dedup_lines
 from funnelworks.llm.queries import tokenizer_file
-from funnelworks.llm.token_output import END_ID, WordCoder, encode_corpus, ids_crc32, pack, read_corpus, unpack
+from funnelworks.llm.token_output import END_ID, WordCoder, encode_corpus, pack, read_checksums, read_corpus, unpack
 
 # --- HTML extraction
 
@@ -139,7 +139,7 @@ def tokenizer_once():
 def test_files_hold_the_corpus(spark, make_docs, words, tmp_dir):
     docs = [(i * 3 % 101, f"{words(i, 30)}, It's {i}!\n\tTHE end") for i in range(101)] + [(500, None), (501, ""), (502, "the " * 70_000)]
     encode_corpus(make_docs(docs).withColumn("part", F.lit("x")), tokenizer_file(), tmp_dir + "/t")
-    rows = {r["doc_id"]: r for r in ids_crc32(read_corpus(spark, tmp_dir + "/t")).collect()}
+    rows = {r["doc_id"]: r for r in read_checksums(spark, tmp_dir + "/t").collect()}
     start, t = 0, tokenizer()
     for doc, text in sorted(docs):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, END_ID]
