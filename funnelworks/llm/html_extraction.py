@@ -3,8 +3,9 @@
 A page is cut into text blocks, each with its root-to-leaf path of block tags. Per path the
 text outside links and the punctuation are averaged over its blocks; the two ratios are
 smoothed over the blocks in page order and fused by multiplication. Blocks whose path
-scores above a threshold are content; the deepest element that holds most of the content
-text is the article, and its whole text is the result, short paragraphs included.
+scores above a threshold are content; the deepest element that holds all of them, or the
+article or main element around it, is the article, and its whole text is the result, short
+paragraphs included.
 
 Elements that hold no article text by their tag, role, or class or id words (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are left out.
@@ -61,17 +62,19 @@ ENDS_PARAGRAPH = frozenset(
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("table ul ol dl div article section body main select td th".split())
 
+# Elements that are one block of an article, not the article.
+LONE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre blockquote".split())
 SMOOTHING = 1.0
 THRESHOLD = 0.5
-HOLDS_MOST = 0.7
 MAIN_FACTOR = 4.0
 
 
 class _Element:
-    __slots__ = ("kept", "main", "parent", "path", "tag")
+    __slots__ = ("kept", "main", "marked", "parent", "path", "tag")
 
     def __init__(self, tag: str, parent: _Element | None, path: int, kept: bool, main: bool) -> None:
         self.tag, self.parent, self.path, self.kept, self.main = tag, parent, path, kept, main
+        self.marked = tag in ("article", "main")
 
 
 class _Block:
@@ -245,19 +248,29 @@ def main_text(html: str | None) -> str:
     content = [(b, s) for b, s in zip(blocks, scores, strict=True) if s >= least]
     best = max(s for _, s in content)
     content = [b for b, s in content if s >= best / MAIN_FACTOR]
-    held: dict[_Element, int] = {}
+    article = content[0].element
     for b in content:
-        node = b.element
-        while node is not None:
-            held[node] = held.get(node, 0) + len(b.text)
-            node = node.parent
-    total = held[next(n for n in held if n.parent is None)]
-    # the deepest element with most of the content text; a lone paragraph's parent holds it
-    most = [n for n in held if held[n] >= HOLDS_MOST * total and n.tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "pre", "blockquote")]
-    article = min(most, key=lambda n: (held[n], -_depth(n)))
+        article = _shared(article, b.element)
+    while article.tag in LONE:  # a lone paragraph's parent holds it
+        article = article.parent
+    named = article
+    while named is not None and not named.marked:
+        named = named.parent
+    article = named or article
     return " ".join(b.text for b in blocks if _inside(b.element, article))
 
 
+def _shared(a: _Element, b: _Element) -> _Element:
+    """The deepest element that holds both."""
+    up, deep = _depth(a), _depth(b)
+    while a is not b:
+        if up >= deep:
+            a, up = a.parent, up - 1
+        else:
+            b, deep = b.parent, deep - 1
+    return a
+
+
 def _depth(node: _Element) -> int:
     n = 0
     while node.parent is not None:

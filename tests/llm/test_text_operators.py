@@ -33,6 +33,18 @@ def test_page_without_article_tag():
     assert main_text(html) == "Title " + " ".join(f"Paragraph {i}, with some text, and a stop." for i in range(6)) + " End"
 
 
+def test_article_holds_all_content_blocks():
+    long = [f"Paragraph {i}, with some text, and a stop." for i in range(8)]
+    ps = "".join(f"<p>{x}</p>" for x in long)
+    assert main_text(f"<body><div>Menu</div><article><h1>T</h1><div>{ps}</div></article></body>") == " ".join(["T", *long])
+    for outer in ("article", "main", "div"):
+        parts = f"<{outer}><section>{''.join(f'<p>{x}</p>' for x in long[:6])}</section><section>{''.join(f'<p>{x}</p>' for x in long[6:])}</section></{outer}>"
+        assert main_text(f"<body>{parts}</body>") == " ".join(long), outer
+    for group, item in (("ul", "li"), ("ol", "li"), ("dl", "dd"), ("table", "tr")):
+        items = "".join(f"<{item}>{x}</{item}>" for x in long)
+        assert main_text(f"<body><article><p>First, a word.</p><{group}>{items}</{group}><p>Last, a word.</p></article></body>") == " ".join(["First, a word.", *long, "Last, a word."]), group
+
+
 def test_odd_pages():
     for html, want in ((None, ""), ("", ""), ("<p>", ""), ("just text", "just text"), ("a < b & c", "a < b & c"), ("</div>x", "x"), ("<script>p", ""), ("<p>x<!-- ", "x"), ("<nav>only menu</nav>", "")):
         assert main_text(html) == want
