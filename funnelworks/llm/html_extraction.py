@@ -7,8 +7,12 @@ scores above a threshold are content; the deepest element that holds all of them
 article or main element around it, is the article, and its whole text is the result, short
 paragraphs included.
 
-Elements that hold no article text by their tag, role, or class or id words (menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) are left out.
+Elements that hold no article text by their tag or role (menus, headers, footers, sidebars,
+forms, scripts, styles) are left out. Elements that say so by a class or id word alone
+(notices, adverts, reader comments) are left out where they hold a small share of the page's
+text outside links and no element that says it is the article, and only where enough text
+remains. Up to half of the text, the name lowers the score of their blocks, which go if none
+is content; beyond that, the path scores alone decide.
 
 Defined cases: NULL or empty html, and pages without text, give an empty text; unclosed and
 stray tags are tolerated; a page of any length is read whole; an empty table gives no rows;
@@ -53,6 +57,8 @@ LEFT_OUT_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay lightbox paywall newsletter subscribe "
     "subscription signup login share sharing social form search".split()
 )
+# In one name with such a word, a word tells a state of the page: has-sidebar, comments-open.
+STATE_WORDS = frozenset("has have no not with without is open opened closed enabled disabled".split())
 MAIN_WORDS = frozenset("article main content post entry story".split())
 # Tags whose opening ends an open paragraph, and what ends an open item of the same kind.
 ENDS_PARAGRAPH = frozenset(
@@ -62,6 +68,11 @@ ENDS_PARAGRAPH = frozenset(
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("table ul ol dl div article section body main select td th".split())
 
+# Shares of a page's text outside links: up to which a class or id word alone leaves an element
+# out, up to which it lowers its blocks' scores, and which must remain.
+SMALL_SHARE = 0.3
+HALF = 0.5
+LEAST_REST = 0.25
 # Elements that are one block of an article, not the article.
 LONE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre blockquote".split())
 SMOOTHING = 1.0
@@ -70,55 +81,68 @@ MAIN_FACTOR = 4.0
 
 
 class _Element:
-    __slots__ = ("kept", "main", "marked", "parent", "path", "tag")
+    __slots__ = ("kept", "main", "marked", "named", "parent", "path", "tag")
 
-    def __init__(self, tag: str, parent: _Element | None, path: int, kept: bool, main: bool) -> None:
-        self.tag, self.parent, self.path, self.kept, self.main = tag, parent, path, kept, main
+    def __init__(self, tag: str, parent: _Element | None, path: int, kept: bool, main: bool, named: bool) -> None:
+        self.tag, self.parent, self.path, self.kept, self.main, self.named = tag, parent, path, kept, main, named
         self.marked = tag in ("article", "main")
 
 
 class _Block:
-    __slots__ = ("element", "linked", "parts", "text")
+    """``parts`` holds (text, whether in a link, innermost element with inline ones that are named)."""
+
+    __slots__ = ("element", "linked", "lowered", "parts", "text")
 
     def __init__(self, element: _Element) -> None:
         self.element, self.parts, self.linked, self.text = element, [], 0, ""
+        self.lowered = False
 
 
-def _left_out(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element holds no article text, and whether it says it is the article."""
+def _left_out(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element holds no article text, whether it says it is the article, and whether
+    its class or id words (taken together) name it as something else."""
     main = tag in ("article", "main")
     if tag in LEFT_OUT:
-        return True, False
+        return True, False, False
     if not attributes or attributes == "/":
-        return False, main
+        return False, main, False
+    words: set[str] = set()
+    named = False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), unescape(m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True, False
+            return True, False, False
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True, False
+                return True, False, False
         elif name == "role":
             if value in LEFT_OUT_ROLES:
-                return True, False
+                return True, False, False
             main |= value in ("main", "article")
         elif name in ("class", "id") and tag not in ("body", "html"):
-            words = set(NAME_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m[2] or m[3] or m[4] or "").lower()))
-            if words & LEFT_OUT_WORDS and not (tag in ("article", "main") and words & MAIN_WORDS):
-                return True, False
-            main |= bool(words & MAIN_WORDS)
-    return False, main
+            for one in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", unescape(m[2] or m[3] or m[4] or "")).lower().split():
+                own = set(NAME_WORD.findall(one))
+                words |= own
+                named |= bool(own & LEFT_OUT_WORDS) and not own & STATE_WORDS
+    mains = bool(words & MAIN_WORDS)
+    return False, main or mains, named and not (main and mains)
 
 
 def text_blocks(html: str) -> list[_Block]:
     """The blocks of text of a page in order, each in the element that holds it."""
     paths: dict[tuple[int, str], int] = {}
 
-    def child(tag: str, parent: _Element | None, kept: bool, main: bool) -> _Element:
+    # Elements that hold one which says it is the article.
+    holders: set[_Element] = set()
+
+    def child(tag: str, parent: _Element | None, kept: bool, main: bool, named: bool) -> _Element:
         above = parent.path if parent else -1
-        return _Element(tag, parent, paths.setdefault((above, tag), len(paths)), kept, main)
+        return _Element(tag, parent, paths.setdefault((above, tag), len(paths)), kept, main, named)
 
-    root = at = child("html", None, True, False)
+    root = at = child("html", None, True, False, False)
+    # A named inline element and where it ends.
+    inline: _Element | None = None
+    inline_end = 0
     blocks: list[_Block] = []
     block: _Block | None = None
     links = 0
@@ -132,9 +156,7 @@ def text_blocks(html: str) -> list[_Block]:
                 return
             block = _Block(at)
             blocks.append(block)
-        block.parts.append(text)
-        if links:
-            block.linked += len(text)
+        block.parts.append((text, bool(links), inline or at))
 
     def close(tag: str) -> None:
         nonlocal at, block
@@ -151,6 +173,8 @@ def text_blocks(html: str) -> list[_Block]:
     # Beyond the last '>' only an unclosed comment is markup; text may hold any number of '<'.
     last = end if html.rfind("<!--") > html.rfind("-->") else html.rfind(">") + 1
     while m := MARKUP.search(html, pos, last):
+        if inline is not None and pos >= inline_end:
+            inline = None
         if m.start() > pos and at.kept:
             add(html[pos : m.start()])
         pos = m.end()
@@ -169,7 +193,7 @@ def text_blocks(html: str) -> list[_Block]:
             continue
         if tag == "br":
             if at.kept and block is not None:
-                block.parts.append(" ")
+                block.parts.append((" ", True, inline or at))
             continue
         if tag == "a":
             links = 1
@@ -179,11 +203,15 @@ def text_blocks(html: str) -> list[_Block]:
             pos = shut.start() if shut else end
             continue
         if tag in INLINE:
-            # an inline element that is left out (hidden, an advert) still hides its text
-            if not (at.kept and _left_out(tag, m[3])[0]):
+            # an inline element that is left out (hidden) still hides its text
+            out, _, named = _left_out(tag, m[3]) if at.kept else (False, False, False)
+            if not out and not named:
                 continue
             shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, pos)
-            pos = shut.end() if shut else pos
+            if out:
+                pos = shut.end() if shut else pos
+            elif shut and inline is None:
+                inline, inline_end = child(tag, at, True, at.main, True), shut.end()
             continue
         if tag in VOID:
             block = None
@@ -197,22 +225,71 @@ def text_blocks(html: str) -> list[_Block]:
             if node.tag in SIBLINGS[tag]:
                 close(node.tag)
         if tag in ("html", "body") and at is root:
-            kept, main = True, False
+            kept, main, named = True, False, False
         else:
-            out, main = _left_out(tag, m[3])
+            out, main, named = _left_out(tag, m[3])
             kept = at.kept and not out
         if m[3].endswith("/") and tag in LEFT_OUT:
             continue
-        at = child(tag, at, kept, main or at.main)
+        if main and kept and not named:
+            node = at
+            while node is not None and node not in holders:
+                holders.add(node)
+                node = node.parent
+        at = child(tag, at, kept, main or at.main, named)
         depth_of[tag] = depth_of.get(tag, 0) + 1
         block = None
+    if inline is not None and pos >= inline_end:
+        inline = None
     if pos < end and at.kept:
         add(html[pos:])
+    gone, lowered = _named_apart(blocks, holders)
     for b in blocks:
-        b.text = " ".join(unescape("".join(b.parts)).split())
+        own = [(t, linked) for t, linked, holder in b.parts if holder not in gone]
+        b.lowered = b.element in lowered
+        b.linked = sum(len(t) for t, linked in own if linked and t != " ")
+        b.text = " ".join(unescape("".join(t for t, _ in own)).split())
     return [b for b in blocks if b.text]
 
 
+def _named_apart(blocks: list[_Block], holders: set[_Element]) -> tuple[set[_Element], set[_Element]]:
+    """The elements in those that are left out by their class or id words, and in those lowered."""
+    size: dict[_Element, int] = {}
+    for b in blocks:
+        for text, linked, holder in b.parts:
+            size[holder] = size.get(holder, 0) + (0 if linked else len(text.strip()))
+    # The innermost named element around each element, itself included; outer ones come first.
+    around: dict[_Element, _Element | None] = {}
+    for node in size:
+        new = []
+        while node is not None and node not in around:
+            new.append(node)
+            node = node.parent
+        found = around[node] if node is not None else None
+        for n in reversed(new):
+            found = around[n] = n if n.named else found
+    named = [n for n, own in around.items() if n is own]
+    outer = {n: around[n.parent] if n.parent else None for n in named}
+    total, held = sum(size.values()), dict.fromkeys([None, *named], 0)
+    for node, n in size.items():
+        held[around[node]] += n
+    for n in reversed(named):
+        if outer[n] is not None:
+            held[outer[n]] += held[n]
+
+    def within(least: float, most: float) -> set[_Element]:
+        out: set[_Element] = set()
+        for n in named:
+            if outer[n] in out or n not in holders and least * total < held[n] <= most * total:
+                out.add(n)
+        return {n for n in size if around[n] in out}
+
+    gone = within(-1.0, SMALL_SHARE)
+    if sum(k for n, k in size.items() if n not in gone) < LEAST_REST * total:
+        return set(), set()
+    return gone, within(SMALL_SHARE, HALF)
+
+
 def path_scores(blocks: list[_Block]) -> list[float]:
     """Score of each block: its path's smoothed text ratio times its punctuation ratio."""
     sums: dict[int, list[float]] = {}
@@ -224,7 +301,7 @@ def path_scores(blocks: list[_Block]) -> list[float]:
     text = [sums[b.element.path][0] / sums[b.element.path][2] for b in blocks]
     marks = [sums[b.element.path][1] / sums[b.element.path][2] for b in blocks]
     text, marks = _smooth(text), _smooth(marks)
-    return [log1p(t) * log1p(1 + m) * (MAIN_FACTOR if b.element.main else 1) for t, m, b in zip(text, marks, blocks, strict=True)]
+    return [log1p(t) * log1p(1 + m) * (MAIN_FACTOR if b.element.main and not b.lowered else 1) for t, m, b in zip(text, marks, blocks, strict=True)]
 
 
 def _smooth(values: list[float], sigma: float = SMOOTHING) -> list[float]:
@@ -257,7 +334,8 @@ def main_text(html: str | None) -> str:
     while named is not None and not named.marked:
         named = named.parent
     article = named or article
-    return " ".join(b.text for b in blocks if _inside(b.element, article))
+    named = any(b.lowered for b in content)
+    return " ".join(b.text for b in blocks if (named or not b.lowered) and _inside(b.element, article))
 
 
 def _shared(a: _Element, b: _Element) -> _Element:

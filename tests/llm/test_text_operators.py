@@ -45,6 +45,20 @@ def test_article_holds_all_content_blocks():
         assert main_text(f"<body><article><p>First, a word.</p><{group}>{items}</{group}><p>Last, a word.</p></article></body>") == " ".join(["First, a word.", *long, "Last, a word."]), group
 
 
+def test_a_class_word_does_not_empty_a_page():
+    long = [f"Paragraph {i}, with some text, and a stop." for i in range(8)]
+    ps = "".join(f"<p>{x}</p>" for x in long)
+    extras = "<div class=menu><a href=1>a</a></div><div class='share'>Share this, now.</div><div class='comment-list'><p>Nice, very nice.</p></div>"
+    opens = ("div class='content has-sidebar'", "div class='layout no-sidebar'", "div id='main' class='with-sidebar'", "article class='comments-open'", "section id='discussion'", "div class='search'", "div class='sidebar-wrap'")
+    for opening in opens:
+        tag = opening.split()[0]
+        assert main_text(f"<body><{opening}>{ps}</{tag}>{extras}</body>") == " ".join(long), opening
+        assert main_text(f"<body><{opening}>{ps}{extras}</{tag}></body>") == " ".join(long), opening
+    assert main_text("".join(f"<div class='response'>{x}</div>" for x in long)) == " ".join(long)
+    assert main_text(f"<div><span class='notice'>{long[0]}</span></div>") == long[0]
+    assert main_text(f"<main>{ps}<section class='comments'>{ps[: len(ps) * 5 // 8]}</section></main>") == " ".join(long)
+
+
 def test_odd_pages():
     for html, want in ((None, ""), ("", ""), ("<p>", ""), ("just text", "just text"), ("a < b & c", "a < b & c"), ("</div>x", "x"), ("<script>p", ""), ("<p>x<!-- ", "x"), ("<nav>only menu</nav>", "")):
         assert main_text(html) == want
