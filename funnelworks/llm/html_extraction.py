@@ -15,7 +15,8 @@ remains. Up to half of the text, the name lowers the score of their blocks, whic
 is content; beyond that, the path scores alone decide.
 
 Defined cases: NULL or empty html, and pages without text, give an empty text; unclosed and
-stray tags are tolerated; a page of any length is read whole; an empty table gives no rows;
+stray tags are tolerated (a head ends at what cannot be in it, an unclosed element that is left
+out where the body or an element that says it is the article begins); a page of any length is read whole; an empty table gives no rows;
 extra columns of the input are ignored.
 """
 
@@ -60,6 +61,8 @@ LEFT_OUT_WORDS = frozenset(
 # In one name with such a word, a word tells a state of the page: has-sidebar, comments-open.
 STATE_WORDS = frozenset("has have no not with without is open opened closed enabled disabled".split())
 MAIN_WORDS = frozenset("article main content post entry story".split())
+# What may stand in a head; anything else ends it.
+HEAD_TAGS = frozenset("head html base basefont bgsound link meta title style script noscript template noframes".split())
 # Tags whose opening ends an open paragraph, and what ends an open item of the same kind.
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -81,9 +84,12 @@ MAIN_FACTOR = 4.0
 
 
 class _Element:
-    __slots__ = ("kept", "main", "marked", "named", "parent", "path", "tag")
+    __slots__ = ("hidden", "kept", "main", "marked", "named", "parent", "path", "start", "tag")
 
-    def __init__(self, tag: str, parent: _Element | None, path: int, kept: bool, main: bool, named: bool) -> None:
+    def __init__(self, tag: str, parent: _Element | None, path: int, kept: bool, main: bool, named: bool, start: int) -> None:
+        self.start = start
+        # the outermost element around it that is left out
+        self.hidden: _Element | None = None if kept else parent.hidden or self
         self.tag, self.parent, self.path, self.kept, self.main, self.named = tag, parent, path, kept, main, named
         self.marked = tag in ("article", "main")
 
@@ -137,8 +143,9 @@ def text_blocks(html: str) -> list[_Block]:
 
     def child(tag: str, parent: _Element | None, kept: bool, main: bool, named: bool) -> _Element:
         above = parent.path if parent else -1
-        return _Element(tag, parent, paths.setdefault((above, tag), len(paths)), kept, main, named)
+        return _Element(tag, parent, paths.setdefault((above, tag), len(paths)), kept, main, named, pos)
 
+    pos, end = 0, len(html)
     root = at = child("html", None, True, False, False)
     # A named inline element and where it ends.
     inline: _Element | None = None
@@ -147,7 +154,7 @@ def text_blocks(html: str) -> list[_Block]:
     block: _Block | None = None
     links = 0
     depth_of: dict[str, int] = {}
-    pos, end = 0, len(html)
+    unclosed: set[int] | None = None
 
     def add(text: str) -> None:
         nonlocal block
@@ -163,18 +170,22 @@ def text_blocks(html: str) -> list[_Block]:
         node = at
         while node is not root and node.tag != tag:
             node = node.parent
-        if node is root:
-            return
+        if node is not root:
+            leave(node)
+
+    def leave(node: _Element) -> None:
+        nonlocal at, block
         while at is not node.parent:
             depth_of[at.tag] -= 1
             at = at.parent
         block = None
 
-    # Beyond the last '>' only an unclosed comment is markup; text may hold any number of '<'.
-    last = end if html.rfind("<!--") > html.rfind("-->") else html.rfind(">") + 1
+    last = _last(html)
     while m := MARKUP.search(html, pos, last):
         if inline is not None and pos >= inline_end:
             inline = None
+        if at.tag == "head" and html[pos : m.start()].strip():
+            close("head")
         if m.start() > pos and at.kept:
             add(html[pos : m.start()])
         pos = m.end()
@@ -191,6 +202,8 @@ def text_blocks(html: str) -> list[_Block]:
             elif depth_of.get(tag):
                 close(tag)
             continue
+        if at.tag == "head" and tag not in HEAD_TAGS:
+            close("head")
         if tag == "br":
             if at.kept and block is not None:
                 block.parts.append((" ", True, inline or at))
@@ -228,6 +241,13 @@ def text_blocks(html: str) -> list[_Block]:
             kept, main, named = True, False, False
         else:
             out, main, named = _left_out(tag, m[3])
+            if not at.kept and not out and (tag == "body" or main and not named):
+                # the article does not lie in an element left out that nothing closes
+                top = at.hidden
+                if unclosed is None:
+                    unclosed = _unclosed(html)
+                if top.start in unclosed or top.tag == "head":
+                    leave(top)
             kept = at.kept and not out
         if m[3].endswith("/") and tag in LEFT_OUT:
             continue
@@ -241,6 +261,8 @@ def text_blocks(html: str) -> list[_Block]:
         block = None
     if inline is not None and pos >= inline_end:
         inline = None
+    if at.tag == "head" and html[pos:].strip():
+        close("head")
     if pos < end and at.kept:
         add(html[pos:])
     gone, lowered = _named_apart(blocks, holders)
@@ -252,6 +274,29 @@ def text_blocks(html: str) -> list[_Block]:
     return [b for b in blocks if b.text]
 
 
+def _last(html: str) -> int:
+    """Where markup ends: beyond the last '>' only an unclosed comment is; text may hold any number of '<'."""
+    return len(html) if html.rfind("<!--") > html.rfind("-->") else html.rfind(">") + 1
+
+
+def _unclosed(html: str) -> set[int]:
+    """Ends of the opening tags that no closing tag belongs to."""
+    opened: dict[str, list[int]] = {}
+    pos, last = 0, _last(html)
+    while m := MARKUP.search(html, pos, last):
+        pos = m.end()
+        tag = (m[2] or "").lower()
+        if m[1]:
+            if opened.get(tag):
+                opened[tag].pop()
+        elif tag in RAW:
+            shut = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, pos)
+            pos = shut.start() if shut else len(html)
+        elif tag:
+            opened.setdefault(tag, []).append(pos)
+    return {at for ends in opened.values() for at in ends}
+
+
 def _named_apart(blocks: list[_Block], holders: set[_Element]) -> tuple[set[_Element], set[_Element]]:
     """The elements in those that are left out by their class or id words, and in those lowered."""
     size: dict[_Element, int] = {}

@@ -59,6 +59,18 @@ def test_a_class_word_does_not_empty_a_page():
     assert main_text(f"<main>{ps}<section class='comments'>{ps[: len(ps) * 5 // 8]}</section></main>") == " ".join(long)
 
 
+def test_unclosed_elements_do_not_hide_the_article():
+    for html in ("<html><head><title>x</title><body><p>whole article</p>", "<head><title>x</title><p>whole article</p>", "<head><meta charset=x>whole article", "<head><noscript><link><body><p>whole article</p></body>", "<head><title>x</title><b>whole</b> article"):
+        assert main_text(html) == "whole article", html
+    for left_out in ("header", "nav", "form", "aside", "footer", "div role=navigation"):
+        for tag in ("article", "main", "div class=content"):
+            assert main_text(f"<body><{left_out}><i>Menu</i><{tag}><p>Whole, article.</p></{tag.split()[0]}>".replace("</div>", "")) == "Whole, article.", (left_out, tag)
+        shut = left_out.split()[0]
+        assert main_text(f"<body><{left_out}><article><p>Not, this.</p></article></{shut}><article><p>Whole, article.</p></article></body>") == "Whole, article.", left_out
+        assert main_text(f"<body><{left_out}><i>Menu</i><article><p>Whole, article.</p><header>By me.</header></article></body>") == "Whole, article.", left_out
+    assert main_text("<nav><article>a, b." + "<article>a, b." * 20_000 + "</nav>") == ""
+
+
 def test_odd_pages():
     for html, want in ((None, ""), ("", ""), ("<p>", ""), ("just text", "just text"), ("a < b & c", "a < b & c"), ("</div>x", "x"), ("<script>p", ""), ("<p>x<!-- ", "x"), ("<nav>only menu</nav>", "")):
         assert main_text(html) == want
