@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from funnelworks.llm.common import map_rows, store
 from funnelworks.llm.shingles import ngrams, word_hashes
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 MIN_COUNT = 2
 BATCH_CHARS = 4_000_000

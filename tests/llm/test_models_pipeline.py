@@ -12,6 +12,7 @@ import corpus_pipeline
 from funnelworks.llm import lm_scoring
 from funnelworks.llm.common import table
 from funnelworks.llm.lm_scoring import score_documents
+from funnelworks.llm.queries import op9_lm_scoring
 from funnelworks.llm.toxicity import fit, score_toxicity, terms_of
 
 SF = "/root/testdata/sf0.01"
@@ -51,6 +52,14 @@ def test_scores_equal_brute_force(make_docs, monkeypatch, order):
     assert got == sorted((d, n, round(s, 6)) for d, n, s in brute_scores(docs, order))
 
 
+def test_registered_query_scores_trigrams(spark, make_docs, tmp_path):
+    docs = [(1, "a b c"), (2, "a b c"), (3, "x b d"), (4, "x b d")]
+    make_docs(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"], r["n_words"], round(r["log_score"], 6)) for r in op9_lm_scoring(spark, str(tmp_path)).collect())
+    assert got == sorted((d, n, round(s, 6)) for d, n, s in brute_scores(docs, 3))
+    assert got != sorted((d, n, round(s, 6)) for d, n, s in brute_scores(docs, 2))
+
+
 def test_score_edge_cases(make_docs):
     assert score_documents(make_docs([])).count() == 0
     rows = score_documents(make_docs([(None, "a b"), (1, None)])).collect()
