@@ -7,10 +7,13 @@ their factors, which an additive model has no term for (an insult together with
 of a group).
 
 The machine is fitted on a bounded sample of labelled rows (``max_per_class`` rows of each
-label, those with the smallest hash of the id; whole texts). Only terms whose share of toxic
-documents is beyond chance, by the Chernoff bound over the terms tried, get parameters; the
-counts behind that are a Spark aggregation over the sample. The driver holds only those terms
-and which of them each of the sample's documents has. Every document of the table is scored on its whole text.
+label, those with the smallest hash of the id; whole texts). Every term of at least
+``MIN_DOCS`` of its documents has a weight and factors, so that pairs of terms are learnt that
+occur alone as often in either label. Terms whose share of toxic documents is beyond chance,
+by the Chernoff bound over the terms tried, have the value 1 in a document; the others share
+a length of 1, as most of them say nothing. The counts behind that are a Spark aggregation
+over the sample. The driver holds the parameters and the terms of each of the sample's
+documents. Every document of the table is scored on its whole text.
 
 Defined cases: NULL and empty texts have no terms and get the score of the bias; without
 labelled rows of both kinds all scores are 0.0; rows with the same id are scored each by its
@@ -40,6 +43,8 @@ STEPS = 4000
 BATCH = 32
 RATE = 0.2
 DECAY = 1e-4
+# A term needs this many documents of the sample to have parameters.
+MIN_DOCS = 3
 PREDICT_AT = 0.7
 # Characters that are hashed at a time; a longer text is cut into overlapping slices.
 SLICE = 1 << 18
@@ -96,12 +101,14 @@ def terms_of(texts: list[str | None], keep: np.ndarray | None = None) -> tuple[n
 
 @dataclass
 class Machine:
-    """Fitted parameters: bias, the sorted terms that have parameters, their weights and factors."""
+    """Fitted parameters: bias, the sorted terms that have parameters, their weights and factors,
+    and which of them tell the labels apart on their own."""
 
     bias: float
     terms: np.ndarray
     weights: np.ndarray
     factors: np.ndarray
+    telling: np.ndarray | None = None
 
     def marks(self) -> np.ndarray:
         keep = np.zeros(1 << TERM_BITS, bool)
@@ -114,10 +121,20 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(_logits(self, doc, np.searchsorted(self.terms, term), len(texts)), -35, 35)))
 
 
+def _values(doc: np.ndarray, at: np.ndarray, n: int, telling: np.ndarray | None) -> np.ndarray:
+    """Value of each term of a document: 1 if it tells the labels apart on its own; the others
+    share a length of 1, so that many of them weigh no more than one that tells."""
+    if telling is None:
+        return np.ones(len(at))
+    own = telling[at]
+    return np.where(own, 1.0, 1 / np.sqrt(np.maximum(np.bincount(doc, ~own, n), 1))[doc])
+
+
 def _logits(m: Machine, doc: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    v = m.factors[at]
+    x = _values(doc, at, n, m.telling)
+    v = m.factors[at] * x[:, None]
     s = np.stack([np.bincount(doc, v[:, k], n) for k in range(v.shape[1])], axis=1)
-    return m.bias + np.bincount(doc, m.weights[at], n) + 0.5 * ((s**2).sum(axis=1) - np.bincount(doc, (v**2).sum(axis=1), n))
+    return m.bias + np.bincount(doc, m.weights[at] * x, n) + 0.5 * ((s**2).sum(axis=1) - np.bincount(doc, (v**2).sum(axis=1), n))
 
 
 def tells(base: float, tried: int) -> Column:
@@ -132,43 +149,53 @@ def tells(base: float, tried: int) -> Column:
     return F.col("n") * (ones + zeros) > float(np.log(max(tried, 1))) + 2
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, factors: int = FACTORS, steps: int = STEPS, seed: int = 7) -> Machine:
+def fit(
+    rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, factors: int = FACTORS, steps: int = STEPS, seed: int = 7, telling: np.ndarray | None = None
+) -> Machine:
     """Fit by AdaGrad on the logistic loss. Rows of the rarer label weigh more, by the square
     root of the ratio: between finding all of them and flagging few of the others.
 
-    ``rows`` holds the positions of each document's terms in ``terms``.
+    ``rows`` holds the positions of each document's terms in ``terms``; ``telling`` marks the
+    terms that tell the labels apart on their own (all, if None).
     """
     y = np.asarray(labels, np.float64)
     rng = np.random.default_rng(seed)
     weights, vectors, bias = np.zeros(len(terms)), rng.normal(0, 0.02, (len(terms), factors)), 0.0
     g_weights, g_vectors, g_bias = np.ones(len(terms)), np.ones((len(terms), factors)), 1.0
     cost = np.where(y == 1, np.sqrt((1 - y.mean()) / y.mean()), 1.0)
+    sizes = np.array([len(r) for r in rows])
+    values = [_values(np.zeros(len(r), np.int64), r, 1, telling).astype(np.float32) for r in rows]
     order, at = rng.permutation(len(rows)), 0
+    seen, place = np.zeros(len(terms), bool), np.zeros(len(terms), np.int64)
     for _ in range(steps):
         if at >= len(order):
             order, at = rng.permutation(len(rows)), 0
         own = order[at : at + BATCH]
         at += BATCH
-        of = np.repeat(np.arange(len(own)), [len(rows[i]) for i in own])
         held = np.concatenate([rows[i] for i in own])
-        v = vectors[held]
-        s = np.zeros((len(own), factors))
-        np.add.at(s, of, v)
-        squares = np.bincount(of, (v**2).sum(axis=1), len(own))
-        z = bias + np.bincount(of, weights[held], len(own)) + 0.5 * ((s**2).sum(axis=1) - squares)
+        seen[held] = True
+        touched = np.flatnonzero(seen)
+        seen[touched] = False
+        place[touched] = np.arange(len(touched))
+        # the batch as a matrix over the terms it touches
+        x = np.zeros((len(own), len(touched)))
+        x[np.repeat(np.arange(len(own)), sizes[own]), place[held]] = np.concatenate([values[i] for i in own])
+        x2 = x * x
+        w, v = weights[touched], vectors[touched]
+        s = x @ v
+        z = bias + x @ w + 0.5 * ((s**2).sum(axis=1) - x2 @ (v**2).sum(axis=1))
         error = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[own]) * cost[own]
-        touched, back = np.unique(held, return_inverse=True)
-        g = np.bincount(back, error[of], len(touched)) + DECAY * weights[touched]
-        g_weights[touched] += g**2
-        weights[touched] -= RATE * g / np.sqrt(g_weights[touched])
-        gv = np.zeros((len(touched), factors))
-        np.add.at(gv, back, error[of, None] * (s[of] - v))
-        gv = np.clip(gv, -1, 1) + DECAY * vectors[touched]
-        g_vectors[touched] += gv**2
-        vectors[touched] -= 0.1 * RATE * gv / np.sqrt(g_vectors[touched])
+        g = error @ x + DECAY * w
+        seen_w = g_weights[touched] + g**2
+        g_weights[touched] = seen_w
+        weights[touched] = w - RATE * g / np.sqrt(seen_w)
+        gv = np.clip(x.T @ (error[:, None] * s) - (error @ x2)[:, None] * v, -1, 1) + DECAY * v
+        seen_v = g_vectors[touched] + gv**2
+        g_vectors[touched] = seen_v
+        vectors[touched] = v - 0.1 * RATE * gv / np.sqrt(seen_v)
         g_bias += error.sum() ** 2
         bias -= RATE * error.sum() / np.sqrt(g_bias)
-    return Machine(float(bias), terms, weights, vectors)
+    return Machine(float(bias), terms, weights, vectors, telling)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Machine | None:
@@ -196,22 +223,23 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
     # At least this many documents are needed to differ from the base share beyond chance.
     base = total["ones"] / total["n"]
     least = int(2 / max(-np.log(base), -np.log1p(-base)))
-    counts = cut(counts.where(F.col("n") > least))
-    told_apart = counts.where(tells(base, counts.count())).select("term").toPandas()
-    terms = np.sort(told_apart["term"].to_numpy(np.int64))
+    counts = cut(counts.where((F.col("n") > least) | (F.col("n") >= MIN_DOCS)))
+    telling = (F.col("n") > least) & tells(base, counts.where(F.col("n") > least).count())
+    chosen = counts.withColumn("telling", telling).where(F.col("telling") | (F.col("n") >= MIN_DOCS)).select("term", "telling").toPandas().sort_values("term")
+    terms, telling = chosen["term"].to_numpy(np.int64), chosen["telling"].to_numpy(bool)
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
-    def told(rows: Iterable[tuple]) -> Iterator[tuple]:
+    def held(rows: Iterable[tuple]) -> Iterator[tuple]:
         keep = np.zeros(1 << TERM_BITS, bool)
         keep[shared.value] = True
         for texts, toxic in _chunks(rows):
             doc, term = terms_of(texts, keep)
-            own = np.split(np.searchsorted(shared.value, term), np.searchsorted(doc, np.arange(1, len(texts))))
-            yield from ((x.tolist(), t) for x, t in zip(own, toxic, strict=True))
+            own = np.split(np.searchsorted(shared.value, term).astype("<i4"), np.searchsorted(doc, np.arange(1, len(texts))))
+            yield from ((x.tobytes(), t) for x, t in zip(own, toxic, strict=True))
 
-    rows = map_rows(sample, told, "terms array<int>, toxic int", 2000).toPandas()
-    rows = sorted((tuple(x), t) for x, t in zip(rows["terms"], rows["toxic"], strict=True))
-    return fit([np.array(x, np.int64) for x, _ in rows], np.array([t for _, t in rows]), terms)
+    rows = map_rows(sample, held, "terms binary, toxic int", 500).toPandas()
+    rows = sorted(zip(rows["terms"], rows["toxic"], strict=True))
+    return fit([np.frombuffer(x, "<i4") for x, _ in rows], np.array([t for _, t in rows]), terms, telling=telling)
 
 
 def _chunks(rows: Iterable[tuple], chars: int = SLICE) -> Iterator[tuple[list, list]]:

@@ -94,6 +94,21 @@ def test_machine_learns_a_pair_that_no_sum_expresses():
     assert ((z > 0) == np.array(labels, bool)).mean() > 0.95
 
 
+def test_scores_tell_a_pair_whose_words_tell_nothing_alone(spark, make_docs):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(200)]
+    rows, labels = [], []
+    for i in range(2400):
+        a, b = i % 2, i // 2 % 2
+        text = rng.sample(vocabulary, 6) + ["qumzorv"] * a + ["wyxtun"] * b
+        rng.shuffle(text)
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(a != b)))
+    got = {r["doc_id"]: r for r in score_toxicity(make_docs(rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    right = [got[i]["predicted"] == y for i, y in labels if got[i]["held_out"]]
+    assert len(right) > 500 and np.mean(right) > 0.95
+
+
 def test_held_out_accuracy(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     rows = score_toxicity(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
