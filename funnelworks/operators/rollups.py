@@ -9,9 +9,8 @@ Scale notes
 * Every aggregate is algebraic (count_if / count / min / max / sum) so Spark does a
   map-side partial aggregation: a hot (category, day, brand) group is pre-combined in
   every task before the shuffle and never sits in one task as raw rows.
-* The per-group price list of the reference (``$push``) is unbounded. It is built by
-  ``price_lists`` as chunks of at most ~``chunk_rows`` values, so no array grows with
-  the data.
+* The per-group price list of the reference (``$push``) is unbounded; ``price_lists`` builds
+  lists of bounded length.
 """
 
 from __future__ import annotations
@@ -21,8 +20,12 @@ from pyspark.sql import functions as F
 
 from funnelworks.constants import FUNNEL_STAGES
 from funnelworks.functions.paths import classification, to_day, top_category
+from funnelworks.operators.price_lists import FUNNEL_KEYS, price_list_summary, price_lists
 
-FUNNEL_KEYS = ["category", "event_day", "classification", "brand"]
+__all__ = [
+    "FUNNEL_KEYS", "category_funnel", "daily_product_funnel", "event_categories", "funnel_rows", "price_list_summary",
+    "price_lists", "price_summary", "stage_counts", "top_categories",
+]
 
 
 def event_categories(events: DataFrame) -> DataFrame:
@@ -86,66 +89,3 @@ def category_funnel(events: DataFrame, category: str) -> DataFrame:
     The equality on the grouping key is pushed below the aggregation by Catalyst.
     """
     return daily_product_funnel(events).where(F.col("category") == F.lit(category))
-
-
-def price_lists(
-    events: DataFrame,
-    chunk_rows: int = 10_000,
-    id_col: str = "event_id",
-    keys: list[str] | None = None,
-    sizes: DataFrame | None = None,
-) -> DataFrame:
-    """The pushed price lists of the funnel groups, NULLs kept, in bounded chunks.
-
-    A group with ``n`` rows is split into ``ceil(n / chunk_rows)`` chunks by a hash of
-    the row id, so each ``collect_list`` holds about ``chunk_rows`` values however hot
-    the group is. The group sizes come from a partially aggregated count; joining them
-    back is a null-safe equi-join that AQE splits when one group is skewed. The
-    concatenation of a group's chunks is the reference's list (order is undefined there
-    too).
-
-    ``id_col`` (with the price) spreads a group over its chunks and, unlike a random draw,
-    gives the same chunk when a task is recomputed.
-    ``sizes``: an already computed funnel (keys + ``n_prices``), e.g. the stored rollup;
-    it replaces the counting pass over the events.
-
-    Output: funnel keys, ``chunk``, ``prices`` ARRAY<DOUBLE>.
-    """
-    keys = keys or FUNNEL_KEYS
-    rows = events.select(
-        id_col,
-        top_category("category_code").alias("category"),
-        to_day("event_time").alias("event_day"),
-        classification("category_code").alias("classification"),
-        "brand",
-        "price",
-    ).where(F.col("category").isNotNull())
-    if sizes is None:
-        sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    else:
-        sizes = sizes.select(*keys, F.col("n_prices").alias("_n"))
-    sizes = sizes.select(*[F.col(k).alias("_s_" + k) for k in keys], "_n")
-    on = None
-    for k in keys:
-        term = F.col(k).eqNullSafe(F.col("_s_" + k))
-        on = term if on is None else on & term
-    n_chunks = F.greatest(F.ceil(F.col("_n") / F.lit(chunk_rows)), F.lit(1))
-    # A group that the given sizes lack keeps its rows, in one chunk.
-    chunked = rows.join(sizes, on, "left").select(
-        *keys, "price", F.pmod(F.xxhash64(id_col, "price"), n_chunks).alias("chunk")
-    )
-    return chunked.groupBy(*keys, "chunk").agg(
-        # collect_list drops NULLs; wrapping in a struct keeps them.
-        F.transform(F.collect_list(F.struct("price")), lambda s: s["price"]).alias("prices")
-    )
-
-
-def price_list_summary(chunks: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Per-group size / NULL count / min / max rebuilt from the chunked lists."""
-    keys = keys or FUNNEL_KEYS
-    return chunks.groupBy(*keys).agg(
-        F.sum(F.size("prices")).alias("n_prices"),
-        F.sum(F.size(F.filter("prices", lambda x: x.isNull()))).alias("n_null_prices"),
-        F.min(F.array_min("prices")).alias("min_price"),
-        F.max(F.array_max("prices")).alias("max_price"),
-    )

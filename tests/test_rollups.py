@@ -110,13 +110,63 @@ def test_partitioned_write_and_append(spark, tmp_dir):
     assert spark.read.parquet(out).count() == 80   # append semantics, as the reference's inserts
 
 
-def test_price_lists_with_given_sizes(spark):
-    rows = [(i, _t(1), "view", "c.k", "b", float(i % 3)) for i in range(50)]
-    ev = _events(spark, rows)
-    funnel = rollups.daily_product_funnel(ev)
-    a = rollups.price_list_summary(rollups.price_lists(ev, chunk_rows=4, sizes=funnel)).first()
-    b = rollups.price_list_summary(rollups.price_lists(ev, chunk_rows=4)).first()
-    assert (a.n_prices, a.min_price, a.max_price) == (b.n_prices, b.min_price, b.max_price) == (50, 0.0, 2.0)
+def _lists(spark, rows, chunk_rows):
+    """Lists by group (day, brand) from event rows."""
+    found = {}
+    got = rollups.price_lists(_events(spark, rows), chunk_rows=chunk_rows).collect()
+    for r in got:
+        assert 0 < len(r.prices) <= chunk_rows
+        found.setdefault((r.event_day.day, r.brand), []).append(r.prices)
+    assert len({(r.category, r.event_day, r.classification, r.brand, r.chunk) for r in got}) == len(got)
+    return found
+
+
+def _counted(prices):
+    from collections import Counter
+
+    return Counter(prices)
+
+
+def test_price_lists_without_ids_and_with_one_price(spark):
+    rows = [(None, _t(1), "view", "c.k", "b", 2.5)] * 1000 + [(None, _t(1), "view", "c.k", None, None)] * 35
+    found = _lists(spark, rows, 10)
+    assert sorted(map(len, found[1, "b"])) == [10] * 100
+    assert sorted(map(len, found[1, None])) == [5, 10, 10, 10]
+    assert {p for prices in found[1, "b"] for p in prices} == {2.5} and {p for prices in found[1, None] for p in prices} == {None}
+
+
+def test_price_lists_of_small_groups_are_whole(spark):
+    import random
+
+    rng = random.Random(1)
+    rows = [(None, _t(1 + i % 3), "view", "c.k", rng.choice(["a", "b", None]), rng.choice([None, float(rng.randint(0, 40))])) for i in range(900)]
+    found = _lists(spark, rows, 10_000)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(len(lists) for lists in found.values()) <= len(found) + tasks
+    for (day, brand), lists in found.items():
+        assert _counted(p for prices in lists for p in prices) == _counted(r[5] for r in rows if (r[1].day, r[4]) == (day, brand))
+
+
+def test_price_lists_of_many_values_at_once(spark, monkeypatch):
+    from funnelworks.operators import price_lists
+
+    monkeypatch.setattr(price_lists, "VALUES_AT_ONCE", 50)
+    rows = [(None, _t(1), "view", "c.k", "b", float(i % 37)) for i in range(1500)]
+    found = _lists(spark, rows, 29)[1, "b"]
+    assert _counted(p for prices in found for p in prices) == _counted(r[5] for r in rows)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(found) <= 1500 // 29 + 1 + tasks
+
+
+def test_price_lists_read_the_events_once(spark, tmp_dir):
+    rows = [(i, _t(1), "view", "c.k", "b", float(i % 7)) for i in range(100)]
+    _events(spark, rows).write.parquet(f"{tmp_dir}/events")
+    chunks = rollups.price_lists(spark.read.parquet(f"{tmp_dir}/events"), chunk_rows=4)
+    chunks.collect()
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert final.count("FileScan parquet") == 1, final
+    assert "Join" not in final
 
 
 def test_stored_footprint_counts_files_and_bytes(spark, tmp_dir):

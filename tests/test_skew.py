@@ -1,8 +1,7 @@
-"""Hot keys: a third of all rows in one group, with broadcast disabled so the shuffle
-join path is taken. AQE must split the skewed join partition and no row may be lost."""
+"""Hot keys: a third of all rows in one group, with broadcast disabled and small partitions.
+The group must be spread over tasks and no row may be lost."""
 
 import datetime as dt
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,15 +47,24 @@ def _hot_events(spark, n=20000):
 def test_price_lists_split_hot_group_and_keep_all_rows(skew_session):
     spark = skew_session
     chunks = rollups.price_lists(_hot_events(spark), chunk_rows=500)
-    rows = chunks.collect()
-    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
-    plan = chunks._jdf.queryExecution().explainString(mode)
-    assert re.search(r"SortMergeJoin\(skew=true\)", plan)
+    rows = chunks.withColumn("task", F.spark_partition_id()).collect()
     assert sum(len(r.prices) for r in rows) == 20000
     hot = [r for r in rows if r.category == "hot"]
     assert sum(len(r.prices) for r in hot) == 6667
-    assert max(len(r.prices) for r in hot) < 1000          # bounded chunks
-    assert len(hot) == 14                                   # ceil(6667 / 500)
+    assert max(len(r.prices) for r in hot) <= 500          # bounded lists
+    assert len(hot) <= 14 + 8                               # ceil(6667 / 500) and one short list a task
+
+
+def test_price_lists_spread_a_hot_group_over_tasks(spark):
+    rows = _hot_events(spark).withColumn("price", F.col("event_id").cast("double"))
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        hot = rollups.price_lists(rows, chunk_rows=500).where("category = 'hot'").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    assert len({r.task for r in hot}) >= 3
+    assert sum(len(r.prices) for r in hot) == 6667
 
 
 def test_funnel_hot_group_counts(skew_session):
