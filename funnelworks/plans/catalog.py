@@ -21,6 +21,7 @@ from funnelworks.functions.paths import day_string, parse_day_col
 from funnelworks.plans import oracles as O
 from funnelworks.session import shared_path
 from funnelworks.sources import fixtures, sinks
+from funnelworks.streaming import funnel as funnel_stream
 from funnelworks.streaming import ingest
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -241,6 +242,55 @@ def q_partitioned_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Event that closes the last day of an append stream: its own day stays open.
+def _sentinel(spark: SparkSession, last: dt.datetime) -> DataFrame:
+    after = last + dt.timedelta(days=30)
+    row = [(after, "view", "sentinel", None, None)]
+    return spark.createDataFrame(row, "event_time timestamp_ntz, event_type string, category_code string, brand string, price double")
+
+
+def _arrivals(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The events in the order of their time, in two halves."""
+    events = fixtures.product_events(spark, sf_dir)
+    first, last = events.agg(F.min("event_time"), F.max("event_time")).first()
+    if first is None:
+        return [events]
+    middle = F.lit((first + (last - first) / 2).isoformat(sep=" ")).cast("timestamp_ntz")
+    late = F.col("event_time") >= middle
+    return [events.where(~late), events.where(late), _sentinel(spark, last)]
+
+
+@register(
+    "stream_daily_funnel",
+    O.with_ctes(O.PRODUCT_EVENTS_CTE, O.FUNNEL_ROWS_CTE, O.FUNNEL_CTE, body="SELECT * FROM funnel"),
+)
+def q_stream_daily_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days written as the watermark closes them; the query is restarted from its checkpoint
+    after each arrival."""
+    root = shared_path(spark, "stream_daily_funnel")
+    for events in _arrivals(spark, sf_dir):
+        funnel_stream.land_events(events, f"{root}/events")
+        source = funnel_stream.event_files(spark, f"{root}/events")
+        funnel_stream.append_days(source, f"{root}/days", f"{root}/checkpoint").awaitTermination()
+    days = funnel_stream.read_days(spark, f"{root}/days")
+    return days.select(*[F.round(c, 2).alias(c) if c == "sum_price" else F.col(c) for c in FUNNEL_COLUMNS])
+
+
+@register(
+    "stream_funnel_totals",
+    O.with_ctes(O.PRODUCT_EVENTS_CTE, O.FUNNEL_ROWS_CTE, O.FUNNEL_CTE, body="SELECT * FROM funnel"),
+)
+def q_stream_funnel_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup published after every batch, the events of the second half arriving first."""
+    root = shared_path(spark, "stream_funnel_totals")
+    for events in reversed(_arrivals(spark, sf_dir)[:2]):
+        funnel_stream.land_events(events, f"{root}/events")
+        source = funnel_stream.event_files(spark, f"{root}/events")
+        funnel_stream.publish_totals(source, f"{root}/totals", f"{root}/checkpoint").awaitTermination()
+    totals = sinks.read_version(spark, f"{root}/totals", funnel_stream.FUNNEL_SCHEMA)
+    return totals.select(*[F.round(c, 2).alias(c) if c == "sum_price" else F.col(c) for c in FUNNEL_COLUMNS])
+
+
 # ------------------------------------------------------------------------- overview
 
 # Request of the overview queries: a range with two empty days before the data, and an

@@ -117,6 +117,41 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(files.exists(place))
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file's content, or None if there is none, in whatever store it is."""
+    place, files = _hadoop(spark, path)
+    if not files.exists(place):
+        return None
+    stream = files.open(place)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def replace_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small text file beside its place and rename it there, over an older one."""
+    jvm = spark._jvm
+    place, files = _hadoop(spark, path)
+    fresh = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    stream = files.create(fresh)
+    stream.write(text.encode())
+    stream.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
+    overwrite = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    options = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
+    options[0] = overwrite
+    context.rename(fresh, place, options)
+
+
+def drop_others(spark: SparkSession, folder: str, keep: set[str | None]) -> None:
+    """Delete the entries of a folder that are not named in ``keep``."""
+    place, files = _hadoop(spark, folder)
+    for entry in files.listStatus(place):
+        if entry.getPath().getName() not in keep:
+            files.delete(entry.getPath(), True)
+
+
 def scale_settings(
     input_bytes: int,
     total_cores: int,

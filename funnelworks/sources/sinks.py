@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from funnelworks.session import drop_others, read_text, replace_text
+
 # A partition folder cannot hold the empty text (it reads back as NULL), so that value and
 # those that would collide with it are stored behind this sign.
 ESCAPE = "~"
@@ -102,6 +104,37 @@ def read_back(
     return out
 
 
+def publish_version(df: DataFrame, root: str, version: str) -> str:
+    """Write a table as one version under ``root`` and make it the one ``read_version`` reads.
+
+    The version's folder is written first and its name then put in place by a rename, so a
+    reader sees the old version or the new one, whole. Writing a version again replaces it.
+    The version before the current one stays for readers that are under way; older ones go.
+    """
+    spark = df.sparkSession
+    df.write.mode("overwrite").parquet(f"{root}/versions/{version}")
+    before = current_version(spark, root)
+    if before == version:
+        return version
+    replace_text(spark, f"{root}/current", "\n".join([version, *([before] if before else [])]))
+    drop_others(spark, f"{root}/versions", {version, before})
+    return version
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    """The name of the published version, if there is one."""
+    text = read_text(spark, f"{root}/current")
+    return text.split("\n")[0] if text else None
+
+
+def read_version(spark: SparkSession, root: str, schema: StructType | str | None = None) -> DataFrame:
+    """The published version of a table."""
+    version = current_version(spark, root)
+    if version is None:
+        raise FileNotFoundError(f"no published version under {root}")
+    return read_back(spark, f"{root}/versions/{version}", schema=schema)
+
+
 def stored_footprint(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """On-disk size of a written table: ``n_files, n_bytes`` (S14, the storage-size probe).
 
