@@ -27,6 +27,52 @@ def test_batches_of_twenty_with_partial_tail(spark):
     assert [x["id"] for x in json.loads(env[2].value)] == [40, 41, 42, 43, 44]
 
 
+def _hot_items(spark, n=9000):
+    key = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.lit(None)).otherwise((F.col("id") % 41).cast("string"))
+    return spark.range(0, n, 1, 6).select(key.alias("key"), (F.col("id") * 7 % n).alias("id"), F.lit("b").alias("brand"))
+
+
+def test_batches_of_hot_keys_equal_row_number(spark):
+    items = _hot_items(spark)
+    got = envelopes.batch_envelopes(items, "key", "id", ["id", "brand"], bucket_rows=300)
+    number = F.floor((F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1) / 20).alias("batch_no")
+    want = items.select("key", "id", number).groupBy("key", "batch_no").agg(
+        F.count(F.lit(1)).alias("n_items"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sort_array(F.collect_list("id")).alias("ids")
+    )
+    ids = F.transform(F.from_json("value", "array<struct<id:bigint>>"), lambda x: x["id"]).alias("ids")
+    mine = got.select("key", "batch_no", "n_items", "first_id", "last_id", ids)
+    assert mine.exceptAll(want).count() == 0 and want.exceptAll(mine).count() == 0
+
+
+def test_items_are_shuffled_once_and_hot_keys_by_many_tasks(spark):
+    got = envelopes.batch_envelopes(_hot_items(spark), "key", "id", ["id", "brand"], bucket_rows=300)
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning(key" in line and "_bucket" in line and "Reused" not in line and "_count" not in line]
+    # One exchange carries the items, another the counts of the buckets.
+    carrying = [line for line in moved if "count" not in line]
+    assert len(carrying) <= 2, plan
+    assert "checkpoint" not in plan.lower() and "ReusedExchange" in plan
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = envelopes._ranked(_hot_items(spark), "key", "id", 300, None)[0]
+        assert ranked.where("key = 'hot'").select(F.spark_partition_id()).distinct().count() >= 4
+        assert ranked.groupBy("key", "_bucket").count().agg(F.max("count")).first()[0] < 2000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_ranks_with_ties_and_without_order(spark):
+    rows = [("hot", None, f"x{i}") for i in range(400)] + [("hot", 5, f"y{i}") for i in range(400)] + [(None, 1, "z")] * 3
+    df = spark.createDataFrame(rows, "key string, ord bigint, item string")
+    got = envelopes.rank_within_key(df, "key", "ord", bucket_rows=50).collect()
+    assert sorted(r.rank for r in got if r.key == "hot") == list(range(1, 801))
+    assert {r.ord for r in got if r.key == "hot" and r["rank"] <= 400} == {None}
+    assert sorted(r.rank for r in got if r.key is None) == [1, 2, 3]
+    assert envelopes.rank_within_key(df.where("false"), "key", "ord").count() == 0
+
+
 MESSAGES = [
     ("gaming headset", json.dumps([{"id": 1, "brand": "x", "price": None}, {"id": 2, "brand": "y", "price": 3.0}])),
     (None, "[]"),
