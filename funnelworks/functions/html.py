@@ -22,6 +22,18 @@ def is_number(s: str | Column) -> Column:
     return F.coalesce(_col(s).rlike(FLOAT_PATTERN), F.lit(False))
 
 
+def parse_float(s: str | Column) -> Column:
+    """The number of a text that ``is_number`` takes; NULL for others."""
+    digits = F.replace(F.regexp_replace(_col(s), r"(?U)[\s\x1c-\x1f]", ""), F.lit("_"), F.lit(""))
+    return F.when(is_number(s), digits.try_cast("double"))
+
+
+def parse_int(s: str | Column) -> Column:
+    """The whole number of a text as Python's int() reads it; NULL for others and beyond a long."""
+    digits = F.replace(F.regexp_replace(_col(s), r"(?U)[\s\x1c-\x1f]", ""), F.lit("_"), F.lit(""))
+    return F.when(_col(s).rlike(rf"(?U)^\s*[+-]?{_DIGITS}\s*$"), digits.try_cast("bigint"))
+
+
 def absolute_url(link: str | Column, page_url: str | Column) -> Column:
     """Resolve a link against the page's ``scheme://host``.
 

@@ -117,7 +117,8 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     Ordinary markup that a parser must read as a document: an attribute whose name ends like
     a sought one, a commented-out title, a character reference in every title, upper-case
     tags with single quotes, prices one element deeper (%2=0) or with a suffix (%11=0),
-    blocks and cells with elements inside.
+    blocks and cells with elements inside, tables without the end tags of their rows and
+    cells (%8=0), markup that is none (%13=0).
     """
     # The small part rows are spread, not the generated pages: page text is built and parsed
     # in as many tasks as the session's shuffles have, and never shuffled.
@@ -173,8 +174,11 @@ def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_size").cast("string"),
         F.lit(" </td></tr><tr><th>Pack</th><td> A <b>B</b> C </td></tr></table>"),
     )
+    for end in ("</td>", "</tr>", "</th>"):
+        brand_row, detail = (F.when(k % 8 == 0, F.replace(t, F.lit(end), empty)).otherwise(t) for t in (brand_row, detail))
+    odd = F.when(k % 13 == 0, F.lit("<![odd[ x ]]><p>unclosed<div></b></div>")).otherwise(empty)
     html = F.concat(
-        F.lit("<!DOCTYPE html><html><head><title>"), name, F.lit("</title></head><body><div id=\"dp\">\n"),
+        F.lit("<!DOCTYPE html><html><head><title>"), name, F.lit("</title></head><body><div id=\"dp\">\n"), odd,
         decoys, title, price, discount, rating, reviews, availability, brand_row, detail,
         F.lit("\n</div></body></html>"),
     )

@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from funnelworks.constants import AVAILABILITY_ID, BRAND_ROW_CLASS, DETAIL_TABLE_ID, DISCOUNT_CLASS, PRICE_CLASS, RATING_ICON_CLASS, SEARCH_LINK_CLASS, TITLE_ID
 from funnelworks.operators import extract, listings
 
 
@@ -44,28 +45,28 @@ def test_random_stamp_in_window(spark):
     assert start <= lo <= hi <= end
 
 
-PAGE = """<html><body>
+PAGE = f"""<html><body>
 <span id="productTitle">
    Fancy &amp; Co Lamp
 </span>
 <span class="a-price"><span class="a-offscreen">$1,299.00</span></span>
-<span class="a-size-large a-color-price savingPriceOverride aok-align-center reinventPriceSavingsPercentageMargin savingsPercentage">-20%</span>
-<i class="a-icon a-icon-star a-star-4-5"><span>4.5 out of 5 stars</span></i>
+<span class="{DISCOUNT_CLASS}">-20%</span>
+<i class="{RATING_ICON_CLASS}"><span>4.5 out of 5 stars</span></i>
 <span class="a-icon-alt">3.0 out of 5 stars</span>
 <span id="acrCustomerReviewText">1,299 ratings</span>
 <table><tr class="po-brand"><td>Brand</td><td> <span>Lumo</span> </td></tr></table>
-<table id="productDetails_detailBullets_sections1">
+<table id="{DETAIL_TABLE_ID}">
 <tr><th> Color </th><td> Red </td></tr><tr><th>Color</th><td>Blue</td></tr><tr><th>Size</th><td>L</td></tr>
 </table>
 </body></html>"""
 
-PAGE2 = """<html><body><h1 id="title"> Plain Title </h1>
+PAGE2 = f"""<html><body><h1 id="title"> Plain Title </h1>
 <span class="a-offscreen">$12.50</span>
 <span class="a-icon-alt">2.5 out of 5 stars</span>
 <div id="availability"><span>
  Only 3 left
 </span></div>
-<table id="productDetails_detailBullets_sections1"><tr><th>Weight</th></tr></table>
+<table id="{DETAIL_TABLE_ID}"><tr><th>Weight</th></tr></table>
 </body></html>"""
 
 
@@ -128,8 +129,6 @@ def test_stamped_listings_fall_in_rollup_window(spark):
 
 
 def test_search_result_links_only_result_class(spark):
-    from funnelworks.constants import SEARCH_LINK_CLASS
-
     html = (
         f'<a href="/nav">n</a><a class="{SEARCH_LINK_CLASS}" href="/dp/1">1</a>'
         f'<a href="/dp/2" class="{SEARCH_LINK_CLASS}">2</a><a class="a-link-normal" href="/x">x</a>'
@@ -165,21 +164,91 @@ def test_flatten_keeps_documents_and_names_rejects(spark):
     assert listings.flatten_listings(responses)._jdf.queryExecution().executedPlan().toString().count("parseJson(") == 1
 
 
-def test_pages_are_read_as_documents():
-    from funnelworks.functions import dom
+def _fields(spark, *pages):
+    frame = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")
+    return [r.asDict() for r in extract.extract_pages(frame).orderBy("page_id").collect()]
+
+
+def _hrefs(spark, html):
+    frame = spark.createDataFrame([(1, "https://h.example", html)], "page_id int, url string, html string")
+    return [r.link for r in extract.extract_links(frame).orderBy("position").collect()]
 
-    assert dom.product_fields(None)["title"] == "" and dom.product_fields("")["reviews"] == 0
-    f = dom.product_fields("<SPAN ID='productTitle'>A <script>x</script>&#8217;B&nbsp;</SPAN>"
-                           "<span class='a-offscreen'>&pound;12.00</span>"
-                           "<span id=acrCustomerReviewText>3,000,000,000 ratings</span>"
-                           "<div id='availability'><div><div></div></div><span><b> In Stock </b></span></div>"
-                           "<tr class='z po-brand'><td>B</td><td><table><td>x</td></table> y</td></tr>")
+
+def test_pages_are_read_as_documents(spark):
+    none, empty, f, two, deep = _fields(
+        spark,
+        None,
+        "",
+        "<SPAN ID='productTitle'>A <script>x</script>&#8217;B&nbsp;</SPAN>"
+        "<span class='a-offscreen'>&pound;12.00</span>"
+        "<span id=acrCustomerReviewText>3,000,000,000 ratings</span>"
+        "<div id='availability'><div><div></div></div><span><b> In Stock </b></span></div>"
+        "<table><tr class='z po-brand'><td>B</td><td><table><td>x</td></table> y</td></tr></table>",
+        "<span class='a-offscreen'><b>$1</b>2</span><div id='availability'><span></span></div>",
+        "<div>" * 20_000 + "<span id='productTitle'>deep",
+    )
+    assert none["title"] == "" and empty["reviews"] == 0 and none["detail"] == {}
     assert f["title"] == "A \u2019B" and f["price"] == 12.0 and f["reviews"] == 3_000_000_000
     assert f["availability"] == "In Stock" and f["brand"] == "x y"
-    two = dom.product_fields("<span class='a-offscreen'><b>$1</b>2</span><div id='availability'><span></span></div>")
     assert two["price"] is None and two["availability"] == "Not Available"
-    assert dom.product_fields("<div>" * 20_000 + "<span id='productTitle'>deep")["title"] == "deep"
-    assert dom.anchor_links("<a href='/x?a=1&amp;b=2' data-href='/no'>1</a><!-- <a href='/c'> --><a>none</a>") == ["/x?a=1&b=2"]
+    assert deep["title"] == "deep"
+    assert _hrefs(spark, "<a href='/x?a=1&amp;b=2' data-href='/no'>1</a><!-- <a href='/c'> --><a>none</a>") == ["/x?a=1&b=2"]
+
+
+def test_pages_with_omitted_end_tags(spark):
+    rows = "<tr><th>Type<td>Book<tr><th>Size<td>3"
+    f, odd, bold = _fields(
+        spark,
+        f"<table><tr class=po-brand><td>Brand<td>Acme<tr><td>Colour<td>Red</table><table id={DETAIL_TABLE_ID}><tbody>{rows}</table>",
+        "<p id=productTitle>Lamp<p>more<ul><li>a<li>b</ul><div id=availability><span>Here</div>",
+        # an end tag does not close what outranks it
+        "<b><div><span id=productTitle>One</b> two</span></div>",
+    )
+    assert f["brand"] == "Acme" and f["detail"] == {"Type": "Book", "Size": "3"}
+    assert odd["title"] == "Lamp" and odd["availability"] == "Here"
+    assert bold["title"] == "One two"
+
+
+def test_pages_go_on_behind_bad_markup(spark):
+    f = _fields(
+        spark,
+        "<![foo[ x ]]><span id='productTitle'>T</span>",
+        "<a title='it>s'><span id=productTitle class=\"x y>U</span>",
+        "<span id=productTitle>1 < 2 <3</span> <",
+        "<script>if (a < b) '<span id=productTitle>no</span>'</script><span id=productTitle>V",
+        "<!-- open <span id=productTitle>no</span>",
+    )
+    assert [x["title"] for x in f] == ["T", "U", "1 < 2 <3", "V", ""]
+
+
+def test_details_of_a_long_table_and_repeated_keys(spark):
+    import time
+
+    table = f"<table id={DETAIL_TABLE_ID}>" + "".join(f"<tr><th>k{i % 6000}<td>v{i}" for i in range(10_000)) + "</table>"
+    start = time.time()
+    frame = spark.createDataFrame([(1, table)], "page_id int, html string")
+    found = extract.extract_pages(frame).select(extract.detail_string("detail").alias("d")).first().d.split(";")
+    assert time.time() - start < 15
+    assert len(found) == 6000 and found[:2] == ["k0=v6000", "k1=v6001"] and found[-1] == "k5999=v5999"
+
+
+def test_markup_is_read_in_linear_time():
+    import time
+
+    from funnelworks.functions.markup import _Page
+
+    start = time.time()
+    for html in ("<div>" * 60_000 + "</p>" * 60_000, "<a b='" * 60_000, "<" * 300_000, "<td><div>" * 40_000, "<ul><li>" * 40_000, "<!--" * 80_000,
+                 "<p>" + "<span>" * 30_000 + "<li></li>" * 30_000, "<a " * 80_000 + ">", "</b" * 60_000):
+        _Page(html)
+    assert time.time() - start < 12
+
+
+def test_rejected_pages_compute_brand_and_title_alone(spark):
+    pages = spark.createDataFrame([(1, PAGE)], "page_id bigint, html string")
+    plan = extract.rejected_pages(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert BRAND_ROW_CLASS in plan and TITLE_ID in plan
+    assert DETAIL_TABLE_ID not in plan and PRICE_CLASS not in plan and AVAILABILITY_ID not in plan
 
 
 def test_many_copies_are_made_by_several_tasks(spark):
