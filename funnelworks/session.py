@@ -78,18 +78,40 @@ def checkpoint_root(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-# Folders that ``dropping_tables`` is to delete, innermost last; none are noted outside of it.
+# Folders that ``noting_tables`` keeps track of, innermost last; none are noted outside of it.
 _noted: list[list[str]] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint root for one written table."""
-    path = f"{checkpoint_root(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    return noted(f"{checkpoint_root(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}")
+
+
+def noted(path: str) -> str:
+    """A folder that goes when the enclosing ``noting_tables`` says so."""
     if _noted:
         _noted[-1].append(path)
     return path
 
 
+@contextmanager
+def noting_tables() -> Iterator[list[str]]:
+    """The folders that the enclosed work writes, for ``drop_tables`` once they are not read any more."""
+    _noted.append([])
+    paths = _noted[-1]
+    try:
+        yield paths
+    finally:
+        _noted.remove(paths)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders, those that are gone included, and empty the list."""
+    while paths:
+        place, files = _hadoop(spark, paths.pop())
+        files.delete(place, True)
+
+
 @contextmanager
 def dropping_tables(spark: SparkSession) -> Iterator[None]:
     """Delete the tables that the enclosed work wrote to ``shared_path`` folders, at its end.
@@ -97,13 +119,11 @@ def dropping_tables(spark: SparkSession) -> Iterator[None]:
     For jobs that have stored their result elsewhere by then; a DataFrame that still reads
     one of those tables fails afterwards.
     """
-    _noted.append([])
-    try:
-        yield
-    finally:
-        for path in _noted.pop():
-            place, files = _hadoop(spark, path)
-            files.delete(place, True)
+    with noting_tables() as paths:
+        try:
+            yield
+        finally:
+            drop_tables(spark, paths)
 
 
 def _hadoop(spark: SparkSession, path: str) -> tuple:
