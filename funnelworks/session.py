@@ -102,7 +102,7 @@ def noting_tables() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _noted.remove(paths)
+        _noted.pop()
 
 
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:
