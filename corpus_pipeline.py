@@ -3,10 +3,16 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which ``run`` writes as
 Parquet and rereads as the next stage's documents. The stages up to the mix return the
 columns of documents; a document that a stage rejects is gone for the rest.
+
+What a stage writes on the way (tables, checkpoints) is read until its result is written. It is
+deleted when the next stage starts from a stored table, or by ``run`` once the result is stored.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +23,36 @@ from funnelworks.llm.mixing import mix_sources
 from funnelworks.llm.queries import tokenizer_file
 from funnelworks.llm.token_output import encode_corpus, read_checksums
 from funnelworks.llm.toxicity import score_toxicity
-from funnelworks.session import shared_path
+from funnelworks.session import drop_tables, noting_tables, shared_path
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+# Folders that the last stage wrote on the way.
+_left: list[str] = []
+
+
+def stored_elsewhere(docs: DataFrame, folders: list[str]) -> bool:
+    """Whether a DataFrame reads stored files alone, and none of some folders."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    if any(leaves.apply(i).nodeName() != "LogicalRelation" for i in range(leaves.size())):
+        return False
+    names = [f.split("/")[-1] for f in folders]
+    return not any(name in file for file in docs.inputFiles() for name in names)
+
+
+def tidy(stage: Stage) -> Stage:
+    """A stage that deletes what the one before has left, once that one's result is stored."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _left and stored_elsewhere(docs, _left):
+            drop_tables(spark, _left)
+        with noting_tables() as paths:
+            out = stage(spark, docs, sf_dir)
+            _left.extend(paths)
+        return out
+
+    return run_stage
 
 
 def unused(docs: DataFrame, *names: str) -> list[str]:
@@ -28,6 +63,7 @@ def unused(docs: DataFrame, *names: str) -> list[str]:
     return [mark + n for n in names]
 
 
+@tidy
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold.
 
@@ -40,6 +76,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(toxic, F.col("doc_id").eqNullSafe(F.col(bad)), "left_anti")
 
 
+@tidy
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates: the one with the smallest id.
 
@@ -52,6 +89,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(copies, F.col("doc_id") == F.col(gone), "left_anti")
 
 
+@tidy
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark items (told by id and text)."""
     leak, leak_text = unused(docs, "id", "text")
@@ -61,18 +99,19 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(leaks, same, "left_anti")
 
 
+@tidy
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents the mix takes, each as many times as it takes them.
-
-    Rows with the same id, or with none, are taken as often as the one taken most.
-    """
-    own, times = unused(docs, "id", "copies")
-    taken = mix_sources(docs).where("copies > 0").groupBy(F.col("doc_id").alias(own)).agg(F.max("copies").alias(times))
-    kept = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(own)))
+    """The documents the mix takes, each as many times as it takes them (told by id and text)."""
+    own, own_text, times = unused(docs, "id", "text", "copies")
+    mixed = mix_sources(docs).where("copies > 0")
+    taken = mixed.groupBy(F.col("doc_id").alias(own), F.col("text_hash").alias(own_text)).agg(F.max("copies").alias(times))
+    same = F.col("doc_id").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(own_text))
+    kept = docs.join(taken, same)
     repeated = kept.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), times)).alias(times))
     return repeated.drop(times)
 
 
+@tidy
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix; returns what the files hold of each document."""
     path = shared_path(spark, "tokens")
@@ -94,7 +133,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole documents table."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir), name)
+        with noting_tables() as written:
+            docs = store(stage(spark, docs, sf_dir), name)
+        drop_tables(spark, _left)
+        drop_tables(spark, before)
+        before = written
     return docs

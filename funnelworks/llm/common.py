@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from funnelworks.session import checkpoint_root, shared_path
+from funnelworks.session import checkpoint_root, noted, shared_path
 
 # A table is broadcast only after a count has shown it to have at most this many rows.
 BROADCAST_ROWS = 200_000
@@ -32,7 +32,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise and cut the lineage with a reliable checkpoint in the shared folder."""
     checkpoint_root(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    noted(out._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+    return out
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

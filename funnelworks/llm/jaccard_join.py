@@ -293,26 +293,30 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``n_links`` the other documents of similarity 0.8 or more, copies included, and
     ``n_text_links`` the different shingle sets among them.
     """
-    slim = docs.select(F.coalesce(F.col(id_col), F.lit(LAST_ID)).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # A row is told by its id and a hash of its text, as ids may be NULL or repeat.
+    slim = docs.select(
+        F.coalesce(F.col(id_col), F.lit(LAST_ID)).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")
+    )
 
     runs = runs_for(target_recall)
 
     def sketch(rows: Iterable[tuple]) -> Iterator[tuple]:
-        for (doc, _), words in with_words(rows):
+        for (doc, row, _), words in with_words(rows, 2):
             s = np.unique(shingles(words))
             if len(s):
                 values = minima(s)
-                yield doc, *class_key(s), signature(values).tobytes(), first_paths(values, runs).tolist()
+                yield doc, row, *class_key(s), signature(values).tobytes(), first_paths(values, runs).tolist()
             else:
-                yield doc, None, None, None, None
+                yield doc, row, None, None, None, None
 
-    seen = store(map_rows(slim, sketch, "id long, node long, check long, sig binary, roots array<long>", 5000), "sketches")
+    seen = store(map_rows(slim, sketch, "id long, row long, node long, check long, sig binary, roots array<long>", 5000), "sketches")
     wordless = seen.where("node is null").select("id").distinct()
     light = seen.where("node is not null").select("id", "node", "check")
     # One row per document of a class; a class is told by both sums.
     kinds = cut(light.distinct().groupBy("node", "check").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    signatures = seen.where("node is not null").select(F.col("id").alias("rep"), "node", "check", "sig", "roots")
-    classes = store(kinds.join(signatures, ["rep", "node", "check"]).dropDuplicates(["node"]).select("node", "rep", "copies", "sig", "roots"), "classes")
+    signatures = seen.where("node is not null").select(F.col("id").alias("rep"), "row", "node", "check", "sig", "roots")
+    chosen = kinds.join(signatures, ["rep", "node", "check"]).dropDuplicates(["node"])
+    classes = store(chosen.select("node", "rep", "row", "copies", "sig", "roots"), "classes")
 
     groups = connected_components(_candidate_edges(classes.select("node", "sig", "roots")))
     linked = _exact_links(slim, classes.drop("sig", "roots"), groups)
@@ -340,7 +344,7 @@ def similarity_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _exact_links(slim: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
     """Exact links within groups: ``node, texts, documents, tree`` (see ``_verify``)."""
     reps = cut(classes.join(groups, "node"))
-    wanted = reps.select(F.col("rep").alias("id"), F.col("node").alias("_node")).distinct()
+    wanted = reps.select(F.col("rep").alias("id"), "row", F.col("node").alias("_node")).distinct()
 
     def sets(rows: Iterable[tuple]) -> Iterator[tuple]:
         for (_, _, node), words in with_words(rows):
@@ -348,7 +352,7 @@ def _exact_links(slim: DataFrame, classes: DataFrame, groups: DataFrame) -> Data
             if len(s) and class_key(s)[0] == node:
                 yield node, len(s), s.astype("<u8").tobytes()
 
-    texts = slim.join(broadcast_if_small(wanted), "id").select("id", "text", "_node")
+    texts = slim.join(broadcast_if_small(wanted), ["id", "row"]).select("id", "text", "_node")
     held = store(map_rows(texts, sets, "node long, n int, shingles binary", 500).dropDuplicates(["node"]), "shingle-sets")
     sizes = held.select("node", "n").join(reps.select("node", "component"), "node").groupBy("component")
     sizes = cut(

@@ -1,15 +1,16 @@
 """Mixing sources to target weights by hash thresholds.
 
 Each source has a budget of words. A document's place in its source is fixed by a 48-bit
-hash of its id; the mix takes every document of a source ``repeats`` times and those below
+hash of its id and text; the mix takes every document of a source ``repeats`` times and those below
 a hash threshold once more. The thresholds come from histograms of words by (source, hash
 bucket): the bucket in which the budget is reached is split into finer buckets, level by
 level, until it is a single hash value. No document is sorted; a larger budget takes a
 superset of a smaller one, and reruns agree. DataFrame functions only.
 
 Defined cases: a NULL source is one source, last in order; NULL and empty texts have size 0
-and are never taken; documents with the same id share their hash and are taken together; a
-source without words has target 0; an empty table gives no rows.
+and are never taken (0 copies); rows of one id, or of none, have places of their own by their
+texts, while rows that agree in both are taken together; a source without words has target 0;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -62,12 +63,13 @@ def mix_sources(
     weights: Sequence[int] = WEIGHTS,
     cap: int = CAP,
 ) -> DataFrame:
-    """Words taken from every document: ``doc_id, size, source_size, target, copies, taken``.
+    """Words taken from every document: ``doc_id, size, source_size, target, copies, taken, text_hash``.
 
-    ``copies`` is how many times the mix holds the document. The words taken from a source
+    ``copies`` is how many times the mix holds the document, ``text_hash`` the xxhash64 of its text. The words taken from a source
     differ from its target by at most half the size of its boundary document.
     """
-    doc_key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    doc_key = F.encode(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit("\n"), text), "UTF-8")
     place = F.conv(F.substring(F.md5(doc_key), 1, HASH_BITS // 4), 16, 10).cast("long")
     slim = cut(
         docs.select(
@@ -76,6 +78,7 @@ def mix_sources(
             F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("t")).alias("key"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             place.alias("place"),
+            F.xxhash64(text_col).alias("text_hash"),
         )
     )
     sizes = cut(slim.groupBy("key").agg(F.sum("size").alias("source_size")))
@@ -96,9 +99,9 @@ def mix_sources(
         frontier.select("key", "prefix", (F.col("rest") * 2 >= F.col("words")).alias("with_last")), "key", "left"
     )
     extra = (F.col("place") < F.col("prefix")) | ((F.col("place") == F.col("prefix")) & F.col("with_last"))
-    copies = F.col("repeats") + F.when(extra, 1).otherwise(0)
+    copies = F.when(F.col("size") > 0, F.col("repeats") + F.when(extra, 1).otherwise(0)).otherwise(0)
     return slim.join(broadcast_if_small(cut(chosen)), "key").select(
-        "doc_id", "size", "source_size", "target", copies.cast("int").alias("copies"), (F.col("size") * copies).alias("taken")
+        "doc_id", "size", "source_size", "target", copies.cast("int").alias("copies"), (F.col("size") * copies).alias("taken"), "text_hash"
     )
 
 

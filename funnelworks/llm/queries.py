@@ -151,7 +151,7 @@ ORACLES: dict[str, str] = {
         WITH docs AS (
             SELECT doc_id, coalesce('s' || source, 't') AS key,
                    CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-                   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS place
+                   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(10) || coalesce(text, '')), 1, 12) AS BIGINT) AS place
             FROM documents),
         sizes AS (
             SELECT key, CAST(sum(size) AS BIGINT) AS source_size,

@@ -123,3 +123,14 @@ def test_mix_edge_cases(make_docs):
     assert sum(r["taken"] for r in rows) == 8  # one source with words: its whole size
     empty = mix_sources(make_docs([(1, None), (2, " \t ")])).collect()
     assert [(r["size"], r["target"], r["taken"]) for r in empty] == [(0, 0.0, 0)] * 2
+
+
+def test_mix_places_rows_without_ids_apart(make_docs, words):
+    docs = [(None, words(i, 20), "en", "ab"[i % 2]) for i in range(1000)] + [(7, words(i, 20), "en", "c") for i in range(400)]
+    rows = mix_sources(make_docs(docs)).collect()
+    for size in {r["source_size"] for r in rows}:
+        own = [r for r in rows if r["source_size"] == size]
+        sources = len({r["target"] for r in own})
+        assert abs(sum(r["taken"] for r in own) - sum({r["target"] for r in own}) * (len(own) * 20 / size / sources)) <= 20 * sources
+    blank = mix_sources(make_docs([(1, "", "en", "a"), (2, "a b", "en", "a"), (3, None, "en", "b")])).collect()
+    assert {r["doc_id"]: r["copies"] for r in blank} == {1: 0, 2: 3 if len(blank) > 3 else 1, 3: 0}

@@ -237,3 +237,21 @@ def test_search_edge_cases(spark):
     assert top_k(df.limit(0)).count() == 0
     huge = spark.createDataFrame([(100, [3e38, 1.0], 1), (1, [1.0, 1.0], 1)], VECTORS)
     assert [(r["query_id"], r["vec_id"]) for r in top_k(huge).collect()] == [(100, 1)]
+
+
+def test_rows_without_ids_are_read_again_once_each(spark, make_docs, words, monkeypatch):
+    texts = [words(i, 40) for i in range(60)]
+    near = [t + " extra" for t in texts]
+    docs = make_docs([(None, t) for t in texts + near] + [(5, t) for t in texts[:20]])
+    read = spark.sparkContext.accumulator(0)
+    plain = jaccard_join.class_key
+
+    def counted(s):
+        read.add(1)
+        return plain(s)
+
+    monkeypatch.setattr(jaccard_join, "class_key", counted)
+    rows = similarity_classes(docs).collect()
+    # once to sketch each row, and once more for each different text of a group
+    assert read.value <= 140 + 140
+    assert sorted({r["n_text_links"] for r in rows}) == [1]
