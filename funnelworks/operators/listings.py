@@ -135,17 +135,30 @@ def modular_stamp(
     return df.withColumn(out_col, _ntz_plus_seconds(start, F.pmod(offset, F.lit(span_seconds))))
 
 
+def draw(keys: list[Column], seed: int, counter: int = 0) -> Column:
+    """A number of 52 random bits from a row's identity (counter-based: no state, no order).
+
+    The same row, seed and counter give the same number in any task and partitioning; another
+    counter gives an independent draw of the row.
+    """
+    text = F.concat_ws("\x1f", F.lit(str(seed)), F.lit(str(counter)), *[F.coalesce(k.cast("string"), F.lit("\x00")) for k in keys])
+    return F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 13), 16, 10).cast("bigint")
+
+
 def random_stamp(
     df: DataFrame,
     start: dt.datetime,
     end: dt.datetime,
     seed: int = 42,
     out_col: str = "timestamp",
+    key_cols: list[str] | None = None,
 ) -> DataFrame:
     """Uniform whole-second timestamp in ``[start, end]`` (F12 + F30), as the reference's
-    ``random_date``. Seeded per partition, so keep it before any shuffle that may rerun."""
+    ``random_date``. Drawn from the row's ``key_cols`` (all columns that a text has, unless
+    given), so a row has the same time however the table is partitioned or recomputed."""
     span = int((end - start).total_seconds())
-    offset = F.floor(F.rand(seed) * F.lit(span + 1)).cast("bigint")
+    keys = [F.col(k) for k in key_cols] if key_cols else _hashable(df)
+    offset = F.pmod(draw(keys, seed), F.lit(span + 1))
     return df.withColumn(out_col, _ntz_plus_seconds(start, offset))
 
 

@@ -12,11 +12,11 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from funnelworks import constants as C
-from funnelworks.operators import envelopes, extract, listings, overview, rollups, sales
+from funnelworks.operators import envelopes, extract, incremental, listings, overview, rollups, sales
 from funnelworks.functions.paths import day_string, parse_day_col
 from funnelworks.plans import oracles as O
 from funnelworks.session import shared_path
@@ -242,6 +242,23 @@ def q_partitioned_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SLICES = 3
+
+
+@register(
+    "incremental_funnel",
+    O.with_ctes(O.PRODUCT_EVENTS_CTE, O.FUNNEL_ROWS_CTE, O.FUNNEL_CTE, body="SELECT * FROM funnel"),
+)
+def q_incremental_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rollup after all events were applied in three slices, one of them twice."""
+    root = shared_path(spark, "incremental_funnel")
+    events = fixtures.product_events(spark, sf_dir)
+    for n in (0, 1, 1, 2):
+        incremental.apply_slice(events.where(F.col("event_id") % SLICES == n), root, f"slice-{n}")
+    rollup = incremental.read_rollup(spark, root)
+    return rollup.select(*[F.round(c, 2).alias(c) if c == "sum_price" else F.col(c) for c in FUNNEL_COLUMNS])
+
+
 # Event that closes the last day of an append stream: its own day stays open.
 def _sentinel(spark: SparkSession, last: dt.datetime) -> DataFrame:
     after = last + dt.timedelta(days=30)
@@ -404,6 +421,12 @@ _DAILY_SQL = (
     "SELECT CAST(l_shipdate AS DATE) AS day, round(coalesce(sum(l_extendedprice), 0), 2) AS sales "
     "FROM lineitem {where} GROUP BY CAST(l_shipdate AS DATE)"
 )
+# Prices times 2**48 are whole numbers, their sums are exact, and text is read to the nearest double.
+_EXACT_SQL = (
+    "SELECT CAST(l_shipdate AS DATE) AS day, "
+    "CAST(CAST(sum(CAST(l_extendedprice * 281474976710656 AS HUGEINT)) AS VARCHAR) AS DOUBLE) / 281474976710656 AS sales "
+    "FROM lineitem {where} GROUP BY CAST(l_shipdate AS DATE)"
+)
 
 
 def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -415,9 +438,21 @@ def _cents(df: DataFrame, *more: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 2) for c in ("sales", *more)})
 
 
-@register("daily_sales", _DAILY_SQL.format(where="WHERE " + _SALES_RANGE))
+@register("daily_sales", _EXACT_SQL.format(where="WHERE " + _SALES_RANGE))
 def q_daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _cents(sales.daily_sales(_listings(spark, sf_dir), SALES_FROM, SALES_TO))
+    return sales.daily_sales(_listings(spark, sf_dir), SALES_FROM, SALES_TO)
+
+
+@register("stream_daily_sales", _EXACT_SQL.format(where=""))
+def q_stream_daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily sales of listings that arrive in three files, one a batch, each in the table once."""
+    root = shared_path(spark, "stream_daily_sales")
+    listings_ = _listings(spark, sf_dir).select("timestamp", "price")
+    listings_.repartition(3).write.parquet(f"{root}/arrivals")
+    source = spark.readStream.schema(listings_.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/arrivals")
+    sales.stream_sales(source, f"{root}/sales", f"{root}/checkpoint").awaitTermination()
+    sales.compact_sales(spark, f"{root}/sales")
+    return sales.read_folded(spark, f"{root}/sales")
 
 
 @register(
@@ -534,18 +569,36 @@ def q_stamped_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.modular_stamp(_flat(spark, sf_dir), STAMP_WEIGHTS, STAMP_START, STAMP_SPAN_SECONDS)
 
 
+_RANDOM_SPAN = int((RANDOM_END - STAMP_START).total_seconds())
+RANDOM_SEED = 7
+_RANDOM_SQL = f"""SELECT *, TIMESTAMP '2024-05-01 00:00:00' + to_seconds(CAST('0x' || substr(md5(
+         concat_ws(chr(31), '{RANDOM_SEED}', '0', response_id, line, kind)), 1, 13) AS BIGINT) % {_RANDOM_SPAN + 1}) AS timestamp
+FROM ({_FLAT_SQL})"""
+
+
+def _randomly_stamped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["response_id", "line", "kind"]
+    return listings.random_stamp(_flat(spark, sf_dir), STAMP_START, RANDOM_END, RANDOM_SEED, key_cols=keys)
+
+
+@register("random_stamped_listings", _RANDOM_SQL)
+def q_random_stamped_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _randomly_stamped(spark, sf_dir)
+
+
 @register(
-    "random_stamped_listings",
-    f"SELECT response_id, asin, line, kind, true AS in_window FROM ({_FLAT_SQL})",
+    "random_stamp_days",
+    f"""SELECT CAST(timestamp AS DATE) AS day, CAST(count(*) AS BIGINT) AS n,
+       abs(count(*) - sum(count(*)) OVER () / {(RANDOM_END - STAMP_START).days + 1}.0) < 6 * sqrt(sum(count(*)) OVER () / {(RANDOM_END - STAMP_START).days + 1}.0) AS even
+FROM ({_RANDOM_SQL}) GROUP BY 1""",
 )
-def q_random_stamped_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stamped = listings.random_stamp(_flat(spark, sf_dir), STAMP_START, RANDOM_END, seed=7)
-    lo = F.lit(STAMP_START.isoformat(sep=" ")).cast("timestamp_ntz")
-    hi = F.lit(RANDOM_END.isoformat(sep=" ")).cast("timestamp_ntz")
-    return stamped.select(
-        "response_id", "asin", "line", "kind",
-        F.col("timestamp").between(lo, hi).alias("in_window"),
-    )
+def q_random_stamp_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random times by day, each with whether it has its even share within six deviations."""
+    days = (RANDOM_END - STAMP_START).days + 1
+    counts = _randomly_stamped(spark, sf_dir).groupBy(F.to_date("timestamp").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    # One row a day of the window.
+    share = F.sum("n").over(Window.partitionBy(F.lit(1))) / days
+    return counts.withColumn("_share", share).select("day", "n", (F.abs(F.col("n") - F.col("_share")) < 6 * F.sqrt("_share")).alias("even"))
 
 
 @register(

@@ -172,6 +172,18 @@ def drop_others(spark: SparkSession, folder: str, keep: set[str | None]) -> None
             files.delete(entry.getPath(), True)
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    place, files = _hadoop(spark, path)
+    files.delete(place, True)
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder; none if it is not there."""
+    place, files = _hadoop(spark, path)
+    return sorted(e.getPath().getName() for e in files.listStatus(place)) if files.exists(place) else []
+
+
 def scale_settings(
     input_bytes: int,
     total_cores: int,
