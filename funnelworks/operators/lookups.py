@@ -7,8 +7,11 @@ then merged) and a partition-pruned scan of the stored rollup.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from funnelworks.sources import sinks
 
 
 def first_row(df: DataFrame, order_col: str) -> DataFrame:
@@ -26,14 +29,16 @@ def is_empty(df: DataFrame) -> bool:
 
 
 def category_statistics(stored_rollup: DataFrame, category: str) -> DataFrame:
-    """Rows of one category from the rollup stored ``partitionBy("category")``.
-
-    The predicate is on the partition column, so only that category's folder is listed
-    and read (``PartitionFilters`` in the scan).
-    """
+    """Rows of one category from a rollup."""
     return stored_rollup.where(F.col("category") == F.lit(category))
 
 
+def stored_category(spark: SparkSession, path: str, category: str, schema: StructType | str) -> DataFrame:
+    """Rows of one category of the rollup stored by category at ``path`` (S6): its folder alone
+    is listed and read, as the original opens one collection."""
+    return sinks.read_partition(spark, path, "category", category, schema)
+
+
 def as_json(df: DataFrame, column: str = "json") -> DataFrame:
     """Each row as one JSON object, NULL fields written as ``null`` (F13: the endpoints'
     JSON responses). Dates and timestamps are ISO strings."""

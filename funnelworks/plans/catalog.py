@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from funnelworks import constants as C
 from funnelworks.operators import envelopes, extract, incremental, listings, overview, rollups, sales
@@ -151,10 +152,22 @@ def q_price_list_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "sorted_funnel",
-    O.with_ctes(O.PRODUCT_EVENTS_CTE, O.FUNNEL_ROWS_CTE, O.FUNNEL_CTE, body="SELECT * EXCLUDE (sum_price) FROM funnel"),
+    O.with_ctes(
+        O.PRODUCT_EVENTS_CTE, O.FUNNEL_ROWS_CTE, O.FUNNEL_CTE,
+        body="SELECT * EXCLUDE (sum_price), row_number() OVER (PARTITION BY category "
+        "ORDER BY event_day NULLS FIRST, classification NULLS FIRST, brand NULLS FIRST) AS position FROM funnel",
+    ),
 )
 def q_sorted_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.daily_product_funnel(fixtures.product_events(spark, sf_dir), sort=True).drop("sum_price")
+    """The sorted funnel, each row with its place in its category as the rows come."""
+    ordered = rollups.daily_product_funnel(fixtures.product_events(spark, sf_dir), sort=True).drop("sum_price")
+    return _numbered(ordered, "category")
+
+
+def _numbered(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows with their ``position`` among those of a key, in the order in which they come."""
+    seen = rows.withColumn("_at", F.monotonically_increasing_id())
+    return seen.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy("_at")).cast("bigint")).drop("_at")
 
 
 @register(
@@ -195,10 +208,15 @@ def _stored_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _store(spark, _funnel(spark, sf_dir))
 
 
-def _store(spark: SparkSession, funnel: DataFrame) -> DataFrame:
+def _funnel_table(spark: SparkSession, funnel: DataFrame) -> tuple[str, StructType]:
     path = shared_path(spark, "daily_product_funnel")
     sinks.write_partitioned(funnel, path, "category", ["event_day", "classification", "brand"])
-    return sinks.read_back(spark, path, schema=funnel.schema, partition_col="category")
+    return path, funnel.schema
+
+
+def _store(spark: SparkSession, funnel: DataFrame) -> DataFrame:
+    path, schema = _funnel_table(spark, funnel)
+    return sinks.read_back(spark, path, schema=schema, partition_col="category")
 
 
 @register(
@@ -212,10 +230,10 @@ FROM funnel WHERE category = '{STATISTIC_CATEGORY}'""",
     ),
 )
 def q_category_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from funnelworks.operators.lookups import category_statistics
+    from funnelworks.operators.lookups import stored_category
 
-    stored = _stored_funnel(spark, sf_dir)
-    return category_statistics(stored, STATISTIC_CATEGORY).select(
+    path, schema = _funnel_table(spark, _funnel(spark, sf_dir))
+    return stored_category(spark, path, STATISTIC_CATEGORY, schema).select(
         "event_day", "classification", "brand", "view", "cart", "purchase", "n_prices"
     )
 
@@ -383,10 +401,34 @@ def q_overview_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "category_overview",
-    O.with_ctes(O.PRODUCT_EVENTS_CTE, *_OV, body="SELECT * FROM overview_pivot"),
+    O.with_ctes(O.PRODUCT_EVENTS_CTE, *_OV, body="SELECT *, row_number() OVER (ORDER BY event_day) AS position FROM overview_pivot"),
 )
 def q_category_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overview.category_overview(spark, *_ov_args(spark, sf_dir))
+    """The overview, at most a row a day of the request, with the place of each row as they come."""
+    rows = overview.category_overview(spark, *_ov_args(spark, sf_dir))
+    return _numbered(rows.withColumn("_all", F.lit(1)), "_all").drop("_all")
+
+
+_EMPTY_RANGES = [("2023-12-01", "2023-12-31"), ("2024-01-01", "2024-01-05"), ("2024-01-20", "2024-01-10")]
+
+
+@register(
+    "empty_overviews",
+    O.with_ctes(
+        O.PRODUCT_EVENTS_CTE,
+        body=f"""SELECT f AS from_day, t AS to_day, NOT EXISTS (
+           SELECT 1 FROM product_events WHERE event_time >= CAST(f AS TIMESTAMP) AND event_time < CAST(t AS TIMESTAMP) + INTERVAL 1 DAY
+           AND list_extract(string_split(category_code, '.'), 1) IN ({", ".join(f"'{c}'" for c in OVERVIEW_CATEGORIES)})) AS is_empty
+FROM (VALUES {", ".join(f"('{f}', '{t}')" for f, t in _EMPTY_RANGES)}) v(f, t)""",
+    ),
+)
+def q_empty_overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether some requests find no event at all, as the endpoint asks first."""
+    from funnelworks.operators.lookups import is_empty
+
+    events = fixtures.product_events(spark, sf_dir)
+    found = [(f, t, is_empty(overview.overview_rows(events, f, t, OVERVIEW_CATEGORIES))) for f, t in _EMPTY_RANGES]
+    return spark.createDataFrame(found, "from_day string, to_day string, is_empty boolean")
 
 
 @register(
@@ -758,7 +800,24 @@ def _ingested(spark: SparkSession, sf_dir: str) -> str:
     f"SELECT replace(lower(key), ' ', '_') AS collection, id, brand, price FROM ({_ITEMS_SQL})",
 )
 def q_stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.read_items(spark, _ingested(spark, sf_dir), ENVELOPE_ITEM_SCHEMA)
+    return ingest.read_items(spark, _ingested(spark, sf_dir), ENVELOPE_ITEM_SCHEMA).drop(ingest.DOCUMENT)
+
+
+@register(
+    "ingest_whole_items",
+    """SELECT lower(replace(p_name, ' ', '_')) AS collection, p_partkey AS id, CAST(NULL AS DOUBLE) AS price, p_type AS kind,
+       CAST(p_size AS VARCHAR) AS size, CAST(NULL AS VARCHAR) AS tags FROM part
+UNION ALL SELECT lower(replace(p_name, ' ', '_')), -p_partkey, 1.5, NULL, NULL, '["a",null]' FROM part""",
+)
+def q_ingest_whole_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streamed items keep the fields that no schema declares."""
+    root = shared_path(spark, "ingest_whole_items")
+    fixtures.rich_messages(spark, sf_dir).write.json(f"{root}/topic")
+    source = ingest.envelope_file_source(spark, f"{root}/topic", max_files=100)
+    ingest.run_ingest(source, f"{root}/ingested", f"{root}/checkpoint", ENVELOPE_ITEM_SCHEMA)
+    items = ingest.read_items(spark, f"{root}/ingested", ENVELOPE_ITEM_SCHEMA)
+    field = lambda path, name: F.get_json_object(ingest.DOCUMENT, path).alias(name)
+    return items.select("collection", "id", "price", field("$.kind", "kind"), field("$.box.size", "size"), field("$.tags", "tags"))
 
 
 _KIND = f"p_partkey % {fixtures.BAD_MESSAGE_KINDS}"
@@ -783,8 +842,8 @@ def q_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "ingest_rejects",
-    """SELECT p_name AS key, CASE WHEN p_partkey % 4 = 0 THEN '[{"id":' || p_partkey || ',"price":"x"}]'
-       ELSE '[null,{"id":' || p_partkey || '}]' END AS value, 'bad_items' AS reason
+    """SELECT p_name AS key, CASE WHEN p_partkey % 4 = 0 THEN '[{"id":' || p_partkey || ',"price":"x"}]' ELSE 'null' END AS value,
+       CASE WHEN p_partkey % 4 = 0 THEN 'bad_items' ELSE 'bad_item' END AS reason
 FROM part WHERE p_partkey % 4 IN (0, 1)""",
 )
 def q_ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -239,6 +239,17 @@ def typed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_name").alias("key"), value.alias("value"))
 
 
+def rich_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message per part (``key, value``) of two items with fields beyond the declared ones."""
+    p = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_size", "p_type"])
+    k = F.col("p_partkey").cast("string")
+    value = F.concat(
+        F.lit('[{"id":'), k, F.lit(',"kind":"'), F.col("p_type"), F.lit('","box":{"size":'), F.col("p_size").cast("string"),
+        F.lit('}},{"id":-'), k, F.lit(',"price":1.5,"tags":["a",null]}]'),
+    )
+    return p.select(F.col("p_name").alias("key"), value.alias("value"))
+
+
 # Kinds of invalid message derived from each part, by ``p_partkey % 6``.
 BAD_MESSAGE_KINDS = 6
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from funnelworks.session import drop_others, read_text, replace_text
+from funnelworks.session import drop_others, path_exists, read_text, replace_text
 
 # A partition folder cannot hold the empty text (it reads back as NULL), so that value and
 # those that would collide with it are stored behind this sign.
@@ -104,6 +104,20 @@ def read_back(
     return out
 
 
+def read_partition(spark: SparkSession, path: str, partition_col: str, value: str, schema: StructType | str) -> DataFrame:
+    """The rows of one value of a text column of a ``write_partitioned`` table.
+
+    The folder's name follows from the value, so no other folder is listed; none gives no rows.
+    """
+    special = value in ("", NULL_FOLDER) or value.startswith(ESCAPE)
+    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    folder = f"{path}/{names.escapePathName(partition_col)}={names.escapePathName(ESCAPE + value if special else value)}"
+    if not path_exists(spark, folder):
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).option("basePath", path).parquet(folder)
+    return rows.withColumn(partition_col, F.lit(value))
+
+
 def publish_version(df: DataFrame, root: str, version: str) -> str:
     """Write a table as one version under ``root`` and make it the one ``read_version`` reads.
 

@@ -6,8 +6,9 @@ printed and dropped, and malformed JSON stops the consumer. Here:
 
 * validation and decoding are column expressions over each micro-batch, read and parsed once;
 * good items are exploded and appended to one table partitioned by ``status`` and
-  ``collection``; every rejected message goes to the same table with its reason, under its
-  own status, so one query feeds both and neither read touches the other's files;
+  ``collection``, each with its declared fields and, as ``document``, the whole item as it
+  came; every rejected message, or item of a message, goes to the same table with its reason,
+  under its own status, so one query feeds both and neither read touches the other's files;
 * the sink is a file sink with a checkpoint, so each micro-batch is committed exactly once
   and a restart resumes from the last committed offsets.
 """
@@ -24,12 +25,16 @@ from funnelworks.sources import sinks
 # Scraped product fields carried in a message.
 PRODUCT_ITEM_SCHEMA = (
     "title string, brand string, price double, discount double, rating double, "
-    "reviews int, availability string, detail map<string,string>"
+    "reviews bigint, availability string, detail map<string,string>"
 )
 ENVELOPE_SCHEMA = "key string, value string"
 
-# Dead-letter reasons, checked in this order.
+# Dead-letter reasons of messages, checked in this order, and of a single item.
 REASONS = ("missing_key", "null_value", "malformed_json", "not_a_list", "bad_items")
+ITEM_REASON = "bad_item"
+
+# The column that holds an item as it was received.
+DOCUMENT = "document"
 
 
 def collection_name(key: str | Column) -> Column:
@@ -50,46 +55,47 @@ def _unfit(item: Column, item_schema: str) -> Column:
 
 
 def parse_envelopes(messages: DataFrame, item_schema: str = PRODUCT_ITEM_SCHEMA) -> DataFrame:
-    """Decode key/value and classify each message: ``key, raw_key, value, items, reason``.
+    """Decode key/value and classify each message: ``key, raw_key, value, elements, reason``.
 
     * key: bytes or text, empty → NULL (F15)
-    * value: must be a JSON array whose elements are all objects (P10, D6); a single
-      object is NOT accepted, unlike ``from_json`` which would wrap it
+    * value: must be a non-empty JSON array (P10, D6); a single object is NOT accepted, unlike
+      ``from_json`` which would wrap it
     * malformed JSON gives a reason instead of an exception (D10)
-    * items must convert to ``item_schema`` (missing fields become NULL); a message with an
-      item whose field cannot convert is dead-lettered as ``bad_items`` whole, where a
-      schemaless store would have taken it as is
+    * ``elements`` are the array's: ``bad`` ones are no objects or have a declared field that
+      does not convert; the others have ``item``, the declared fields (missing ones NULL) and
+      the whole element as JSON. A message without a single good element is rejected whole.
     """
     raw_key, text = F.col("key").cast("string"), F.col("value").cast("string")
-    # A step of its own: the optimiser does not copy the parse into the many uses below.
+    # Steps of their own: the optimiser does not copy the parse into the many uses below.
     decoded = messages.select(raw_key.alias("raw_key"), text.alias("value"), F.try_parse_json(text).alias("parsed"))
-    key, parsed = F.nullif(F.col("raw_key"), F.lit("")), F.col("parsed")
-    shape = F.schema_of_variant(parsed)
-    items = F.try_variant_get(parsed, "$", f"array<struct<{item_schema}>>")
-    elements = F.try_variant_get(parsed, "$", "array<variant>")
-    unfit = F.exists(elements, lambda x: _unfit(x, item_schema))
+
+    def judged(x: Column) -> Column:
+        typed = F.try_variant_get(x, "$", f"struct<{item_schema}>")
+        names = T.StructType.fromDDL(item_schema).fieldNames()
+        item = F.struct(*[typed[n].alias(n) for n in names], F.to_json(x).alias(DOCUMENT))
+        return F.struct(_unfit(x, item_schema).alias("bad"), item.alias("item"))
+
+    elements = F.transform(F.try_variant_get("parsed", "$", "array<variant>"), judged)
+    read = decoded.select("raw_key", "value", F.schema_of_variant("parsed").alias("shape"), elements.alias("elements"))
+    key, shape = F.nullif(F.col("raw_key"), F.lit("")), F.col("shape")
     reason = (
         F.when(key.isNull(), F.lit(REASONS[0]))
         .when(F.col("value").isNull(), F.lit(REASONS[1]))
-        .when(parsed.isNull(), F.lit(REASONS[2]))
+        .when(shape.isNull(), F.lit(REASONS[2]))
         .when(~shape.startswith("ARRAY"), F.lit(REASONS[3]))
-        .when(~shape.startswith("ARRAY<OBJECT") | items.isNull() | unfit, F.lit(REASONS[4]))
+        .when(~F.exists("elements", lambda e: ~e["bad"]), F.lit(REASONS[4]))
     )
-    return decoded.select(key.alias("key"), "raw_key", "value", items.alias("items"), reason.alias("reason"))
+    return read.select(key.alias("key"), "raw_key", "value", "elements", reason.alias("reason"))
 
 
 def routed_items(parsed: DataFrame) -> DataFrame:
-    """Accepted messages exploded to one row per item with its target ``collection``."""
-    return parsed.where(F.col("reason").isNull()).select(
-        collection_name("key").alias("collection"), F.inline("items")
-    )
+    """One row per good item with its target ``collection``."""
+    return routed_rows(parsed).where(F.col("status") == ACCEPTED).select("collection", "item.*")
 
 
 def dead_letters(parsed: DataFrame) -> DataFrame:
-    """Rejected messages as received (raw key) with their reason (T5)."""
-    return parsed.where(F.col("reason").isNotNull()).select(
-        F.col("raw_key").alias("key"), "value", "reason"
-    )
+    """Rejected messages as received (raw key) and rejected items, with their reason (T5)."""
+    return routed_rows(parsed).where(F.col("status") == REJECTED).select("message.*")
 
 
 ACCEPTED, REJECTED = "items", "dead_letters"
@@ -97,23 +103,26 @@ MESSAGE_SCHEMA = "key string, value string, reason string"
 
 
 def routed_rows(parsed: DataFrame) -> DataFrame:
-    """Rows of the ingest table: one an item of an accepted message, one a rejected message.
+    """Rows of the ingest table: one an item, one a rejected message or item.
 
     ``status, collection, item, message``; ``item`` or ``message`` is NULL by the status. A
     choice per message, not a filter per output, so that a message is parsed once.
     """
-    accepted = F.col("reason").isNull()
-    no_item = F.lit(None).cast(parsed.schema["items"].dataType.elementType)
-    no_message = F.lit(None).cast(f"struct<{MESSAGE_SCHEMA}>")
+    item_type = parsed.schema["elements"].dataType.elementType["item"].dataType
+    no_item, no_message = F.lit(None).cast(item_type), F.lit(None).cast(f"struct<{MESSAGE_SCHEMA}>")
+    collection = collection_name("key")
+
+    def row(status: str, item: Column, message: Column) -> Column:
+        place = collection if status == ACCEPTED else F.lit(None).cast("string")
+        return F.struct(F.lit(status).alias("status"), place.alias("collection"), item.alias("item"), message.alias("message"))
+
+    def of_element(e: Column) -> Column:
+        odd = F.struct(F.col("raw_key").alias("key"), e["item"][DOCUMENT].alias("value"), F.lit(ITEM_REASON).alias("reason"))
+        return F.when(e["bad"], row(REJECTED, no_item, odd)).otherwise(row(ACCEPTED, e["item"], no_message))
+
     message = F.struct(F.col("raw_key").alias("key"), "value", "reason")
-    rows = F.when(
-        accepted, F.transform("items", lambda item: F.struct(item.alias("item"), no_message.alias("message")))
-    ).otherwise(F.array(F.struct(no_item.alias("item"), message.alias("message"))))
-    return parsed.select(
-        F.when(accepted, F.lit(ACCEPTED)).otherwise(F.lit(REJECTED)).alias("status"),
-        F.when(accepted, collection_name("key")).alias("collection"),
-        F.inline(rows),
-    )
+    rows = F.when(F.col("reason").isNull(), F.transform("elements", of_element)).otherwise(F.array(row(REJECTED, no_item, message)))
+    return parsed.select(F.inline(rows))
 
 
 def spread_by_collection(rows: DataFrame) -> DataFrame:
@@ -186,12 +195,12 @@ def run_ingest(source: DataFrame, out_path: str, checkpoint_path: str, item_sche
 
 
 def _ingest_table(spark: SparkSession, out_path: str, item_schema: str) -> DataFrame:
-    schema = f"item struct<{item_schema}>, message struct<{MESSAGE_SCHEMA}>, status string, collection string"
+    schema = f"item struct<{item_schema}, {DOCUMENT} string>, message struct<{MESSAGE_SCHEMA}>, status string, collection string"
     return sinks.read_back(spark, out_path, schema=schema)
 
 
 def read_items(spark: SparkSession, out_path: str, item_schema: str = PRODUCT_ITEM_SCHEMA) -> DataFrame:
-    """Ingested items with their ``collection``; a filter on it reads only that folder."""
+    """Ingested items with their ``collection`` and ``document``; a filter on the collection reads only that folder."""
     return _ingest_table(spark, out_path, item_schema).where(F.col("status") == ACCEPTED).select("collection", "item.*")
 
 

@@ -93,6 +93,20 @@ def test_parse_and_route(spark):
     assert reasons == sorted(["missing_key", "missing_key", "not_a_list", "malformed_json", "null_value", "bad_items", "bad_items"])
 
 
+def test_items_keep_undeclared_fields_and_odd_ones_go_alone(spark):
+    msgs = [
+        ("k", '[{"title": "t", "reviews": 3000000000, "color": "red", "x": {"y": [1, null]}}]'),
+        ("k", '[{"title": "a"}, {"title": "b", "price": "n/a"}, 7, null, {"title": "c"}]'),
+    ]
+    parsed = ingest.parse_envelopes(spark.createDataFrame(msgs, "key string, value string"))
+    items = {r.title: r for r in ingest.routed_items(parsed).collect()}
+    assert sorted(items) == ["a", "c", "t"] and items["t"].reviews == 3_000_000_000
+    assert json.loads(items["t"].document) == json.loads(msgs[0][1])[0]
+    dead = sorted((r.key, r.value, r.reason) for r in ingest.dead_letters(parsed).collect())
+    assert {(k, r) for k, _, r in dead} == {("k", "bad_item")}
+    assert [json.loads(v) for _, v, _ in dead] == [7, None, {"title": "b", "price": "n/a"}]
+
+
 def test_stream_equals_batch_and_restart_adds_nothing(spark, tmp_dir):
     src = f"{tmp_dir}/topic"
     msgs = spark.createDataFrame(MESSAGES, "key string, value string")

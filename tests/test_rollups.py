@@ -224,3 +224,16 @@ def test_sizing_follows_the_input(spark, tmp_dir):
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
     for key in applied:
         spark.conf.unset(key)
+
+
+def test_one_category_is_read_from_its_folder_alone(spark, tmp_dir):
+    from funnelworks.operators.lookups import stored_category
+    from funnelworks.sources import sinks
+
+    codes = ["a.k", "", "~x.k", "a/b=c%d.k", None]
+    funnel = rollups.daily_product_funnel(_events(spark, [(i, _t(1 + i % 3), "view", codes[i % 5], "b", 1.0) for i in range(60)]))
+    path = sinks.write_partitioned(funnel, f"{tmp_dir}/rollup", "category", ["event_day"])
+    for name in ("a", "", "~x", "a/b=c%d", "none"):
+        got = stored_category(spark, path, name, funnel.schema)
+        assert sorted(map(repr, got.select(*funnel.columns).collect())) == sorted(map(repr, funnel.where(F.col("category") == name).collect()))
+        assert len({f.rsplit("/", 1)[0] for f in got.inputFiles()}) == (name != "none")
