@@ -12,8 +12,9 @@ label, those with the smallest hash of the id; whole texts). Every term of at le
 occur alone as often in either label. Terms whose share of toxic documents is beyond chance,
 by the Chernoff bound over the terms tried, have the value 1 in a document; the others share
 a length of 1, as most of them say nothing. The counts behind that are a Spark aggregation
-over the sample. The driver holds the parameters and the terms of each of the sample's
-documents. Every document of the table is scored on its whole text.
+over the sample. One task fits, as the sample is bounded; the driver holds the parameters. A
+row of the sample weighs as many labelled rows as it stands for, so bias and scores follow the
+labels' true ratio, whatever the bound. Every document of the table is scored on its whole text.
 
 Defined cases: NULL and empty texts have no terms and get the score of the bias; without
 labelled rows of both kinds all scores are 0.0; rows with the same id are scored each by its
@@ -150,19 +151,29 @@ def tells(base: float, tried: int) -> Column:
 
 
 def fit(
-    rows: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, factors: int = FACTORS, steps: int = STEPS, seed: int = 7, telling: np.ndarray | None = None
+    rows: list[np.ndarray],
+    labels: np.ndarray,
+    terms: np.ndarray,
+    factors: int = FACTORS,
+    steps: int = STEPS,
+    seed: int = 7,
+    telling: np.ndarray | None = None,
+    share: float | None = None,
 ) -> Machine:
     """Fit by AdaGrad on the logistic loss. Rows of the rarer label weigh more, by the square
     root of the ratio: between finding all of them and flagging few of the others.
 
     ``rows`` holds the positions of each document's terms in ``terms``; ``telling`` marks the
-    terms that tell the labels apart on their own (all, if None).
+    terms that tell the labels apart on their own (all, if None); ``share`` is that of label 1
+    where the rows come from (theirs, if None).
     """
     y = np.asarray(labels, np.float64)
     rng = np.random.default_rng(seed)
     weights, vectors, bias = np.zeros(len(terms)), rng.normal(0, 0.02, (len(terms), factors)), 0.0
     g_weights, g_vectors, g_bias = np.ones(len(terms)), np.ones((len(terms), factors)), 1.0
-    cost = np.where(y == 1, np.sqrt((1 - y.mean()) / y.mean()), 1.0)
+    share = y.mean() if share is None else share
+    # A row weighs what it stands for, and one of the rarer label more.
+    cost = np.where(y == 1, share / y.mean() * np.sqrt((1 - share) / share), (1 - share) / (1 - y.mean()))
     sizes = np.array([len(r) for r in rows])
     values = [_values(np.zeros(len(r), np.int64), r, 1, telling).astype(np.float32) for r in rows]
     order, at = rng.permutation(len(rows)), 0
@@ -237,9 +248,19 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
             own = np.split(np.searchsorted(shared.value, term).astype("<i4"), np.searchsorted(doc, np.arange(1, len(texts))))
             yield from ((x.tobytes(), t) for x, t in zip(own, toxic, strict=True))
 
-    rows = map_rows(sample, held, "terms binary, toxic int", 500).toPandas()
-    rows = sorted(zip(rows["terms"], rows["toxic"], strict=True))
-    return fit([np.frombuffer(x, "<i4") for x, _ in rows], np.array([t for _, t in rows]), terms, telling=telling)
+    # Positions in ``terms`` of at most 2 * max_per_class documents: one task takes them all.
+    rows = map_rows(sample, held, "terms binary, toxic int", 500).repartition(1).sortWithinPartitions("terms", "toxic")
+    true_share = known.agg(F.avg(F.col("toxic").cast("int"))).first()[0]
+
+    def fitted(rows: Iterable[tuple]) -> Iterator[tuple]:
+        own, toxic = zip(*rows, strict=True)
+        machine = fit([np.frombuffer(x, "<i4") for x in own], np.array(toxic), shared.value, telling=told.value, share=true_share)
+        yield machine.bias, machine.weights.astype("<f8").tobytes(), machine.factors.astype("<f8").tobytes()
+
+    told = docs.sparkSession.sparkContext.broadcast(telling)
+    (found,) = store(map_rows(rows, fitted, "bias double, weights binary, factors binary", 1), "machine").collect()
+    weights, factors = np.frombuffer(found["weights"], "<f8"), np.frombuffer(found["factors"], "<f8").reshape(len(terms), -1)
+    return Machine(found["bias"], terms, weights, factors, telling)
 
 
 def _chunks(rows: Iterable[tuple], chars: int = SLICE) -> Iterator[tuple[list, list]]:
