@@ -7,10 +7,12 @@ scores its documents from the counts of their exploded n-grams and sums per docu
 n-gram is sent once a batch however often it occurs, so a very common one makes no large
 group, and the counts cover the whole corpus and grow with it.
 
-The score of a word after its history is count(n-gram) / count(history) for the longest
-n-gram that occurs at least ``MIN_COUNT`` times in the corpus, times ``BACKOFF`` for every
-order left out; single words score count / words of the corpus. The first words of a document
-have shorter histories, without back-off.
+A document is scored by all other documents: its own n-grams are taken off the corpus counts,
+as it would otherwise tell all of its n-grams itself and never back off. The score of a word
+after its history is count(n-gram) / count(history) for the longest n-gram that the others have,
+once or more, times ``BACKOFF`` for every order left out; single words score count / words of
+the others, and a word that no other document has ``BACKOFF`` / words of the corpus. The first
+words of a document have shorter histories, without back-off.
 
 Defined cases: NULL texts and texts without words have 0 words, log score 0.0 and a NULL
 mean; rows with the same id are scored each by its own text, and each counts; an empty table
@@ -31,7 +33,6 @@ from funnelworks.llm.shingles import ngrams, word_hashes
 
 ORDER = 3
 BACKOFF = 0.4
-MIN_COUNT = 2
 BATCH_CHARS = 4_000_000
 # Words of the corpus for each hash partition of the count table.
 PARTITION_WORDS = 2_000_000
@@ -86,19 +87,27 @@ def _grams(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray]:
     return [np.concatenate([ngrams(d, n) for d in docs]) for n in range(1, order + 1)], np.array([len(d) for d in docs])
 
 
-def _scores(counts: list[np.ndarray], sizes: np.ndarray, total: int, backoff: float, least: int) -> np.ndarray:
-    """Log score of each document from the counts of its n-grams by order."""
+def _own_counts(back: np.ndarray, grams: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """How often the document of each n-gram has it; ``back`` numbers the n-grams by their hash."""
+    docs = [np.repeat(np.arange(len(sizes)), np.maximum(sizes - n, 0)) for n in range(len(grams))]
+    key = np.concatenate(docs) * (int(back.max(initial=0)) + 1) + back
+    _, place, counts = np.unique(key, return_inverse=True, return_counts=True)
+    return counts[place]
+
+
+def _scores(counts: list[np.ndarray], sizes: np.ndarray, total: int, backoff: float) -> np.ndarray:
+    """Log score of each document from the others' counts of its n-grams by order."""
     first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     of = np.repeat(np.arange(len(sizes)), sizes)
     at = np.arange(len(of)) - first[of]
-    log_score = np.log(counts[0] / total)
+    words = np.where(counts[0] > 0, counts[0], backoff)
+    log_score = np.log(words / np.where(counts[0] > 0, (total - sizes)[of], total))
     for n in range(2, len(counts) + 1):
         # n-grams of order n end at the words from the n-th of a document on
         ends = np.flatnonzero(at >= n - 1)
-        seen = counts[n - 1] >= least
-        history = counts[n - 2][_starts(sizes, n)]
-        with np.errstate(divide="ignore"):
-            direct = np.log(counts[n - 1] / history)
+        seen = counts[n - 1] > 0
+        history = np.maximum(counts[n - 2][_starts(sizes, n)], 1)
+        direct = np.log(np.maximum(counts[n - 1], 1) / history)
         log_score[ends] = np.where(seen, direct, np.log(backoff) + log_score[ends])
     return np.bincount(of, log_score, len(sizes))
 
@@ -116,9 +125,8 @@ def score_documents(
     text_col: str = "text",
     order: int = ORDER,
     backoff: float = BACKOFF,
-    min_count: int = MIN_COUNT,
 ) -> DataFrame:
-    """``doc_id, n_words, log_score, mean_log_score`` of every document."""
+    """``doc_id, n_words, log_score, mean_log_score`` of every document, told by the others."""
     slim = docs.select(F.spark_partition_id().alias("part"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "batch long, ids array<long>, lengths binary, texts binary, words long"
     batches = store(map_rows(slim, _batches, schema, 1), "batches")
@@ -171,9 +179,9 @@ def score_documents(
             grams, sizes = _grams(_texts(lengths, blob), order)
             if sizes.sum():
                 _, back = np.unique(np.concatenate(grams), return_inverse=True)
-                told = np.concatenate(counts)[back]
-                by_order = np.split(told, np.cumsum([len(g) for g in grams])[:-1])
-                result = _scores([c.astype(np.float64) for c in by_order], sizes, total, backoff, min_count)
+                others = np.concatenate(counts)[back].astype(np.int64) - _own_counts(back, grams, sizes)
+                by_order = np.split(others, np.cumsum([len(g) for g in grams])[:-1])
+                result = _scores([c.astype(np.float64) for c in by_order], sizes, total, backoff)
             else:
                 result = np.zeros(len(sizes))
             for doc, n, s in zip(ids, sizes.tolist(), result.tolist(), strict=True):

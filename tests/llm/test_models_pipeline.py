@@ -20,21 +20,24 @@ SF = "/root/testdata/sf0.01"
 # --- language-model scores
 
 
-def brute_scores(docs, order, backoff=0.4, least=2):
+def brute_scores(docs, order, backoff=0.4):
     texts = [re.findall(r"\w+", (t or "").lower()) for _, t in docs]
-    count = Counter(tuple(w[i : i + n]) for w in texts for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    grams = [Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1)) for w in texts]
+    corpus = sum(grams, Counter())
     total = sum(map(len, texts))
     out = []
-    for (doc, _), w in zip(docs, texts, strict=True):
+    for (doc, _), w, own in zip(docs, texts, grams, strict=True):
         score = 0.0
         for j in range(len(w)):
             left_out = 0
             for n in range(min(order, j + 1), 0, -1):
                 g = tuple(w[j - n + 1 : j + 1])
+                others = corpus[g] - own[g]
                 if n == 1:
-                    score += left_out * math.log(backoff) + math.log(count[g] / total)
-                elif count[g] >= least:
-                    score += left_out * math.log(backoff) + math.log(count[g] / count[g[:-1]])
+                    word = others / (total - len(w)) if others else backoff / total
+                    score += left_out * math.log(backoff) + math.log(word)
+                elif others:
+                    score += left_out * math.log(backoff) + math.log(others / (corpus[g[:-1]] - own[g[:-1]]))
                     break
                 left_out += 1
         out.append((doc, len(w), score))
@@ -53,7 +56,7 @@ def test_scores_equal_brute_force(make_docs, monkeypatch, order):
 
 
 def test_registered_query_scores_trigrams(spark, make_docs, tmp_path):
-    docs = [(1, "a b c"), (2, "a b c"), (3, "x b d"), (4, "x b d")]
+    docs = [(1, "a b c"), (2, "a b c"), (3, "x b d"), (4, "x b d"), (5, "once only here")]
     make_docs(docs).write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r["doc_id"], r["n_words"], round(r["log_score"], 6)) for r in op9_lm_scoring(spark, str(tmp_path)).collect())
     assert got == sorted((d, n, round(s, 6)) for d, n, s in brute_scores(docs, 3))
