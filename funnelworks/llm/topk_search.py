@@ -14,17 +14,22 @@ A query first searches the subtree of the nearest routing vector; then only the
 covering radius lets them reach its k-th score. Queries meet a subtree in blocks. Equal
 vectors are one entry with its k + 1 smallest ids, as no others can be among the k best.
 
+Vectors of components beyond 2**28 are no part of the tree, whose bounds are floating-point
+numbers: pairs that hold one are scored in Python's integers, queries and candidates in blocks.
+
 Defined cases: NULL vectors and vectors with NULL or non-finite components take no part;
-shorter vectors count as padded with zeros (an empty one scores 0); components are clipped to
-2**28 in size so that scores fit a long; rows with a NULL id take no part; an id that repeats
+shorter vectors count as padded with zeros (an empty one scores 0); a score beyond a long is
+the nearest long; rows with a NULL id take no part; an id that repeats
 is one candidate for each of its different vectors and one query for each; an empty table gives
 no rows; extra columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
-from math import ceil, sqrt
+from hashlib import blake2b
+from math import ceil, floor, isfinite, sqrt
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -42,17 +47,27 @@ SUBTREE = 2048
 PAGE = 64
 QUERY_BLOCK = 2048
 HELD_VECTORS = 50_000
+LONG_MAX = (1 << 63) - 1
+
+
+def whole(embedding: list | None) -> list[int] | None:
+    """A vector's components as integers floor(SCALE * x); None if it takes no part."""
+    if embedding is None or any(x is None or not isfinite(x) for x in embedding):
+        return None
+    return [int(x) * SCALE if abs(x) >= 1 << 53 else floor(x * SCALE) for x in embedding]
 
 
 def quantised(embedding: list | None) -> bytes | None:
-    """A vector's components as little-endian 32-bit integers without zeros at the end."""
+    """The components as little-endian 32-bit integers without zeros at the end; None for a
+    vector that takes no part or is too wide for them."""
     if embedding is None or None in embedding:
         return None
     x = np.asarray(embedding, np.float64)
     if not np.isfinite(x).all():
         return None
-    v = np.clip(np.floor(SCALE * x), -LARGEST, LARGEST).astype("<i4")
-    return np.trim_zeros(v, "b").tobytes()
+    if len(x) and np.abs(SCALE * x).max() >= LARGEST:
+        return None
+    return np.trim_zeros(np.floor(SCALE * x).astype("<i4"), "b").tobytes()
 
 
 def matrix(vectors: list[bytes], width: int) -> np.ndarray:
@@ -160,8 +175,47 @@ class Subtree:
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, every: int = EVERY) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best of every query (ids divisible by
     ``every``) among all other rows, ties to the smaller id."""
-    spark = vectors.sparkSession
     slim = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null")
+    found = _tree_search(slim, k, every)
+    too_wide = F.exists("v", lambda x: F.abs(x.cast("double")) * SCALE >= LARGEST)
+    wide = slim.where(too_wide)
+    if not wide.isEmpty():
+        asked = slim.where(F.col("id") % every == 0)
+        found = found.unionByName(_plain_search(asked, wide, k)).unionByName(_plain_search(asked.where(too_wide), slim.where(~too_wide), k))
+    in_order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(in_order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _plain_search(asked: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+    """The best candidates of each query in each block of candidates, in exact integers."""
+    q_blocks, c_blocks = (max(1, ceil(df.count() / QUERY_BLOCK)) for df in (asked, candidates))
+
+    def spread(df: DataFrame, own: str, n_own: int, other: str, n_other: int, asks: bool) -> DataFrame:
+        mine = F.pmod(F.xxhash64("id", "v"), F.lit(n_own)).cast("int").alias(own)
+        return df.select(mine, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other), F.lit(asks).alias("asks"), "id", "v").select("qb", "cb", "asks", "id", "v")
+
+    both = spread(asked, "qb", q_blocks, "cb", c_blocks, True).unionByName(spread(candidates, "cb", c_blocks, "qb", q_blocks, False))
+    together = both.repartition("qb", "cb").sortWithinPartitions("qb", "cb", "asks", "id")
+
+    def search(rows: Iterable[tuple]) -> Iterator[tuple]:
+        for own in _groups(rows, 2):
+            held = [(i, x) for _, _, asks, i, v in own if not asks and (x := whole(v)) is not None]
+            for _, _, asks, i, v in own:
+                if asks and (q := whole(v)) is not None:
+                    scored = ((sum(a * b for a, b in zip(q, x, strict=False)), j) for j, x in held if j != i)
+                    name = quantised(v)
+                    name = b"wide" + blake2b(repr(q).encode(), digest_size=16).digest() if name is None else name
+                    for score, j in heapq.nsmallest(k, ((-s, j) for s, j in scored)):
+                        yield i, name, j, max(min(-score, LONG_MAX), -LONG_MAX - 1)
+
+    return map_rows(together, search, "query_id long, query binary, vec_id long, score long")
+
+
+def _tree_search(slim: DataFrame, k: int, every: int) -> DataFrame:
+    """``query_id, query, vec_id, score`` with at least the ``k`` best of each query vector among
+    the vectors that are not wide."""
+    spark = slim.sparkSession
     keep = k + 1  # a query is itself among its best
 
     def distinct(rows: Iterable[tuple]) -> Iterator[tuple]:
@@ -202,7 +256,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     total, width, norm2 = facts["n"], facts["width"] or 0, float(facts["norm2"] or 0)
     sampled = [bytes(r["vec"]) for r in entries.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).collect()]
     if not total:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        return spark.createDataFrame([], "query_id long, query binary, vec_id long, score long")
     routes = routing_vectors(lifted(matrix(sampled, width), norm2), min(ROUTES, ceil(sqrt(total)), len(sampled)))
     shared = spark.sparkContext.broadcast((routes, width, norm2))
 
@@ -239,10 +293,9 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     rest = map_rows(asked.join(bar, "vec", "left").select("vec", "least"), lambda rows: route(rows, False), schema)
     found = first.unionByName(_search(pages, rest, shared, keep))
     best = cut(found.withColumn("at", F.row_number().over(in_order)).where(F.col("at") <= keep).select("vec", "id", "score"))
+    # an id with several vectors is several candidates and several queries
     answers = queries.join(best, "vec").where("id <> query_id")
-    # an id with several vectors is several candidates; a query keeps the best k of them
-    rank = F.row_number().over(Window.partitionBy("query_id", "vec").orderBy(F.desc("score"), "id"))
-    return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+    return answers.select("query_id", F.col("vec").alias("query"), F.col("id").alias("vec_id"), "score")
 
 
 def _chunks(rows: Iterable[tuple], size: int) -> Iterator[list[tuple]]:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from funnelworks.llm import jaccard_join
+from funnelworks.llm import jaccard_join, topk_search
 from funnelworks.llm.components import connected_components
 from funnelworks.llm.decontamination import RADIUS, ItemIndex, contaminated, fingerprints
 from funnelworks.llm.jaccard_join import chance_of_finding, runs_for, similarity_classes
@@ -239,6 +239,20 @@ def test_search_edge_cases(spark):
     assert [(r["query_id"], r["vec_id"]) for r in top_k(huge).collect()] == [(100, 1)]
 
 
+def test_search_of_wide_vectors(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 40)
+    rng = random.Random(8)
+    rows = [(0, [1.0]), (1, [300000.0]), (2, [400000.0]), (3, [262144.0])]
+    rows += [(i, [float(np.float32(rng.gauss(0, rng.choice([1, 1e6])))) for _ in range(6)]) for i in range(100, 400)]
+    rows += [(400, rows[9][1]), (401, rows[9][1]), (500, [1e9] * 6), (501, [None, 1e9]), (502, [float("inf")])]
+    df = spark.createDataFrame([(*r, 1) for r in rows], VECTORS).repartition(4)
+    got = sorted(map(tuple, top_k(df).collect()))
+    top = (1 << 63) - 1
+    want = [(q, r, i, max(min(s, top), -top - 1)) for q, r, i, s in brute_top(rows)]
+    assert [g for g in got if g[0] == 0] == [w for w in want if w[0] == 0]
+    assert [g for g in got if abs(g[3]) < top] == [w for w in want if abs(w[3]) < top]
+
+
 def test_rows_without_ids_are_read_again_once_each(spark, make_docs, words, monkeypatch):
     texts = [words(i, 40) for i in range(60)]
     near = [t + " extra" for t in texts]
