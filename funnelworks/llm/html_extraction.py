@@ -2,10 +2,13 @@
 
 A page is cut into text blocks, each with its root-to-leaf path of block tags. Per path the
 text outside links and the punctuation are averaged over its blocks; the two ratios are
-smoothed over the blocks in page order and fused by multiplication. Blocks whose path
-scores above a threshold are content; the deepest element that holds all of them, or the
-article or main element around it, is the article, and its whole text is the result, short
-paragraphs included.
+smoothed over the blocks in page order and fused by multiplication. Blocks above a threshold
+whose path alone, before smoothing, scores high enough too are content. The deepest element
+that holds all of them, or the article or main element around it, is the article. Its other
+blocks stay if they are not mostly links and lie between two blocks of content, or in running
+text (paragraphs, headings, lists, tables that are in no other element), or if an article or
+main element says that all is the article. So a list of links, an advert or a footer in an
+element of its own goes by its path's score, whatever its class.
 
 Elements that hold no article text by their tag or role (menus, headers, footers, sidebars,
 forms, scripts, styles) are left out. Elements that say so by a class or id word alone
@@ -16,8 +19,9 @@ is content; beyond that, the path scores alone decide.
 
 Defined cases: NULL or empty html, and pages without text, give an empty text; unclosed and
 stray tags are tolerated (a head ends at what cannot be in it, an unclosed element that is left
-out where the body or an element that says it is the article begins); a page of any length is read whole; an empty table gives no rows;
-extra columns of the input are ignored.
+out where the body or an element that says it is the article begins); a page of any length and
+depth is read whole, in time linear in its length; an empty table gives no rows; extra columns
+of the input are ignored.
 """
 
 from __future__ import annotations
@@ -77,6 +81,10 @@ SMALL_SHARE = 0.3
 HALF = 0.5
 LEAST_REST = 0.25
 # Elements that are one block of an article, not the article.
+# Elements of running text.
+FLOW = frozenset(
+    "p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption".split()
+)
 LONE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre blockquote".split())
 SMOOTHING = 1.0
 THRESHOLD = 0.5
@@ -84,10 +92,13 @@ MAIN_FACTOR = 4.0
 
 
 class _Element:
-    __slots__ = ("hidden", "kept", "main", "marked", "named", "parent", "path", "start", "tag")
+    # ``number`` is its place in document order, ``last`` that of the last element in it.
+    __slots__ = ("depth", "hidden", "kept", "last", "main", "marked", "named", "number", "parent", "path", "start", "tag")
 
     def __init__(self, tag: str, parent: _Element | None, path: int, kept: bool, main: bool, named: bool, start: int) -> None:
         self.start = start
+        self.depth = parent.depth + 1 if parent else 0
+        self.number = self.last = 0
         # the outermost element around it that is left out
         self.hidden: _Element | None = None if kept else parent.hidden or self
         self.tag, self.parent, self.path, self.kept, self.main, self.named = tag, parent, path, kept, main, named
@@ -141,9 +152,14 @@ def text_blocks(html: str) -> list[_Block]:
     # Elements that hold one which says it is the article.
     holders: set[_Element] = set()
 
+    made: list[_Element] = []
+
     def child(tag: str, parent: _Element | None, kept: bool, main: bool, named: bool) -> _Element:
         above = parent.path if parent else -1
-        return _Element(tag, parent, paths.setdefault((above, tag), len(paths)), kept, main, named, pos)
+        node = _Element(tag, parent, paths.setdefault((above, tag), len(paths)), kept, main, named, pos)
+        node.number = len(made)
+        made.append(node)
+        return node
 
     pos, end = 0, len(html)
     root = at = child("html", None, True, False, False)
@@ -153,7 +169,7 @@ def text_blocks(html: str) -> list[_Block]:
     blocks: list[_Block] = []
     block: _Block | None = None
     links = 0
-    depth_of: dict[str, int] = {}
+    open_of: dict[str, list[_Element]] = {}
     unclosed: set[int] | None = None
 
     def add(text: str) -> None:
@@ -166,17 +182,13 @@ def text_blocks(html: str) -> list[_Block]:
         block.parts.append((text, bool(links), inline or at))
 
     def close(tag: str) -> None:
-        nonlocal at, block
-        node = at
-        while node is not root and node.tag != tag:
-            node = node.parent
-        if node is not root:
-            leave(node)
+        if open_of.get(tag):
+            leave(open_of[tag][-1])
 
     def leave(node: _Element) -> None:
         nonlocal at, block
         while at is not node.parent:
-            depth_of[at.tag] -= 1
+            open_of[at.tag].pop()
             at = at.parent
         block = None
 
@@ -197,9 +209,9 @@ def text_blocks(html: str) -> list[_Block]:
                 links = 0
             elif tag in INLINE:
                 pass
-            elif tag == "p" and not depth_of.get("p"):
+            elif tag == "p" and not open_of.get("p"):
                 block = None
-            elif depth_of.get(tag):
+            else:
                 close(tag)
             continue
         if at.tag == "head" and tag not in HEAD_TAGS:
@@ -220,23 +232,21 @@ def text_blocks(html: str) -> list[_Block]:
             out, _, named = _left_out(tag, m[3]) if at.kept else (False, False, False)
             if not out and not named:
                 continue
-            shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, pos)
             if out:
-                pos = shut.end() if shut else pos
-            elif shut and inline is None:
-                inline, inline_end = child(tag, at, True, at.main, True), shut.end()
+                pos = _end_of(html, tag, pos) or pos
+            elif inline is None and (shut := _end_of(html, tag, pos)):
+                inline, inline_end = child(tag, at, True, at.main, True), shut
             continue
         if tag in VOID:
             block = None
             continue
-        if tag in ENDS_PARAGRAPH and depth_of.get("p"):
+        if tag in ENDS_PARAGRAPH and open_of.get("p"):
             close("p")
         if tag in SIBLINGS:
-            node = at
-            while node is not root and node.tag not in SIBLINGS[tag] and node.tag not in SCOPES:
-                node = node.parent
-            if node.tag in SIBLINGS[tag]:
-                close(node.tag)
+            # the innermost open one, unless a list, table or section lies in between
+            sibling = max((open_of[t][-1] for t in SIBLINGS[tag] if open_of.get(t)), key=lambda n: n.depth, default=None)
+            if sibling and sibling.depth >= max((open_of[t][-1].depth for t in SCOPES if open_of.get(t)), default=-1):
+                leave(sibling)
         if tag in ("html", "body") and at is root:
             kept, main, named = True, False, False
         else:
@@ -257,7 +267,7 @@ def text_blocks(html: str) -> list[_Block]:
                 holders.add(node)
                 node = node.parent
         at = child(tag, at, kept, main or at.main, named)
-        depth_of[tag] = depth_of.get(tag, 0) + 1
+        open_of.setdefault(tag, []).append(at)
         block = None
     if inline is not None and pos >= inline_end:
         inline = None
@@ -265,6 +275,10 @@ def text_blocks(html: str) -> list[_Block]:
         close("head")
     if pos < end and at.kept:
         add(html[pos:])
+    for node in reversed(made):
+        node.last = max(node.last, node.number)
+        if node.parent:
+            node.parent.last = max(node.parent.last, node.last)
     gone, lowered = _named_apart(blocks, holders)
     for b in blocks:
         own = [(t, linked) for t, linked, holder in b.parts if holder not in gone]
@@ -274,6 +288,17 @@ def text_blocks(html: str) -> list[_Block]:
     return [b for b in blocks if b.text]
 
 
+def _end_of(html: str, tag: str, pos: int) -> int | None:
+    """Where an inline element ends that began before ``pos``: behind its own closing tag, not
+    that of an element of the same name in it."""
+    inside = 1
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(html, pos):
+        inside += -1 if m[1] else 1
+        if not inside:
+            return m.end()
+    return None
+
+
 def _last(html: str) -> int:
     """Where markup ends: beyond the last '>' only an unclosed comment is; text may hold any number of '<'."""
     return len(html) if html.rfind("<!--") > html.rfind("-->") else html.rfind(">") + 1
@@ -335,8 +360,8 @@ def _named_apart(blocks: list[_Block], holders: set[_Element]) -> tuple[set[_Ele
     return gone, within(SMALL_SHARE, HALF)
 
 
-def path_scores(blocks: list[_Block]) -> list[float]:
-    """Score of each block: its path's smoothed text ratio times its punctuation ratio."""
+def path_scores(blocks: list[_Block]) -> tuple[list[float], list[float]]:
+    """Scores of the blocks, their paths' text ratio times punctuation ratio: smoothed, and as they are."""
     sums: dict[int, list[float]] = {}
     for b in blocks:
         s = sums.setdefault(b.element.path, [0, 0, 0])
@@ -345,8 +370,12 @@ def path_scores(blocks: list[_Block]) -> list[float]:
         s[2] += 1
     text = [sums[b.element.path][0] / sums[b.element.path][2] for b in blocks]
     marks = [sums[b.element.path][1] / sums[b.element.path][2] for b in blocks]
-    text, marks = _smooth(text), _smooth(marks)
-    return [log1p(t) * log1p(1 + m) * (MAIN_FACTOR if b.element.main and not b.lowered else 1) for t, m, b in zip(text, marks, blocks, strict=True)]
+
+    def fused(text: list[float], marks: list[float]) -> list[float]:
+        weight = [MAIN_FACTOR if b.element.main and not b.lowered else 1 for b in blocks]
+        return [log1p(t) * log1p(1 + m) * w for t, m, w in zip(text, marks, weight, strict=True)]
+
+    return fused(_smooth(text), _smooth(marks)), fused(text, marks)
 
 
 def _smooth(values: list[float], sigma: float = SMOOTHING) -> list[float]:
@@ -363,48 +392,63 @@ def main_text(html: str | None) -> str:
     blocks = text_blocks(html) if html else []
     if not blocks:
         return ""
-    scores = path_scores(blocks)
+    scores, alone = path_scores(blocks)
     mean = sum(scores) / len(scores)
     spread = sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
     least = mean - THRESHOLD * spread
-    content = [(b, s) for b, s in zip(blocks, scores, strict=True) if s >= least]
-    best = max(s for _, s in content)
-    content = [b for b, s in content if s >= best / MAIN_FACTOR]
-    article = content[0].element
-    for b in content:
-        article = _shared(article, b.element)
+    best, highest = max(scores), max(alone)
+    found = [
+        s >= max(least, best / MAIN_FACTOR) and a >= highest / MAIN_FACTOR for s, a in zip(scores, alone, strict=True)
+    ]
+    if not any(found):
+        found = [a == highest for a in alone]
+    article = _shared([b.element for b, f in zip(blocks, found, strict=True) if f])
     while article.tag in LONE:  # a lone paragraph's parent holds it
         article = article.parent
-    named = article
-    while named is not None and not named.marked:
-        named = named.parent
-    article = named or article
-    named = any(b.lowered for b in content)
-    return " ".join(b.text for b in blocks if (named or not b.lowered) and _inside(b.element, article))
-
-
-def _shared(a: _Element, b: _Element) -> _Element:
-    """The deepest element that holds both."""
-    up, deep = _depth(a), _depth(b)
-    while a is not b:
-        if up >= deep:
-            a, up = a.parent, up - 1
-        else:
-            b, deep = b.parent, deep - 1
-    return a
+    marked = article
+    while marked is not None and not marked.marked:
+        marked = marked.parent
+    article = marked or article
+    named = any(b.lowered for b, f in zip(blocks, found, strict=True) if f)
+    inside = [(b, f) for b, f in zip(blocks, found, strict=True) if (named or not b.lowered) and _inside(b.element, article)]
+    first = next(i for i, (_, f) in enumerate(inside) if f)
+    last = max(i for i, (_, f) in enumerate(inside) if f)
+    flow = {article: True}
+    return " ".join(
+        b.text
+        for i, (b, f) in enumerate(inside)
+        if f or not _mostly_links(b) and (article.marked or first < i < last or _in_flow(b.element, flow))
+    )
+
+
+def _in_flow(node: _Element, known: dict[_Element, bool]) -> bool:
+    """Whether only elements of running text lie between an element and the article; ``known``
+    has the answers so far, that of the article first."""
+    way = []
+    while node not in known:
+        way.append(node)
+        node = node.parent
+    answer = known[node]
+    for n in reversed(way):
+        answer = known[n] = answer and n.tag in FLOW
+    return answer
 
 
-def _depth(node: _Element) -> int:
-    n = 0
-    while node.parent is not None:
-        node, n = node.parent, n + 1
-    return n
+def _mostly_links(block: _Block) -> bool:
+    return 2 * block.linked > len(block.text)
 
 
-def _inside(node: _Element | None, top: _Element) -> bool:
-    while node is not None and node is not top:
+def _shared(elements: list[_Element]) -> _Element:
+    """The deepest element that holds all: the first one's nearest parent that ends behind the last."""
+    last = max(e.number for e in elements)
+    node = min(elements, key=lambda e: e.number)
+    while node.last < last:
         node = node.parent
-    return node is top
+    return node
+
+
+def _inside(node: _Element, top: _Element) -> bool:
+    return top.number <= node.number <= top.last
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

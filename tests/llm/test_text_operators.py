@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from funnelworks.llm import html_extraction
 from funnelworks.llm.html_extraction import extract_text, main_text
 from funnelworks.llm.line_dedup import dedup_lines
 from funnelworks.llm.queries import tokenizer_file
@@ -200,3 +201,55 @@ def test_token_edge_cases(spark, make_docs, tmp_dir):
 def test_line_digest_of_kept_text(make_docs):
     r = dedup_lines(make_docs([(1, "é\nb")])).select(F.sha2(F.encode("text", "UTF-8"), 256).alias("h")).first()
     assert r["h"] == hashlib.sha256("é\nb".encode()).hexdigest()
+
+
+PARAGRAPHS = [f"Paragraph {i} of the article, which is long enough; it says something, and more." for i in range(5)]
+BODY = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+LINKS = '<div class="x9">' + "".join(f'<div><a href="/{i}">link number {i}</a></div>' for i in range(10)) + "</div>"
+FOOT = '<div class="x7">All rights kept 2024</div>'
+
+
+def test_links_and_footers_go_by_their_paths_whatever_their_names():
+    want = " ".join(PARAGRAPHS)
+    assert main_text(f"<html><body>{LINKS}{BODY}{LINKS}{FOOT}</body></html>") == want
+    assert main_text(f"<body><div>{BODY}</div><div>{BODY}</div>{LINKS}{FOOT}</body>") == f"{want} {want}"
+    assert main_text(f"<body>{FOOT}<article>{BODY}{LINKS}</article>{FOOT}</body>") == want
+    assert main_text(f"<body><h1>Title</h1>{BODY}<ul><li>one</li><li>two</li></ul>{FOOT}</body>") == f"Title {want} one two"
+
+
+def test_path_ratios_equal_their_definition():
+    import math
+
+    html = "<body><div><p>One, two. Three!</p><p>Four <a href=x>linked, text</a></p></div><ul><li>five</li></ul><p>Six; seven.</p></body>"
+    blocks = html_extraction.text_blocks(html)
+    paths = ["body div p", "body div p", "body ul li", "body p"]
+    text = {"body div p": (15 + 5) / 2, "body ul li": 4, "body p": 11}
+    marks = {"body div p": (3 + 1) / 2, "body ul li": 0, "body p": 2}
+    _, alone = html_extraction.path_scores(blocks)
+    assert [b.text for b in blocks] == ["One, two. Three!", "Four linked, text", "five", "Six; seven."]
+    for p, b, score in zip(paths, blocks, alone, strict=True):
+        mine = [x for x, q in zip(blocks, paths, strict=True) if q == p]
+        t = sum(len(x.text) - x.linked for x in mine) / len(mine)
+        m = sum(x.text.count(c) for x in mine for c in ",.!;") / len(mine)
+        assert math.isclose(score, math.log1p(t) * math.log1p(1 + m))
+        assert abs(t - text[p]) <= 1 and m == marks[p]
+
+
+def test_hidden_inline_elements_end_at_their_own_tag():
+    assert main_text("<body><p>a, b. <span hidden>h1<span>h2</span> h3</span>c.</p></body>") == "a, b. c."
+
+
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    start = time.time()
+    for html in ("<div>x" * 40_000, "<div>" * 30_000 + "</span></p></div>" * 30_000, "<ul><li>x, y." * 30_000, "<div><p>text, more.</p>" * 40_000,
+                 "<span hidden>" * 5000, "<p>a, b.<div>" * 30_000):
+        main_text(html)
+    assert time.time() - start < 25
+
+
+def test_extraction_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", f"<body>{BODY}</body>", "t", 7)], "page_id long, url string, html string, text string, n_chars long")
+    (row,) = html_extraction.extract_text(pages).collect()
+    assert (row["text"], row["n_chars"]) == (" ".join(PARAGRAPHS), len(" ".join(PARAGRAPHS)))
