@@ -18,10 +18,12 @@ empty table gives an empty file; extra columns of the input are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 from unicodedata import is_normalized
 
 import numpy as np
@@ -38,8 +40,14 @@ BLOCK_IDS = 1 << 19
 # the memory starts afresh.
 CACHE_WORDS = 300_000
 
-# How the tokenizer's own first step cuts lower-cased text into pieces.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# First steps of a tokenizer that texts can be encoded word by word for: normal form, white
+# space to one space, lower case; pieces by this pattern, spelt in bytes.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+FIRST_STEPS = {
+    "normalizer": ["NFC", ("Replace", r"\s+", " "), "Lowercase"],
+    "pre_tokenizer": [("Split", PATTERN, "Removed", True), ("ByteLevel", False, False)],
+}
+PIECES = regex.compile(PATTERN)
 # Lower-casing the first two depends on the context or changes the length, the others are
 # white space for Python alone or a special token's start: such texts, and those not in
 # normal form, go through the tokenizer whole.
@@ -50,10 +58,33 @@ UNSAFE = ("İ", "Σ", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "<|")
 LAST_LATIN = "\u024f"
 
 
+def _first_steps(file: dict) -> dict[str, list]:
+    """What a tokenizer's file says of its normalizer and pre-tokenizer, in short."""
+
+    def steps(part: dict | None, inner: str) -> list[dict]:
+        return [] if part is None else part[inner] if part["type"] == "Sequence" else [part]
+
+    def normalizer(step: dict) -> object:
+        return (step["type"], step["pattern"].get("Regex"), step["content"]) if step["type"] == "Replace" else step["type"]
+
+    def pre_tokenizer(step: dict) -> object:
+        if step["type"] == "Split":
+            return step["type"], step["pattern"].get("Regex"), step["behavior"], step["invert"]
+        if step["type"] == "ByteLevel":
+            return step["type"], step["add_prefix_space"], step["use_regex"]
+        return step["type"]
+
+    return {
+        "normalizer": [normalizer(x) for x in steps(file.get("normalizer"), "normalizers")],
+        "pre_tokenizer": [pre_tokenizer(x) for x in steps(file.get("pre_tokenizer"), "pretokenizers")],
+    }
+
+
 class WordCoder:
     """Encodes texts with a ``tokenizers`` file, remembering the ids of words.
 
-    White space always separates pieces, so a text's ids are those of its words in turn.
+    Where the file's first steps are those above, white space separates pieces and a text's ids
+    are those of its words in turn. Texts go through any other tokenizer whole.
     """
 
     _loaded: dict[str, WordCoder] = {}
@@ -63,6 +94,7 @@ class WordCoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = _first_steps(json.loads(Path(path).read_text(encoding="utf-8"))) == FIRST_STEPS
         self.model = self.tokenizer.model
         self.spell = ByteLevel(add_prefix_space=False, use_regex=False)
         self.words: dict[str, bytes] = {}
@@ -98,7 +130,7 @@ class WordCoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        if any(x in text for x in UNSAFE) or not is_normalized("NFC", text):
+        if not self.by_words or any(x in text for x in UNSAFE) or not is_normalized("NFC", text):
             return self._ids(text)
         if len(self.words) > CACHE_WORDS:
             self.words = {}

@@ -253,3 +253,14 @@ def test_extraction_with_clashing_columns(spark):
     pages = spark.createDataFrame([(1, "u", f"<body>{BODY}</body>", "t", 7)], "page_id long, url string, html string, text string, n_chars long")
     (row,) = html_extraction.extract_text(pages).collect()
     assert (row["text"], row["n_chars"]) == (" ".join(PARAGRAPHS), len(" ".join(PARAGRAPHS)))
+
+
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    texts = ["The cat's 12 hats.", " two  spaces\n", "ÉCOLE ß İ", "", "x" * 50, "<|endoftext|> a"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        plain, coder = Tokenizer.from_file(tokenizer_file(name)), WordCoder(tokenizer_file(name))
+        assert coder.by_words == (name == "word_bpe_49k.json")
+        for text in texts:
+            assert np.frombuffer(coder.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, (name, text)
