@@ -92,6 +92,51 @@ def flatten_listings(
     return _elements(responses, body_col, id_col).where(_is_object(element)).select(id_col, *typed, "kind", *whole)
 
 
+# Fields that ``found_fields`` makes columns of; a response of more has data for names.
+MAX_FIELDS = 1000
+
+# Types as they are found to the types of columns; all others are text (JSON for nested values).
+COLUMN_TYPES = {"BIGINT": "bigint", "DOUBLE": "double", "FLOAT": "double", "DECIMAL": "double", "BOOLEAN": "boolean"}
+
+
+def found_fields(responses: DataFrame, body_col: str = "body", id_col: str = "response_id", max_fields: int = MAX_FIELDS) -> dict[str, str]:
+    """The fields that the listings have and the type each fits, found in the documents.
+
+    One aggregation over all listings: the types of a field's values are merged where they are
+    read, so a row a field and task is shuffled. Numbers of several kinds become doubles, fields
+    with values of different kinds text; nested values are kept as JSON text.
+    """
+    element = F.col("_element")
+    objects = _elements(responses, body_col, id_col).where(_is_object(element)).select(element.alias("_element"))
+    pairs = objects.lateralJoin(responses.sparkSession.tvf.variant_explode(F.col("_element").outer())).select("key", "value")
+    found = pairs.groupBy("key").agg(F.schema_of_variant_agg("value").alias("kind")).orderBy("key").limit(max_fields + 1).collect()
+    if len(found) > max_fields:
+        raise ValueError(f"listings have more than {max_fields} fields")
+    return {r.key: COLUMN_TYPES.get(r.kind.split("(")[0], "string") for r in found}
+
+
+def flatten_found(
+    responses: DataFrame, body_col: str = "body", id_col: str = "response_id", fields: dict[str, str] | None = None
+) -> DataFrame:
+    """One row per listing with a typed column for every field found in the listings.
+
+    The first pass finds the fields (unless given), the second reads them. A field named like
+    ``id_col`` or ``kind`` gets a leading underscore.
+    """
+    fields = found_fields(responses, body_col, id_col) if fields is None else fields
+    element = F.col("_element")
+
+    def column(name: str, kind: str) -> Column:
+        quoted = name.replace("\\", "\\\\").replace("'", "\\'")
+        value = F.try_variant_get(element, f"$['{quoted}']", "variant" if kind == "string" else kind)
+        if kind == "string":  # a text itself, anything else as JSON
+            value = F.coalesce(F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")), F.nullif(F.to_json(value), F.lit("null")))
+        return value.alias(f"_{name}" if name in (id_col, "kind") else name)
+
+    rows = _elements(responses, body_col, id_col).where(_is_object(element))
+    return rows.select(id_col, *[column(n, k) for n, k in fields.items()], "kind")
+
+
 def flatten_rejects(
     responses: DataFrame, body_col: str = "body", id_col: str = "response_id"
 ) -> DataFrame:

@@ -7,10 +7,13 @@ then merged) and a partition-pruned scan of the stored rollup.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from funnelworks.operators.joins import bounded_broadcast
 from funnelworks.sources import sinks
 
 
@@ -23,6 +26,37 @@ def first_row(df: DataFrame, order_col: str) -> DataFrame:
     return df.orderBy(F.col(order_col).asc_nulls_last()).limit(1)
 
 
+# Candidates whose join is tried first; each further range has ``GROWTH`` times as many.
+FIRST_CANDIDATES = 256
+GROWTH = 16
+
+
+def first_match(
+    candidates: DataFrame, order_col: str, match: Callable[[DataFrame], DataFrame], block: int = FIRST_CANDIDATES
+) -> DataFrame:
+    """``first_row(match(candidates), order_col)`` for a ``match`` that joins and filters rows one by one.
+
+    The candidates' join is tried in ranges of ``order_col``, from its smallest values on and
+    each range larger than all before it, until a row is found. A range is cut by the column
+    alone and then read through a range predicate, so only its rows meet the join; rows that tie
+    at a cut are in one range, and NULLs come last. A range's rows are few by construction, so
+    they are the side that is broadcast up to a bound.
+    """
+    order = F.col(order_col)
+    before = None
+    while True:
+        ahead = candidates.where(order.isNotNull() if before is None else order > F.lit(before))
+        cut = ahead.select(order).orderBy(order).limit(block).agg(F.max(order), F.count(F.lit(1))).first()
+        if cut[1] < block:  # the last range, with those that have no value
+            rest = candidates if before is None else candidates.where(order.isNull() | (order > F.lit(before)))
+            return first_row(match(rest), order_col)
+        rows = ahead.where(order <= F.lit(cut[0]))
+        found = first_row(match(bounded_broadcast(rows, block)), order_col)
+        if not found.isEmpty():
+            return found
+        before, block = cut[0], block * GROWTH
+
+
 def is_empty(df: DataFrame) -> bool:
     """Empty check at the API edge (P14); reads at most one row."""
     return df.isEmpty()

@@ -5,13 +5,5 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def task_slots(spark: SparkSession) -> int:
-    """Task slots of the cluster (default parallelism), or the shuffle partition count."""
-    try:
-        return spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - sessions without a SparkContext
-        return shuffle_partitions(spark)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -74,9 +74,9 @@ def q_scan_product_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def q_first_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from funnelworks.operators.lookups import first_row
+    from funnelworks.operators.lookups import first_match
 
-    return first_row(fixtures.product_events(spark, sf_dir), "event_id")
+    return first_match(fixtures.raw_events(spark, sf_dir), "event_id", lambda rows: fixtures.of_products(spark, sf_dir, rows))
 
 
 @register(
@@ -573,6 +573,24 @@ def q_flatten_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "flatten_found",
+    """SELECT l_orderkey AS response_id, CAST(l_partkey AS VARCHAR) AS asin, l_linenumber AS line,
+       CASE WHEN l_partkey % 3 <> 0 THEN l_extendedprice END AS number, l_partkey % 3 = 0 AS is_text,
+       CAST(l_orderkey AS VARCHAR) AS seller, 'organic' AS kind, 'asin string, line bigint, price string, seller string' AS fields
+FROM lineitem WHERE l_partkey % 13 <> 0""",
+)
+def q_flatten_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings with the columns that their documents have, none of them declared."""
+    responses = fixtures.mixed_responses(spark, sf_dir)
+    fields = listings.found_fields(responses)
+    flat = listings.flatten_found(responses, fields=fields)
+    return flat.select(
+        "response_id", "asin", "line", F.col("price").try_cast("double").alias("number"), (F.col("price") == "n/a").alias("is_text"),
+        F.get_json_object("seller", "$.id").alias("seller"), "kind", F.lit(", ".join(f"{n} {k}" for n, k in fields.items())).alias("fields"),
+    )
+
+
 @register(
     "flatten_rejects",
     """SELECT l_orderkey AS response_id, 'malformed_json' AS reason, '{"content":' AS document

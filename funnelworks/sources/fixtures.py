@@ -21,12 +21,21 @@ def product_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     The join is an equi-join; Spark/AQE picks broadcast only when the measured size of
     ``part`` is under the threshold, else sort-merge with skew splitting.
     """
-    events = read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value", "props"])
+    return of_products(spark, sf_dir, raw_events(spark, sf_dir))
+
+
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events before they are joined to their products."""
+    return read_table(spark, sf_dir, "events", ["event_id", "ts", "event_type", "value", "props"])
+
+
+def of_products(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
+    """Those of some raw events that have a product, as product events."""
     part = read_table(spark, sf_dir, "part", ["p_partkey", "p_name", "p_brand", "p_type"])
     keyed = events.withColumn(
         "k", F.get_json_object("props", "$.k").try_cast("bigint")
     )
-    joined = keyed.join(part, keyed["k"] == part["p_partkey"], "inner")
+    joined = keyed.join(part, F.col("k") == F.col("p_partkey"), "inner")
     noun = F.get(F.split("p_name", " "), 1)
     k10 = F.col("k") % 10
     return joined.select(
@@ -211,6 +220,8 @@ def mixed_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     beyond the declared ones, a price that is no number (%3=0), a non-object beside the
     listing (%5=0), and bodies that are no JSON (%13=0); modulo on the line's part."""
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])
+    # The small rows are spread, so that bodies are built and parsed by many tasks.
+    li = li.repartition(shuffle_partitions(spark), "l_orderkey", "l_linenumber")
     k = F.col("l_partkey")
     listing = F.concat(
         F.lit('{"asin":"'), k.cast("string"), F.lit('","price":'),
