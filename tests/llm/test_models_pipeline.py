@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -146,8 +147,8 @@ def test_toxicity_edge_cases(spark, make_docs):
 # --- pipeline
 
 
-def test_pipeline_stages(spark):
-    sf = "/root/testdata/sf0.1"  # sf0.01 has 33 toxic rows to learn from, too few for most word forms
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_pipeline_stages(spark, sf):
     docs = table(spark, sf, "documents")
     columns = docs.columns
     sizes = [docs.count()]
@@ -189,3 +190,22 @@ def test_pipeline_extra_columns_with_clashing_names(spark, make_docs, words):
         assert wide.where(F.col("copies") != F.concat(F.lit("copies"), F.col("doc_id").cast("string"))).count() == 0
     last = corpus_pipeline.STAGES[-1][1]
     assert sorted(map(tuple, last(spark, docs, SF).collect())) == sorted(map(tuple, last(spark, wide, SF).collect()))
+
+
+def test_stages_leave_no_tables_behind(spark, tmp_path):
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+
+    def files():
+        return sum(p.suffix == ".parquet" or p.name.startswith("part-") for p in folder.rglob("*") if p.is_file())
+
+    before, docs = files(), table(spark, SF, "documents").limit(300)
+    docs.write.parquet(f"{tmp_path}/documents")
+    docs = spark.read.parquet(f"{tmp_path}/documents")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert corpus_pipeline.stored_elsewhere(docs, corpus_pipeline._left)
+    lazy = corpus_pipeline.STAGES[3][1](spark, docs, SF)
+    assert not corpus_pipeline.stored_elsewhere(lazy, corpus_pipeline._left)
+    last = sum(1 for f in corpus_pipeline._left for p in Path(f.removeprefix("file:")).rglob("part-*") if p.suffix != ".crc")
+    assert files() <= before + 2 * last + 8
