@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import itertools
 import os
+import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
 
@@ -45,6 +46,18 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def store_in_buckets(df: DataFrame, name: str, key: str, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """``store`` with the rows in buckets by ``key``: the plain table, and one whose rows are not
+    moved by a join on ``key`` with as many partitions. Spark reads buckets by a table's name
+    alone, which is dropped at once; the files stay."""
+    spark = df.sparkSession
+    path, entry = shared_path(spark, name), f"{name}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(entry, format="parquet")
+    bucketed = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")
+    return spark.read.schema(df.schema).parquet(path), bucketed
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when a count proves the bound; otherwise leave the join to AQE.
 

@@ -70,6 +70,20 @@ def test_score_edge_cases(make_docs):
     assert sorted((r["doc_id"] or 0, r["n_words"], r["mean_log_score"] is None) for r in rows) == [(0, 2, False), (1, 0, True)]
 
 
+def test_texts_are_stored_once_and_not_shuffled(spark, make_docs, monkeypatch):
+    """Before: a second copy of the texts, 0.65 x the input, went through the shuffle to the scores."""
+    monkeypatch.setattr(lm_scoring, "BATCH_CHARS", 300)
+    monkeypatch.setattr(lm_scoring, "PARTITION_WORDS", 20)
+    tables = {t.name for t in spark.catalog.listTables()}
+    scores = score_documents(make_docs([(i, f"word{i} and word{i + 1}") for i in range(50)]))
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange " in line]
+    assert [c for line in moved for c in ("hashpartitioning(p#", "hashpartitioning(batch#") if c in line] == ["hashpartitioning(batch#", "hashpartitioning(p#"]
+    assert len([line for line in moved if "BroadcastExchange" not in line]) == 2
+    assert {t.name for t in spark.catalog.listTables()} == tables  # the name that the buckets are read by
+    assert scores.count() == 50 and scores.where("n_words = 3").count() == 50
+
+
 # --- toxicity
 
 
