@@ -30,43 +30,43 @@ def results_is_object(body: str | Column) -> Column:
     return _results_object(F.try_parse_json(F.col(body) if isinstance(body, str) else body))
 
 
-def _is_object(v: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+def _is_object(v: Column, path: str = "$") -> Column:
+    """Whether the value at ``path`` is an object: one reads as a struct without fields, whose
+    reading looks at nothing inside (``schema_of_variant`` names every type in the value)."""
+    return F.try_variant_get(v, path, "struct<>").isNotNull()
 
 
 def _results_object(v: Column) -> Column:
-    return _is_object(F.try_variant_get(v, "$.content.results", "variant"))
-
-
-def _tag_kind(kind: str):
-    # One-argument lambda: transform() reads a second parameter as the element index.
-    return lambda x: F.struct(x.alias("_element"), F.lit(kind).alias("kind"))
+    return _is_object(v, "$.content.results")
 
 
 def _elements(responses: DataFrame, body_col: str, id_col: str) -> DataFrame:
     """One row per result element, and one without element for a response that has no result
     object: ``id_col, _body, _reason, _element, kind``.
 
-    The parsed value is a column of its own that later steps read several times, so the
-    optimiser keeps it apart and a body is parsed once. The outer explode keeps it from
-    adding a size filter, which would parse the body again below.
+    The parsed value and the result object are columns of their own that later steps read
+    several times, so the optimiser keeps them apart and a body is parsed once. What is no array
+    reads as NULL. The outer explode keeps it from adding a size filter, which would parse the
+    body again below; an element's place tells which array it is from.
     """
     parsed = responses.select(
         F.col(id_col), F.col(body_col).alias("_body"), F.try_parse_json(F.col(body_col)).alias("_doc")
     )
-    v = F.col("_doc")
-    arrays = [
-        F.transform(
-            F.coalesce(F.try_variant_get(v, f"$.content.results.{name}", "array<variant>"), F.array().cast("array<variant>")),
-            _tag_kind(name),
-        )
-        for name in RESULT_ARRAYS
-    ]
-    reason = F.when(v.isNull(), F.lit(REJECT_REASONS[0])).when(~_results_object(v), F.lit(REJECT_REASONS[1]))
-    shaped = parsed.select(
-        id_col, "_body", reason.alias("_reason"), F.when(_results_object(v), F.concat(*arrays)).alias("_items")
-    )
-    return shaped.select(id_col, "_body", "_reason", F.inline_outer("_items"))
+    arrays = ",".join(f"{name}:array<variant>" for name in RESULT_ARRAYS)
+    found = parsed.select(
+        id_col, "_body", F.col("_doc").isNull().alias("_malformed"),
+        F.try_variant_get("_doc", "$.content.results", f"struct<{arrays}>").alias("_results"),
+    )
+    lists = [F.coalesce(F.col(f"_results.{name}"), F.array().cast("array<variant>")) for name in RESULT_ARRAYS]
+    reason = F.when(F.col("_malformed"), F.lit(REJECT_REASONS[0])).when(F.col("_results").isNull(), F.lit(REJECT_REASONS[1]))
+    shaped = found.select(
+        id_col, "_body", reason.alias("_reason"), F.size(lists[0]).alias("_first"),
+        F.when(F.col("_results").isNotNull(), F.concat(*lists)).alias("_items"),
+    )
+    placed = shaped.select(id_col, "_body", "_reason", "_first", F.posexplode_outer("_items").alias("_place", "_element"))
+    first, second = RESULT_ARRAYS
+    kind = F.when(F.col("_place") < F.col("_first"), F.lit(first)).when(F.col("_place").isNotNull(), F.lit(second))
+    return placed.select(id_col, "_body", "_reason", "_element", kind.alias("kind"))
 
 
 def flatten_listings(
@@ -126,15 +126,21 @@ def flatten_found(
     fields = found_fields(responses, body_col, id_col) if fields is None else fields
     element = F.col("_element")
 
-    def column(name: str, kind: str) -> Column:
+    def value(name: str, kind: str) -> Column:
         quoted = name.replace("\\", "\\\\").replace("'", "\\'")
-        value = F.try_variant_get(element, f"$['{quoted}']", "variant" if kind == "string" else kind)
-        if kind == "string":  # a text itself, anything else as JSON
-            value = F.coalesce(F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")), F.nullif(F.to_json(value), F.lit("null")))
-        return value.alias(f"_{name}" if name in (id_col, "kind") else name)
+        return F.try_variant_get(element, f"$['{quoted}']", kind)
+
+    def column(at: int, name: str, kind: str) -> Column:
+        got = F.col(f"_value{at}")
+        if kind == "string":  # a text itself, anything else as JSON, which has infinite numbers in quotes
+            infinite = got.isin("Infinity", "-Infinity") & (F.schema_of_variant(value(name, "variant")) == "DOUBLE")
+            got = F.when(infinite, F.concat(F.lit('"'), got, F.lit('"'))).otherwise(got)
+        return got.alias(f"_{name}" if name in (id_col, "kind") else name)
 
     rows = _elements(responses, body_col, id_col).where(_is_object(element))
-    return rows.select(id_col, *[column(n, k) for n, k in fields.items()], "kind")
+    # The values are columns of their own, so that each is read once.
+    read = rows.select(id_col, "kind", "_element", *[value(n, k).alias(f"_value{i}") for i, (n, k) in enumerate(fields.items())])
+    return read.select(id_col, *[column(i, n, k) for i, (n, k) in enumerate(fields.items())], "kind")
 
 
 def flatten_rejects(
