@@ -18,15 +18,18 @@ empty table gives an empty file; extra columns of the input are ignored.
 
 from __future__ import annotations
 
+import itertools
 import json
+import os
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,9 +39,11 @@ from funnelworks.session import shared_path
 
 END_ID = 1
 BLOCK_IDS = 1 << 19
-# Bound on the words each Python worker remembers (twice as many pieces of words); beyond it
-# the memory starts afresh.
-CACHE_WORDS = 300_000
+# Bound on the words each Python worker remembers, the latest ones.
+CACHE_WORDS = 600_000
+# Characters of the texts encoded at a time, and pieces given to the tokenizer at a time.
+BATCH_CHARS = 12_000_000
+PIECES_A_CALL = 1000
 
 # First steps of a tokenizer that texts can be encoded word by word for: normal form, white
 # space to one space, lower case; pieces by this pattern, spelt in bytes.
@@ -84,21 +89,29 @@ class WordCoder:
     """Encodes texts with a ``tokenizers`` file, remembering the ids of words.
 
     Where the file's first steps are those above, white space separates pieces and a text's ids
-    are those of its words in turn. Texts go through any other tokenizer whole.
+    are those of its words in turn: Arrow tells the words of many texts, and each different one
+    is encoded once, if not remembered. Texts go through any other tokenizer whole.
     """
 
     _loaded: dict[str, WordCoder] = {}
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
+        # Spark deals the texts to tasks, each of which needs one thread.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.by_words = _first_steps(json.loads(Path(path).read_text(encoding="utf-8"))) == FIRST_STEPS
-        self.model = self.tokenizer.model
-        self.spell = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        # The tokenizer's model behind first steps that do no more than pieces need.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix, ids = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 + max(ids.values(), default=0), bool)
+        self.ends[[i for token, i in ids.items() if suffix and token.endswith(suffix)]] = True
+        # The words remembered (a piece is a word of one piece), the latest last, and their ids.
+        self.words = pa.array([], pa.large_string())
+        self.ids = _lists([])
 
     @classmethod
     def of(cls, path: str) -> WordCoder:
@@ -109,35 +122,94 @@ class WordCoder:
     def _ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        """The ids of a piece by the tokenizer's model alone; its first steps cost more."""
-        spelt = piece if piece.isascii() and piece.isprintable() else self.spell.pre_tokenize_str(piece)[0][0]
-        ids = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-        return ids
-
-    def _word(self, word: str) -> bytes:
-        known = self.pieces.get
-        if not word.isascii() and max(word) > LAST_LATIN:
-            ids = self._ids(word)
-        elif word.isalpha():
-            ids = known(word) or self._piece(word)
-        elif word[-1] in ".,;:" and word[:-1].isalpha():
-            ids = (known(word[:-1]) or self._piece(word[:-1])) + (known(word[-1]) or self._piece(word[-1]))
-        else:
-            ids = b"".join([known(p) or self._piece(p) for p in PIECES.findall(word)])
-        self.words[word] = ids
-        return ids
+    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces by the tokenizer's model alone; its first steps cost more."""
+        (coded,) = self.plain.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)
+        ids = np.asarray(coded.ids, dtype="<u4")
+        ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        if len(ends) != len(pieces):  # the model does not mark every end
+            return [self._ids(p) for p in pieces]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _word_ids(self, words: list[str]) -> pa.ListArray:
+        """The ids of words in lower case, by their pieces."""
+        parts, ends = [], [0]
+        for word in words:
+            if word.isalpha() or _beyond(word):
+                parts.append(word)
+            elif word[-1:] in ".,;:" and word[:-1].isalpha():
+                parts += (word[:-1], word[-1])
+            else:
+                parts += PIECES.findall(word)
+            ends.append(len(parts))
+        coded = pa.array(parts, pa.large_string()).dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = {p: self._ids(p) for p in pieces if _beyond(p)}
+        near = [p for p in pieces if p not in ids]
+        for group in (near[at : at + PIECES_A_CALL] for at in range(0, len(near), PIECES_A_CALL)):
+            ids.update(zip(group, self._piece_ids(group), strict=True))
+        spread = _lists([ids[p] for p in pieces]).take(coded.indices)
+        return pa.ListArray.from_arrays(spread.offsets.take(pa.array(ends)), spread.flatten())
+
+    def _by_words(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of lower-case texts."""
+        split = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        at = pc.index_in(words, value_set=self.words)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        places = at.fill_null(0).to_numpy().copy()
+        places[new] = len(self.words) + np.arange(new.sum())
+        new_ids = self._word_ids(words.filter(pa.array(new)).to_numpy(zero_copy_only=False).tolist())
+        ids = pa.concat_arrays([self.ids, new_ids]).take(pa.array(places))
+        # The words of these texts are the last to be forgotten.
+        idle = np.ones(len(self.words), bool)
+        idle[places[~new]] = False
+        self.words = _last(pa.concat_arrays([self.words.filter(pa.array(idle)), words]))
+        self.ids = _last(pa.concat_arrays([self.ids.filter(pa.array(idle)), ids]))
+        spread = ids.take(coded.indices)
+        raw = memoryview(spread.flatten().to_numpy()).cast("B")
+        ends = (4 * spread.offsets.to_numpy().astype(np.int64)[split.offsets.to_numpy()]).tolist()
+        return (bytes(raw[a:b]) for a, b in itertools.pairwise(ends))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        plain = [self.by_words and not any(x in t for x in UNSAFE) and is_normalized("NFC", t) for t in texts]
+        coded = self._by_words([t.lower() for t, p in zip(texts, plain, strict=True) if p])
+        return [next(coded) if p else self._ids(t) for t, p in zip(texts, plain, strict=True)]
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian unsigned 32-bit integers."""
-        if not self.by_words or any(x in text for x in UNSAFE) or not is_normalized("NFC", text):
-            return self._ids(text)
-        if len(self.words) > CACHE_WORDS:
-            self.words = {}
-            if len(self.pieces) > 2 * CACHE_WORDS:
-                self.pieces = {}
-        known, word = self.words.get, self._word
-        return b"".join([known(w) or word(w) for w in text.lower().split()])
+        return self.encode_all([text])[0]
+
+
+def _beyond(word: str) -> bool:
+    return not word.isascii() and max(word) > LAST_LATIN
+
+
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    """Little-endian 32-bit ids as a column of lists."""
+    ends = np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4
+    flat = pa.Array.from_buffers(pa.uint32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+
+
+def _last(rows: pa.Array) -> pa.Array:
+    """The last rows, without the memory of those before."""
+    return rows if len(rows) <= CACHE_WORDS else pa.concat_arrays([rows.slice(len(rows) - CACHE_WORDS)])
+
+
+def in_sizes(rows: Iterable[tuple], size: int = BATCH_CHARS) -> Iterator[list[tuple]]:
+    """Rows, whose last value is a text, in lists of about ``size`` characters."""
+    out, held = [], 0
+    for row in rows:
+        out.append(row)
+        held += len(row[-1])
+        if held >= size:
+            yield out
+            out, held = [], 0
+    if out:
+        yield out
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -198,14 +270,15 @@ def encode_corpus(
             ids.clear(), sizes.clear(), parts.clear()
             return out
 
-        for part, doc, text in rows:  # noqa: B007 - the closure reads the last part
-            raw = coder.encode(text) + end
-            ids.append(NULL_ID if doc is None else doc)
-            sizes.append(len(raw) // 4)
-            parts.append(raw)
-            held += sizes[-1]
-            if held >= BLOCK_IDS:
-                yield flush()
+        for group in in_sizes(rows):
+            for (part, doc, _), text_ids in zip(group, coder.encode_all([row[-1] for row in group]), strict=True):  # noqa: B007 - the closure reads the last part
+                raw = text_ids + end
+                ids.append(NULL_ID if doc is None else doc)
+                sizes.append(len(raw) // 4)
+                parts.append(raw)
+                held += sizes[-1]
+                if held >= BLOCK_IDS:
+                    yield flush()
         if held:
             yield flush()
         if block:

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from funnelworks.llm import html_extraction
+from funnelworks.llm import html_extraction, token_output
 from funnelworks.llm.html_extraction import extract_text, main_text
 from funnelworks.llm.line_dedup import dedup_lines
 from funnelworks.llm.queries import tokenizer_file
@@ -166,6 +166,38 @@ def test_remembered_words_equal_the_tokenizer(text):
     assert np.frombuffer(coder.encode(text), "<u4").tolist() == tokenizer_once().encode(text, add_special_tokens=False).ids
 
 
+def test_many_texts_are_encoded_at_a_time(monkeypatch):
+    coder, plain, texts = WordCoder(tokenizer_file()), tokenizer_once(), []
+    calls = []
+    monkeypatch.setattr(token_output, "CACHE_WORDS", 40)
+    monkeypatch.setattr(token_output, "PIECES_A_CALL", 7)
+    pieces_of = coder._piece_ids
+    monkeypatch.setattr(coder, "_piece_ids", lambda pieces: calls.extend(pieces) or pieces_of(pieces))
+    for i in range(6):
+        texts = ["", " ", f"Word{i} word the THE it's", "<|endoftext|> a", "e\u0301 İ Σ", "中文 ½ ² дом, дом", f" \u2003own\x85x{i}\xa0word. ", "the " * 50]
+        texts += [f"{a}{b}{i}. {a}!?{b}" for a in "abcé" for b in "xyzß"]
+        got = [np.frombuffer(x, "<u4").tolist() for x in coder.encode_all(texts)]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert 0 < len(coder.words) == len(coder.ids) <= 40
+    assert coder.encode_all([]) == [] and coder.encode_all(["", "İ"])[0] == b""
+    # Words met again are remembered, those of one batch encoded once.
+    assert calls.count("the") == 1 and calls.count("!?") <= 6
+
+
+def test_pieces_whose_ends_are_not_marked(monkeypatch):
+    coder = WordCoder(tokenizer_file())
+    coder.ends[:] = False
+    assert np.frombuffer(coder.encode("The cat's hats"), "<u4").tolist() == tokenizer_once().encode("The cat's hats", add_special_tokens=False).ids
+
+
+def test_texts_in_sizes():
+    rows = [(i, "x" * n) for i, n in enumerate([3, 9, 0, 0, 4, 5, 1])]
+    groups = list(token_output.in_sizes(rows, 8))
+    assert [r for g in groups for r in g] == rows
+    assert [sum(len(t) for _, t in g) for g in groups] == [12, 9, 1]
+    assert list(token_output.in_sizes([], 8)) == []
+
+
 _TOKENIZER = []
 
 
